@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec, token_counts
+from . import media, mixing, quality, secrets, sentencepiece_codec, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_mixing": mixing.query,
     "op3_sentencepiece_codec": sentencepiece_codec.query,
+    "op5_token_files": token_files.query,
+    "op6_media": media.query,
+    "op8_secrets": secrets.query,
+    "op9_quality": quality.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op8_secrets": secrets.ORACLE,
+}

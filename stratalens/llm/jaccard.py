@@ -287,7 +287,7 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
     named = sets.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id", "fp")
-    own = named.select("doc_id", "fp", "tokens").join(materialize(copies, "copies"), ["doc_id", "fp"], "left_anti")
+    own = named.select("doc_id", "fp", "tokens").join(materialize(copies, "copies").hint("merge"), ["doc_id", "fp"], "left_anti")
 
     held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"))
     held = held.repartition("token").sortWithinPartitions("token", "id")
@@ -311,7 +311,8 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
     tasks = materialize(tasks.unionByName(_block_tasks(large, shared)), "tasks")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    loaded = texts.join(tasks, "id").repartition("task").sortWithinPartitions("task", "side", "id")
+    # Merge joins at every size, here and above: what moves is in proportion to the input.
+    loaded = texts.join(tasks.hint("merge"), "id").repartition("task").sortWithinPartitions("task", "side", "id")
     links = loaded.select("task", "side", "id", "text").mapInArrow(_opened(n, share), "a long, b long")
     linked = components(links)
 

@@ -22,7 +22,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents linked by five-word shingles and a similarity of 0.8 or more the one of least id stays."""
     found = jaccard.join(docs.select("doc_id", "text"), 5, 80)
     copies = found.where(F.col("component_id") != F.col("doc_id").cast("long")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(copies, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(materialize(copies, "near-copies").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(keyed.select("doc_id", "text", "source", "__h"))
     copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
     copies = taken.where("size > 0").groupBy("doc_id", "source", "__h").agg(copies.alias("copies")).where("copies > 0")
-    copies = materialize(copies, "mix-copies").alias("c")
+    copies = materialize(copies, "mix-copies").hint("merge").alias("c")
     k = keyed.alias("k")
     same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.__h") == F.col("c.__h"))
     rows = k.join(copies, same).select(*[f"k.{c}" for c in COLUMNS], "c.copies")

@@ -3,20 +3,20 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are one class, named by its least id.
 
 Tokens. For sets in a band of sizes, no two sets that reach the similarity differ in more than d shingles. The shingle
-space is dealt into d + SPARE parts by hash; a set's token for a part is the hash of its shingles in that part. Two similar
-sets then share at least SPARE tokens: each differing shingle can spoil one part only. A set whose similar larger sets may
+space is dealt into d + spare(d) parts by hash; a set's token for a part is the hash of its shingles in that part. Two similar
+sets then share at least spare(d) tokens: each differing shingle can spoil one part only. A set whose similar larger sets may
 lie in the next band has tokens for that band too. Unlike single shingles, a token is shared by sets that agree in a whole
 part, so a passage, line or word pair that many documents hold makes no token frequent.
 
-Groups. Sets that share a token, directly or over others, form a group: similar documents are partitioned, and no link
-leaves a group. A group beyond MOST members is split into blocks of near sets (of one least shingle hash). The matrix stores
+Groups. Sets that share one of their rarest tokens, directly or over others, form a group: of k tokens that two sets share
+at least, each may leave out its k - 1 most held ones. So similar documents are partitioned, and no link leaves a group. A group beyond MOST members is split into blocks of near sets (of one least shingle hash). The matrix stores
 each block's token union; a query's overlap with a block is the number of its tokens in that union, an upper bound of what
-it shares with any member, and only a query with at least SPARE tokens in a block's union opens it (one less where a part of
-its own is empty). Its own block is always open. Opening compares exact sets: an inverted list inside the task counts every
+it shares with any member, and only a query with at least what similar sets share in a block's union opens it (less where
+parts of its own are empty). Its own block is always open. Opening compares exact sets: an inverted list inside the task counts every
 intersection, and links come out as a spanning forest, not as all pairs.
 
 Rows stay bounded: a token's holders give one row each towards its least holder, equal sets were merged before, and a task
-opens one pair of blocks at a time.
+opens one pair of blocks at a time. Joins that move sets or texts are merge joins at every size.
 
 Defined results: a null text or one without words has no set and links with nothing; with fewer words than a shingle the
 whole sequence is the shingle; rows that share an id are one document, with the links of all its texts; a row with a null id
@@ -26,7 +26,7 @@ named like the results are replaced); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,13 @@ from .components import components
 
 ship(__name__)
 
-#: Tokens that two similar sets share at least.
-SPARE = 2
+
+
+def spare(d: int) -> int:
+    """Parts beyond the d that differences can spoil: tokens that two similar sets share at least."""
+    return 2 + d // 5
+
+
 #: Members of a block. One task holds the sets of two blocks.
 MOST = 512
 
@@ -99,40 +104,37 @@ def bands(share: int, n: int) -> list[tuple[int, int]]:
     return found
 
 
-def set_tokens(h, share: int):
-    """The tokens of a set of shingle hashes."""
-    return tokens_and_need(h, share)[0]
-
-
 def tokens_and_need(h, share: int):
-    """The tokens of a set of shingle hashes, and how many of them it shares with any similar set at least.
+    """The tokens of a set of shingle hashes, the least that it shares with a similar set, and, by the band's parity, how many it may go without.
 
-    An empty part has no token (it would be held by many) unless SPARE parts are empty; it lowers what is sure instead.
+    A token's lowest bit is its band's parity. An empty part has no token (it would be held by many) unless too many are
+    empty; it lowers what is sure instead.
     """
     import numpy as np
 
-    out, need = [], SPARE
+    out, need, drops = [], None, [0, 0]
     spread = mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     value = mixed(h + np.uint64(0x632BE59BD9B4E019))
     for band, d in bands(share, len(h)):
         if d <= 0:
             continue
-        parts = d + SPARE
+        parts = d + spare(d)
         part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         held, first = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(value[order], first)
         tag = np.uint64((band << 32) + 1) + held.astype(np.uint64)
-        out.append(mixed(sums + tag * np.uint64(0x9E3779B97F4A7C15)))
-        if 0 < parts - len(held) < SPARE:
-            need = min(need, SPARE - (parts - len(held)))
-        if parts - len(held) >= SPARE:  # what two such sets share may be empty parts alone
+        made = [np.add.reduceat(value[order], first) + tag * np.uint64(0x9E3779B97F4A7C15)]
+        sure = spare(d) - (parts - len(held))
+        if sure < 1:  # what two such sets share may be empty parts alone
             empty = np.setdiff1d(np.arange(parts), held).astype(np.uint64)
-            out.append(mixed((np.uint64((band << 32) + 1) + empty) * np.uint64(0x9E3779B97F4A7C15)))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
+            made.append((np.uint64((band << 32) + 1) + empty) * np.uint64(0x9E3779B97F4A7C15))
+            sure = 1
+        out.append(mixed(np.concatenate(made)) & ~np.uint64(1) | np.uint64(band & 1))
+        need, drops[band & 1] = min(sure, need or sure), sure - 1
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need or 1, drops
 
 
-SETS = "doc_id long, n long, fp binary, low long, need int, tokens array<long>"
+SETS = "doc_id long, n long, fp binary, low long, need int, even int, odd int, tokens array<long>"
 
 
 def _sets(n: int, share: int):
@@ -144,56 +146,38 @@ def _sets(n: int, share: int):
 
         table: dict = {}
         for batch in batches:
-            ids, sizes, fps, lows, needs, tokens = batch.column("doc_id"), [], [], [], [], []
+            ids, sizes, fps, lows, needs, drops, tokens = batch.column("doc_id"), [], [], [], [], [], []
             for text in to_bytes(batch.column("text")):
                 h = shingle_set(text, n, table)
                 sizes.append(0 if h is None else len(h))
                 fps.append(None if h is None else hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 lows.append(None if h is None else int(h[:1].view(np.int64)[0]))
-                t, need = (np.zeros(0, np.uint64), SPARE) if h is None else tokens_and_need(h, share)
+                t, need, drop = (np.zeros(0, np.uint64), 1, [0, 0]) if h is None else tokens_and_need(h, share)
                 needs.append(need)
+                drops.append(drop)
                 tokens.append(t.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "fp", "low", "need", "tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64()), pa.array(needs, pa.int32()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "fp", "low", "need", "even", "odd", "tokens"])
 
     return make
 
 
-def _stars(batches):
-    """Rows (token, id) sorted by token, a token's rows together -> (token, id, head) of tokens with two holders or more.
+def shared_tokens(own: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (doc_id, tokens), limits (node, even, odd) -> all tokens with two holders or more (token, id), and links (a, b) towards each token's least holder.
 
-    A token's rows may span batches: the head of the last token is carried over.
+    Links use each set's rarest tokens only: of k tokens that two sets share at least, each may go without its k - 1 most
+    held ones, in one order for all sets, and one shared token is left. So what many documents hold joins no group.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    last_token = last_id = None  # of the run that the batch before ended with
-    told = False  # whether that run has given its head's row
-    for batch in batches:
-        token, node = batch.column("token").to_numpy(), batch.column("id").to_numpy()
-        if not len(token):
-            continue
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        carried = last_token is not None and token[0] == last_token
-        run = np.cumsum(first) - 1
-        heads = node[first].copy()  # rows are sorted by id within a token
-        if carried:
-            heads[0] = last_id
-        head = heads[run]
-        size = np.bincount(run)
-        many = size > 1
-        if carried:
-            many[0] = True
-        keep = many[run]
-        t, i, h = token[keep], node[keep], head[keep]
-        if carried and not told:
-            t, i, h = np.concatenate([[token[0]], t]), np.concatenate([[last_id], i]), np.concatenate([[last_id], h])
-        only = size[-1] == 1 and not (carried and len(size) == 1)
-        told = not only
-        last_token, last_id = token[-1], heads[-1]
-        if len(t):
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(i, pa.int64()), pa.array(h, pa.int64())], names=["token", "id", "head"])
+    by_token = Window.partitionBy("token")
+    held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"))
+    shared = held.withColumn("holders", F.count("*").over(by_token)).where("holders > 1")
+    shared = materialize(shared, "shared-tokens")
+    order = Window.partitionBy("id", "odd_band").orderBy(F.col("holders").desc(), "token")
+    ranked = shared.distinct().withColumn("odd_band", F.col("token") % 2 != 0).withColumn("nth", F.row_number().over(order))
+    kept = ranked.join(limits, ranked["id"] == limits["node"]).where(F.col("nth") > F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")))
+    pairs = kept.select("token", "id").withColumn("head", F.min("id").over(by_token)).where("id <> head")
+    return shared.select("token", "id"), pairs.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def links_of(ids, sets, share: int, left=None) -> list[tuple]:
@@ -288,16 +272,14 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id", "fp")
     own = named.select("doc_id", "fp", "tokens").join(materialize(copies, "copies").hint("merge"), ["doc_id", "fp"], "left_anti")
-
-    held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"))
-    held = held.repartition("token").sortWithinPartitions("token", "id")
-    shared = materialize(held.mapInArrow(_stars, "token long, id long, head long").where(F.col("token").isNotNull()), "shared-tokens")
+    limits = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"), F.min("need").alias("need"), F.min("even").alias("even"), F.min("odd").alias("odd"))
+    limits = materialize(limits, "set-limits")
+    shared, links = shared_tokens(own, limits.select("node", "even", "odd"))
 
     # Groups, and blocks of those that are large.
-    groups = materialize(components(shared.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()), "groups")
+    groups = materialize(components(links), "groups")
     sizes = materialize(groups.groupBy("component").count().where(F.col("count") > most), "large-groups")
-    lows = named.select(F.col("doc_id").alias("node"), "low", "need").groupBy("node").agg(F.min("low").alias("low"), F.min("need").alias("need"))
-    large = materialize(groups.join(sizes, "component").join(lows, "node"), "large-members")
+    large = materialize(groups.join(sizes, "component").join(limits.select("node", "low", "need"), "node"), "large-members")
     # Near sets have the same least hash more often than not. A least hash with many sets has blocks of its own, by id; the others share blocks.
     per = large.groupBy("component", "low").agg(F.count("*").alias("held"))
     large = large.join(per, ["component", "low"])

@@ -351,8 +351,9 @@ def test_tokens_of_similar_sets_meet():
             y = np.unique(np.concatenate([r.permutation(x)[lose:], r.integers(0, 2**63, lose).astype(np.uint64)]))
             c = len(np.intersect1d(x, y))
             if c and 100 * c >= share * (len(x) + len(y) - c) and c < len(x) + len(y) - c:
-                (a, need), (b, _) = jaccard.tokens_and_need(x, share), jaccard.tokens_and_need(y, share)
-                assert len(np.intersect1d(a, b)) >= need
+                (a, need, drops), (b, _, _) = jaccard.tokens_and_need(x, share), jaccard.tokens_and_need(y, share)
+                both = np.intersect1d(a, b)
+                assert len(both) >= need and any((both % 2 == odd).sum() > drops[odd] for odd in (0, 1))
 
 
 def test_components(spark):

@@ -136,9 +136,10 @@ RULES = [
     ("jxl", "brob", "drop", _OTHER, "brob box (Brotli-compressed metadata)"), ("jxl", "jbrd", "drop", _OTHER, "jbrd box (JPEG reconstruction data)"),
     ("jxl", "jxli", "drop", _OTHER, "jxli box (frame index)"), ("jxl", "free", "drop", _OTHER, "free box (padding)"), ("jxl", "skip", "drop", _OTHER, "skip box (padding)"),
     ("jxl", "*", "refuse", None, "unknown-jxl-box"),
+    *[(f, "rebuilt", "rewrite", None, None) for f in ("ogg", "opus", "ogg-flac", "tiff")], ("ogg-flac", "rebuilt:md5", "zero", None, "STREAMINFO (MD5 of the unencoded audio)"),
 ]
 #: Why a retained item stays; others would alter the payload.
-REASONS = {("flac", "STREAMINFO:md5"): "derived-from-payload", **{("wav", f"{k}:data"): "structurally-required" for k in ("JUNK", "PAD ", "FLLR")}}
+REASONS = {("flac", "STREAMINFO:md5"): "derived-from-payload", ("ogg-flac", "rebuilt:md5"): "derived-from-payload", **{("wav", f"{k}:data"): "structurally-required" for k in ("JUNK", "PAD ", "FLLR")}}
 #: format, key -> what the file can no longer do.
 CAPABILITIES = {
     ("wav", "smpl"): ("smpl", "be looped by a sampler at the points it recorded"),
@@ -148,11 +149,11 @@ CAPABILITIES = {
 #: What is copied without a look inside.
 OUT_OF_SCOPE = {
     "wav": "audio samples, which are copied without being decoded", "flac": "audio frames, which are copied without being decoded",
-    "mp3": "audio frames, which are copied without being decoded",
+    "mp3": "audio frames, which are copied without being decoded", **dict.fromkeys(("ogg", "opus", "ogg-flac"), "audio packets, which are copied without being decoded"),
     "jxl": "a JPEG XL codestream, whose ICC profile and preview frame are coded inside the image data",
 }
 #: Formats that have a walker.
-WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl")
+WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff")
 
 
 def items() -> list[tuple[str, str, str, str]]:

@@ -16,13 +16,18 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.detect import detected, fenced
-from . import walkers
+from .rebuilders import WALKERS as REBUILDERS
+from .walkers import WALKERS, walk
 
 ITEM = "struct<scope:string,name:string,location:string,bytes:bigint,text:string,opaque:bigint>"
 NOTE = "struct<location:string,bytes:bigint>"
 SEGMENT = f"struct<key:string,off:bigint,len:bigint,size:bigint,location:string,replace:binary,items:array<{ITEM}>,notes:array<{NOTE}>>"
 ERROR = "struct<error_kind:string,detail:string,offset:bigint,limit:string,unsupported_kind:string>"
-MAX_BYTES = 512 << 20
+
+
+def walk_file(kind: str, data: bytes | None) -> tuple[list[dict], dict | None]:
+    """The segments of one file, or its error."""
+    return walk({**WALKERS, **REBUILDERS}[kind], data)
 
 
 def _parse(content: int, kind: int, names: list[str], schema):
@@ -30,7 +35,7 @@ def _parse(content: int, kind: int, names: list[str], schema):
         import pyarrow as pa
 
         for batch in batches:
-            found = [walkers.walk(k.as_py(), c.as_py()) for k, c in zip(batch.column(kind), batch.column(content), strict=True)]
+            found = [walk_file(k.as_py(), c.as_py()) for k, c in zip(batch.column(kind), batch.column(content), strict=True)]
             segments = pa.array([s for s, _ in found], schema[0])
             errors = pa.array([e for _, e in found], schema[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, segments, errors], names=names)
@@ -185,7 +190,7 @@ def verified(done: DataFrame) -> DataFrame:
     """(file_id, format, residual, verified): whether what was written is detected as the same format and inspected again without a finding."""
     again = detected(done.withColumnRenamed("format", "was").withColumn("length", F.octet_length("content")))
     same = decided(again.where(F.col("format") == F.col("was")))
-    left = F.size(F.filter("decisions", lambda d: d["action"].isin("drop", "zero") | (d["action"].isin("rewrite", "itemised") & (F.size(d["s"]["items"]) > 0))))
+    left = F.size(F.filter("decisions", lambda d: (d["action"] == "drop") | (d["action"].isin("zero", "rewrite", "itemised") & (F.size(d["s"]["items"]) > 0))))
     ok = same.select("file_id", "format", left.alias("residual"), (F.col("error").isNull() & (left == 0)).alias("verified"))
     lost = again.where(~F.col("format").eqNullSafe(F.col("was")) | ~F.col("format").isin(*dims.WALKED)).select("file_id", F.col("was").alias("format"), F.lit(None).cast("int").alias("residual"), F.lit(False).alias("verified"))
     return ok.unionByName(lost)

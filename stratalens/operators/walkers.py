@@ -732,11 +732,11 @@ def jxl(data: bytes, w: Walk) -> None:
 WALKERS = {"png": png, "jpeg": jpeg, "gif": gif, "webp": webp, "wav": wav, "flac": flac, "mp3": mp3, "jxl": jxl}
 
 
-def walk(kind: str, data: bytes | None) -> tuple[list[dict], dict | None]:
+def walk(walker, data: bytes | None) -> tuple[list[dict], dict | None]:
     """The segments of one file, or its error."""
     w = Walk()
     try:
-        WALKERS[kind](data or b"", w)
+        walker(data or b"", w)
         return w.rows, None
     except Doubt as e:
         return [], e.row

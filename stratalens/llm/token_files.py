@@ -123,8 +123,9 @@ def _reader(folder: str):
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    # One file to a task: the manifest has one row for each, and dealing them out by number keeps them apart.
-    parts = manifest.select("part", "ids", "offsets", "dtype", "base_ids").repartition(F.col("part"))
+    # About one file to a task. The manifest has one small row for each file, so the number of tasks is given: by size alone they would meet in one.
+    parts = manifest.select("part", "ids", "offsets", "dtype", "base_ids")
+    parts = parts.repartition(max(1, parts.count()), "part")
     return parts.mapInArrow(_reader(_file_uri(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

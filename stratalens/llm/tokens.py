@@ -121,6 +121,6 @@ def _new_table(raw: bytes, dtype: str) -> ChunkTable:
             out[i] = np.asarray(ids, dtype).tobytes()
         return out
 
-    table = ChunkTable(make, 500_000)
+    table = ChunkTable(make, 1_000_000)
     table.cut = cutter()
     return table

@@ -8,15 +8,16 @@ sets then share at least spare(d) tokens: each differing shingle can spoil one p
 lie in the next band has tokens for that band too. Unlike single shingles, a token is shared by sets that agree in a whole
 part, so a passage, line or word pair that many documents hold makes no token frequent.
 
-Groups. Sets that share one of their rarest tokens, directly or over others, form a group: of k tokens that two sets share
-at least, each may leave out its k - 1 most held ones. So similar documents are partitioned, and no link leaves a group. A group beyond MOST members is split into blocks of near sets (of one least shingle hash). The matrix stores
+Groups. Sets that share enough tokens, directly or over others, form a group: see shared_tokens. So similar documents are
+partitioned, and no link leaves a group. A group beyond MOST members is split into blocks of near sets (of one least shingle hash). The matrix stores
 each block's token union; a query's overlap with a block is the number of its tokens in that union, an upper bound of what
 it shares with any member, and only a query with at least what similar sets share in a block's union opens it (less where
 parts of its own are empty). Its own block is always open. Opening compares exact sets: an inverted list inside the task counts every
 intersection, and links come out as a spanning forest, not as all pairs.
 
 Rows stay bounded: a token's holders give one row each towards its least holder, equal sets were merged before, and a task
-opens one pair of blocks at a time. Joins that move sets or texts are merge joins at every size.
+opens one pair of blocks at a time. The join that moves
+texts is a merge join at every size.
 
 Defined results: a null text or one without words has no set and links with nothing; with fewer words than a shingle the
 whole sequence is the shingle; rows that share an id are one document, with the links of all its texts; a row with a null id
@@ -84,12 +85,12 @@ def shingle_set(text: bytes, n: int, table: dict):
 def bands(share: int, n: int) -> list[tuple[int, int]]:
     """(band, most differing shingles in it) for a set of n: its own band and, where a similar larger set may be there, the next.
 
-    A band ends where its start is times 1 / share cubed (share in hundredths). Bands of tiny sets, in which any difference
+    A band ends where its start is times 1 / share squared (share in hundredths). Bands of tiny sets, in which any difference
     is too much, need no tokens: such sets are similar only when equal.
     """
     found, b, start = [], 0, 1
     while True:
-        end = max(start + 1, start * 1_000_000 // share**3 + 1)  # one past the band's last size
+        end = max(start + 1, start * 10_000 // share**2 + 1)  # one past the band's last size
         if n < end:
             break
         b, start = b + 1, end
@@ -100,7 +101,7 @@ def bands(share: int, n: int) -> list[tuple[int, int]]:
         if share * end > 100 * n:  # the smallest set of the next band is too large for this one
             break
         b, start = b + 1, end
-        end = max(start + 1, start * 1_000_000 // share**3 + 1)
+        end = max(start + 1, start * 10_000 // share**2 + 1)
     return found
 
 
@@ -134,10 +135,15 @@ def tokens_and_need(h, share: int):
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need or 1, drops
 
 
-SETS = "doc_id long, n long, fp binary, low long, need int, even int, odd int, tokens array<long>"
+SETS = "doc_id long, n long, fp binary, low long"
+TOKENS = "doc_id long, need int, even int, odd int, tokens array<long>"
+#: Lists of holders up to this length are compared pair by pair.
+FEW = 16
+#: Rows of 24 bytes that are broadcast at most; more are joined by a merge join.
+MOST_BROADCAST = 500_000
 
 
-def _sets(n: int, share: int):
+def _sets(n: int):
     def make(batches):
         import hashlib
 
@@ -146,38 +152,68 @@ def _sets(n: int, share: int):
 
         table: dict = {}
         for batch in batches:
-            ids, sizes, fps, lows, needs, drops, tokens = batch.column("doc_id"), [], [], [], [], [], []
+            sizes, fps, lows = [], [], []
             for text in to_bytes(batch.column("text")):
                 h = shingle_set(text, n, table)
                 sizes.append(0 if h is None else len(h))
                 fps.append(None if h is None else hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 lows.append(None if h is None else int(h[:1].view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64())], names=["doc_id", "n", "fp", "low"])
+
+    return make
+
+
+def _tokens(n: int, share: int):
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table: dict = {}
+        for batch in batches:
+            needs, drops, tokens = [], [], []
+            for text in to_bytes(batch.column("text")):
+                h = shingle_set(text, n, table)
                 t, need, drop = (np.zeros(0, np.uint64), 1, [0, 0]) if h is None else tokens_and_need(h, share)
                 needs.append(need)
                 drops.append(drop)
                 tokens.append(t.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64()), pa.array(needs, pa.int32()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "fp", "low", "need", "even", "odd", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(needs, pa.int32()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "need", "even", "odd", "tokens"])
 
     return make
 
 
-def shared_tokens(own: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """own (doc_id, tokens), limits (node, even, odd) -> all tokens with two holders or more (token, id), and links (a, b) towards each token's least holder.
+def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (TOKENS) -> all tokens with two holders or more (token, id, need), and links (a, b) that join similar sets into groups.
 
-    Links use each set's rarest tokens only: of k tokens that two sets share at least, each may go without its k - 1 most
-    held ones, in one order for all sets, and one shared token is left. So what many documents hold joins no group.
+    Similar sets share at least as many tokens of a band as the drop of either says, and one more. Of a set's tokens some
+    have few holders, the rest many. Few holders: each pair of them is counted, and linked if it shares as many as the
+    drops require when all tokens of many holders are granted. Many holders: sets whose drop such tokens could fill alone
+    are linked to the token's least holder of that sort, by those tokens only that are left when each set goes without its
+    most held ones; one order for all sets leaves any two of them a common one. So what many documents hold joins no group
+    by itself, and pairs are emitted within lists of FEW at most.
     """
     by_token = Window.partitionBy("token")
-    held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"))
-    shared = held.withColumn("holders", F.count("*").over(by_token)).where("holders > 1")
+    drop = F.when(F.col("token") % 2 != 0, F.col("odd")).otherwise(F.col("even"))
+    held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"), "need", "even", "odd").withColumn("drop", drop)
+    shared = held.select("token", "id", "need", "drop").withColumn("holders", F.count("*").over(by_token)).where("holders > 1")
     shared = materialize(shared, "shared-tokens")
-    order = Window.partitionBy("id", "odd_band").orderBy(F.col("holders").desc(), "token")
-    ranked = shared.distinct().withColumn("odd_band", F.col("token") % 2 != 0).withColumn("nth", F.row_number().over(order))
-    kept = ranked.join(limits, ranked["id"] == limits["node"]).where(F.col("nth") > F.when(F.col("odd_band"), F.col("odd")).otherwise(F.col("even")))
-    pairs = kept.select("token", "id").withColumn("head", F.min("id").over(by_token)).where("id <> head")
-    return shared.select("token", "id"), pairs.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+
+    band = Window.partitionBy("id", "odd_band")
+    ranked = shared.withColumn("odd_band", F.col("token") % 2 != 0)
+    ranked = ranked.withColumns({"nth": F.row_number().over(band.orderBy(F.col("holders").desc(), "token")), "much": F.sum((F.col("holders") > FEW).cast("int")).over(band)})
+    ranked = materialize(ranked.select("token", "id", "holders", "drop", "nth", "much"), "ranked-tokens")
+
+    few = ranked.where(F.col("holders") <= FEW).groupBy("token").agg(F.collect_set(F.struct("id", (F.col("drop") + 1 - F.col("much")).alias("least"))).alias("h"))
+    pair = lambda x, y: F.struct(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b"), F.greatest(x["least"], y["least"]).alias("least"))
+    each = F.flatten(F.transform("h", lambda x: F.transform(F.filter("h", lambda y: y["id"] < x["id"]), lambda y: pair(x, y))))
+    pairs = few.select((F.col("token") % 2 != 0).alias("odd_band"), F.explode(each).alias("p")).groupBy("p.a", "p.b", "odd_band").agg(F.count("*").alias("c"), F.max("p.least").alias("least"))
+    near = pairs.where(F.col("c") >= F.col("least")).select("a", "b")
+
+    hot = ranked.where((F.col("holders") > FEW) & (F.col("much") > F.col("drop")) & (F.col("nth") > F.col("drop")))
+    stars = hot.select("token", "id").withColumn("head", F.min("id").over(by_token)).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return shared.select("token", "id", "need"), near.unionByName(stars).distinct()
 
 
 def links_of(ids, sets, share: int, left=None) -> list[tuple]:
@@ -264,35 +300,39 @@ def _opened(n: int, share: int):
 def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most: int = MOST) -> DataFrame:
     """docs without the text, with n_shingles and component_id. share: the least Jaccard similarity, in hundredths."""
     docs = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")])
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(sets.mapInArrow(_sets(n, share), SETS), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets = materialize(texts.mapInArrow(_sets(n), SETS), "sets")
 
-    # Equal sets: one class each, named by its least id. Only the rows that are not the class's own go by a join.
+    # Equal sets: one class each, named by its least id. The other rows of a class are copies and go no further.
     named = sets.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id", "fp")
-    own = named.select("doc_id", "fp", "tokens").join(materialize(copies, "copies").hint("merge"), ["doc_id", "fp"], "left_anti")
-    limits = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"), F.min("need").alias("need"), F.min("even").alias("even"), F.min("odd").alias("odd"))
-    limits = materialize(limits, "set-limits")
-    shared, links = shared_tokens(own, limits.select("node", "even", "odd"))
+    copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id").distinct()
+    # An id that has a text of its own besides a copy stays.
+    owners = classes.select(F.col("id").alias("doc_id")).distinct()
+    copies = materialize(copies.join(owners, "doc_id", "left_anti"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies.hint("merge")
+    own = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(copies, "doc_id", "left_anti")
+    own = own.select("doc_id", "text").mapInArrow(_tokens(n, share), TOKENS)
+    shared, links = shared_tokens(own)
 
     # Groups, and blocks of those that are large.
     groups = materialize(components(links), "groups")
     sizes = materialize(groups.groupBy("component").count().where(F.col("count") > most), "large-groups")
-    large = materialize(groups.join(sizes, "component").join(limits.select("node", "low", "need"), "node"), "large-members")
+    lows = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"))
+    large = materialize(groups.join(sizes, "component").join(lows, "node"), "large-members")
     # Near sets have the same least hash more often than not. A least hash with many sets has blocks of its own, by id; the others share blocks.
     per = large.groupBy("component", "low").agg(F.count("*").alias("held"))
     large = large.join(per, ["component", "low"])
     many = F.col("held") > most / 2
     at = F.when(many, F.col("low")).otherwise(F.pmod(F.xxhash64("low"), F.ceil(F.col("count") / F.lit(most)).cast("long")))
     cut = F.when(many, F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / F.lit(most)).cast("long"))).otherwise(F.lit(-1).cast("long"))
-    large = materialize(large.select("component", "node", "need", F.xxhash64("component", at, cut).alias("block")), "blocks")
+    large = materialize(large.select("component", "node", F.xxhash64("component", at, cut).alias("block")), "blocks")
     small = groups.join(sizes.select("component"), "component", "left_anti")
 
     tasks = small.select(F.col("component").cast("string").alias("task"), F.lit(2).alias("side"), F.col("node").alias("id"))
     tasks = materialize(tasks.unionByName(_block_tasks(large, shared)), "tasks")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = texts.where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "id")
     # Merge joins at every size, here and above: what moves is in proportion to the input.
     loaded = texts.join(tasks.hint("merge"), "id").repartition("task").sortWithinPartitions("task", "side", "id")
     links = loaded.select("task", "side", "id", "text").mapInArrow(_opened(n, share), "a long, b long")
@@ -335,8 +375,8 @@ def _block_tasks(large: DataFrame, shared: DataFrame) -> DataFrame:
     The matrix is (token, block); a query's tokens meet it, and an overlap of what it needs opens the block. Of a pair of
     blocks both sides' openers are loaded into one task, named by the pair.
     """
-    of = large.select(F.col("node").alias("id"), "block", "need")
-    holds = shared.select("token", "id").distinct().join(of, "id")
+    of = large.select(F.col("node").alias("id"), "block")
+    holds = shared.groupBy("token", "id").agg(F.min("need").alias("need")).join(of, "id")
     matrix = holds.select("token", F.col("block").alias("other")).distinct()
     overlap = holds.join(matrix, "token").where(F.col("block") != F.col("other")).groupBy("id", "block", "other", "need").count()
     opens = overlap.where(F.col("count") >= F.col("need"))

@@ -56,6 +56,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Keeps this session's Arrow batches to some bytes: rows alone bound nothing where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def texts_of(docs: DataFrame, text: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship, to_bytes
+from .common import materialize, ship, small_batches, to_bytes
 from .components import components
 
 ship(__name__)
@@ -52,7 +52,7 @@ def word_hashes(words: list[bytes], table: dict):
     import numpy as np
     import xxhash
 
-    if len(table) > 400_000:
+    if len(table) > 150_000:
         table.clear()
     for w in set(words).difference(table):
         table[w] = xxhash.xxh3_64_intdigest(w)
@@ -299,6 +299,7 @@ def _opened(n: int, share: int):
 
 def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most: int = MOST) -> DataFrame:
     """docs without the text, with n_shingles and component_id. share: the least Jaccard similarity, in hundredths."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(texts.mapInArrow(_sets(n), SETS), "sets")

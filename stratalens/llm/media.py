@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialize, scratch, ship, texts_of, to_bytes
+from .common import materialize, scratch, ship, small_batches, texts_of, to_bytes
 from .token_files import _file_uri, open_fs
 
 ship(__name__)
@@ -230,6 +230,7 @@ def _archiver(folder: str, most_bytes: int, most_members: int):
 
 def write_archives(docs: DataFrame, folder: str, text: str = "text", most_bytes: int = 64 << 20, most_members: int = 60_000) -> DataFrame:
     """Stores docs' texts as pictures in archives below the folder; returns the archives' names."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts_of(docs, text).alias("text"))
     return materialize(plain.mapInArrow(_archiver(_file_uri(folder), most_bytes, most_members), "archive string"), "archives")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship, to_bytes
+from .common import materialize, ship, small_batches, to_bytes
 
 ship(__name__)
 
@@ -76,6 +76,7 @@ def _measure(column: int, names: list[str]):
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with FEATURES."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in FEATURES or c == text])
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(f, T.LongType()) for f in FEATURES])
     return docs.mapInArrow(_measure(docs.columns.index(text), schema.names), schema)

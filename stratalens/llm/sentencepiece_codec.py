@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, ship, slices, to_bytes, worker_table
+from .common import ChunkTable, ship, slices, small_batches, to_bytes, worker_table
 from .tokens import load_file
 
 ship(__name__)
@@ -111,6 +111,7 @@ def _encoder(model: bytes, column: int, names: list[str], full: bool):
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", full: bool = False) -> DataFrame:
     """docs without its text, with n_tokens, ids_sha256 and decoded_sha256; with full also the text, ids and decoded."""
+    small_batches(docs.sparkSession)
     model, _ = load_file(model_path)
     if not markers_lead(model):
         raise ValueError("pieces of this model hold markers after other characters; chunks cannot be segmented alone")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch, ship, slices, texts_of, to_bytes
+from .common import scratch, ship, slices, small_batches, texts_of, to_bytes
 
 ship(__name__)
 
@@ -58,6 +58,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     the cache side is unique.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     raw, version = tokens.load_file(tokenizer)
     drops = tokens.splits_at_spaces(raw)
     keyed = docs.withColumns({"__norm": normalised(texts_of(docs, text), drops)})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, scratch, ship, slices, texts_of, to_bytes
+from .common import materialize, scratch, ship, slices, small_batches, texts_of, to_bytes
 
 ship(__name__)
 
@@ -77,6 +77,7 @@ def _writer(raw: bytes, dtype: str, folder: str, end_id: int):
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, text: str = "text") -> DataFrame:
     """Writes the files below `folder` and returns the manifest: SUMMARY's columns, base_ids and base_docs."""
+    small_batches(docs.sparkSession)
     raw, _ = tokens.load_file(tokenizer)
     spec = json.loads(raw)
     most = max(end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, materialize, ship, slices, texts_of, to_bytes
+from .common import ChunkTable, materialize, ship, slices, small_batches, texts_of, to_bytes
 
 ship(__name__)
 
@@ -229,6 +229,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, text: str = "text") -> tuple[dict[str, float], list[float]]:
     """The stems and the logistic weights, from labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     total = rows.count()
     if total > sample:
@@ -258,6 +259,7 @@ def _scorer(stems: dict[str, float], weights: list[float], column: int, names: l
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], text: str = "text") -> DataFrame:
     """docs with score and predicted. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     schema = T.StructType(list(docs.schema.fields)).add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return docs.mapInArrow(_scorer(*model, docs.columns.index(text), schema.names), schema)

@@ -137,6 +137,7 @@ RULES = [
     ("jxl", "jxli", "drop", _OTHER, "jxli box (frame index)"), ("jxl", "free", "drop", _OTHER, "free box (padding)"), ("jxl", "skip", "drop", _OTHER, "skip box (padding)"),
     ("jxl", "*", "refuse", None, "unknown-jxl-box"),
     *[(f, "rebuilt", "rewrite", None, None) for f in ("ogg", "opus", "ogg-flac", "tiff")], ("ogg-flac", "rebuilt:md5", "zero", None, "STREAMINFO (MD5 of the unencoded audio)"),
+    ("svg", "text", "keep", None, None), ("svg", "cut", "drop", _OTHER, None), ("svg", "embedded", "rewrite", None, None), ("svg", "held", "declared", None, None),
 ]
 #: Why a retained item stays; others would alter the payload.
 REASONS = {("flac", "STREAMINFO:md5"): "derived-from-payload", ("ogg-flac", "rebuilt:md5"): "derived-from-payload", **{("wav", f"{k}:data"): "structurally-required" for k in ("JUNK", "PAD ", "FLLR")}}
@@ -153,7 +154,7 @@ OUT_OF_SCOPE = {
     "jxl": "a JPEG XL codestream, whose ICC profile and preview frame are coded inside the image data",
 }
 #: Formats that have a walker.
-WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff")
+WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff", "svg")
 
 
 def items() -> list[tuple[str, str, str, str]]:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.detect import detected, fenced
+from .markup import WALKERS as MARKUP
 from .rebuilders import WALKERS as REBUILDERS
 from .walkers import WALKERS, walk
 
@@ -27,7 +28,7 @@ ERROR = "struct<error_kind:string,detail:string,offset:bigint,limit:string,unsup
 
 def walk_file(kind: str, data: bytes | None) -> tuple[list[dict], dict | None]:
     """The segments of one file, or its error."""
-    return walk({**WALKERS, **REBUILDERS}[kind], data)
+    return walk({**WALKERS, **REBUILDERS, **MARKUP}[kind], data)
 
 
 def _parse(content: int, kind: int, names: list[str], schema):
@@ -105,7 +106,7 @@ def findings(rows: DataFrame, values: bool = False) -> DataFrame:
     rest = table.where("name = '*'").select(F.col("scope").alias("s2"), F.col("kind").alias("k2"))
     named = flat.join(F.broadcast(exact), (F.col("scope") == F.col("s1")) & (F.col("name") == F.col("n1")), "left").join(F.broadcast(rest), F.col("scope") == F.col("s2"), "left")
     kind = (
-        F.when(F.col("scope") == "vorbis", dims.prefix_kind("vorbis", F.col("name"))).when(F.col("scope") == "ape", dims.prefix_kind("ape", F.col("name")))
+        F.when(F.startswith("scope", F.lit("kind:")), F.substr("scope", F.lit(6))).when(F.col("scope") == "vorbis", dims.prefix_kind("vorbis", F.col("name"))).when(F.col("scope") == "ape", dims.prefix_kind("ape", F.col("name")))
         .when(F.col("scope").isin("vendor", "application"), "software-fingerprint").when(F.col("scope").isin("comment", "adtl"), "comment").when(F.col("scope") == "time", "timestamp")
         .when(F.col("scope") == "icc", "colour-profile").when(F.col("scope").isin("thumbnail", "picture"), "thumbnail").when(F.col("scope") == "cuesheet", "document-identifier")
         .when((F.col("scope") == "tag") & (F.col("name") == "TAG+"), "comment").when(F.col("scope").isin("tag", "pad", "frame", "comments"), "other")
@@ -130,7 +131,7 @@ def notes(rows: DataFrame) -> DataFrame:
     none = F.lit(None)
     fine = rows.where(F.col("error").isNull())
     each = fine.select("file_id", "format", F.explode("decisions").alias("d"))
-    regions = each.select("file_id", F.explode("d.s.notes").alias("n")).select("file_id", F.lit("unparsed-region").alias("note"), "n.location", "n.bytes", none.cast("string").alias("capability"))
+    regions = each.select("file_id", F.explode("d.s.notes").alias("n")).select("file_id", F.when(F.col("n.bytes").isNull(), "out-of-scope-content").otherwise("unparsed-region").alias("note"), "n.location", "n.bytes", none.cast("string").alias("capability"))
     opaque = each.where("d.action = 'note'").select("file_id", F.lit("unparsed-region").alias("note"), F.coalesce("d.place", "d.s.location").alias("location"), F.col("d.s.size").alias("bytes"), none.cast("string").alias("capability"))
     scope = F.create_map(*[F.lit(x) for kv in dims.OUT_OF_SCOPE.items() for x in kv])
     audio = fine.where(F.col("format").isin(*dims.OUT_OF_SCOPE)).select("file_id", F.lit("out-of-scope-content").alias("note"), F.element_at(scope, F.col("format")).alias("location"), none.cast("bigint").alias("bytes"), none.cast("string").alias("capability"))

@@ -36,6 +36,7 @@ WAV_FMT, WAV_DATA = "666D7420 10000000 0100 0100 401F0000 401F0000 0100 0800", "
 FLAC_INFO = "1000100000000000000000000AC442F000000000 0000000000000000000000000000"
 FLAC_AUDIO, MP3_AUDIO = "FFF8C91800", "FFFB9000 0000000000000000"
 JXL_HEAD, JXL_TAIL = "0000000C4A584C200D0A870A 00000014 66747970 6A786C20 00000000 6A786C20", "0000000C 6A786C63 FF0A1234"
+SVG_HEAD, SVG_TAIL = '<svg xmlns="http://www.w3.org/2000/svg">', "<rect/></svg>"
 WEBP_CODE = "5650384C 06000000 2F0000000000"
 
 
@@ -89,6 +90,10 @@ def webp_flags(c: Column) -> Column:
     return F.concat(_riff("WEBP", F.concat(raw("56503858 0A000000 2C000000 000000 000000"), raw(WEBP_CODE))), F.when(c.isNull(), raw("")).otherwise(raw("")))
 
 
+def svg_meta(c: Column) -> Column:
+    return F.concat(utf8(F.lit(SVG_HEAD + "<metadata><dc:creator>")), utf8(c), utf8(F.lit("</dc:creator></metadata>" + SVG_TAIL)))
+
+
 def files(rows: DataFrame, key: str, content: Column, prefix: str) -> DataFrame:
     """(file_id, path, length, content) of a table's carriers."""
     out = rows.select(F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string")).alias("file_id"), content.alias("content"))

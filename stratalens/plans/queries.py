@@ -41,6 +41,7 @@ CARRIERS = {
     "mp3_id3": ("customer", "c_custkey", "c_name", C.mp3_id3),
     "jxl_xmp": ("documents", "doc_id", "text", C.jxl_xmp),
     "webp_flags": ("nation", "n_nationkey", "n_name", C.webp_flags),
+    "svg_meta": ("part", "p_partkey", "p_name", C.svg_meta),
 }
 
 
@@ -64,6 +65,7 @@ EXPECTED = {
     "flac_vorbis": ("customer", "c_custkey", "personal-identity", "VORBIS_COMMENT", "'ARTIST'", "7 + " + _len("c_name")),
     "mp3_id3": ("customer", "c_custkey", "personal-identity", "ID3v2.3", "'TPE1'", "1 + " + _len("c_name")),
     "jxl_xmp": ("documents", "doc_id", "personal-identity", "xml box (XMP)", "'dc:creator'", "0"),
+    "svg_meta": ("part", "p_partkey", "personal-identity", "<metadata>", "'dc:creator'", _len("p_name")),
 }
 
 
@@ -84,7 +86,7 @@ def _riff(form: bytes, body: bytes) -> bytes:
 CLEAN = {
     "png_text": _hex(C.PNG_HEAD, C.PNG_TAIL), "jpeg_comment": _hex("FFD8", C.JPEG_TAIL), "jpeg_exif": _hex("FFD8", C.JPEG_TAIL), "gif_comment": _hex(C.GIF_HEAD, C.GIF_TAIL),
     "wav_info": _riff(b"WAVE", _hex(C.WAV_FMT, C.WAV_DATA)), "flac_vorbis": b"fLaC" + _hex("80000022", C.FLAC_INFO, C.FLAC_AUDIO), "mp3_id3": _hex(C.MP3_AUDIO),
-    "jxl_xmp": _hex(C.JXL_HEAD, C.JXL_TAIL), "webp_flags": _riff(b"WEBP", _hex("56503858 0A000000 00000000 000000 000000", C.WEBP_CODE)),
+    "jxl_xmp": _hex(C.JXL_HEAD, C.JXL_TAIL), "svg_meta": (C.SVG_HEAD + C.SVG_TAIL).encode(), "webp_flags": _riff(b"WEBP", _hex("56503858 0A000000 00000000 000000 000000", C.WEBP_CODE)),
 }
 
 

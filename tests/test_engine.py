@@ -1,5 +1,6 @@
 """Walkers, rules, reports and sinks: planted values must go, planted content must stay, broken files are rows."""
 
+import base64
 import os
 import struct
 import zlib
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens import catalog, dims
 from stratalens.functions.detect import detected
-from stratalens.operators import engine, rebuilders, relational, walkers
+from stratalens.operators import engine, markup, rebuilders, relational, walkers
 from stratalens.plans import batch, queries
 from stratalens.sources import filewalk, sink
 
@@ -66,9 +67,12 @@ FILES = {
     "ogg_all": ogg(b"\x01vorbis", b"\x03vorbis" + COMMENTS + b"\1", b"\x05vorbisPRESERVED", b"PRESERVED" * 100, b"x"),
     "opus_all": ogg(b"OpusHead", b"OpusTags" + COMMENTS, b"PRESERVED", b"y" * 510),
     "ogg-flac_all": ogg(b"\x7fFLAC\1\0\0\2fLaC\0\0\0\x22" + bytes(18) + b"m" * 16, b"\4" + len(COMMENTS).to_bytes(3) + COMMENTS, b"\x86\0\0\x09SYNTHETIC", b"\xff\xf8PRESERVED", b"z"),
+    "svg_all": b'<?xml version="1.0"?><!-- SYNTHETIC --><?gen SYNTHETIC?><svg xmlns="http://www.w3.org/2000/svg" xmlns:i="http://x/" i:docname="SYNTHETIC" viewBox="0 0 1 1"><metadata><rdf:RDF><dc:creator><cc:Agent><dc:title>SYNTHETIC-P</dc:title></cc:Agent></dc:creator><dc:date>SYNTHETIC-D</dc:date></rdf:RDF></metadata>'
+    b'<i:view a=">"><i:view/></i:view><title>PRESERVED-T</title><style>a{b:"/*PRESERVED*/"}/* SYNTHETIC */</style><image href="http://far/PRESERVED.png"/><image href=\'data:image/png;base64,' + base64.b64encode(PNG + chunk(b"tEXt", b"Author\0SYNTHETIC") + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")) + b"'/><rect/></svg>",
     "tiff_all": b"II*\0\x08\0\0\0" + (p1 := page([*SIZE, (0x0131, 2, 4, b"SYN\0"), (0x00FE, 4, 1, bytes(4))], b"PRESERVED-1 ", 98)) + page([*SIZE, (0x00FE, 4, 1, b"\1\0\0\0")], b"SYNTHETIC-T ", 0, 8 + len(p1)),
 }
 BAD = {
+    "svg_script": b'<svg onload="x()"></svg>', "svg_subset": b"<!DOCTYPE svg [ <!ENTITY a 'b'> ]><svg/>",
     "jxl_box": FILES["jxl_all"] + box(b"what", b""), "png_short": FILES["png_all"][:40], "png_first": b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", b""), "wav_list": riff(b"WAVE", FMT, (b"LIST", b"wavlx"), (b"data", b"")),
     "webp_none": riff(b"WEBP", (b"VP8X", bytes(10))), "unknown": b"\0\1\2", "empty": b"", "gzip": b"\x1f\x8b\x08", "pdf": b"%PDF-1.4",
 }
@@ -102,6 +106,9 @@ def test_findings(made):
     assert [x[:3] for x in got["webp_all"]] == [("colour-profile", "ICCP", None), ("other", "ANMF JUNQ", None), ("personal-identity", "EXIF IFD0", "Artist"), ("location", "XMP", "exif:GPS")]
     assert [x[:3] for x in got["flac_all"]] == [("comment", "ID3v1", "Title"), ("other", "PADDING", "Padding"), ("software-fingerprint", "VORBIS_COMMENT", "vendor"), ("location", "VORBIS_COMMENT", "GPS"), ("other", "VORBIS_COMMENT", "zz"), ("thumbnail", "PICTURE", "PictureType 3")]
     assert ("comment", "ID3v2.4", "TIT2", 10, "SYNTHETIC") in got["mp3_all"]
+    svg = {(k, p, f) for k, p, f, _, _ in got["svg_all"]}
+    assert {("comment", "<!-- -->", None), ("software-fingerprint", "<? ?>", None), ("personal-identity", "<svg i:docname>", "i:docname"), ("personal-identity", "<metadata>", "dc:title"), ("timestamp", "<metadata>", "dc:date"), ("software-fingerprint", "<i:view>", None), ("comment", "<style> (/* */)", None)} <= svg
+    assert ("personal-identity", "<image href> (data: URI) tEXt", "Author") in svg
     artist = ("personal-identity", "ARTIST", 16, "SYNTHETIC")
     assert [(k, f, b, v) for k, _, f, b, v in got["ogg_all"]] == [("software-fingerprint", "vendor", 3, "VEN"), artist] == [(k, f, b, v) for k, _, f, b, v in got["opus_all"]]
     assert ("thumbnail", "PICTURE", None, 9, None) in got["ogg-flac_all"] and ("software-fingerprint", "TIFF IFD0", "Software", 4, "SYN") in got["tiff_all"] and ("thumbnail", "TIFF reduced-resolution IFD", "reduced-resolution image", 0, None) in got["tiff_all"]
@@ -129,6 +136,7 @@ def test_errors_are_rows(rows):
     got = {r.file_id: (r.error_kind, r.detail, r.unsupported_kind) for r in engine.errors(rows).collect()}
     assert got == {
         "jxl_box": ("unsupported-format", None, "unknown-jxl-box"), "png_short": ("malformed", "truncated", None), "png_first": ("malformed", "missing-marker", None), "wav_list": ("unsupported-format", None, "wave-list"),
+        "svg_script": ("unsupported-format", None, "scripted-svg"), "svg_subset": ("unsupported-format", None, "xml"),
         "webp_none": ("malformed", "missing-marker", None), "unknown": ("unrecognised-format", None, None), "empty": ("unrecognised-format", None, None), "gzip": ("unsupported-format", None, "gzip"), "pdf": ("not-yet-implemented", None, None), "none": ("unrecognised-format", None, None),
     }
 
@@ -137,6 +145,7 @@ def test_retained_and_notes(made):
     kept = {(r.file_id, r.location, r.reason) for r in engine.retained(made).collect()}
     assert {("png_all", "pHYs", "removal-would-alter-payload"), ("jpeg_all", "APP14 (Adobe)", "removal-would-alter-payload"), ("jpeg_all", "APP0 (JFIF)", "removal-would-alter-payload"), ("wav_all", "JUNK", "structurally-required")} <= kept
     assert ("flac_all", "STREAMINFO (MD5 of the unencoded audio)", "derived-from-payload") in kept
+    assert ("svg_all", "<title>", "removal-would-alter-payload") in kept and ("svg_all", "<image href> (a reference outside this document)", "removal-would-alter-payload") in kept
     told = {(r.file_id, r.note, r.location) for r in engine.notes(made).collect()}
     assert ("png_all", "unparsed-region", "QUIX") in told and ("wav_all", "capability-removed", "smpl") in told and ("jxl_all", "capability-removed", "the jbrd box (JPEG bitstream reconstruction data)") in told
 
@@ -151,7 +160,7 @@ def test_truncation_and_flipped_bytes_never_raise():
 
 
 def test_walkers_cover_what_the_rules_name():
-    assert set(walkers.WALKERS) | set(rebuilders.WALKERS) == set(dims.WALKED) == {r[0] for r in dims.RULES}
+    assert set(walkers.WALKERS) | set(rebuilders.WALKERS) | set(markup.WALKERS) == set(dims.WALKED) == {r[0] for r in dims.RULES}
     assert {k for _, _, _, k, *_ in dims.items()} <= {k for k, *_ in dims.KINDS}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detect import detected
+from ..functions.packages import with_packages
 from ..operators import engine, relational, report
 from ..sources import filewalk, sink
 
@@ -21,7 +22,7 @@ def _skips(rows: DataFrame) -> DataFrame:
 def show(spark: SparkSession, roots: list[str], values: bool = False) -> DataFrame:
     """(file_id, json) of every entry below the roots, in order of path."""
     rows = filewalk.walk(spark, roots)
-    files = detected(filewalk.files(rows)).persist()
+    files = detected(with_packages(filewalk.files(rows))).drop("__package").persist()
     decided = engine.decided(files)
     found = engine.findings(decided, True)
     if not values:
@@ -36,7 +37,7 @@ def strip(spark: SparkSession, roots: list[str], output_dir: str | None = None,
     A copy that is not verified is not written.
     """
     rows = filewalk.walk(spark, roots)
-    files = detected(filewalk.files(rows)).persist()
+    files = detected(with_packages(filewalk.files(rows))).drop("__package").persist()
     done = engine.stripped(engine.decided(files)).persist()
     good = engine.verified(done).where("verified").select("file_id")
     named = relational.output_names(done.select("file_id", "path"), output_dir).select("file_id", "output_path", "output_exists")

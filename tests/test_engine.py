@@ -220,6 +220,30 @@ def test_detection_of_nothing(spark):
     assert queries.QUERIES.keys() >= queries.ORACLES.keys()
 
 
+def zipped(**parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr({"types": "[Content_Types].xml", "manifest": "META-INF/manifest.xml"}.get(name, name), text)
+    return out.getvalue()
+
+
+def test_packages_say_what_they_are(spark):
+    from stratalens.functions.packages import with_packages
+
+    odf = "application/vnd.oasis.opendocument."
+    cases = {
+        "docx": zipped(types="x/wordprocessingml.document.main+xml"), "xlsx": zipped(types="spreadsheetml.sheet.main+xml"), "odt": zipped(mimetype=odf + "text"), "ods": zipped(manifest=f'<a:file-entry a:media-type="x" a:full-path="/y"/><m:file-entry m:full-path="/" m:media-type="{odf}spreadsheet"/>'),
+        "!macro-enabled-office": zipped(types="wordprocessingml.document.macroEnabled.main+xml"), "!other-open-document": zipped(mimetype=odf + "graphics"), "!zip-container": zipped(a="b"), "! zip-container": b"PK\3\4broken", "png": PNG,
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "file_id string, content binary")
+    got = {r.file_id: r.format or r.unsupported_kind for r in detected(with_packages(df)).collect()}
+    assert got == {k: k.strip("! ") for k in cases}
+
+
 def test_streaming_landing(spark, tmp_path, rows):
     from stratalens.streaming.landing import inspect_stream
 

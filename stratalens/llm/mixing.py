@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, see
     b, t = bases.alias("b"), targets.alias("t")
     same = F.col("q.source").eqNullSafe(F.col("b.source")) & (F.col("q.__bucket") == F.col("b.__bucket"))
     queue = queue.alias("q").join(b, same).select("q.*", (F.col("b.__base") + F.col("q.__in")).alias("__cum"))
-    queue = queue.alias("q").join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.weight", "t.target")
+    queue = queue.alias("q").join(t, F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", F.col("t.weight").alias("__weight"), "t.target")
 
     start = F.col("__cum") - F.col("size")
     room = F.floor("target")
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, see
     taken = served[0]
     for more in served[1:]:
         taken = taken + more
-    queue = queue.withColumns({"taken": taken.cast("long"), "virtual_finish": F.col("__cum") / F.col("weight")})
+    queue = queue.withColumns({"taken": taken.cast("long"), "virtual_finish": F.col("__cum") / F.col("__weight")})
     rest = [c for c in docs.columns if c != text]
     return queue.select(*rest, "size", "source_size", "target", "taken", "virtual_finish").orderBy("virtual_finish", "source", "doc_id")
 

@@ -201,8 +201,8 @@ def scan(docs: DataFrame, rules=RULES, n_base: int = len(BASE), text: str = "tex
     """docs with n_<kind> of each base rule, base (its spans listed), spans (all spans listed) and found (an array of spans)."""
     made = [f"n_{r.kind}" for r in rules[:n_base]] + ["base", "spans", "found"]
     docs = docs.select(*[c for c in docs.columns if c not in made])
-    met = materialize(candidates(postings(docs, rules, text), rules), "secret-candidates").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(met, docs["doc_id"].eqNullSafe(met["__id"]), "left").drop("__id").withColumnRenamed("kinds", "__kinds")
+    met = materialize(candidates(postings(docs, rules, text), rules), "secret-candidates").withColumnsRenamed({"doc_id": "__id", "kinds": "__kinds"})
+    rows = docs.join(met, docs["doc_id"].eqNullSafe(met["__id"]), "left").drop("__id")
     t, none = texts_of(rows, text), F.array().cast(f"array<{SPAN}>")
     rows = rows.withColumns({f"__{r.kind}": F.when(F.array_contains("__kinds", r.kind), spans(t, r, i)).otherwise(none) if r.query() else spans(t, r, i) for i, r in enumerate(rules)})
     base = F.concat(*[F.col(f"__{r.kind}") for r in rules[:n_base]])

@@ -70,8 +70,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("__n"))
     keyed = keyed.withColumn("n_bytes", F.octet_length(texts_of(docs, text)).cast("long")).drop("__norm")
     rest = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", text)]
-    keyed = keyed.select(*rest, "n_bytes", F.col("__content").alias("content"))
-    return keyed.join(counts, "content", "left").select(*rest, "n_bytes", F.col("__n").alias("n_tokens"))
+    keyed = keyed.select(*rest, "n_bytes", "__content")
+    return keyed.join(counts.withColumnRenamed("content", "__content"), "__content", "left").select(*rest, "n_bytes", F.col("__n").alias("n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

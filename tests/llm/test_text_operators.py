@@ -356,6 +356,21 @@ def test_tokens_of_similar_sets_meet():
                 assert len(both) >= need and any((both % 2 == odd).sum() > drops[odd] for odd in (0, 1))
 
 
+def test_extra_columns_with_clashing_names(spark, docs):
+    names = "content norm version weight target license match dir path key kinds found spans term taken virtual_finish base n tokens id fp low need node block task side failed stratum ids decoded f".split()
+    wide = docs.select("doc_id", "text", "source", "lang", *[F.lit("x").alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    made = [
+        token_counts.token_counts(wide, public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "test-cache")), mixing.mix(wide), sentencepiece_codec.encode_decode(wide, public_tokenizers.path("piece_bpe_32k.model")),
+        toxicity.score(wide, toxicity.learn(wide, labels)), licenses.scan(wide), secrets.scan(wide), quality.judge(wide, labels), jaccard.join(wide, 3, 90),
+    ]
+    for out in made:
+        rows = out.collect()
+        assert len(rows) == docs.count() and len(set(out.columns)) == len(out.columns)
+        kept = [n for n in names if n in out.columns and out.schema[n].dataType.typeName() == "string"]
+        assert len(kept) > 25
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 100), (300, 300), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -9,7 +9,7 @@ lie in the next band has tokens for that band too. Unlike single shingles, a tok
 part, so a passage, line or word pair that many documents hold makes no token frequent.
 
 Groups. Sets that share enough tokens, directly or over others, form a group: see shared_tokens. So similar documents are
-partitioned, and no link leaves a group. A group beyond MOST members is split into blocks of near sets (of one least shingle hash). The matrix stores
+partitioned, and no link leaves a group. A group beyond what one task should hold is split into blocks of near sets (of one least shingle hash). The matrix stores
 each block's token union; a query's overlap with a block is the number of its tokens in that union, an upper bound of what
 it shares with any member, and only a query with at least what similar sets share in a block's union opens it (less where
 parts of its own are empty). Its own block is always open. Opening compares exact sets: an inverted list inside the task counts every
@@ -43,8 +43,8 @@ def spare(d: int) -> int:
     return 2 + d // 5
 
 
-#: Members of a block. One task holds the sets of two blocks.
-MOST = 512
+#: Members and shingles of a block: 16 MB of hashes. One task holds the sets of two blocks.
+MOST, MOST_SHINGLES = 4096, 2_000_000
 
 
 def word_hashes(words: list[bytes], table: dict):
@@ -318,15 +318,16 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
 
     # Groups, and blocks of those that are large.
     groups = materialize(components(links), "groups")
-    sizes = materialize(groups.groupBy("component").count().where(F.col("count") > most), "large-groups")
-    lows = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"))
-    large = materialize(groups.join(sizes, "component").join(lows, "node"), "large-members")
-    # Near sets have the same least hash more often than not. A least hash with many sets has blocks of its own, by id; the others share blocks.
-    per = large.groupBy("component", "low").agg(F.count("*").alias("held"))
+    lows = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    members = materialize(groups.join(lows.hint("merge"), "node"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum("n") / F.lit(MOST_SHINGLES))).cast("long")
+    sizes = materialize(members.groupBy("component").agg(parts.alias("parts")).where("parts > 1"), "large-groups")
+    large = materialize(members.join(sizes, "component"), "large-members")
+    # Near sets have the same least hash more often than not. A least hash that fills half a block has blocks of its own, by id; the others share blocks.
+    per = large.groupBy("component", "low").agg(parts.alias("own"), (F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(MOST_SHINGLES)) > 0.5).alias("many"))
     large = large.join(per, ["component", "low"])
-    many = F.col("held") > most / 2
-    at = F.when(many, F.col("low")).otherwise(F.pmod(F.xxhash64("low"), F.ceil(F.col("count") / F.lit(most)).cast("long")))
-    cut = F.when(many, F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / F.lit(most)).cast("long"))).otherwise(F.lit(-1).cast("long"))
+    at = F.when(F.col("many"), F.col("low")).otherwise(F.pmod(F.xxhash64("low"), F.col("parts")))
+    cut = F.when(F.col("many"), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.lit(-1).cast("long"))
     large = materialize(large.select("component", "node", F.xxhash64("component", at, cut).alias("block")), "blocks")
     small = groups.join(sizes.select("component"), "component", "left_anti")
 

@@ -1,16 +1,22 @@
 """Operator 7, licence scans by sparse TF-IDF cosine and inheritance along paths. DataFrame functions only.
 
-Notices are lines that hold a licence word, in any place of a file. A notice is a sparse vector of its terms, weighted by
-count and inverse document frequency over the templates; its cosine with each template comes from a join by term with the
-template table, whose size is that of the fixed list below, and the best template from MATCH on is the notice's licence. A
-file's own licence is its best notice's. A licence file (fewer than LICENCE_FILE words, with a notice) also licenses its
-directory: a file without a notice takes the licence of the nearest ancestor directory that has one, found by joining
-each distinct directory's ancestors with the licensed directories.
+A file's own licence is what the first of these finds in it:
+1. an SPDX-License-Identifier tag, read as it stands;
+2. a real notice or licence text (HEADERS, and the whole texts in licence_texts). Where a text's fixed opening words stand,
+   in any place of the file and with any comment marks, as many terms as the text has are compared with it as one sparse
+   vector, and the best cosine from WINDOW on counts; terms that are in no text (years, holders) weigh little;
+3. a line with a licence word that is near one of the short TEMPLATES, from MATCH on;
+4. such a line with the terms in no template weighed little, if it holds all terms that tell the template from the others.
+All are cosines of vectors weighted by count and inverse document frequency, from joins by term with tables of fixed size.
+
+A licence file (fewer than LICENCE_FILE words, with a notice) also licenses its directory: a file without a notice takes
+the licence of the nearest ancestor directory that has one, found by joining each distinct directory's ancestors with the
+licensed directories.
 
 Weights and products are whole numbers, so the result does not depend on the order of sums.
 
 Defined results: null and empty texts have no notice; a null path has no directory and inherits nothing; a directory with
-several licence files takes the best match, then the least template name; repeated rows each get the result; other
+several licence files takes the best match, then the least licence name; repeated rows each get the result; other
 columns pass through (columns named like the results are replaced); an empty table gives an empty result.
 """
 
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +70,103 @@ def template_rows() -> tuple[list[tuple[str, str, int]], dict[str, int], dict[st
     return rows, length, idf, weigh(0)
 
 
-def notices(files: DataFrame, text: str = "text") -> DataFrame:
-    """(key, license, match): each file's best notice, match in thousandths. files: __key and the text."""
+#: Terms that tell a template from the others. A line with unknown terms must hold them all.
+TELLING = {
+    "Apache-2.0": "apache 2", "MIT": "mit", "GPL-3.0": "gnu general 3", "GPL-2.0": "gnu general 2", "LGPL-3.0": "lesser 3", "AGPL-3.0": "affero 3", "BSD-3-Clause": "bsd 3",
+    "MPL-2.0": "mozilla 2", "CC-BY-4.0": "cc by 4", "CC-BY-SA-4.0": "cc by sa 4", "CC-BY-NC-4.0": "cc by nc 4", "CC0-1.0": "cc0", "Proprietary": "copyright rights reserved",
+}
+#: The weight of a term in no template or text, where such terms weigh little (known ones weigh 100 at least).
+LITTLE = 40
+#: Texts without any of these words have no notice.
+WORDS = ANCHOR + "|permission|redistribut|public licen|source code form|spdx"
+WINDOW = 850
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]*[a-z0-9.+](?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[a-z0-9.+-]*[a-z0-9.+]\)?)*)"
+GNU = "You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+FREE = (
+    "This {1} is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
+#: (licence, opening, text): what a file says of its licence at its head, and the beginnings of texts that are not in licence_texts.
+HEADERS = [
+    ("Apache-2.0", "licensed under the apache license version 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "licensed to the apache software foundation", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    *[(k, f"creative commons {t} 4 0 international public license by exercising", f"Creative Commons {t} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {t} 4.0 International Public License")
+      for k, t in (("CC-BY-4.0", "attribution"), ("CC-BY-NC-4.0", "attribution noncommercial"))],
+    *[(k, f"{w} is free software", FREE.format(name, w, v))
+      for w in ("program", "library", "file", "software") for k, name, v in (("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("LGPL-3.0", "Lesser General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("AGPL-3.0", "Affero General Public License", "3"))],
+]
+#: Licence -> the opening of its whole text in licence_texts.
+OPENINGS = {
+    "Apache-2.0": "apache license version 2 0 january 2004", "MIT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "BSD-2-Clause": "redistribution and use in source and binary forms", "BSD-3-Clause": "redistribution and use in source and binary forms", "ISC": "permission to use copy modify and",
+    "GPL-2.0": "gnu general public license version 2 june 1991", "GPL-3.0": "gnu general public license version 3 29 june 2007", "LGPL-2.1": "gnu lesser general public license version 2 1 february 1999",
+    "LGPL-3.0": "gnu lesser general public license version 3 29 june 2007", "MPL-2.0": "mozilla public license version 2 0 1 definitions", "CC0-1.0": "creative commons legal code cc0 1 0 universal",
+    "CC-BY-SA-4.0": "attribution sharealike 4 0 international",
+}
+
+
+def real_texts() -> list[tuple[str, str, list[str], bool]]:
+    """(licence, opening, terms from the opening on, whether it is a whole licence text)."""
+    out = [(k, o, terms(t), False) for k, o, t in HEADERS]
+    for k, o in OPENINGS.items():
+        out.append((k, o, terms((Path(__file__).parent / "licence_texts" / f"{k}.txt").read_text()), True))
+    # 0BSD is ISC without its condition.
+    isc = next(t for k, _, t, _ in out if k == "ISC")
+    out.append(("0BSD", OPENINGS["ISC"], f"{' '.join(isc)} ".replace("provided that the above copyright notice and this permission notice appear in all copies ", "").split(), True))
+    return [(k, o, f" {' '.join(t)} ".partition(f" {o} ")[1:], whole) for k, o, t, whole in out]
+
+
+def window_rows() -> tuple[list[tuple], list[tuple], dict[str, int]]:
+    """(opening, text, licence, terms, whole, length) and (text, term, weight) rows; weight of each known term."""
+    texts = [(k, o, "".join(p).split(), whole) for k, o, p, whole in real_texts()]
+    df: dict[str, int] = {}
+    for _, _, t, _ in texts:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    idf = {w: round(100 * (math.log((1 + len(texts)) / (1 + d)) + 1)) for w, d in df.items()}
+    rows = [(i, w, t.count(w) * idf[w]) for i, (_, _, t, _) in enumerate(texts) for w in sorted(set(t))]
+    length: dict[int, int] = {}
+    for i, _, x in rows:
+        length[i] = length.get(i, 0) + x * x
+    return [(o, i, k, len(t), whole, length[i]) for i, (k, o, t, whole) in enumerate(texts)], rows, idf
+
+
+def cosine(dot: str, size: str, length: str) -> Column:
+    return F.floor(1000 * F.col(dot) / F.sqrt(F.col(size).cast("double") * F.col(length).cast("double"))).cast("long")
+
+
+def windows(files: DataFrame, text: str) -> DataFrame:
+    """(key, license, match, whole): real notices and licence texts from WINDOW on. whole: most of the file is this whole text."""
+    spark = files.sparkSession
+    openings, rows, idf = window_rows()
+    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)), " "), F.lit(" "))
+    files = files.select("__key", texts_of(files, text).alias("t")).where(F.rlike("t", F.lit(WORDS))).select("__key", joined.alias("j"))
+    phrases = F.array(*[F.lit(f" {o} ") for o in sorted({r[0] for r in openings})])
+    hits = F.explode(F.filter(phrases, lambda o: F.contains(F.col("j"), o))).alias("o")
+    parts = files.select("__key", "j", hits).select("__key", F.trim("o").alias("opening"), F.size(F.split("j", " ")).alias("all"), F.posexplode(F.expr("split(j, o)")).alias("at", "part")).where("at > 0")
+    texts = spark.createDataFrame(openings, "opening string, n_text int, license string, n int, whole boolean, length long")
+    held = F.split(F.concat_ws(" ", "opening", F.trim("part")), " ")
+    held = parts.join(F.broadcast(texts), "opening").select("__key", "at", "n_text", "n", "all", F.explode(F.slice(held, F.lit(1), F.col("n"))).alias("term"))
+    counted = held.groupBy("__key", "at", "n_text", "all", "term").count()
+    known = spark.createDataFrame(sorted(idf.items()), "term string, idf long")
+    table = spark.createDataFrame(rows, "n_text int, term string, x long")
+    both = counted.join(F.broadcast(known), "term", "left").join(F.broadcast(table), ["n_text", "term"], "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(LITTLE)))
+    sums = both.groupBy("__key", "at", "n_text", "all").agg(F.sum(F.col("w") * F.col("w")).alias("size"), F.sum(F.col("w") * F.coalesce("x", F.lit(0))).alias("dot"))
+    scored = sums.join(F.broadcast(texts), "n_text").withColumn("match", cosine("dot", "size", "length")).where(F.col("match") >= WINDOW)
+    return scored.select("__key", "license", "match", (F.col("whole") & (2 * F.col("n") >= F.col("all"))).alias("whole"))
+
+
+def tags(files: DataFrame, text: str) -> DataFrame:
+    """(key, license): SPDX tags, the suffixes of versions taken off."""
+    found = files.select("__key", texts_of(files, text).alias("t")).where(F.rlike("t", F.lit(SPDX)))
+    found = found.select("__key", F.explode(F.regexp_extract_all("t", F.lit(SPDX), F.lit(1))).alias("license"))
+    return found.select("__key", F.regexp_replace("license", r"-only\b|-or-later\b|(?<=[0-9])\+|[()]", "").alias("license"))
+
+
+def lines_near(files: DataFrame, text: str) -> DataFrame:
+    """(key, license, match, rank): lines near a short template; rank 3 with all terms weighed in full, 4 with unknown ones weighed little."""
     spark = files.sparkSession
     rows, length, idf, other = template_rows()
     lines = files.select("__key", texts_of(files, text).alias("t")).where(F.rlike("t", F.lit(ANCHOR)))
@@ -72,14 +174,25 @@ def notices(files: DataFrame, text: str = "text") -> DataFrame:
     held = lines.select("__key", "line", F.explode(F.regexp_extract_all(F.lower("l"), F.lit(TERM), F.lit(0))).alias("term"))
     counted = held.groupBy("__key", "line", "term").count()
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf long")
-    weighted = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other)))
-    size = weighted.groupBy("__key", "line").agg(F.sum(F.col("w") * F.col("w")).alias("size"))
-    table = spark.createDataFrame([(w, k, x, length[k]) for w, k, x in rows], "term string, license string, x long, length long")
-    dots = weighted.join(F.broadcast(table), "term").groupBy("__key", "line", "license", "length").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    match = F.floor(1000 * F.col("dot") / F.sqrt(F.col("size").cast("double") * F.col("length").cast("double"))).cast("long")
-    scored = dots.join(size, ["__key", "line"]).select("__key", "license", match.alias("match")).where(F.col("match") >= MATCH)
-    best = scored.groupBy("__key").agg(F.min(F.struct((-F.col("match")).alias("m"), "license")).alias("b"))
-    return best.select("__key", F.col("b.license").alias("license"), (-F.col("b.m")).alias("match"))
+    weighted = counted.join(F.broadcast(known), "term", "left").withColumns({"w": F.col("count") * F.coalesce("idf", F.lit(other)), "v": F.col("count") * F.coalesce("idf", F.lit(LITTLE))})
+    size = weighted.groupBy("__key", "line").agg(F.sum(F.col("w") * F.col("w")).alias("size"), F.sum(F.col("v") * F.col("v")).alias("size_v"))
+    telling = {k: t.split() for k, t in TELLING.items()}
+    table = [(w, k, x, length[k], int(w in telling[k]), len(telling[k])) for w, k, x in rows]
+    table = spark.createDataFrame(table, "term string, license string, x long, length long, tells int, telling int")
+    dots = weighted.join(F.broadcast(table), "term").groupBy("__key", "line", "license", "length", "telling").agg(F.sum(F.col("w") * F.col("x")).alias("dot"), F.sum("tells").alias("told"))
+    scored = dots.join(size, ["__key", "line"]).withColumns({"m3": cosine("dot", "size", "length"), "m4": cosine("dot", "size_v", "length")})
+    full = F.col("m3") >= MATCH
+    scored = scored.where(full | ((F.col("m4") >= MATCH) & (F.col("told") == F.col("telling"))))
+    return scored.select("__key", "license", F.when(full, F.col("m3")).otherwise(F.col("m4")).alias("match"), F.when(full, F.lit(3)).otherwise(F.lit(4)).alias("rank"))
+
+
+def notices(files: DataFrame, text: str = "text") -> DataFrame:
+    """(key, license, match, whole): each file's best notice, match in thousandths. files: __key and the text."""
+    no = F.lit(False).alias("whole")
+    rows = tags(files, text).select("__key", "license", F.lit(1000).cast("long").alias("match"), F.lit(1).alias("rank"), no)
+    rows = rows.unionByName(windows(files, text).withColumn("rank", F.lit(2))).unionByName(lines_near(files, text).select("*", no))
+    best = rows.groupBy("__key").agg(F.min(F.struct("rank", (-F.col("match")).alias("m"), "license")).alias("b"), F.max("whole").alias("whole"))
+    return best.select("__key", F.col("b.license").alias("license"), (-F.col("b.m")).alias("match"), "whole")
 
 
 def directory(path: Column) -> Column:
@@ -102,7 +215,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     # A file is known by its path and text, so that rows which repeat a path keep their own notices.
     keyed = files.withColumns({"__key": F.sha2(F.concat_ws("\0", F.coalesce(F.col(path), F.lit("")), texts_of(files, text)), 256), "__dir": directory(F.col(path))})
     keyed = keyed.withColumn("__words", F.when(F.rlike(texts_of(keyed, text), F.lit(ANCHOR)), F.regexp_count(texts_of(keyed, text), F.lit(WORD))))
-    own = materialize(notices(keyed, text), "notices").withColumnsRenamed({"license": "own_license", "match": "own_match"})
+    own = materialize(notices(keyed, text), "notices").withColumnsRenamed({"license": "own_license", "match": "own_match", "whole": "__whole"})
     rows = keyed.select(*[c for c in keyed.columns if c != text]).join(own, "__key", "left")
     rows = materialize(rows, "licensed-files")
     licensed = rows.where((F.col("__words") < LICENCE_FILE) & F.col("own_license").isNotNull() & F.col("__dir").isNotNull())

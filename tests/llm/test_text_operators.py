@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +274,55 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def licence_text(name):
+    return (Path(licenses.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+
+
+def test_licenses_of_real_notices(spark):
+    assert all(len(p) == 2 for _, _, p, _ in licenses.real_texts())  # each opening stands in its text
+    gpl = """/* foo.c - part of foo. Copyright (C) 1999, 2004 Jane Doe
+ *
+ * This program is free software{0} you can redistribute it and/or modify
+ * it under the terms of the GNU {1}General Public License as published by
+ * the Free Software Foundation{2} either version {3} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {1}General Public License for more details.
+ */
+#include <stdio.h>
+"""
+    apache = """# Copyright 2018 The Foo Authors. All Rights Reserved.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.\nlet a = 1;\n"
+    body = "\n".join(f"# {line}" for line in licence_text("MIT").split("\n")) + "\nx = 1\n" * 300
+    wants = [
+        ("// SPDX-License-Identifier: MIT\nint a;", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"),
+        ("Copyright 2020 Foo Inc. All rights reserved.\ncode", "Proprietary"), (gpl.format(":", "", ",", 3), "GPL-3.0"), (gpl.format(";", "", ";", 2), "GPL-2.0"), (gpl.format(":", "Affero ", ",", 3), "AGPL-3.0"), (gpl.format(":", "Lesser ", ",", 3), "LGPL-3.0"),
+        (apache, "Apache-2.0"), (mpl, "MPL-2.0"), (body, "MIT"), ("he asked for permission, subject to the terms of the license", None), ("the license of the poet", None),
+        *[(licence_text(k), k) for k in licenses.OPENINGS],
+        *[(licence_text(k).replace("<year>", "2011-2019").replace("<owner>", "A. Holder").replace("<copyright holders>", "Some People Ltd").replace("Regents of the University of California", "Foo Project"), k) for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")],
+    ]
+    files = spark.createDataFrame([(f"d{i}/x.c", t) for i, (t, _) in enumerate(wants)], "path string, text string")
+    got = {r.path: r.own_license for r in licenses.scan(files).collect()}
+    assert [got[f"d{i}/x.c"] for i in range(len(wants))] == [w for _, w in wants]
+
+
 def jaccard_brute(rows, n, share):
     sets = {}
     for i, (d, t) in enumerate(rows):

@@ -9,9 +9,10 @@ A file's own licence is what the first of these finds in it:
 4. such a line with the terms in no template weighed little, if it holds all terms that tell the template from the others.
 All are cosines of vectors weighted by count and inverse document frequency, from joins by term with tables of fixed size.
 
-A licence file (fewer than LICENCE_FILE words, with a notice) also licenses its directory: a file without a notice takes
-the licence of the nearest ancestor directory that has one, found by joining each distinct directory's ancestors with the
-licensed directories.
+A licence file licenses its directory: a file of a licence file's name (LICENSE, COPYING, ...), a file that is mostly one
+whole licence text, of any length, and, where a directory has none of these, a short file with a notice (fewer than
+LICENCE_FILE words) that is not named as source code. A file without a notice takes the licence of the nearest ancestor
+directory that has one, found by joining each distinct directory's ancestors with the licensed directories.
 
 Weights and products are whole numbers, so the result does not depend on the order of sums.
 
@@ -195,6 +196,12 @@ def notices(files: DataFrame, text: str = "text") -> DataFrame:
     return best.select("__key", F.col("b.license").alias("license"), (-F.col("b.m")).alias("match"), "whole")
 
 
+#: Names of licence files, of source code, and of files that are no licence files by a short notice alone.
+NAMED = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright)([._-][^/]*)?$"
+SOURCE = r"(?i)\.(py|js|mjs|ts|tsx|jsx|c|h|cc|cpp|hpp|cs|java|kt|scala|go|rs|rb|php|pl|sh|swift|m|r|lua|css|sql|json|ya?ml|toml|xml)$"
+CODE = r"(?i)\.(?!txt$|text$|md$|rst$|html?$|adoc$)[a-z][a-z0-9+#]*$"
+
+
 def directory(path: Column) -> Column:
     """The path up to its last separator; '' at the top."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -218,8 +225,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     own = materialize(notices(keyed, text), "notices").withColumnsRenamed({"license": "own_license", "match": "own_match", "whole": "__whole"})
     rows = keyed.select(*[c for c in keyed.columns if c != text]).join(own, "__key", "left")
     rows = materialize(rows, "licensed-files")
-    licensed = rows.where((F.col("__words") < LICENCE_FILE) & F.col("own_license").isNotNull() & F.col("__dir").isNotNull())
-    licensed = licensed.groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct((-F.col("own_match")).alias("m"), F.col("own_license").alias("license"))).alias("b"))
+    short = (F.col("__words") < LICENCE_FILE) & ~F.rlike(F.col(path), F.lit(CODE))
+    source = F.rlike(F.col(path), F.lit(SOURCE))
+    kind = F.when(~source & (F.rlike(F.col(path), F.lit(NAMED)) | F.coalesce("__whole", F.lit(False))), F.lit(0)).when(short, F.lit(1))
+    licensed = rows.withColumn("__kind", kind).where(F.col("__kind").isNotNull() & F.col("own_license").isNotNull() & F.col("__dir").isNotNull())
+    licensed = licensed.groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct("__kind", (-F.col("own_match")).alias("m"), F.col("own_license").alias("license"))).alias("b"))
     dirs = rows.where(F.col("__dir").isNotNull()).select(F.col("__dir").alias("dir")).distinct()
     found = ancestors(dirs).join(licensed.select("ancestor", "b.license"), "ancestor")
     nearest = found.groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "license")).alias("n"))

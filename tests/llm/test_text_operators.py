@@ -323,6 +323,20 @@ import os
     assert [got[f"d{i}/x.c"] for i in range(len(wants))] == [w for _, w in wants]
 
 
+def test_licences_are_inherited_from_whole_licence_files(spark):
+    gpl, mit, apache = licence_text("GPL-3.0"), licence_text("MIT"), licence_text("Apache-2.0")
+    assert len(words(gpl)) > 5000 and len(words(apache)) > 1500 and len(words(mit)) > 100
+    rows = [
+        ("g/COPYING", gpl), ("g/src/a.c", "int a;"), ("m/LICENSE.md", mit), ("m/b/c/d.py", "x = 1"), ("t/third-party-terms", apache), ("t/e.py", "y = 2"),
+        ("m/one/header.py", "# Released under the MIT License\n" + "z = 3\n" * 5), ("m/one/plain.py", "q = 4"), ("g/two/header.py", "# Released under the MIT License"), ("g/two/plain.py", "r = 5"),
+        ("s/notice", "Released under the MIT License"), ("s/LICENSE", apache), ("s/f.py", "s = 6"), ("n/LICENSE", licence_text("ISC").replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
+    ]
+    out = {r.path: (r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert out["g/src/a.c"] == ("GPL-3.0", "g") and out["m/b/c/d.py"] == ("MIT", "m") and out["t/e.py"] == ("Apache-2.0", "t")
+    assert out["m/one/plain.py"] == ("MIT", "m") and out["g/two/plain.py"] == ("GPL-3.0", "g")  # a line at the head of source code licenses that file alone
+    assert out["s/f.py"] == ("Apache-2.0", "s") and out["n/LICENSE"] == ("0BSD", None)
+
+
 def jaccard_brute(rows, n, share):
     sets = {}
     for i, (d, t) in enumerate(rows):

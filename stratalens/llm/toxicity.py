@@ -5,9 +5,10 @@ for the scope of a negation, of reported speech and for nearness of a target are
 each clause and emits weighted events: an insult or a threat, aimed or not, negated or not, reported or not. A document's
 score comes from its matched clauses, never from words alone: a logistic function of what the automaton emitted.
 
-The insult lexicon has fixed seeds and stems learned from labelled rows: word beginnings far more frequent in toxic than in
-clean documents. Stems and the logistic weights are fitted on a sample of at most about `sample` labelled rows (a bound on
-fitting only, by hash of the id); every document is scored whole. Rows with crc32(id) mod 5 = 0 are never learned from, and
+The insult lexicon has fixed seeds and stems learned from labelled rows: word beginnings, up to the whole word, far more
+frequent in toxic than in clean documents; a word is looked up by its longest beginning. Stems and the logistic weights are
+fitted on a sample of at most about `sample` labelled rows (a bound on fitting only, by hash of the id); every document is
+scored whole. Rows with crc32(id) mod 5 = 0 are never learned from, and
 only the text is an input of a score.
 
 Defined results: null and empty texts are scored as texts without a matched clause; a null id is not held out and matches
@@ -80,8 +81,8 @@ N_FEATURES = 8
 PRIOR = (-3.5, 2.0, 0.6, -0.6, -0.4, 1.0, 1.0, 0.5, 0.3)
 
 
-def classify(word: bytes, stems: dict[str, float]) -> tuple[int, float]:
-    """(code, weight) of a word with what clings to it."""
+def classify(word: bytes, stems: dict[str, float], lengths: list[int]) -> tuple[int, float]:
+    """(code, weight) of a word with what clings to it. lengths: those of the stems, longest first."""
     text = word.decode("utf-8", "replace").lower()
     core = text.strip("\"'`*#$%&|<>()[]{}.,;:!?…«»“”„-_/\\=+~^@0123456789")
     end = END if text[-1:] in ".;:!?|" or text.endswith((".\"", "!\"", "?\"", ".)", "!)", "?)")) else 0
@@ -89,8 +90,8 @@ def classify(word: bytes, stems: dict[str, float]) -> tuple[int, float]:
         if core in _WORDS[c]:
             return i + end, stems.get(core, 4.0)
     if core.isalpha():
-        for n in range(4, min(len(core), 8) + 1):
-            if (w := stems.get(core[:n])) is not None:
+        for n in lengths:
+            if n <= len(core) and (w := stems.get(core[:n])) is not None:
                 return 1 + end, w
     return end, 0.0
 
@@ -103,7 +104,8 @@ def reader(stems: dict[str, float]):
     import math
 
     arcs = composed()
-    table = ChunkTable(lambda words: [classify(w, stems) for w in words], 400_000)
+    lengths = sorted({len(s) for s in stems}, reverse=True)
+    table = ChunkTable(lambda words: [classify(w, stems, lengths) for w in words], 400_000)
     # No word but an insult or threat gives an event by itself, so clauses without one are passed over.
     hits = {1, 2, 1 + END, 2 + END}
 
@@ -153,8 +155,17 @@ def reader(stems: dict[str, float]):
     return read
 
 
+#: Words of more letters have their beginnings up to here, and themselves: runs of thousands of letters would have as many.
+LETTERS = 40
+
+
+def beginnings(word: str) -> set[str]:
+    """The beginnings of a word from 4 letters on, itself the last."""
+    return {word[:k] for k in range(4, min(len(word), LETTERS) + 1)} | {word}
+
+
 def _stem_counts(only: frozenset | None):
-    """Documents that hold each word beginning of 4 to 8 letters (of `only`, if given), counted by task."""
+    """Documents that hold each word beginning (of `only`, if given), counted by task."""
 
     def count(batches):
         import re
@@ -166,7 +177,7 @@ def _stem_counts(only: frozenset | None):
         for batch in batches:
             n: Counter = Counter()
             for text in to_bytes(batch.column("text")):
-                found = {w[:k] for w in set(letters(text.decode("utf-8", "replace").lower())) for k in range(4, min(len(w), 8) + 1)}
+                found = set().union(*map(beginnings, set(letters(text.decode("utf-8", "replace").lower()))))
                 n.update(found if only is None else found & only)
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["stem", "n"])
 
@@ -188,7 +199,7 @@ def learn_stems(sample: DataFrame, least: float = 0.01, odds: float = 4.5) -> di
     found: dict[str, float] = {}
     for s in sorted(held, key=lambda s: (len(s), s)):
         w = math.log((held[s] + 0.5) / (n[1] + 1)) - math.log((other.get(s, 0) + 0.5) / (n[0] + 1))
-        if w >= odds and not any(s[:k] in found for k in range(4, len(s))):
+        if w >= odds and found.keys().isdisjoint(beginnings(s)):
             found[s] = round(w, 6)
     return found
 

@@ -255,6 +255,20 @@ def test_toxicity_learns_stems_and_leaves_clean_text_alone(spark):
     assert bare == ({}, list(toxicity.PRIOR)) and toxicity.score(docs.limit(0), bare).count() == 0
 
 
+def test_toxicity_learns_words_whose_first_letters_are_clean(spark):
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(f"word{(i * 7 + j) % 97}" for j in range(40)) + (" ordinarilygrumpf here." if toxic else f" ordinarily{'xyz'[i % 3]} fine.")))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stems, weights = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "ordinarilyg" in stems and not any("ordinarily".startswith(s) for s in stems)
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, (stems, weights)).collect()} == dict(labels)
+    long = "ab" * 5000
+    assert len(toxicity.beginnings(long)) == 38 and toxicity.classify(long.encode(), {long: 5.0}, [len(long)]) == (1, 5.0)
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -9,15 +9,21 @@ lie in the next band has tokens for that band too. Unlike single shingles, a tok
 part, so a passage, line or word pair that many documents hold makes no token frequent.
 
 Groups. Sets that share enough tokens, directly or over others, form a group: see shared_tokens. So similar documents are
-partitioned, and no link leaves a group. A group beyond what one task should hold is split into blocks of near sets (of one least shingle hash). The matrix stores
-each block's token union; a query's overlap with a block is the number of its tokens in that union, an upper bound of what
-it shares with any member, and only a query with at least what similar sets share in a block's union opens it (less where
-parts of its own are empty). Its own block is always open. Opening compares exact sets: an inverted list inside the task counts every
-intersection, and links come out as a spanning forest, not as all pairs.
+partitioned, and no link leaves a group. The token-group matrix stores each group's token union, with the number of holders of
+each token in the group. A member's overlap with its group is the number of its tokens that another member holds: an upper bound
+of what it shares with any of them. Only members with at least what similar sets share (less where parts of their own are
+empty) open their group; the others are done.
+
+Pivots. What is open is first compared with the group's pivot, the member whose tokens are held most: one row a member, plus the
+pivot once for each task. Those that link with it are one component and are never compared among themselves. The others have a
+second pivot. What is then not with the first pivot queries the group's blocks: parts of what a pivot has gathered, and parts of
+what none has. Blocks are groups of the matrix again: an overlap with a block's union below what similar sets share leaves it
+shut. A task holds one block and the queries that open it; intersections are counted by an inverted list, and links come out
+as a spanning forest. So a large group costs rows in proportion to its members, and comparisons only between what its
+pivots have not gathered and the rest.
 
 Rows stay bounded: a token's holders give one row each towards its least holder, equal sets were merged before, and a task
-opens one pair of blocks at a time. The join that moves
-texts is a merge join at every size.
+opens one block for a bounded number of queries. Every path is the same at every size; all joins by id are merge joins.
 
 Defined results: a null text or one without words has no set and links with nothing; with fewer words than a shingle the
 whole sequence is the shingle; rows that share an id are one document, with the links of all its texts; a row with a null id
@@ -43,7 +49,7 @@ def spare(d: int) -> int:
     return 2 + d // 5
 
 
-#: Members and shingles of a block: 16 MB of hashes. One task holds the sets of two blocks.
+#: Members and shingles of a block (16 MB of hashes), which one task holds, and queries and their shingles that it answers.
 MOST, MOST_SHINGLES = 4096, 2_000_000
 
 
@@ -135,15 +141,16 @@ def tokens_and_need(h, share: int):
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need or 1, drops
 
 
-SETS = "doc_id long, n long, fp binary, low long"
-TOKENS = "doc_id long, need int, even int, odd int, tokens array<long>"
+SETS = "doc_id long, n long, fp binary, low long, need int, even int, odd int, tokens array<long>"
 #: Lists of holders up to this length are compared pair by pair.
 FEW = 16
-#: Rows of 24 bytes that are broadcast at most; more are joined by a merge join.
-MOST_BROADCAST = 500_000
+#: Pivots that a group's members are compared with before its blocks are.
+PIVOTS = 2
 
 
-def _sets(n: int):
+def _sets(n: int, share: int):
+    """Rows (doc_id, text) -> SETS: the size, digest and least hash of each text's set, and its tokens."""
+
     def make(batches):
         import hashlib
 
@@ -152,40 +159,41 @@ def _sets(n: int):
 
         table: dict = {}
         for batch in batches:
-            sizes, fps, lows = [], [], []
+            sizes, fps, lows, needs, drops, tokens = [], [], [], [], [], []
             for text in to_bytes(batch.column("text")):
                 h = shingle_set(text, n, table)
+                t, need, drop = (np.zeros(0, np.uint64), 1, [0, 0]) if h is None else tokens_and_need(h, share)
                 sizes.append(0 if h is None else len(h))
                 fps.append(None if h is None else hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 lows.append(None if h is None else int(h[:1].view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64())], names=["doc_id", "n", "fp", "low"])
+                needs.append(need)
+                drops.append(drop)
+                tokens.append(t.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+            small = [pa.array(x, pa.int32()) for x in (needs, [x for x, _ in drops], [x for _, x in drops])]
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(lows, pa.int64()), *small, flat]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "low", "need", "even", "odd", "tokens"])
 
     return make
 
 
-def _tokens(n: int, share: int):
+def _hashes(n: int):
+    """Rows (id, text) -> (id, set): the sorted shingle hashes as bytes."""
+
     def make(batches):
-        import numpy as np
         import pyarrow as pa
 
         table: dict = {}
         for batch in batches:
-            needs, drops, tokens = [], [], []
-            for text in to_bytes(batch.column("text")):
-                h = shingle_set(text, n, table)
-                t, need, drop = (np.zeros(0, np.uint64), 1, [0, 0]) if h is None else tokens_and_need(h, share)
-                needs.append(need)
-                drops.append(drop)
-                tokens.append(t.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(needs, pa.int32()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "need", "even", "odd", "tokens"])
+            sets = [shingle_set(text, n, table) for text in to_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([None if h is None else h.tobytes() for h in sets], pa.binary())], names=["id", "set"])
 
     return make
 
 
 def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """own (TOKENS) -> all tokens with two holders or more (token, id, need), and links (a, b) that join similar sets into groups.
+    """own (SETS) -> all tokens with two holders or more (token, id, need), and links (a, b) that join similar sets into groups.
 
     Similar sets share at least as many tokens of a band as the drop of either says, and one more. Of a set's tokens some
     have few holders, the rest many. Few holders: each pair of them is counted, and linked if it shares as many as the
@@ -216,128 +224,235 @@ def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.select("token", "id", "need"), near.unionByName(stars).distinct()
 
 
-def links_of(ids, sets, share: int, left=None) -> list[tuple]:
-    """A spanning forest of the links among sets. left: only links between a True and a False row count.
+def _pairs(out: list[tuple]):
+    import pyarrow as pa
 
-    For each set, the intersections with all others come from the lists of holders of its shingles.
-    """
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def _task_rows(batches):
+    """(task, side, id, label, set) of rows sorted by task and side; a batch's end is None."""
     import numpy as np
 
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    length = np.diff(np.concatenate([first, [len(flat)]]))
-    keep = length > 1
-    first, length = first[keep], length[keep]
-    held = np.repeat(np.arange(len(first)), length)
-    where = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(first) else np.zeros(0, np.int64)
-    holders = owner[where]
-    by_set = np.argsort(holders, kind="stable")
-    at = np.searchsorted(holders[by_set], np.arange(len(sets) + 1))
-    out = []
-    for i in range(len(sets)):
-        lists = held[by_set[at[i] : at[i + 1]]]
-        if not len(lists):
-            continue
-        n = length[lists]
-        starts = np.repeat(first[lists] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(owner[starts], minlength=len(sets))
-        shared[: i + 1] = 0
-        good = 100 * shared >= share * (sizes + sizes[i] - shared)
-        if left is not None:
-            good &= left != left[i]
-        for j in np.flatnonzero(good & (shared > 0)):
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[b] = a
-                out.append((ids[i], ids[int(j)]))
-    return out
-
-
-def _opened(n: int, share: int):
-    """Rows (task, side, id, text) sorted by task -> links. side: 0 and 1 are the blocks of a pair, 2 is a block with itself."""
-
-    def flush(rows):
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("task", "side", "id", "label", "set")]
+        for task, side, node, label, h in zip(*columns, strict=True):
+            if h is not None:
+                yield task, side, node, label, np.frombuffer(h, np.uint64)
+        yield None
+
+
+def _verified(share: int):
+    """Rows of tasks, the pivot's first (side 0) -> (a, b): a member and the pivot that it links with."""
+
+    def verified(batches):
         import numpy as np
 
-        ids, sets, side = [r[1] for r in rows], [r[2] for r in rows], np.array([r[0] for r in rows])
-        return links_of(ids, sets, share, None if side[0] == 2 else side == 1) if len(rows) > 1 else []
+        task, pivots, out = None, [], []
+        for row in _task_rows(batches):
+            if row is None:
+                yield _pairs(out)
+                out = []
+                continue
+            key, side, node, _, h = row
+            if key != task:
+                task, pivots = key, []
+            if side == 0:
+                pivots.append((node, h))
+                continue
+            for pivot, p in pivots:
+                at = np.minimum(np.searchsorted(p, h), len(p) - 1)
+                both = int((p[at] == h).sum())
+                if 100 * both >= share * (len(p) + len(h) - both):
+                    out.append((node, pivot))
+                    break
+        yield _pairs(out)
+
+    return verified
+
+
+class Block:
+    """The sets of a block, as lists of holders by shingle."""
+
+    def __init__(self, ids: list, labels: list, sets: list):
+        import numpy as np
 
-    def opened(batches):
-        import pyarrow as pa
+        self.ids, self.labels, self.sizes = ids, labels, np.array([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.length = np.diff(np.concatenate([self.first, [len(flat)]]))
+        self.shingles = flat[self.first]
 
-        table: dict = {}
-        task, rows = None, []
-        for batch in batches:
-            out = []
-            for key, side, node, text in zip(batch.column("task").to_pylist(), batch.column("side").to_pylist(), batch.column("id").to_pylist(), to_bytes(batch.column("text")), strict=True):
-                if key != task:
-                    out += flush(rows)
-                    task, rows = key, []
-                rows.append((side, node, shingle_set(text, n, table)))
-            yield _pairs(out)
-        yield _pairs(flush(rows))
-
-    def _pairs(out):
-        import pyarrow as pa
+    def similar(self, h, share: int):
+        """Places of the sets that reach the similarity with the set h."""
+        import numpy as np
 
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
+        at = at[self.shingles[at] == h]
+        n = self.length[at]
+        held = self.owner[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(held, minlength=len(self.ids))
+        return np.flatnonzero((shared > 0) & (100 * shared >= share * (self.sizes + len(h) - shared)))
+
+
+def _opened(share: int):
+    """Rows of tasks, a block's members (side 0) before the queries that open it (side 1) -> (a, b): a spanning forest of their links."""
+
+    def opened(batches):
+        task, members, block, parent, out = None, [], None, {}, []
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for row in _task_rows(batches):
+            if row is None:
+                yield _pairs(out)
+                out = []
+                continue
+            key, side, node, label, h = row
+            if key != task:
+                task, members, block, parent = key, [], None, {}
+            if side == 0:
+                members.append((node, label, h))
+                continue
+            if block is None:
+                if not members:
+                    continue
+                block, members = Block(*map(list, zip(*members, strict=True))), []
+            for j in block.similar(h, share):
+                x, y = root(label), root(block.labels[j])
+                if x != y:
+                    parent[y] = x
+                    out.append((node, block.ids[j]))
+        yield _pairs(out)
 
     return opened
 
 
+def _sizes(named: DataFrame) -> DataFrame:
+    return named.groupBy(F.col("doc_id").alias("id")).agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+
+
+def _parts(most: int, shingles: str = "n"):
+    """Parts into which a group's rows are cut, so that each is what a task can hold."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum(shingles) / F.lit(MOST_SHINGLES))).cast("int")
+
+
+def _loaded(tasks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """tasks (task, side, id, label) with their sets, each task's rows together and in order of side."""
+    return hashes.join(tasks.hint("merge"), "id").repartition("task").sortWithinPartitions("task", "side", "id").select("task", "side", "id", "label", "set")
+
+
+def qualified(holds: DataFrame) -> DataFrame:
+    """holds (token, id, need, grp) -> (id, grp, popular): the members whose overlap with their group's token union opens it.
+
+    popular: how many members hold their tokens, in sum.
+    """
+    matrix = holds.groupBy("grp", "token").agg(F.count("*").alias("holders"))
+    overlap = holds.join(matrix.where("holders > 1").hint("merge"), ["grp", "token"])
+    overlap = overlap.groupBy("id", "grp").agg(F.count("*").alias("overlap"), F.min("need").alias("need"), F.sum("holders").alias("popular"))
+    return overlap.where("overlap >= need").select("id", "grp", "popular")
+
+
+def contracted(members: DataFrame, hashes: DataFrame, share: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """members (id, grp, popular, low, n) -> labels (id, grp, low, n, label, first), and links (a, b) to pivots.
+
+    label: the pivot that a member links with, else its own id. first: its group's first pivot, which all members were compared with.
+    """
+    best = F.max_by("id", F.struct("popular", F.bitwise_not("id")))
+    labels, found = members.withColumn("label", F.col("id")).withColumn("first", F.lit(None).cast("long")), None
+    for turn in range(PIVOTS):
+        rest = labels if turn == 0 else labels.where("label = id and id <> first")
+        heads = materialize(rest.groupBy("grp").agg(best.alias("pivot"), F.count("*").alias("size"), _parts(most).alias("parts")).where("size > 1").drop("size"), "pivots")
+        each = rest.select("id", "grp").join(heads.hint("merge"), "grp").where("id <> pivot")
+        task = lambda part: F.concat_ws("/", F.col("grp").cast("string"), part.cast("string")).alias("task")
+        rows = each.select(task(F.pmod(F.xxhash64("id"), "parts")), F.lit(1).alias("side"), "id", F.col("id").alias("label"))
+        parts = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.unionByName(parts.select(task(F.col("part")), F.lit(0).alias("side"), F.col("pivot").alias("id"), F.col("pivot").alias("label")))
+        links = materialize(_loaded(rows, hashes).mapInArrow(_verified(share), "a long, b long"), "pivot-links")
+        found = links if found is None else found.unionByName(links)
+        met = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("pivot"))
+        if turn == 0:
+            labels = labels.drop("first").join(heads.select("grp", F.col("pivot").alias("first")).hint("merge"), "grp")
+        labels = labels.join(met.hint("merge"), "id", "left")
+        labels = materialize(labels.select("id", "grp", "popular", "low", "n", F.coalesce("pivot", "label").alias("label"), "first"), "labels")
+    return labels, found
+
+
+def opened_blocks(labels: DataFrame, holds: DataFrame, hashes: DataFrame, share: int, most: int) -> DataFrame:
+    """Links (a, b) between members that the first pivot has not gathered and the blocks that their overlaps open.
+
+    A block holds members of one label, or members that no pivot has gathered. First pivots are in none: all were compared with them.
+    """
+    queries = labels.where("label <> first")
+    asked = queries.select("grp").distinct()
+    blocked = labels.where("id <> first").join(asked.hint("merge"), "grp", "left_semi")
+    # Null: no pivot has gathered it.
+    blocked = materialize(blocked.select("id", "grp", "low", "n", "label", F.when(F.col("label") != F.col("id"), F.col("label")).alias("core")), "blocked")
+    whole = ["grp", "core"]
+    parts = blocked.groupBy(*whole).agg(_parts(most).alias("parts"))
+    # Near sets have the same least hash more often than not. A least hash that fills half a block has blocks of its own, by id; the others share blocks.
+    many = (F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(MOST_SHINGLES)) > 0.5).alias("many")
+    lows = blocked.groupBy(*whole, "low").agg(_parts(most).alias("own"), many).where("many")
+    same = lambda other, *keys: [F.col(f"b.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
+    at = blocked.alias("b").join(parts.alias("p").hint("merge"), same("p", *whole)).join(lows.alias("w").hint("merge"), same("w", *whole, "low"), "left")
+    cut = F.when(F.col("p.parts") == 1, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
+    cut = cut.when(F.col("w.many"), F.struct(F.col("b.low").alias("x"), F.pmod(F.xxhash64("b.id"), "w.own").alias("y")))
+    cut = cut.otherwise(F.struct(F.pmod(F.xxhash64("b.low"), "p.parts").alias("x"), F.lit(-1).cast("long").alias("y")))
+    key = F.xxhash64(F.col("b.grp"), F.col("b.core").isNull(), F.coalesce("b.core", F.lit(0)), cut["x"], cut["y"])
+    blocked = materialize(at.select("b.id", "b.grp", "b.core", "b.label", "b.n", key.alias("block")), "blocks")
+
+    # The matrix of these blocks, and the overlaps of the queries with them.
+    of = holds.select("token", "id", "need").join(blocked.select("id", "grp", "core", "block").hint("merge"), "id")
+    of = materialize(of, "block-tokens")
+    matrix = of.groupBy("grp", "token", "block", F.col("core").alias("other")).agg(F.count("*").alias("holders")).withColumnRenamed("block", "with")
+    asks = of.join(queries.select("id", "label").hint("merge"), "id")
+    # What a pivot has gathered asks only what another has: the rest asks it.
+    foreign = F.when(F.col("other").isNull(), F.col("label") == F.col("id")).otherwise(F.col("other") != F.col("label"))
+    overlap = asks.join(matrix.hint("merge"), ["grp", "token"]).where(foreign & ((F.col("block") != F.col("with")) | (F.col("holders") > 1)))
+    opens = overlap.groupBy("id", "label", "with").agg(F.count("*").alias("overlap"), F.min("need").alias("need")).where("overlap >= need")
+    opens = materialize(opens.join(blocked.select("id", "n").hint("merge"), "id").select("id", "label", "n", F.col("with").alias("block")), "opens")
+
+    chunks = opens.groupBy("block").agg(_parts(most).alias("parts"))
+    task = lambda part: F.concat_ws("/", F.col("block").cast("string"), part.cast("string")).alias("task")
+    asking = opens.join(chunks.hint("merge"), "block").select(task(F.pmod(F.xxhash64("id"), "parts")), F.lit(1).alias("side"), "id", "label")
+    held = blocked.join(chunks.hint("merge"), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = materialize(asking.unionByName(held.select(task(F.col("part")), F.lit(0).alias("side"), "id", "label")), "tasks")
+    return materialize(_loaded(tasks, hashes).mapInArrow(_opened(share), "a long, b long"), "block-links")
+
+
 def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most: int = MOST) -> DataFrame:
     """docs without the text, with n_shingles and component_id. share: the least Jaccard similarity, in hundredths."""
     small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(texts.mapInArrow(_sets(n), SETS), "sets")
+    sets = materialize(texts.mapInArrow(_sets(n, share), SETS), "sets")
 
     # Equal sets: one class each, named by its least id. The other rows of a class are copies and go no further.
     named = sets.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id").distinct()
+    copies = named.select("doc_id", "fp").join(classes.where(F.col("copies") > 1).select("fp", "id").hint("merge"), "fp").where(F.col("doc_id") != F.col("id")).select("doc_id").distinct()
     # An id that has a text of its own besides a copy stays.
     owners = classes.select(F.col("id").alias("doc_id")).distinct()
-    copies = materialize(copies.join(owners, "doc_id", "left_anti"), "copies")
-    copies = F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies.hint("merge")
-    own = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(copies, "doc_id", "left_anti")
-    own = own.select("doc_id", "text").mapInArrow(_tokens(n, share), TOKENS)
+    copies = materialize(copies.join(owners.hint("merge"), "doc_id", "left_anti"), "copies")
+    own = named.join(copies.hint("merge"), "doc_id", "left_anti")
     shared, links = shared_tokens(own)
 
-    # Groups, and blocks of those that are large.
-    groups = materialize(components(links), "groups")
-    lows = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    members = materialize(groups.join(lows.hint("merge"), "node"), "members")
-    parts = F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum("n") / F.lit(MOST_SHINGLES))).cast("long")
-    sizes = materialize(members.groupBy("component").agg(parts.alias("parts")).where("parts > 1"), "large-groups")
-    large = materialize(members.join(sizes, "component"), "large-members")
-    # Near sets have the same least hash more often than not. A least hash that fills half a block has blocks of its own, by id; the others share blocks.
-    per = large.groupBy("component", "low").agg(parts.alias("own"), (F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(MOST_SHINGLES)) > 0.5).alias("many"))
-    large = large.join(per, ["component", "low"])
-    at = F.when(F.col("many"), F.col("low")).otherwise(F.pmod(F.xxhash64("low"), F.col("parts")))
-    cut = F.when(F.col("many"), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.lit(-1).cast("long"))
-    large = materialize(large.select("component", "node", F.xxhash64("component", at, cut).alias("block")), "blocks")
-    small = groups.join(sizes.select("component"), "component", "left_anti")
-
-    tasks = small.select(F.col("component").cast("string").alias("task"), F.lit(2).alias("side"), F.col("node").alias("id"))
-    tasks = materialize(tasks.unionByName(_block_tasks(large, shared)), "tasks")
-
+    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    holds = shared.groupBy("token", "id").agg(F.min("need").alias("need")).join(groups.hint("merge"), "id")
+    holds = materialize(holds, "holds")
+    members = materialize(qualified(holds).join(_sizes(named).hint("merge"), "id"), "members")
     texts = texts.where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "id")
-    # Merge joins at every size, here and above: what moves is in proportion to the input.
-    loaded = texts.join(tasks.hint("merge"), "id").repartition("task").sortWithinPartitions("task", "side", "id")
-    links = loaded.select("task", "side", "id", "text").mapInArrow(_opened(n, share), "a long, b long")
+    hashes = texts.join(members.select("id").hint("merge"), "id").mapInArrow(_hashes(n), "id long, set binary")
+    hashes = materialize(hashes, "member-sets")
+
+    labels, found = contracted(members, hashes, share, most)
+    links = found.unionByName(opened_blocks(labels, holds, hashes, share, most))
     linked = components(links)
 
     of_class = classes.join(linked, classes["id"] == linked["node"], "left").select("fp", F.coalesce("component", "id").alias("__c"))
@@ -371,22 +486,6 @@ def _counts(n: int, column: int, names: list[str]):
     return count
 
 
-def _block_tasks(large: DataFrame, shared: DataFrame) -> DataFrame:
-    """(task, side, id) for blocks of large groups: each block with itself, and each pair of blocks with what opens it.
-
-    The matrix is (token, block); a query's tokens meet it, and an overlap of what it needs opens the block. Of a pair of
-    blocks both sides' openers are loaded into one task, named by the pair.
-    """
-    of = large.select(F.col("node").alias("id"), "block")
-    holds = shared.groupBy("token", "id").agg(F.min("need").alias("need")).join(of, "id")
-    matrix = holds.select("token", F.col("block").alias("other")).distinct()
-    overlap = holds.join(matrix, "token").where(F.col("block") != F.col("other")).groupBy("id", "block", "other", "need").count()
-    opens = overlap.where(F.col("count") >= F.col("need"))
-    pair = F.concat_ws("/", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    pairs = opens.select(pair.alias("task"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id")
-    return of.select(F.concat_ws("/", F.lit("own"), F.col("block").cast("string")).alias("task"), F.lit(2).alias("side"), "id").unionByName(pairs)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document's component under 3-word shingles and a similarity of 90 in 100."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

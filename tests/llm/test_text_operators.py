@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -210,6 +211,7 @@ def test_quality_features(docs):
 
 
 def test_quality_cutoffs_hold_their_risk(spark):
+    # About half of the good texts test the path; 1,500 are many more than it needs.
     good = [(i, "plain words that differ " + " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(1500)]
     bad = [(9000 + i, " ".join(f"b{i}x{j}###" for j in range(60)), "en") for i in range(50)]
     few = [(9900 + i, " ".join(f"c{i}x{j}###" for j in range(60)), "de") for i in range(5)]
@@ -223,6 +225,64 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def quality_brute(docs, labels, alpha=0.05, delta=0.05):
+    """kept by doc_id, from the rules read plainly: two halves by digest, a path of falling cutoffs, tests in order."""
+    grid = (10, 20, 30, 50, 70, 100, 140, 200, 280, 400, 560, 800, *[math.inf] * 3)
+
+    def stats(t):
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(tri)
+        repeated = len({j for i, x in enumerate(tri) if seen[x] > 1 for j in range(i, i + 3)})
+        chars, n = sum(map(len, w)), max(len(w), 1)
+        upper = sum("A" <= c <= "Z" for c in t)
+        five = (len(re.findall(r"[#*$%&|<>]", t)) * 1000 / n, (len(lines) - len(set(lines))) * 1000 / max(len(lines), 1), repeated * 1000 / n, upper * 1000 / max(chars, 1), t.count("!") * 1000 / n)
+        return five, len(w) < 50 or 100 * repeated > 50 * len(w)
+
+    def fine(k, n, level):
+        return n > 0 and k < n * alpha and sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) <= level
+
+    marks = {}
+    for d, q in labels:
+        marks.setdefault(d, []).append(q)
+    trials = {}
+    for d, t, lang in docs:
+        if d is not None and d in marks and all(q == 1 for q in marks[d]) and not stats(t or "")[1]:
+            trials.setdefault(lang, {})[hashlib.md5((t or "").encode()).hexdigest()] = stats(t or "")[0]
+    halves = {k: ([v for h, v in x.items() if h[0] < "8"], [v for h, v in x.items() if h[0] >= "8"]) for k, x in trials.items()}
+    strata, cuts = sum(bool(a and b) for a, b in halves.values()), {}
+    for lang, (a, b) in halves.items():
+        for rate, spare in ((0, 2), (0, 1), (0, 0), (2, 0)) if a else ():
+            c = [grid[spare + next(k for k, g in enumerate(grid) if 1000 * sum(v[i] > g for v in a) <= rate * len(a))] for i in range(5)]
+            if not fine(sum(any(v[i] > c[i] for i in range(5)) for v in b), len(b), delta / strata):
+                break
+            cuts[lang] = c
+    return {d: not base and not any(x > c for x, c in zip(five, cuts.get(lang, [math.inf] * 5), strict=True)) for d, t, lang in docs for five, base in [stats(t or "")]}
+
+
+def test_quality_verdicts_equal_brute_force(spark, sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{big}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{big}/labels.parquet").collect()]
+    docs += [(10**6 + i, docs[i][1], docs[i][2]) for i in range(40)] + [(10**6 + 50, None, None), (10**6 + 51, "a " * 60, None)]
+    labels += [(labels[0][0], 1 - labels[0][1]), (10**6, 1), (10**6 + 1, 1), (None, 1)]
+    want = quality_brute(docs, labels)
+    out = quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.kept for r in out.collect()}
+    assert got == want
+    assert any(not r.kept and not r.base_failed for r in out.collect()), "the method rejects beyond the base rules"
+
+
+def test_quality_risk_bound_holds_in_simulation():
+    """A rule whose true rate of false rejection is just above alpha passes in at most delta of the draws."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (90, 150, 400, 1000):
+        passed = np.mean([quality.at_most(int(k), n, 0.05, 0.0125) for k in r.binomial(n, 0.0501, 4000)])
+        assert passed <= 0.0125 + 3 * (0.0125 / 4000) ** 0.5
+
+
 def test_exact_binomial_bound():
     def cdf(k, n, p):
         return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are the maximal runs of anything but space and the five ASCII controls 9 to 13.
@@ -21,10 +22,12 @@ def ship(module: str) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session (tests) may leave it unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(sc, "_stratalens_root", None)
         if root is None:
             root = sc._stratalens_root = f"file://{tempfile.mkdtemp(prefix='stratalens-')}"
@@ -53,7 +56,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratalens_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what materialize() wrote for these tables, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := df.__dict__.pop("_stratalens_path", None):
+            _remove(df.sparkSession, path)
+
+
+def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], name: str) -> DataFrame:
+    """df with, for each new column: summed column of `sums`, the sum over all rows before this one in the global order.
+
+    Rows are range-partitioned by the order and written with the number of their range. The ranges' sums are few rows, whose
+    running sums are the ranges' bases; inside each range a window adds its own. So no task holds more than a range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()), name)
+    per = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__s_{new}") for new, c in sums.items()])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = per.select("__range", *[F.coalesce(F.sum(f"__s_{new}").over(earlier), F.lit(0)).alias(f"__b_{new}") for new in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumns({f"__i_{new}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for new, c in sums.items()})
+    return rows.join(bases, "__range").select(*df.columns, *[(F.col(f"__b_{new}") + F.col(f"__i_{new}")).alias(new) for new in sums])
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:

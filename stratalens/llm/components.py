@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _contract(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -38,8 +38,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, edges
         edges = materialize(_contract(_contract(edges, True), False), "stars")
+        release(last)
     else:
         raise RuntimeError("components did not settle")
     top = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

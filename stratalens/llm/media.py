@@ -1,10 +1,10 @@
 """Operator 6, media columns in archives, read by a custom data source.
 
 Writing: each task stores its rows' payloads as 8-bit grey PNG pictures, 192 samples wide, in ZIP archives (stored, not
-compressed again) below a shared folder. An archive is written under a temporary name and moved to one that depends on
-the partition alone, so that a repeated task replaces equal files.
+compressed again) below a shared folder. An archive's name holds the task attempt, and only names of attempts that succeeded
+reach the manifest, so that a lost executor or a speculative copy leaves no wrong archive in it.
 
-Reading: the source `zip_members` lists the archives and plans byte ranges over them, by size alone; a task reads its
+Reading: the source `zip_members` takes the manifest's archives and plans byte ranges over them, by size alone; a task reads its
 archive's directory and takes the members whose header starts in its range. Payloads stream through Arrow in batches of
 bounded bytes. A member that cannot be read or whose checksum differs is read again by its own offset, up to `retries`
 times with the file opened anew, then it gives a row with `error` and no payload; its neighbours are unaffected.
@@ -16,13 +16,14 @@ other columns are not stored; an empty table gives no archives and an empty resu
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialize, scratch, ship, small_batches, texts_of, to_bytes
+from .common import scratch, ship, small_batches, texts_of, to_bytes
 from .token_files import _file_uri, open_fs
 
 ship(__name__)
@@ -93,7 +94,7 @@ class ArchiveWriter:
 
     def __init__(self, fs, path: str):
         self.fs, self.path, self.at, self.entries = fs, path, 0, []
-        self.out = fs.open_output_stream(f"{path}.tmp")
+        self.out = fs.open_output_stream(path)
 
     def add(self, name: bytes, data: bytes) -> None:
         crc = zlib.crc32(data)
@@ -103,12 +104,13 @@ class ArchiveWriter:
         self.out.write(local + data)
         self.at += len(local) + len(data)
 
-    def close(self) -> None:
+    def close(self) -> int:
+        """Writes the directory; the archive's size."""
         directory = b"".join(self.entries)
         n = len(self.entries)
         self.out.write(directory + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, n, n, len(directory), self.at, 0))
         self.out.close()
-        self.fs.move(f"{self.path}.tmp", self.path)
+        return self.at + len(directory) + 22
 
 
 def read_directory(f, size: int) -> list[tuple[str, int, int, int]]:
@@ -153,17 +155,17 @@ class ByteRange(InputPartition):
 
 class ZipMembersReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.manifest = options["path"]
         self.range = int(options.get("rangebytes", 16 << 20))
         self.batch = int(options.get("batchbytes", 4 << 20))
         self.retries = int(options.get("retries", 2))
 
     def partitions(self):
-        from pyarrow import fs as pafs
+        from pyarrow import dataset
 
-        fs, root = open_fs(self.folder)
-        listed = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        files = sorted((i.path, i.size) for i in listed if i.path.endswith(".zip"))
+        fs, root = open_fs(self.manifest)
+        rows = dataset.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=False).to_table().to_pylist()
+        files = sorted((r["archive"], r["bytes"]) for r in rows)
         return [ByteRange(p, n, a, min(a + self.range, n)) for p, n in files for a in range(0, n, self.range)] or [ByteRange("", 0, 0, 0)]
 
     def read(self, part):
@@ -172,7 +174,7 @@ class ZipMembersReader(DataSourceReader):
         schema = pa.schema([("key", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         if not part.path:
             return
-        fs, _ = open_fs(self.folder)
+        fs, _ = open_fs(self.manifest)
         rows, held = [], 0
         with fs.open_input_file(part.path) as f:
             for name, offset, stored, crc in read_directory(f, part.size):
@@ -188,7 +190,7 @@ class ZipMembersReader(DataSourceReader):
 
 
 class ZipMembers(DataSource):
-    """Members of the ZIP archives of a folder. Options: path, rangebytes, batchbytes, retries."""
+    """Members of the ZIP archives of a manifest (Parquet: archive, bytes). Options: path, rangebytes, batchbytes, retries."""
 
     @classmethod
     def name(cls):
@@ -211,34 +213,37 @@ def _archiver(folder: str, most_bytes: int, most_members: int):
 
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        part, made, out = TaskContext.get().partitionId(), [], None
+        name = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        made, sizes, out = [], [], None
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), to_bytes(batch.column("text")), strict=True):
                 if out is not None and (out.at >= most_bytes or len(out.entries) >= most_members):
-                    out.close()
+                    sizes.append(out.close())
                     out = None
                 if out is None:
-                    made.append(f"{root}/part-{part:06d}-{len(made):04d}.zip")
+                    made.append(f"{root}/{name}-{len(made):04d}.zip")
                     out = ArchiveWriter(fs, made[-1])
                 out.add(b"null" if key is None else b"%d" % key, to_picture(text))
         if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["archive"])
+            sizes.append(out.close())
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(sizes, pa.int64())], names=["archive", "bytes"])
 
     return write
 
 
-def write_archives(docs: DataFrame, folder: str, text: str = "text", most_bytes: int = 64 << 20, most_members: int = 60_000) -> DataFrame:
-    """Stores docs' texts as pictures in archives below the folder; returns the archives' names."""
+def write_archives(docs: DataFrame, folder: str, text: str = "text", most_bytes: int = 64 << 20, most_members: int = 60_000) -> str:
+    """Stores docs' texts as pictures in archives below the folder; returns the manifest, a Parquet table below it: (archive, bytes)."""
     small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts_of(docs, text).alias("text"))
-    return materialize(plain.mapInArrow(_archiver(_file_uri(folder), most_bytes, most_members), "archive string"), "archives")
+    manifest = f"{folder}/manifest-{uuid.uuid4().hex}"
+    plain.mapInArrow(_archiver(_file_uri(folder), most_bytes, most_members), "archive string, bytes long").write.parquet(manifest)
+    return manifest
 
 
-def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """key, archive, offset, payload, error of every member."""
+def read_archives(spark: SparkSession, manifest: str, **options) -> DataFrame:
+    """key, archive, offset, payload, error of every member of the manifest's archives."""
     spark.dataSource.register(ZipMembers)
-    return spark.read.format("zip_members").options(**options).load(_file_uri(folder))
+    return spark.read.format("zip_members").options(**options).load(_file_uri(manifest))
 
 
 FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -274,5 +279,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: all documents stored as pictures in archives and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = scratch(spark, "media")
-    write_archives(docs, folder)
-    return media_facts(read_archives(spark, folder)).drop("error")
+    return media_facts(read_archives(spark, write_archives(docs, folder))).drop("error")

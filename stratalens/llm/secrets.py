@@ -121,6 +121,28 @@ ADDED = (
 RULES = BASE + ADDED
 
 SPAN = "struct<start:int,nth:int,kind:string,end:int>"
+#: Elements of an array that are folded at once: an append copies no more than these, so a fold is linear in the array.
+FOLD = 256
+
+
+def folded(array: Column, state: Column, kind: str, step) -> Column:
+    """The arrays (of type `kind`) that step(state, element) -> struct(state, out) gives for each element, in one array.
+
+    The array is folded in chunks of FOLD: outputs are appended within a chunk, and chunks to the array of chunks.
+    """
+    none, nested = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(FOLD)))
+    chunks = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda at: F.slice(array, at, F.lit(FOLD)))
+
+    def one(acc, x):
+        made = step(acc["state"], x)
+        return F.struct(made["state"].alias("state"), F.concat(acc["out"], made["out"]).alias("out"))
+
+    def many(acc, chunk):
+        inner = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(inner["state"].alias("state"), F.array_append(acc["out"], inner["out"]).alias("out"))
+
+    return F.aggregate(chunks, F.struct(state.alias("state"), nested.alias("out")), many, lambda acc: F.flatten(acc["out"]))
 
 
 def trigrams(rules=RULES) -> list[tuple[str, bool]]:
@@ -181,15 +203,14 @@ def spans(text: Column, rule: Rule, nth: int) -> Column:
     pieces = F.arrays_zip(between.alias("b"), match.alias("m"), group.alias("g"))  # one value: none of the three is made again for each element
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["b"])
+    def step(at, p):
+        start = at + F.char_length(p["b"])
         end = start + F.char_length(p["m"])
         span = F.struct(start.alias("start"), F.lit(nth).alias("nth"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        kept = F.when(F.char_length(p["g"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.when(p["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
+        kept = F.when(F.char_length(p["g"]) >= rule.least, F.array(span)).otherwise(none)
+        return F.struct(F.coalesce(end, at).alias("state"), kept.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    found = folded(pieces, F.lit(0), f"array<{SPAN}>", step)
     return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
@@ -221,14 +242,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span's characters replaced by its kind in brackets; spans that overlap are one."""
     rows = scan(docs, text=text)
 
-    def step(acc, s):
-        start, end = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        keep = F.substring(F.col(text), acc["at"] + 1, start - acc["at"])
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(end.alias("at"), F.concat(acc["out"], keep, mark).alias("out"))
+    def step(at, s):
+        start, end = F.greatest(s["start"], at), F.greatest(s["end"], at)
+        keep = F.substring(F.col(text), at + 1, start - at)
+        mark = F.when(s["start"] >= at, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(end.alias("state"), F.array(keep, mark).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
+    after = F.array_max(F.transform("found", lambda s: s["end"]))
+    tail = F.substring(F.col(text), after + 1, F.char_length(F.col(text)))
+    clean = F.concat(F.array_join(folded(F.col("found"), F.lit(0), "array<string>", step), ""), tail)
     cleaned = F.when(F.size("found") > 0, clean).otherwise(F.col(text))
     return rows.select(*[cleaned.alias(text) if c == text else F.col(c) for c in docs.columns])
 

@@ -90,6 +90,35 @@ PREFIXES = {
             ("RECORD DATE", _TIME), ("TOOL", _TOOL), ("ENCODER", _TOOL), ("REPLAYGAIN", _OTHER), ("ISRC", _DOC), ("CATALOG", _DOC), ("COVER ART", _THUMB), ("COMMENT", _NOTE)],
 }
 
+#: Boxes that a level of a movie's index keeps; those that are levels themselves are keys.
+BOXES = {
+    "moov": ("mvhd", "trak"), "trak": ("tkhd", "edts", "tref", "mdia"), "mdia": ("mdhd", "hdlr", "minf"),
+    "minf": ("vmhd", "smhd", "hmhd", "sthd", "nmhd", "stbl", "dinf"),
+    "stbl": ("stsd", "stts", "ctts", "cslg", "stss", "stsh", "sdtp", "stsc", "stsz", "stz2", "stco", "co64", "sbgp", "sgpd", "stps"),
+}
+#: Box -> why a movie that holds it is refused; sample entries that are encrypted; brand (or its beginning) -> refusal.
+BOX_REFUSALS = {
+    **dict.fromkeys(("moof", "mfra", "mvex", "styp", "sidx", "ssix"), "fragmented-mp4"), **dict.fromkeys(("pssh", "senc", "sinf", "schm"), "protected-media"),
+}
+PROTECTED_ENTRIES = ("encv", "enca", "encs", "enct", "drms", "drmi")
+BRAND_REFUSALS = {
+    **dict.fromkeys(("dash", "msdh", "msix", "cmfc", "cmfl"), "fragmented-mp4"), "M4P ": "protected-media", "qt  ": "quicktime-movie",
+    **dict.fromkeys(("3gp", "3g2"), "third-generation-partnership"),
+}
+XMP_UUID = bytes.fromhex("BE7ACFCB97A942E89C71999491E3AFAC")
+#: A tag atom's name after its first byte (A9, not UTF-8, is shown as a replacement character) -> kind.
+MP4_ATOMS = {
+    **dict.fromkeys(("\ufffdxyz", "loci", "gps ", "\ufffdgps"), _PLACE), **dict.fromkeys(("\ufffdday", "date", "\ufffddtm"), _TIME),
+    **dict.fromkeys(("\ufffdtoo", "\ufffdswr", "\ufffdenc", "\ufffdreq"), _TOOL), **dict.fromkeys(("\ufffdmak", "\ufffdmod", "mak ", "mod ", "\ufffdxmk", "\ufffdxmd"), _DEVICE),
+    **dict.fromkeys(("\ufffdART", "aART", "\ufffdwrt", "\ufffdalb", "\ufffdcpy", "cprt", "auth", "perf", "\ufffdprf", "\ufffdope"), _PERSON),
+    **dict.fromkeys(("covr", "\ufffdart"), _THUMB), **dict.fromkeys(("\ufffdcmt", "desc", "ldes", "\ufffddes", "\ufffdlyr"), _NOTE),
+}
+#: Stills: boxes of a motion picture, brands of a sequence, what the index keeps, items that are pictures, properties that are kept.
+MOTION_BOXES, SEQUENCE_BRANDS = ("moov", "moof", "mfra", "mvex"), ("msf1", "hevc")
+STILL_META = ("hdlr", "pitm", "iloc", "iinf", "iref", "iprp", "dinf")
+STILL_ITEMS = ("av01", "hvc1", "hev1", "vvc1", "unci", "jpeg", "grid", "iovl")
+STILL_PROPERTIES = ("ispe", "pixi", "av1C", "hvcC", "vvcC", "pasp", "clap", "irot", "imir", "auxC", "a1op", "a1lx", "lsel", "clli", "mdcv")
+
 # What happens to a segment: format, key -> action, kind, location. '*' is any other key of the format.
 #   keep; retain: kept and declared; note: kept as an unparsed region; drop: a finding unless its items are the findings;
 #   silent: dropped without one; rewrite: its replacement is kept and its items are findings; zero: rewrite, declared as retained;
@@ -137,10 +166,14 @@ RULES = [
     ("jxl", "jxli", "drop", _OTHER, "jxli box (frame index)"), ("jxl", "free", "drop", _OTHER, "free box (padding)"), ("jxl", "skip", "drop", _OTHER, "skip box (padding)"),
     ("jxl", "*", "refuse", None, "unknown-jxl-box"),
     *[(f, "rebuilt", "rewrite", None, None) for f in ("ogg", "opus", "ogg-flac", "tiff")], ("ogg-flac", "rebuilt:md5", "zero", None, "STREAMINFO (MD5 of the unencoded audio)"),
+    *[(f, k, "keep", None, None) for f in ("mp4", "m4a") for k in ("ftyp", "mdat")], *[(f, "moov", "rewrite", None, None) for f in ("mp4", "m4a")],
+    *[(f, "codec", "declared", None, "moov/trak/mdia/minf/stbl/stsd (codec configuration)") for f in ("mp4", "m4a")],
+    *[(f, k, "drop", _OTHER, v) for f in ("mp4", "m4a") for k, v in (("dropped", None), ("trailing", "trailing data"))],
+    *[(f, "rebuilt", "rewrite", None, None) for f in ("heif", "avif")], *[(f, "colour", "declared", None, "iprp/ipco (colr nclx)") for f in ("heif", "avif")],
     ("svg", "text", "keep", None, None), ("svg", "cut", "drop", _OTHER, None), ("svg", "embedded", "rewrite", None, None), ("svg", "held", "declared", None, None),
 ]
 #: Why a retained item stays; others would alter the payload.
-REASONS = {("flac", "STREAMINFO:md5"): "derived-from-payload", ("ogg-flac", "rebuilt:md5"): "derived-from-payload", **{("wav", f"{k}:data"): "structurally-required" for k in ("JUNK", "PAD ", "FLLR")}}
+REASONS = {("mp4", "codec"): "structurally-required", ("m4a", "codec"): "structurally-required", ("flac", "STREAMINFO:md5"): "derived-from-payload", ("ogg-flac", "rebuilt:md5"): "derived-from-payload", **{("wav", f"{k}:data"): "structurally-required" for k in ("JUNK", "PAD ", "FLLR")}}
 #: format, key -> what the file can no longer do.
 CAPABILITIES = {
     ("wav", "smpl"): ("smpl", "be looped by a sampler at the points it recorded"),
@@ -151,10 +184,11 @@ CAPABILITIES = {
 OUT_OF_SCOPE = {
     "wav": "audio samples, which are copied without being decoded", "flac": "audio frames, which are copied without being decoded",
     "mp3": "audio frames, which are copied without being decoded", **dict.fromkeys(("ogg", "opus", "ogg-flac"), "audio packets, which are copied without being decoded"),
+    **dict.fromkeys(("mp4", "m4a"), "coded samples (SEI user data and in-band codec headers are not decoded)"),
     "jxl": "a JPEG XL codestream, whose ICC profile and preview frame are coded inside the image data",
 }
 #: Formats that have a walker.
-WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff", "svg")
+WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff", "svg", "mp4", "m4a", "heif", "avif")
 
 
 def items() -> list[tuple[str, str, str, str]]:
@@ -166,7 +200,7 @@ def items() -> list[tuple[str, str, str, str]]:
     out += [("Exif IFD", tag(t), n, k) for t, (n, k) in {**EXIF_PRIMARY, **EXIF_SUB}.items()] + [("Exif IFD", "*", None, _OTHER)]
     out += [("IFD1 (thumbnail)", tag(t), n, _THUMB) for t, (n, _) in EXIF_PRIMARY.items()] + [("IFD1 (thumbnail)", "*", None, _THUMB)]
     out += [("GPS IFD", tag(t), n, _PLACE) for t, n in EXIF_GPS.items()] + [("GPS IFD", "*", None, _PLACE)]
-    for scope, table in (("xmp", XMP), ("png", PNG_KEYWORDS), ("gif", GIF_APPLICATIONS), ("id3", ID3_FRAMES), ("id3v22", ID3_FRAMES_22)):
+    for scope, table in (("xmp", XMP), ("png", PNG_KEYWORDS), ("gif", GIF_APPLICATIONS), ("mp4", MP4_ATOMS), ("id3", ID3_FRAMES), ("id3v22", ID3_FRAMES_22)):
         out += [(scope, n, n, k) for n, k in table.items()] + [(scope, "*", None, _OTHER)]
     out += [("info", i, n, k) for i, (n, k) in WAV_INFO.items()] + [("info", "*", None, _OTHER)]
     for scope, table in FIXED_FIELDS.items():

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.detect import detected, fenced
+from .isobmff import WALKERS as MEDIA
 from .markup import WALKERS as MARKUP
 from .rebuilders import WALKERS as REBUILDERS
 from .walkers import WALKERS, walk
@@ -28,7 +29,7 @@ ERROR = "struct<error_kind:string,detail:string,offset:bigint,limit:string,unsup
 
 def walk_file(kind: str, data: bytes | None) -> tuple[list[dict], dict | None]:
     """The segments of one file, or its error."""
-    return walk({**WALKERS, **REBUILDERS, **MARKUP}[kind], data)
+    return walk({**WALKERS, **REBUILDERS, **MARKUP, **MEDIA}[kind], data)
 
 
 def _parse(content: int, kind: int, names: list[str], schema):

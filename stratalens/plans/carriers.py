@@ -94,6 +94,117 @@ def svg_meta(c: Column) -> Column:
     return F.concat(utf8(F.lit(SVG_HEAD + "<metadata><dc:creator>")), utf8(c), utf8(F.lit("</dc:creator></metadata>" + SVG_TAIL)))
 
 
+class Made:
+    """Bytes in the making: constants as they are, columns with their lengths beside them, so that sizes never repeat contents."""
+
+    def __init__(self, *parts):
+        self.parts, self.fixed, self.open = [], 0, []
+        for p in parts:
+            more = p if isinstance(p, Made) else None
+            self.parts += more.parts if more else [p]
+            self.fixed += more.fixed if more else len(p) if isinstance(p, bytes) else p[1] if isinstance(p[1], int) else 0
+            self.open += more.open if more else [] if isinstance(p, bytes) or isinstance(p[1], int) else [p[1]]
+
+    def size(self, more: int = 0) -> Column:
+        return sum(self.open, F.lit(self.fixed + more).cast("long"))
+
+    def column(self) -> Column:
+        out, run = [], b""
+        for p in [*self.parts, None]:
+            if isinstance(p, bytes):
+                run += p
+                continue
+            out += [raw(run.hex())] if run else []
+            run, out = b"", out + ([p[0]] if p else [])
+        return F.concat(*out)
+
+
+def text(c: Column) -> Made:
+    return Made((utf8(c), size(utf8(c))))
+
+
+def number(n, width: int) -> Made:
+    return Made(n.to_bytes(width) if isinstance(n, int) else (be(n, width), width))
+
+
+def hexed(digits: str) -> bytes:
+    return bytes.fromhex(digits)
+
+
+def box(kind: str, *parts, full: bool = False) -> Made:
+    """An ISO box of these parts; full: with version and flags of zero."""
+    body = Made(*([bytes(4)] if full else []), *parts)
+    length = number(body.size(8), 4) if body.open else (body.fixed + 8).to_bytes(4)
+    return Made(length, kind.encode(), body)
+
+
+MP4_FTYP = "00000014 66747970 69736F6D 00000000 6D703432"
+MP4_DATA = "0000001C 6D646174 50524553 45525645 442D6D65 6469612D 64617461"
+HEIF_FTYP = "00000018 66747970 68656963 00000000 6D696631 68656963"
+HEIF_DATA = "PRESERVED-picture-data"
+
+
+def mp4_index(*more, wide: bool = False, at=0, times: str = "00000000") -> Made:
+    """moov of one video track whose two chunks lie at `at` and eight bytes on; more: boxes that follow the track."""
+    header = lambda kind, tail: box(kind, hexed(times + times), hexed(tail), full=True)
+    width = 8 if wide else 4
+    chunks = box("co64" if wide else "stco", hexed("00000002"), number(at, width), number(at + 8, width), full=True)
+    entry = box("avc1", bytes(74), hexed("0018FFFF"))
+    table = box("stbl", box("stsd", hexed("00000001"), entry, full=True), box("stsz", bytes(8), full=True), chunks)
+    own = box("dinf", box("dref", hexed("00000001 0000000C"), b"url ", hexed("00000001"), full=True))
+    handler = box("hdlr", bytes(4), b"vide", bytes(13), full=True)
+    media = box("mdia", header("mdhd", "000003E8 00000000 55C40000"), handler, box("minf", box("vmhd", bytes(8), full=True), own, table))
+    return box("moov", header("mvhd", "000003E8 00000000 00010000 0100" + "00" * 70), box("trak", header("tkhd", "00000001 00000000" + "00" * 60), media), *more)
+
+
+def mp4_file(*more, start: bool = True, **kw) -> Made:
+    """A movie whose index comes before its media; its chunk offsets point into the media, or where `at` says."""
+    if start:
+        kw["at"] = mp4_index(*more, **kw).size(28)
+    return Made(hexed(MP4_FTYP), mp4_index(*more, **kw), hexed(MP4_DATA))
+
+
+def mp4_tags(c: Column, wide: bool = False, times: str = "00000000") -> Column:
+    """A movie with an artist tag of c in its index."""
+    return mp4_file(box("udta", box("aART", bytes(8), text(c))), wide=wide, times=times).column()
+
+
+def heif_items(c: Column) -> Column:
+    """A still of two pictures, the second a thumbnail of the first, and an XMP item that names c as the creator; the first's name is c."""
+    packet, first = Made(b"<x:xmpmeta><dc:creator>", text(c), b"</dc:creator></x:xmpmeta>"), len(HEIF_DATA)
+
+    infe = lambda n, kind, *rest: box("infe", hexed("02000000"), n.to_bytes(2), bytes(2), kind, *rest)
+    infos = box("iinf", hexed("0003"), infe(1, b"hvc1", text(c), b"\0"), infe(2, b"hvc1", b"\0"), infe(3, b"mime", b"\0application/rdf+xml\0"), full=True)
+    refs = box("iref", box("thmb", hexed("0002 0001 0001")), full=True)
+    props = box("iprp", box("ipco", box("ispe", hexed("00000010 00000010"), full=True), box("colr", b"prof", bytes(8))), box("ipma", hexed("00000001 0001 02 81 02"), full=True))
+
+    def index(at) -> Made:
+        place = lambda n, off, length: Made(hexed(f"{n:04X} 0000 0001"), number(off, 4), number(length, 4))
+        rows = Made(place(1, at, first), place(2, at + first, 4), place(3, at + first + 4, packet.size()))
+        return box("meta", box("hdlr", bytes(4), b"pict", bytes(13), full=True), box("pitm", hexed("0001"), full=True), infos, box("iloc", hexed("4400 0003"), rows, full=True), refs, props, full=True)
+
+    return Made(hexed(HEIF_FTYP), index(index(0).size(24 + 8)), box("mdat", HEIF_DATA.encode(), hexed("DEADBEEF"), packet)).column()
+
+
+def heif_clean() -> bytes:
+    """What is left of heif_items: the first picture, with its size, in a file laid out anew."""
+
+    def b(kind, body):
+        return (len(body) + 8).to_bytes(4) + kind + body
+
+    def full(kind, body, version=0, flags=0):
+        return b(kind, bytes([version]) + flags.to_bytes(3) + body)
+
+    data = HEIF_DATA.encode()
+    head = full(b"hdlr", bytes(4) + b"pict" + bytes(13)) + full(b"pitm", b"\0\1") + b(b"dinf", full(b"dref", b"\0\0\0\1" + full(b"url ", b"", 0, 1)))
+    head += full(b"iinf", b"\0\1" + full(b"infe", b"\0\1\0\0hvc1\0", 2))
+    tail = b(b"iprp", b(b"ipco", b(b"ispe", bytes.fromhex("00000000 00000010 00000010"))) + full(b"ipma", bytes.fromhex("00000001 0001 01 81")))
+    ftyp = bytes.fromhex(HEIF_FTYP.replace(" ", ""))
+    at = len(ftyp) + 12 + len(head) + 32 + len(tail) + 8
+    places = full(b"iloc", bytes.fromhex("4400 0001 0001 0000 0000 0001") + at.to_bytes(4) + len(data).to_bytes(4), 1)
+    return ftyp + full(b"meta", head + places + tail) + b(b"mdat", data)
+
+
 def files(rows: DataFrame, key: str, content: Column, prefix: str) -> DataFrame:
     """(file_id, path, length, content) of a table's carriers."""
     out = rows.select(F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string")).alias("file_id"), content.alias("content"))

@@ -245,6 +245,77 @@ def ogg_packets(spark, sf_dir):
     return relational.packets(rows)
 
 
+# --- movies and stills -----------------------------------------------------------------------------------------------
+
+
+def movies(spark, sf_dir, **kw) -> DataFrame:
+    """A movie for each order: every second with 64-bit chunk offsets."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    narrow, wide = (C.mp4_tags(F.coalesce("o_orderpriority", F.lit("")), wide=w, **kw) for w in (False, True))
+    return C.files(orders, "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, narrow).otherwise(wide), "mp4_tags")
+
+
+_ATOM = "16 + octet_length(encode(o_orderpriority))"
+
+
+@query("inspect_mp4", f"""SELECT 'mp4_tags-' || o_orderkey AS file_id, s AS seq, CASE s WHEN 3 THEN 'personal-identity' ELSE 'timestamp' END AS kind,
+  ['moov/mvhd', 'moov/trak/tkhd', 'moov/trak/mdia/mdhd', 'moov/udta/aART'][s + 1] AS location, CASE s WHEN 3 THEN 'aART' ELSE 'creation_time, modification_time' END AS field,
+  CASE s WHEN 3 THEN {_ATOM} ELSE 8 END::BIGINT AS bytes FROM orders, (VALUES (0), (1), (2), (3)) t(s)""")
+def inspect_mp4(spark, sf_dir):
+    """Movies with times set and an artist tag."""
+    rows = engine.decided(movies(spark, sf_dir, times="00000001"))
+    return engine.findings(rows).select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+#: The index of a movie without tags has a fixed size by the width of its chunk offsets.
+@query("strip_mp4", f"""WITH o AS (SELECT *, {C.mp4_index().fixed} + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 8 END AS n FROM orders)
+  SELECT 'mp4_tags-' || o_orderkey AS file_id, 'mp4' AS format, (20 + n + 28)::BIGINT AS output_bytes, (20 + n + 8)::BIGINT AS chunk_1, (20 + n + 16)::BIGINT AS chunk_2, 'PRESERVED-media-data' AS media, true AS same_index FROM o""")
+def strip_mp4(spark, sf_dir):
+    """Stripped movies: chunk offsets, read back from the output, still point at the media; the index is that of a movie without tags."""
+    done = engine.stripped(engine.decided(movies(spark, sf_dir, times="00000001")))
+    bare = F.when(F.col("o_orderkey") % 2 == 0, C.mp4_file().column()).otherwise(C.mp4_file(wide=True).column())
+    bare = table(spark, sf_dir, "orders").select(F.concat(F.lit("mp4_tags-"), "o_orderkey").alias("file_id"), F.md5(bare).alias("bare"))
+    wide = F.regexp_extract("file_id", "([0-9]+)$", 1).cast("long") % 2 != 0
+    number = lambda back, width: F.conv(F.hex(F.substring("content", F.octet_length("content") - 27 - back, width)), 16, 10).cast("long")
+    first, second = F.when(wide, number(16, 8)).otherwise(number(8, 4)), F.when(wide, number(8, 8)).otherwise(number(4, 4))
+    rows = done.select("file_id", "format", "output_bytes", first.alias("chunk_1"), second.alias("chunk_2"), F.decode(F.substring("content", F.octet_length("content") - 19, 20), "UTF-8").alias("media"), F.md5("content").alias("md5"))
+    return rows.join(bare, "file_id").select("file_id", "format", "output_bytes", "chunk_1", "chunk_2", "media", (F.col("md5") == F.col("bare")).alias("same_index"))
+
+
+@query("mp4_refusals", "SELECT c_custkey, c.defect AS defect, c.error_kind AS error_kind, c.detail AS detail, c.other AS unsupported_kind FROM customer, (VALUES ('moof', 'unsupported-format', NULL::VARCHAR, 'fragmented-mp4'), ('pssh', 'unsupported-format', NULL, 'protected-media'), ('moov', 'malformed', 'unexpected-marker', NULL), ('index', 'malformed', 'missing-marker', NULL), ('far', 'malformed', 'broken-index', NULL)) c(defect, error_kind, detail, other)")
+def mp4_refusals(spark, sf_dir):
+    """Movies that are refused: fragmented, encrypted, with two indexes or none, with chunks outside the media."""
+    c = F.coalesce("c_name", F.lit(""))
+    ftyp, media, c = C.hexed(C.MP4_FTYP), C.hexed(C.MP4_DATA), C.text(c)
+    made = {
+        "moof": C.Made(C.mp4_file(), C.box("moof", c)), "pssh": C.mp4_file(C.box("pssh", c)), "moov": C.Made(C.mp4_file(C.box("udta", c)), C.mp4_index()),
+        "index": C.Made(ftyp, C.box("free", c), media), "far": C.mp4_file(C.box("free", c), start=False, at=4),
+    }
+    made = {k: v.column() for k, v in made.items()}
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("defect"), v.alias("content")) for k, v in made.items()])).alias("m")).select("c_custkey", "m.*")
+    files = rows.select(F.concat_ws("/", F.col("c_custkey").cast("string"), "defect").alias("file_id"), F.lit("p").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    out = engine.errors(files)
+    return out.select(F.split_part("file_id", F.lit("/"), F.lit(1)).cast("long").alias("c_custkey"), F.split_part("file_id", F.lit("/"), F.lit(2)).alias("defect"), "error_kind", "detail", "unsupported_kind")
+
+
+def stills(spark, sf_dir) -> DataFrame:
+    return C.files(table(spark, sf_dir, "part").select("p_partkey", F.coalesce("p_name", F.lit("")).alias("v")), "p_partkey", C.heif_items(F.col("v")), "heif_items")
+
+
+@query("inspect_heif", """SELECT 'heif_items-' || p_partkey AS file_id, s AS seq, ['colour-profile', 'other', 'thumbnail', 'personal-identity'][s + 1] AS kind,
+  ['iprp/ipco', 'iinf/infe', 'item (thmb)', 'item (XMP)'][s + 1] AS location, ['colr', 'item_name', 'hvc1', 'dc:creator'][s + 1] AS field,
+  CASE s WHEN 0 THEN 12 WHEN 1 THEN octet_length(encode(p_name)) WHEN 2 THEN 4 ELSE 0 END::BIGINT AS bytes FROM part, (VALUES (0), (1), (2), (3)) t(s)""")
+def inspect_heif(spark, sf_dir):
+    return engine.findings(engine.decided(stills(spark, sf_dir))).select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+@query("strip_heif", f"SELECT 'heif_items-' || p_partkey AS file_id, 'heif' AS format, '{hashlib.md5(C.heif_clean()).hexdigest()}' AS md5, {len(C.heif_clean())}::BIGINT AS output_bytes, true AS verified FROM part")
+def strip_heif(spark, sf_dir):
+    """Stripped stills, each inspected again: the thumbnail, the packet, the name and the profile are gone, the picture's offset is new."""
+    done = engine.stripped(engine.decided(stills(spark, sf_dir)))
+    return done.select("file_id", "format", F.md5("content").alias("md5"), "output_bytes").join(engine.verified(done).select("file_id", "verified"), "file_id")
+
+
 @query("cut_merge", """WITH c AS (SELECT l_suppkey AS file_id, l_orderkey AS s, l_orderkey + l_quantity::BIGINT * 20 AS e FROM lineitem),
   m AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
   i AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens import catalog, dims
 from stratalens.functions.detect import detected
-from stratalens.operators import engine, markup, rebuilders, relational, walkers
+from stratalens.operators import isobmff, engine, markup, rebuilders, relational, walkers
 from stratalens.plans import batch, queries
 from stratalens.sources import filewalk, sink
 
@@ -160,7 +160,7 @@ def test_truncation_and_flipped_bytes_never_raise():
 
 
 def test_walkers_cover_what_the_rules_name():
-    assert set(walkers.WALKERS) | set(rebuilders.WALKERS) | set(markup.WALKERS) == set(dims.WALKED) == {r[0] for r in dims.RULES}
+    assert set(walkers.WALKERS) | set(rebuilders.WALKERS) | set(markup.WALKERS) | set(isobmff.WALKERS) == set(dims.WALKED) == {r[0] for r in dims.RULES}
     assert {k for _, _, _, k, *_ in dims.items()} <= {k for k, *_ in dims.KINDS}
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship, small_batches, to_bytes
+from .common import materialize, release, ship, small_batches, to_bytes
 from .components import components
 
 ship(__name__)
@@ -192,8 +192,8 @@ def _hashes(n: int):
     return make
 
 
-def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """own (SETS) -> all tokens with two holders or more (token, id, need), and links (a, b) that join similar sets into groups.
+def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+    """own (SETS) -> all tokens with two holders or more (token, id, need), links (a, b) that join similar sets into groups, and what to release after both.
 
     Similar sets share at least as many tokens of a band as the drop of either says, and one more. Of a set's tokens some
     have few holders, the rest many. Few holders: each pair of them is counted, and linked if it shares as many as the
@@ -221,7 +221,7 @@ def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     hot = ranked.where((F.col("holders") > FEW) & (F.col("much") > F.col("drop")) & (F.col("nth") > F.col("drop")))
     stars = hot.select("token", "id").withColumn("head", F.min("id").over(by_token)).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    return shared.select("token", "id", "need"), near.unionByName(stars).distinct()
+    return shared.select("token", "id", "need"), near.unionByName(stars).distinct(), (shared, ranked)
 
 
 def _pairs(out: list[tuple]):
@@ -365,7 +365,7 @@ def contracted(members: DataFrame, hashes: DataFrame, share: int, most: int) ->
     label: the pivot that a member links with, else its own id. first: its group's first pivot, which all members were compared with.
     """
     best = F.max_by("id", F.struct("popular", F.bitwise_not("id")))
-    labels, found = members.withColumn("label", F.col("id")).withColumn("first", F.lit(None).cast("long")), None
+    labels, found, held = members.withColumn("label", F.col("id")).withColumn("first", F.lit(None).cast("long")), None, []
     for turn in range(PIVOTS):
         rest = labels if turn == 0 else labels.where("label = id and id <> first")
         heads = materialize(rest.groupBy("grp").agg(best.alias("pivot"), F.count("*").alias("size"), _parts(most).alias("parts")).where("size > 1").drop("size"), "pivots")
@@ -381,6 +381,8 @@ def contracted(members: DataFrame, hashes: DataFrame, share: int, most: int) ->
             labels = labels.drop("first").join(heads.select("grp", F.col("pivot").alias("first")).hint("merge"), "grp")
         labels = labels.join(met.hint("merge"), "id", "left")
         labels = materialize(labels.select("id", "grp", "popular", "low", "n", F.coalesce("pivot", "label").alias("label"), "first"), "labels")
+        release(*held)
+        held = [labels]
     return labels, found
 
 
@@ -423,7 +425,9 @@ def opened_blocks(labels: DataFrame, holds: DataFrame, hashes: DataFrame, share:
     asking = opens.join(chunks.hint("merge"), "block").select(task(F.pmod(F.xxhash64("id"), "parts")), F.lit(1).alias("side"), "id", "label")
     held = blocked.join(chunks.hint("merge"), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = materialize(asking.unionByName(held.select(task(F.col("part")), F.lit(0).alias("side"), "id", "label")), "tasks")
-    return materialize(_loaded(tasks, hashes).mapInArrow(_opened(share), "a long, b long"), "block-links")
+    links = materialize(_loaded(tasks, hashes).mapInArrow(_opened(share), "a long, b long"), "block-links")
+    release(tasks, opens, of, blocked)
+    return links
 
 
 def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most: int = MOST) -> DataFrame:
@@ -441,11 +445,12 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
     owners = classes.select(F.col("id").alias("doc_id")).distinct()
     copies = materialize(copies.join(owners.hint("merge"), "doc_id", "left_anti"), "copies")
     own = named.join(copies.hint("merge"), "doc_id", "left_anti")
-    shared, links = shared_tokens(own)
+    shared, links, used = shared_tokens(own)
 
     groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     holds = shared.groupBy("token", "id").agg(F.min("need").alias("need")).join(groups.hint("merge"), "id")
     holds = materialize(holds, "holds")
+    release(*used)
     members = materialize(qualified(holds).join(_sizes(named).hint("merge"), "id"), "members")
     texts = texts.where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "id")
     hashes = texts.join(members.select("id").hint("merge"), "id").mapInArrow(_hashes(n), "id long, set binary")
@@ -453,6 +458,7 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
 
     labels, found = contracted(members, hashes, share, most)
     links = found.unionByName(opened_blocks(labels, holds, hashes, share, most))
+    release(labels, holds, hashes, members)
     linked = components(links)
 
     of_class = classes.join(linked, classes["id"] == linked["node"], "left").select("fp", F.coalesce("component", "id").alias("__c"))

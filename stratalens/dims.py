@@ -119,6 +119,53 @@ STILL_META = ("hdlr", "pitm", "iloc", "iinf", "iref", "iprp", "dinf")
 STILL_ITEMS = ("av01", "hvc1", "hev1", "vvc1", "unci", "jpeg", "grid", "iovl")
 STILL_PROPERTIES = ("ispe", "pixi", "av1C", "hvcC", "vvcC", "pasp", "clap", "irot", "imir", "auxC", "a1op", "a1lx", "lsel", "clli", "mdcv")
 
+#: Packages: content type of the main part, or media type, -> format; what their parts are known by.
+OFFICE_MAIN = {
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml": "xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml": "pptx",
+}
+OFFICE_PROPERTIES = {
+    "application/vnd.openxmlformats-package.core-properties+xml": _PERSON,
+    "application/vnd.openxmlformats-officedocument.extended-properties+xml": _TOOL,
+    "application/vnd.openxmlformats-officedocument.custom-properties+xml": _PERSON,
+}
+THUMBNAIL_RELATION = "http://schemas.openxmlformats.org/package/2006/relationships/metadata/thumbnail"
+OFFICE_ELEMENTS = {
+    **dict.fromkeys(("dc:creator", "cp:lastModifiedBy", "Manager", "Company"), _PERSON), **dict.fromkeys(("dcterms:created", "dcterms:modified", "cp:lastPrinted"), _TIME),
+    **dict.fromkeys(("Application", "AppVersion", "Template"), _TOOL), **dict.fromkeys(("TotalTime", "cp:revision"), _EDIT),
+    **dict.fromkeys(("cp:contentStatus", "dc:description", "cp:keywords", "dc:subject"), _NOTE),
+}
+#: Attribute, or element and attribute, -> kind.
+OFFICE_ATTRIBUTES = {
+    **dict.fromkeys(("w:rsidR", "w:rsidRDefault", "w:rsidP", "w:rsidRPr", "w:rsidTr", "w:rsidSect", "w:rsidDel", "w:rsidRProp"), _EDIT),
+    **dict.fromkeys(("w14:paraId", "w14:textId"), _DOC), "w:author": _PERSON, "w:initials": _PERSON, "w:date": _TIME,
+    "p:cmAuthor name": _PERSON, "p:cmAuthor initials": _PERSON,
+}
+ODF_MEDIA = {
+    "application/vnd.oasis.opendocument.text": "odt", "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/vnd.oasis.opendocument.presentation": "odp",
+}
+#: Folders and parts that go whole.
+ODF_FOLDERS = {"Thumbnails/": _THUMB, "Configurations2/": _TOOL}
+ODF_PARTS = {"meta.xml": _PERSON, "settings.xml": _TOOL, "layout-cache": _OTHER}
+ODF_ATTRIBUTION = {"dc:creator": _PERSON, "dc:date": _TIME, "meta:date-string": _TIME}
+ODF_FIELDS = {
+    **dict.fromkeys(("text:creator", "text:initial-creator", "text:author-name", "text:author-initials", "text:printed-by"), _PERSON),
+    **dict.fromkeys(("text:editing-cycles", "text:editing-duration"), _EDIT),
+}
+ODF_DISPLAYED = ("creation-date", "creation-time", "modification-date", "modification-time", "print-date", "print-time")
+ODF_META = {
+    **dict.fromkeys(("meta:initial-creator", "dc:creator", "meta:printed-by"), _PERSON), **dict.fromkeys(("meta:creation-date", "dc:date", "meta:print-date"), _TIME),
+    **dict.fromkeys(("meta:editing-cycles", "meta:editing-duration"), _EDIT), "meta:generator": _TOOL, **dict.fromkeys(("dc:title", "dc:description", "dc:subject"), _NOTE),
+}
+ODF_SETTINGS = {
+    "PrinterName": _DEVICE, "PrinterSetup": _DEVICE, "CurrentDatabaseDataSource": _PERSON, "CurrentDatabaseCommand": _PERSON, "BuildId": _TOOL, "ColorPalettes": _TOOL,
+}
+#: Extra fields of an archive that tell of the machine; pictures that may be in a package; formats that are packages.
+HOST_FIELDS = (0x5455, 0x000A, 0x7875, 0x5855)
+EMBEDDED = ("jpeg", "png", "webp", "gif", "tiff", "heif", "avif")
+PACKAGES = ("docx", "xlsx", "pptx", "odt", "ods", "odp")
+
 # What happens to a segment: format, key -> action, kind, location. '*' is any other key of the format.
 #   keep; retain: kept and declared; note: kept as an unparsed region; drop: a finding unless its items are the findings;
 #   silent: dropped without one; rewrite: its replacement is kept and its items are findings; zero: rewrite, declared as retained;

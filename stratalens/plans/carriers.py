@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.detect import fenced
+
 
 def raw(text: str) -> Column:
     """Bytes given in hex, spaces ignored."""
@@ -205,7 +209,89 @@ def heif_clean() -> bytes:
     return ftyp + full(b"meta", head + places + tail) + b(b"mdat", data)
 
 
+def zipped(parts: list[tuple[str, object]], time: str = "0000 2100") -> Column:
+    """An archive of stored parts, each bytes or Made; time: that of all entries, as it stands in the headers."""
+    out, directory, at = [], [], Made()
+    for name, content in parts:
+        made = Made(content)
+        if made.open:
+            c = made.column()
+            lengths = Made((le(F.crc32(c), 4), 4), (le(made.size(), 4), 4), (le(made.size(), 4), 4))
+        else:
+            data = b"".join(made.parts)
+            lengths = Made(zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little") * 2)
+        facts = Made(bytes(4), hexed(time), lengths, len(name.encode()).to_bytes(2, "little"), bytes(2))
+        place = Made((le(at.size(), 4), 4)) if at.open else Made(at.fixed.to_bytes(4, "little"))
+        directory += [b"PK\1\2\x14\0\x14\0", facts, bytes(10), place, name.encode()]
+        local = Made(b"PK\3\4\x14\0", facts, name.encode(), made)
+        out.append(local)
+        at = Made(*out)
+    tail = Made(*directory)
+    n = len(parts).to_bytes(2, "little")
+    start = Made((le(at.size(), 4), 4)) if at.open else at.fixed.to_bytes(4, "little")
+    return Made(at, tail, b"PK\5\6", bytes(4), n, n, tail.fixed.to_bytes(4, "little"), start, bytes(2)).column()
+
+
+# The smallest packages of each family. NAME stands for the value.
+_TYPE, _RELATION = "application/vnd.openxmlformats-", "http://schemas.openxmlformats.org/"
+DOCX = {
+    "[Content_Types].xml": f'<Types><Default Extension="rels" ContentType="{_TYPE}package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{_TYPE}officedocument.wordprocessingml.document.main+xml"/>'
+    f'<Override PartName="/docProps/core.xml" ContentType="{_TYPE}package.core-properties+xml"/></Types>',
+    "_rels/.rels": f'<Relationships><Relationship Id="rId1" Type="{_RELATION}officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/>'
+    f'<Relationship Id="rId2" Type="{_RELATION}package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>',
+    "word/document.xml": '<w:document><w:p w:rsidR="00AB12CD" w:rsidP="00AB12CE"><w:r><w:t>PRESERVED-text</w:t></w:r></w:p><w:attachedTemplate r:id="rId9"/></w:document>',
+    "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId9" Type="t" Target="file:///C:/Users/NAME/a.dotm" TargetMode="External"/><Relationship Id="rId3" Type="i" Target="media/image1.png"/></Relationships>',
+    "docProps/core.xml": "<cp:coreProperties><dc:creator>NAME</dc:creator><cp:revision>7</cp:revision></cp:coreProperties>",
+    "word/media/image1.png": None,
+}
+DOCX_CLEAN = {
+    "[Content_Types].xml": DOCX["[Content_Types].xml"].replace(f'<Override PartName="/docProps/core.xml" ContentType="{_TYPE}package.core-properties+xml"/>', ""),
+    "_rels/.rels": DOCX["_rels/.rels"].replace(f'<Relationship Id="rId2" Type="{_RELATION}package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/>', ""),
+    "word/document.xml": "<w:document><w:p><w:r><w:t>PRESERVED-text</w:t></w:r></w:p></w:document>",
+    "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId3" Type="i" Target="media/image1.png"/></Relationships>',
+    "word/media/image1.png": None,
+}
+_ODF = "application/vnd.oasis.opendocument.text"
+ODT = {
+    "mimetype": _ODF,
+    "META-INF/manifest.xml": f'<manifest:manifest><manifest:file-entry manifest:full-path="/" manifest:media-type="{_ODF}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/>'
+    '<manifest:file-entry manifest:full-path="meta.xml" manifest:media-type="text/xml"/><manifest:file-entry manifest:full-path="settings.xml" manifest:media-type="text/xml"/></manifest:manifest>',
+    "content.xml": "<office:body><text:p>PRESERVED-text<office:annotation><dc:creator>NAME</dc:creator><dc:date>2020-01-01</dc:date><text:p>KEPT</text:p></office:annotation><text:author-name>NAME</text:author-name></text:p></office:body>",
+    "meta.xml": "<office:meta><meta:initial-creator>NAME</meta:initial-creator><meta:generator>Writer/1</meta:generator></office:meta>",
+    "settings.xml": '<office:settings><config:config-item config:name="PrinterName">NAME</config:config-item><config:config-item config:name="Zoom">1</config:config-item></office:settings>',
+}
+ODT_CLEAN = {
+    "mimetype": _ODF,
+    "META-INF/manifest.xml": f'<manifest:manifest><manifest:file-entry manifest:full-path="/" manifest:media-type="{_ODF}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>',
+    "content.xml": "<office:body><text:p>PRESERVED-text<office:annotation><dc:creator></dc:creator><dc:date></dc:date><text:p>KEPT</text:p></office:annotation><text:author-name></text:author-name></text:p></office:body>",
+}
+
+
+def package(parts: dict, c: Column, picture: Column | None = None, time: str = "0000 2100") -> Column:
+    """A package whose parts name c; picture: the bytes of the part that has none."""
+    each = []
+    for name, content in parts.items():
+        pieces = [] if content is None else content.split("NAME")
+        made = Made((picture, size(picture))) if content is None else Made(pieces[0].encode(), *[x for p in pieces[1:] for x in (text(c), p.encode())])
+        each.append((name, made))
+    return zipped(each, time)
+
+
+def plain_archive(parts: dict, picture: bytes = b"") -> bytes:
+    """The archive of these parts as Python's own writer lays it out."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in parts.items():
+            entry = zipfile.ZipInfo(name)
+            entry.create_system = 0
+            z.writestr(entry, picture if content is None else content)
+    return out.getvalue()
+
+
 def files(rows: DataFrame, key: str, content: Column, prefix: str) -> DataFrame:
     """(file_id, path, length, content) of a table's carriers."""
-    out = rows.select(F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string")).alias("file_id"), content.alias("content"))
+    out = fenced(rows.withColumn("file_id", F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string"))), content=content)
     return out.select("file_id", F.concat("file_id", F.lit(".bin")).alias("path"), F.octet_length("content").cast("long").alias("length"), "content")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.detect import detected
-from ..operators import engine, relational, report
+from ..functions.packages import with_packages
+from ..operators import engine, packages, relational, report
 from . import carriers as C
 
 QUERIES: dict = {}
@@ -316,6 +317,83 @@ def strip_heif(spark, sf_dir):
     return done.select("file_id", "format", F.md5("content").alias("md5"), "output_bytes").join(engine.verified(done).select("file_id", "verified"), "file_id")
 
 
+# --- packages --------------------------------------------------------------------------------------------------------
+
+
+def documents_of(spark, sf_dir, parts: dict, name: str, picture: bool = False) -> DataFrame:
+    """A package for each customer, detected by what it declares; its entries have times."""
+    c = F.coalesce("c_name", F.lit(""))
+    content = C.package(parts, c, C.png_text(c) if picture else None, "6180 2157")
+    return detected(with_packages(C.files(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", content, name))).drop("__package")
+
+
+_C = "octet_length(encode(c_name))"
+
+
+def _package_sql(name: str, rows: list[tuple]) -> str:
+    values = " UNION ALL ".join(f"SELECT c_custkey, c_name, {i} AS seq, '{k}' AS kind, '{p}' AS location, {repr(f) if f else 'NULL::VARCHAR'} AS field, ({b})::BIGINT AS bytes FROM customer" for i, (k, p, f, b) in enumerate(rows))
+    return f"SELECT '{name}-' || c_custkey AS file_id, seq, kind, location, field, bytes FROM ({values})"
+
+
+@query("inspect_docx", _package_sql("docx", [
+    ("editing-history", "word/document.xml", "w:rsidR", "19"), ("editing-history", "word/document.xml", "w:rsidP", "19"), ("personal-identity", "word/document.xml", "r:id (to an external local path)", "33"),
+    ("personal-identity", "word/_rels/document.xml.rels", "Relationship (external local path)", "90 + " + _C), ("personal-identity", "docProps/core.xml", "dc:creator", _C), ("editing-history", "docProps/core.xml", "cp:revision", "1"),
+    ("personal-identity", "word/media/image1.png → tEXt", "Author", _C), ("timestamp", "ZIP entry headers", None, "6"),
+]))
+def inspect_docx(spark, sf_dir):
+    """Documents with an author, revision ids, a template under somebody's home folder and a signed picture."""
+    return packages.Package(documents_of(spark, sf_dir, C.DOCX, "docx", True)).findings().select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+@query("strip_docx", f"SELECT 'docx-' || c_custkey AS file_id, 'docx' AS format, '{hashlib.md5(C.plain_archive(C.DOCX_CLEAN, CLEAN['png_text'])).hexdigest()}' AS md5, {len(C.plain_archive(C.DOCX_CLEAN, CLEAN['png_text']))}::BIGINT AS output_bytes FROM customer")
+def strip_docx(spark, sf_dir):
+    done = packages.Package(documents_of(spark, sf_dir, C.DOCX, "docx", True)).stripped()
+    return done.select("file_id", "format", F.md5("content").alias("md5"), "output_bytes")
+
+
+@query("inspect_odt", _package_sql("odt", [
+    ("personal-identity", "content.xml", "dc:creator", _C), ("timestamp", "content.xml", "dc:date", "10"), ("personal-identity", "content.xml", "text:author-name", _C),
+    ("personal-identity", "meta.xml", "meta:initial-creator", _C), ("software-fingerprint", "meta.xml", "meta:generator", "8"),
+    ("device-identity", "settings.xml", "config:config-item (PrinterName)", _C), ("software-fingerprint", "settings.xml", "config:config-item", "2"), ("timestamp", "ZIP entry headers", None, "5"),
+]))
+def inspect_odt(spark, sf_dir):
+    return packages.Package(documents_of(spark, sf_dir, C.ODT, "odt")).findings().select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+@query("strip_odt", f"SELECT 'odt-' || c_custkey AS file_id, 'odt' AS format, '{hashlib.md5(C.plain_archive(C.ODT_CLEAN)).hexdigest()}' AS md5, {len(C.plain_archive(C.ODT_CLEAN))}::BIGINT AS output_bytes, true AS verified FROM customer")
+def strip_odt(spark, sf_dir):
+    """Stripped text documents, each opened and inspected again."""
+    done = packages.Package(documents_of(spark, sf_dir, C.ODT, "odt")).stripped()
+    return done.join(packages.verified(done).select("file_id", "verified"), "file_id").select("file_id", "format", F.md5("content").alias("md5"), "output_bytes", "verified")
+
+
+@query("package_notes", "SELECT 'odt-' || c_custkey AS file_id, 'out-of-scope-content' AS note, 'content.xml (comment text; its authors and dates were removed)' AS location FROM customer")
+def package_notes(spark, sf_dir):
+    return packages.Package(documents_of(spark, sf_dir, C.ODT, "odt")).notes().select("file_id", "note", "location")
+
+
+_MANIFEST = C.ODT["META-INF/manifest.xml"]
+#: Defect -> format, parts, detail.
+_DEFECTS = {
+    "encrypted": ("odt", {**C.ODT, "META-INF/manifest.xml": _MANIFEST.replace("</manifest:manifest>", "<manifest:encryption-data/></manifest:manifest>")}, "unsupported-feature"),
+    "mismatch": ("odt", {**C.ODT, "META-INF/manifest.xml": _MANIFEST.replace("opendocument.text", "opendocument.spreadsheet")}, "broken-index"),
+    "no-manifest": ("odt", {k: v for k, v in C.ODT.items() if k != "META-INF/manifest.xml"}, "missing-marker"),
+    "no-main": ("docx", {**C.DOCX_CLEAN, "[Content_Types].xml": "<Types/>", "word/media/image1.png": "x"}, "missing-marker"),
+    "nested": ("docx", {**C.DOCX_CLEAN, "word/media/image1.png": "PK\x03\x04NAME"}, "unsupported-feature"),
+    "unsafe": ("docx", {**C.DOCX_CLEAN, "word/media/image1.png": "x", "../x": "NAME"}, "unexpected-marker"),
+}
+
+
+@query("package_refusals", " UNION ALL ".join(f"SELECT '{k}-' || s_suppkey AS file_id, 'malformed' AS error_kind, '{f}' AS format, '{d}' AS detail FROM supplier" for k, (f, _, d) in _DEFECTS.items()))
+def package_refusals(spark, sf_dir):
+    """Packages that are refused: encrypted, of two minds, without an index or a main part, with an archive inside or an unsafe name."""
+    rows, out = table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce("s_name", F.lit("")).alias("v")), None
+    for name, (form, parts, _) in _DEFECTS.items():
+        made = C.files(rows, "s_suppkey", C.package(parts, F.col("v")), name).withColumn("format", F.lit(form))
+        out = made if out is None else out.unionByName(made)
+    return packages.Package(out).errors().select("file_id", "error_kind", "format", "detail")
+
+
 @query("cut_merge", """WITH c AS (SELECT l_suppkey AS file_id, l_orderkey AS s, l_orderkey + l_quantity::BIGINT * 20 AS e FROM lineitem),
   m AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
   i AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)

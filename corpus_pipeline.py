@@ -1,4 +1,7 @@
-"""The corpus pipeline: toxicity, near duplicates, secrets, mixing and encoding, each stage on all that the one before kept."""
+"""The corpus pipeline: toxicity, near duplicates, secrets, mixing and encoding, each stage on all that the one before kept.
+
+Every stage takes the columns of documents and leaves others out; an empty table gives an empty one; texts of any length are whole.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +15,34 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar predicts to be toxic go."""
+    """Documents that the toxicity grammar predicts to be toxic go. Null and empty texts are scored as texts without a match; a null id is scored and learned from by nobody."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs.select("doc_id", "text"), labels)
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles and a similarity of 0.8 or more the one of least id stays."""
+    """Of each group of documents linked by five-word shingles and a similarity of 0.8 or more the one of least id stays.
+
+    Null and empty texts and null ids are linked with nothing and stay; rows that share an id are one document, all of whose rows stay or go.
+    """
     found = jaccard.join(docs.select("doc_id", "text"), 5, 80)
     copies = found.where(F.col("component_id") != F.col("doc_id").cast("long")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(materialize(copies, "near-copies").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret is replaced by its kind in brackets; every document stays."""
+    """Each secret is replaced by its kind in brackets; every document stays. n_chars is counted anew, null for a null text."""
     clean = secrets.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to whole documents: twice, once or not at all. Rows that are equal share alike."""
+    """Each document as often as the mix takes it, to whole documents: twice, once or not at all.
+
+    Rows that are equal in id, source and text share alike. Null and empty texts have no words, so the mix takes none of them; a null
+    source is a source of its own.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"))
     taken = mixing.mix(keyed.select("doc_id", "text", "source", "__h"))
     copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
@@ -45,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids and the decoded text of each row, as digests."""
+    """The ids and the decoded text of each row, as digests. A null text is encoded as an empty one."""
     import public_tokenizers
 
     out = sentencepiece_codec.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))

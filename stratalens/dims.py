@@ -234,6 +234,20 @@ OUT_OF_SCOPE = {
     **dict.fromkeys(("mp4", "m4a"), "coded samples (SEI user data and in-band codec headers are not decoded)"),
     "jxl": "a JPEG XL codestream, whose ICC profile and preview frame are coded inside the image data",
 }
+#: Wordings.
+LABELS = {
+    "location": "location", "device-identity": "device identity", "personal-identity": "personal identity", "software-fingerprint": "software fingerprint", "timestamp": "timestamp",
+    "thumbnail": "embedded thumbnail", "editing-history": "editing history", "document-identifier": "document identifier", "colour-profile": "colour profile", "comment": "comment", "other": "other metadata",
+}
+PLAIN_LABELS = {
+    "location": "Place", "device-identity": "Device", "personal-identity": "Person", "software-fingerprint": "Software", "timestamp": "Time", "thumbnail": "Preview picture",
+    "editing-history": "Edits", "document-identifier": "Identifier shared by copies", "colour-profile": "Colour profile", "comment": "Comments", "other": "Other details",
+}
+MARKS = {"direct": "!!", "correlating": "!", "incidental": ""}
+KEPT_BECAUSE = {
+    "removal-would-alter-payload": "without it the content would change", "structurally-required": "the format needs it", "derived-from-payload": "anybody can compute it from the content",
+}
+SKIPS = {"symbolic-link": "symbolic link, not followed", "not-a-file": "not a regular file, skipped", "unreadable": "could not be read"}
 #: Formats that have a walker.
 WALKED = ("png", "jpeg", "gif", "webp", "wav", "flac", "mp3", "jxl", "ogg", "opus", "ogg-flac", "tiff", "svg", "mp4", "m4a", "heif", "avif")
 

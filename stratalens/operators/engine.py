@@ -37,7 +37,7 @@ def _parse(content: int, kind: int, names: list[str], schema):
         import pyarrow as pa
 
         for batch in batches:
-            found = [walk_file(k.as_py(), c.as_py()) for k, c in zip(batch.column(kind), batch.column(content), strict=True)]
+            found = [walk_file(k, c) if k in dims.WALKED else ([], None) for k, c in zip(batch.column(kind).to_pylist(), batch.column(content).to_pylist(), strict=True)]
             segments = pa.array([s for s, _ in found], schema[0])
             errors = pa.array([e for _, e in found], schema[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, segments, errors], names=names)
@@ -45,12 +45,12 @@ def _parse(content: int, kind: int, names: list[str], schema):
     return parse
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """files with a format that has a walker, with segments and error. Other files are left out: `errors` has them."""
+def parsed(files: DataFrame, every: bool = False) -> DataFrame:
+    """files with a format that has a walker, with segments and error. Other files are left out: `errors` has them. every: they stay, without segments."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = files if "format" in files.columns else detected(files)
-    rows = rows.where(F.col("format").isin(*dims.WALKED))
+    rows = rows if every else rows.where(F.col("format").isin(*dims.WALKED))
     schema = T.StructType(list(rows.schema.fields))
     schema.add("segments", T.ArrayType(T._parse_datatype_string(SEGMENT))).add("error", T._parse_datatype_string(ERROR))
     arrow = (to_arrow_type(schema["segments"].dataType), to_arrow_type(schema["error"].dataType))
@@ -143,17 +143,31 @@ def notes(rows: DataFrame) -> DataFrame:
     return regions.unionByName(opaque).unionByName(audio).unionByName(able)
 
 
+def _failure(kind: Column, unsupported: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(kind.alias("error_kind"), none.alias("detail"), F.lit(None).cast("bigint").alias("offset"), none.alias("limit"), unsupported.alias("unsupported_kind"))
+
+
+def looked(files: DataFrame) -> DataFrame:
+    """One row for each file, walked once: decided files, and all others with the error that keeps them from being decided.
+
+    Packages have neither segments nor an error here; see the operators on packages.
+    """
+    found = files if "error_kind" in files.columns and "format" in files.columns else detected(files)
+    rows = decided(parsed(found, every=True))
+    none = F.lit(None).cast("string")
+    pending = F.when(F.col("format").isNull(), _failure(F.col("error_kind"), F.col("unsupported_kind")))
+    pending = pending.when(~F.col("format").isin(*dims.WALKED, *dims.PACKAGES), _failure(F.lit("not-yet-implemented"), none))
+    return rows.withColumn("error", F.coalesce("error", pending))
+
+
 def errors(files: DataFrame) -> DataFrame:
-    """(file_id, error_kind, format, detail, offset, limit, unsupported_kind) of every file that has no report.
+    """(file_id, error_kind, format, detail, offset, limit, unsupported_kind) of every file that has no report. files: content, or rows that were looked at.
 
-    Formats that are detected but have no walker yet are errors too: no file is left out.
+    Formats that are detected but have no walker yet are errors too: no file is left out. Packages are left to their own operators.
     """
-    found = files if "error_kind" in files.columns else detected(files)
-    none = F.lit(None)
-    unknown = found.where(F.col("format").isNull()).select("file_id", "error_kind", "format", none.cast("string").alias("detail"), none.cast("bigint").alias("offset"), none.cast("string").alias("limit"), "unsupported_kind")
-    waiting = found.where(~F.col("format").isin(*dims.WALKED)).select("file_id", F.lit("not-yet-implemented").alias("error_kind"), "format", none.cast("string").alias("detail"), none.cast("bigint").alias("offset"), none.cast("string").alias("limit"), none.cast("string").alias("unsupported_kind"))
-    broken = decided(found).where(F.col("error").isNotNull()).select("file_id", "error.error_kind", "format", "error.detail", "error.offset", "error.limit", "error.unsupported_kind")
-    return unknown.unionByName(waiting).unionByName(broken)
+    rows = files if "decisions" in files.columns else looked(files)
+    return rows.where(F.col("error").isNotNull()).select("file_id", "error.error_kind", "format", "error.detail", "error.offset", "error.limit", "error.unsupported_kind")
 
 
 def little_endian(n: Column) -> Column:
@@ -161,31 +175,31 @@ def little_endian(n: Column) -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(F.floor(n / F.lit(256**i)).cast("long") % 256), 2, "0") for i in range(4)]))
 
 
-def stripped(rows: DataFrame) -> DataFrame:
-    """(file_id, path, format, content, input_bytes, output_bytes) of decided files without an error.
+def with_output(rows: DataFrame) -> DataFrame:
+    """Decided files with output: the stripped bytes, null for those with an error.
 
-    Kept neighbours are one range each, so the concatenation has as many pieces as there are gaps.
+    Kept neighbours are one range each. Where a range starts and where it ends is seen from a segment and its neighbour, and the
+    ranges are joined at once, so the work is linear in segments and in bytes.
     """
-    kept = F.filter("decisions", lambda d: d["action"].isin("keep", "retain", "note", "rewrite", "zero", "declared"))
-    piece = "struct<at:bigint,end:bigint,bytes:binary>"
-    none = F.array().cast(f"array<{piece}>")
-
-    def add(acc, d):
-        replace, at = d["s"]["replace"], d["s"]["off"]
-        end, last = at + d["s"]["len"], F.element_at(acc, -1)
-        joins = replace.isNull() & (F.size(acc) > 0) & F.coalesce(F.get(acc, F.size(acc) - 1)["bytes"].isNull() & (F.get(acc, F.size(acc) - 1)["end"] == at), F.lit(False))
-        one = F.struct(at.alias("at"), end.alias("end"), replace.alias("bytes"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), end.alias("end"), F.lit(None).cast("binary").alias("bytes"))))
-        return F.when(joins, grown).otherwise(F.array_append(acc, one))
-
-    fine = fenced(rows.where(F.col("error").isNull()), __pieces=F.aggregate(kept, none, add))
-    body = F.aggregate("__pieces", F.unhex(F.lit("")), lambda acc, p: F.concat(acc, F.coalesce(p["bytes"], F.substring(F.col("content"), (p["at"] + 1).cast("int"), (p["end"] - p["at"]).cast("int")))))
-    fine = fenced(fine, __body=body)
+    rows = fenced(rows, __held=F.filter("decisions", lambda d: d["action"].isin("keep", "retain", "note", "rewrite", "zero", "declared")))
+    piece = lambda d: F.struct(d["s"]["off"].alias("at"), (d["s"]["off"] + d["s"]["len"]).alias("end"), d["s"]["replace"].alias("bytes"))
+    rows = fenced(rows, __kept=F.transform("__held", piece))
+    joins = lambda a, b: a["bytes"].isNull() & b["bytes"].isNull() & (a["end"] == b["at"])
+    starts = F.filter("__kept", lambda p, i: (i == 0) | ~F.coalesce(joins(F.get("__kept", i - 1), p), F.lit(False)))
+    ends = F.filter("__kept", lambda p, i: ~F.coalesce(joins(p, F.get("__kept", i + 1)), F.lit(False)))
+    rows = fenced(rows, __pieces=F.zip_with(starts, ends, lambda a, b: F.struct(a["at"], b["end"], a["bytes"].alias("bytes"))))
+    part = lambda p: F.hex(F.coalesce(p["bytes"], F.substring(F.col("content"), (p["at"] + 1).cast("int"), (p["end"] - p["at"]).cast("int"))))
+    rows = fenced(rows, __body=F.unhex(F.array_join(F.transform("__pieces", part), "")))
     form = F.when(F.col("format") == "webp", F.encode(F.lit("WEBP"), "UTF-8")).otherwise(F.encode(F.lit("WAVE"), "UTF-8"))
     riff = F.concat(F.encode(F.lit("RIFF"), "UTF-8"), little_endian(F.octet_length("__body").cast("long") + 4), form, F.col("__body"))
-    out = F.when(F.col("format").isin("webp", "wav"), riff).otherwise(F.col("__body"))
-    fine = fenced(fine, __out=out)
-    return fine.select("file_id", "path", "format", F.col("__out").alias("content"), F.octet_length("content").cast("long").alias("input_bytes"), F.octet_length("__out").cast("long").alias("output_bytes"))
+    out = F.when(F.col("error").isNull() & F.col("format").isin(*dims.WALKED), F.when(F.col("format").isin("webp", "wav"), riff).otherwise(F.col("__body")))
+    return fenced(rows, output=out).drop("__held", "__kept", "__pieces", "__body")
+
+
+def stripped(rows: DataFrame) -> DataFrame:
+    """(file_id, path, format, content, input_bytes, output_bytes) of decided files without an error."""
+    fine = with_output(rows.where(F.col("error").isNull()))
+    return fine.select("file_id", "path", "format", F.col("output").alias("content"), F.octet_length("content").cast("long").alias("input_bytes"), F.octet_length("output").cast("long").alias("output_bytes"))
 
 
 def verified(done: DataFrame) -> DataFrame:

@@ -66,22 +66,22 @@ def ogg_pages(data: bytes, w: Walk) -> list[tuple[int, bytes, int, bytes, bytes,
 
 def ogg_packets(pages) -> list[list]:
     """[bytes, granule, whether its page ends with it] of each packet."""
-    out, held = [], None
+    out, held = [], []  # held: the pieces of the packet in hand
     for flags, granule, _, lacing, body, at in pages:
-        if bool(flags & CONTINUED) != (held is not None):
+        if bool(flags & CONTINUED) != bool(held):
             raise Doubt("unexpected-marker", at)
         done, p = 0, 0
         for n in lacing:
-            held = (held or b"") + body[p : p + n]
+            held.append(body[p : p + n])
             p += n
             if n < 255:
-                out.append([held, granule, False])
-                held, done = None, done + 1
+                out.append([b"".join(held), granule, False])
+                held, done = [], done + 1
         if done:
             out[-1][2] = True
         elif granule != NO_GRANULE:
             raise Doubt("unexpected-marker", at)
-    if held is not None:
+    if held:
         raise Doubt("truncated", pages[-1][5])
     if not out:
         raise Doubt("missing-marker", 0)

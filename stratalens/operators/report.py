@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 
+NULLS = {"ignoreNullFields": "false"}
 
-def _listed(rows: DataFrame, columns: list, order: list[str], name: str) -> DataFrame:
-    """The rows of each file as one sorted array of structs."""
-    return rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("v")))).alias("l")).select("file_id", F.transform("l", lambda x: x["v"]).alias(name))
+
+def label(table: dict[str, str], name: Column) -> Column:
+    """The wording of a name; a name without one is shown as it is."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name), name)
+
+
+def sensitivity(kind: Column) -> Column:
+    return label({k: s for k, s, _ in dims.KINDS}, kind)
+
+
+def _listed(rows: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
+    """The rows of each file as one sorted array."""
+    return rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))).alias("l")).select("file_id", F.transform("l", lambda x: x["v"]).alias(name))
+
+
+def finding_json() -> Column:
+    """A finding as a JSON object. Its value is a text, or what an opaque value measures, or null."""
+    quoted = F.to_json(F.array("value_text"))
+    value = F.when(F.col("value_text").isNotNull(), F.substring(quoted, 2, F.length(quoted) - 2)).when(F.col("value_opaque_bytes").isNotNull(), F.to_json(F.struct(F.col("value_opaque_bytes").alias("opaque_bytes")))).otherwise("null")
+    head = F.to_json(F.struct("kind", sensitivity(F.col("kind")).alias("sensitivity"), "location", "field", "bytes"), NULLS)
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"value":'), value, F.lit("}"))
+
+
+def note_json() -> Column:
+    """A note as a JSON object with the fields of its sort."""
+    each = F.when(F.col("note") == "unparsed-region", F.to_json(F.struct("note", "location", "bytes"))).when(F.col("note") == "capability-removed", F.to_json(F.struct("note", "location", "capability")))
+    return each.otherwise(F.to_json(F.struct("note", "location")))
+
+
+def _joined(column: str) -> Column:
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.col(column), ","), F.lit("")), F.lit("]"))
+
+
+def _object(head: Column, **arrays: str) -> Column:
+    """A JSON object with arrays of objects after its plain fields."""
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), *[x for name, c in arrays.items() for x in (F.lit(f',"{name}":'), _joined(c))])
 
 
 def show_json(files: DataFrame, findings: DataFrame, notes: DataFrame, errors: DataFrame) -> DataFrame:
@@ -18,26 +52,72 @@ def show_json(files: DataFrame, findings: DataFrame, notes: DataFrame, errors: D
 
     findings with value_text and value_opaque_bytes. files: file_id, path, format.
     """
-    ranks = F.create_map(*[F.lit(x) for k, s, _ in dims.KINDS for x in (k, s)])
-    value = F.struct(F.col("value_text").alias("text"), F.col("value_opaque_bytes").alias("opaque_bytes"))
-    one = [F.col("kind"), F.element_at(ranks, F.col("kind")).alias("sensitivity"), F.col("location"), F.col("field"), F.col("bytes"), value.alias("value")]
-    per = _listed(findings, one, ["seq"], "findings")
-    noted = _listed(notes, [F.col("note"), F.col("location"), F.col("bytes"), F.col("capability")], ["note", "location"], "notes")
+    per, noted = _listed(findings, finding_json(), ["seq"], "findings"), _listed(notes, note_json(), ["note", "location"], "notes")
     rows = files.select("file_id", "path", "format").join(per, "file_id", "left").join(noted, "file_id", "left").join(errors.select("file_id", "error_kind"), "file_id", "left")
-    good = F.to_json(F.struct("path", "format", F.lit("inspected").alias("status"), F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"), F.coalesce("notes", F.array().cast(noted.schema["notes"].dataType)).alias("notes")))
+    good = F.concat(_object(F.to_json(F.struct("path", "format", F.lit("inspected").alias("status"))), findings="findings", notes="notes"), F.lit("}"))
     bad = F.to_json(F.struct("path", F.lit("failed").alias("status"), F.col("error_kind").alias("error")))
     return rows.select("file_id", F.when(F.col("error_kind").isNull(), good).otherwise(bad).alias("json"))
 
 
-def show_text(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """(file_id, text): the path and format, then a line for each finding."""
-    line = F.concat(F.lit("  "), "kind", F.lit("  "), "location", F.coalesce(F.concat(F.lit(" / "), F.col("field")), F.lit("")), F.lit("  "), F.col("bytes").cast("string"), F.lit(" bytes"))
-    per = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))).alias("l"))
-    rows = files.select("file_id", "path", "format").join(per, "file_id", "left")
-    return rows.select("file_id", F.concat_ws("\n", F.concat("path", F.lit(": "), F.coalesce("format", F.lit("unknown"))), F.transform("l", lambda x: x["t"])).alias("text"))
+def finding_line() -> Column:
+    mark = F.lpad(label(dims.MARKS, sensitivity(F.col("kind"))), 2, " ")
+    value = F.when(F.col("value_text").isNotNull(), F.concat(F.lit(" = "), "value_text")).when(F.col("value_opaque_bytes").isNotNull(), F.concat(F.lit(" = <"), F.col("value_opaque_bytes").cast("string"), F.lit(" bytes>"))).otherwise("")
+    return F.concat(mark, F.lit(" "), label(dims.LABELS, F.col("kind")), F.lit(" — "), "location", F.coalesce(F.concat(F.lit(" /"), F.col("field")), F.lit("")), value)
+
+
+def note_line() -> Column:
+    region = F.concat("location", F.lit(" could not be parsed; its "), F.coalesce("bytes", F.lit(0)).cast("string"), F.lit(" bytes are untouched, with whatever they hold"))
+    able = F.concat("location", F.lit(" was removed: the file can no longer "), "capability")
+    return F.when(F.col("note") == "unparsed-region", region).when(F.col("note") == "capability-removed", able).otherwise(F.concat(F.lit("contains "), "location", F.lit(", which is not opened: check it by itself")))
+
+
+def _lines(rows: DataFrame, line: Column, order: list[str], name: str, start: str) -> DataFrame:
+    return _listed(rows, F.concat(F.lit(start), line), order, name)
+
+
+def show_text(files: DataFrame, findings: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """(file_id, text): the path and format, then a line for each finding and note."""
+    rows = files.select("file_id", "path", "format").join(_lines(findings, finding_line(), ["seq"], "l", "  "), "file_id", "left")
+    rows = rows.join(_lines(notes, note_line(), ["note", "location"], "n", "  note: "), "file_id", "left") if notes is not None else rows.withColumn("n", F.array().cast("array<string>"))
+    none = F.when(F.col("l").isNull(), F.lit("  nothing found"))
+    return rows.select("file_id", F.concat_ws("\n", F.concat("path", F.lit("  ["), F.coalesce("format", F.lit("unknown")), F.lit("]")), none, "l", "n").alias("text"))
+
+
+def strip_reports(files: DataFrame, findings: DataFrame, retained: DataFrame, notes: DataFrame) -> DataFrame:
+    """(file_id, json, text) of what strip did. files: file_id, path, format, input_bytes, output_path, output_bytes, error_kind."""
+    rows = files.join(_listed(findings, finding_json(), ["seq"], "removed"), "file_id", "left").join(_listed(notes, note_json(), ["note", "location"], "noted"), "file_id", "left")
+    rows = rows.join(_lines(findings, finding_line(), ["seq"], "l", "  removed "), "file_id", "left").join(_lines(notes, note_line(), ["note", "location"], "n", "  note: "), "file_id", "left")
+    kept = F.concat("location", F.lit(" ("), label(dims.KEPT_BECAUSE, F.col("reason")), F.lit(")"))
+    rows = rows.join(_lines(retained, kept, ["location", "reason"], "k", "  kept "), "file_id", "left")
+    head = F.to_json(F.struct("path", F.col("output_path").alias("output"), "format", F.lit("stripped").alias("status")))
+    sizes = F.concat(F.lit(',"input_bytes":'), F.col("input_bytes").cast("string"), F.lit(',"output_bytes":'), F.col("output_bytes").cast("string"), F.lit("}"))
+    good = F.concat(_object(head, removed="removed", notes="noted"), sizes)
+    bad = F.to_json(F.struct("path", F.lit("failed").alias("status"), F.col("error_kind").alias("error")))
+    first = F.concat("path", F.lit(" -> "), "output_path", F.lit("  ["), "format", F.lit("]"))
+    none = F.when(F.col("l").isNull(), F.lit("  nothing to remove; wrote a clean copy"))
+    text = F.when(F.col("error_kind").isNull(), F.concat_ws("\n", first, none, "l", "k", "n")).otherwise(F.concat("path", F.lit(": "), "error_kind"))
+    return rows.select("file_id", F.when(F.col("error_kind").isNull(), good).otherwise(bad).alias("json"), text.alias("text"))
+
+
+def summary(findings: DataFrame, retained: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, found, removed, kept, summary) of stripped files: all that was found is removed."""
+    per = findings.groupBy("file_id").agg(F.count("*").alias("found"))
+    kept = retained.groupBy("file_id").agg(F.count("*").alias("kept"))
+    rows = files.select("file_id").join(per, "file_id", "left").join(kept, "file_id", "left").fillna(0, ["found", "kept"])
+    items = lambda c: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, " item").otherwise(" items"))
+    line = F.concat(F.lit("Found "), items("found"), F.lit(", removed "), items("found"), F.lit(", kept "), items("kept"))
+    return rows.select("file_id", "found", F.col("found").alias("removed"), "kept", F.when(F.col("found") + F.col("kept") == 0, "Found nothing to remove").otherwise(line).alias("summary"))
+
+
+def groups(findings: DataFrame) -> DataFrame:
+    """(file_id, sensitivity, mark, kind, label, fields): what was removed from each file, by kind."""
+    per = findings.groupBy("file_id", "kind").agg(F.count("*").alias("fields"))
+    return per.select("file_id", sensitivity(F.col("kind")).alias("sensitivity"), label(dims.MARKS, sensitivity(F.col("kind"))).alias("mark"), "kind", label(dims.PLAIN_LABELS, F.col("kind")).alias("label"), "fields")
 
 
-def envelope(json_rows: DataFrame, version: str) -> DataFrame:
-    """One document for a small batch: the version and all files' objects in order of file. For large batches write the rows themselves."""
+def envelope(json_rows: DataFrame, version: str, most: int = 10_000) -> DataFrame:
+    """One document for a small batch: the version and all files' objects in order of file. Larger batches are refused: write the rows themselves."""
+    if json_rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files: write the rows themselves")
     ordered = F.array_sort(F.collect_list(F.struct("file_id", "json")))
     return json_rows.agg(F.concat(F.lit(f'{{"version":"{version}","files":['), F.concat_ws(",", F.transform(ordered, lambda x: x["json"])), F.lit("]}")).alias("json"))

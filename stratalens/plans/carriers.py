@@ -288,6 +288,7 @@ def plain_archive(parts: dict, picture: bytes = b"") -> bytes:
             entry = zipfile.ZipInfo(name)
             entry.create_system = 0
             z.writestr(entry, picture if content is None else content)
+            entry.external_attr = 0
     return out.getvalue()
 
 

@@ -1,11 +1,15 @@
 """The file listing source: every regular file below some folders or files, and a row for everything that was passed over.
 
-Unlike the built-in binary source it reports empty files, dot-files and skipped entries, and never follows links. Listing
-happens at planning, folder by folder, on names and sizes alone; bytes are read by the tasks, bounded by maxBytes: a file
-that is larger, or that has grown since it was listed, gives an error row and no content.
+Unlike the built-in binary source it reports empty files, dot-files and skipped entries, and never follows links. Folders are
+listed by tasks, level by level: the folders that one level finds are the next level's rows, so a tree of any width passes
+through no single machine. Files are dealt to tasks by size; a task reads them in batches of bounded bytes. A file that is larger than
+max_bytes, or has grown beyond it since it was listed, gives an error row and no content.
 
-Columns: file_id, path, length, content, error_kind, skip_reason, error. Options: path (roots, one a line), maxBytes,
-partitionBytes. A row has content, or error_kind (input-too-large, io), or skip_reason (symbolic-link, not-a-file, unreadable).
+Roots are paths or URIs. Plain paths and file: URIs are read as the machine's own files, which on a cluster must be mounted on
+all machines; other URIs are opened by the Arrow file system of their scheme, where links do not exist.
+
+Columns: file_id, path, length, content, error_kind, skip_reason, error. A row has content, or error_kind (input-too-large,
+io), or skip_reason (symbolic-link, not-a-file, unreadable).
 """
 
 from __future__ import annotations
@@ -17,104 +21,149 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .shared import written
 
 SCHEMA = "file_id string, path string, length bigint, content binary, error_kind string, skip_reason string, error string"
+ENTRIES = "path string, kind string, size bigint, error string"
 
 
-def listing(root: str) -> tuple[list[tuple[str, int]], list[tuple[str, str, str | None]], int]:
-    """(path, size) of regular files, (path, reason, error) of other entries, and the number of folders. Nothing is read."""
-    files, skipped, folders = [], [], 0
+def local(path: str) -> str | None:
+    """The machine's own path of a path or file: URI; None for other schemes."""
+    return path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else None if "://" in path else path
 
-    def entry(path: str, top: bool = False) -> None:
-        try:
-            info = os.stat(path) if top else os.lstat(path)
-        except OSError as e:
-            skipped.append((path, "unreadable", e.strerror))
-            return
-        if stat.S_ISDIR(info.st_mode):
-            pending.append(path)
-        elif stat.S_ISREG(info.st_mode):
-            files.append((path, info.st_size))
-        else:
-            skipped.append((path, "symbolic-link" if stat.S_ISLNK(info.st_mode) else "not-a-file", None))
 
-    pending: list[str] = []
-    entry(root, top=True)
-    while pending:
-        folder = pending.pop()
+def remote(path: str):
+    """The Arrow file system of a URI, the path in it, and what makes a path a URI again."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)]
+
+
+def entry(path: str, follow: bool = False) -> tuple[str, str, int | None, str | None]:
+    """(path, kind, size, error) of one of the machine's own entries. kind: file, folder, or why it is passed over."""
+    try:
+        info = os.stat(path) if follow else os.lstat(path)
+    except OSError as e:
+        return path, "unreadable", None, e.strerror
+    if stat.S_ISDIR(info.st_mode):
+        return path, "folder", None, None
+    if stat.S_ISREG(info.st_mode):
+        return path, "file", info.st_size, None
+    return path, "symbolic-link" if stat.S_ISLNK(info.st_mode) else "not-a-file", None, None
+
+
+def children(path: str) -> list[tuple]:
+    """The entries of a folder."""
+    own = local(path)
+    if own is not None:
         try:
-            names = os.listdir(folder)
+            names = os.listdir(own)
         except OSError as e:
-            skipped.append((folder, "unreadable", e.strerror))
-            continue
-        folders += 1
-        for name in names:
-            entry(os.path.join(folder, name))
-    return files, skipped, folders
-
-
-class Batch(InputPartition):
-    def __init__(self, files, skipped):
-        self.files, self.skipped = files, skipped
-
-
-class FileWalkReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = [r for r in options["path"].split("\n") if r]
-        self.most = int(options.get("maxbytes", 512 << 20))
-        self.share = int(options.get("partitionbytes", 64 << 20))
-
-    def partitions(self):
-        files, skipped = [], []
-        for root in self.roots:
-            found, passed, _ = listing(root.removeprefix("file://"))
-            files += found
-            skipped += passed
-        out, held, total = [], [], 0
-        for path, size in sorted(set(files)):
-            if held and (total + size > self.share or len(held) >= 10_000):
-                out.append(Batch(held, []))
-                held, total = [], 0
-            held.append((path, size))
-            total += min(size, self.most)
-        return [*out, Batch(held, sorted(set(skipped), key=lambda s: s[0]))]
-
-    def read(self, part):
-        for path, size in part.files:
-            if size > self.most:
-                yield path, path, size, None, "input-too-large", None, None
-                continue
-            try:
-                with open(path, "rb") as f:
-                    data = f.read(self.most + 1)
-            except OSError as e:
-                yield path, path, size, None, "io", None, e.strerror
-                continue
-            if len(data) > self.most:
-                yield path, path, len(data), None, "input-too-large", None, None
-            else:
-                yield path, path, len(data), data, None, None, None
-        for path, reason, error in part.skipped:
-            yield path, path, None, None, None, reason, error
-
-
-class FileWalk(DataSource):
-    @classmethod
-    def name(cls):
-        return "filewalk"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return FileWalkReader(dict(self.options))
-
-
-def walk(spark: SparkSession, roots: list[str], max_bytes: int = 512 << 20, partition_bytes: int = 64 << 20) -> DataFrame:
-    """All rows of the source."""
-    spark.dataSource.register(FileWalk)
-    return spark.read.format("filewalk").options(maxBytes=max_bytes, partitionBytes=partition_bytes).load("\n".join(roots))
+            return [(path, "unreadable", None, e.strerror)]
+        return [entry(os.path.join(own, name)) for name in names]
+    from pyarrow import fs
+
+    system, inner, prefix = remote(path)
+    try:
+        listed = system.get_file_info(fs.FileSelector(inner))
+    except OSError as e:
+        return [(path, "unreadable", None, str(e))]
+    kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}
+    return [(prefix + i.path, kinds.get(i.type, "not-a-file"), i.size if i.is_file else None, None) for i in listed]
+
+
+def root_entry(path: str) -> tuple:
+    """A root itself; a link that is given as a root is followed."""
+    own = local(path)
+    if own is not None:
+        return entry(own, follow=True)
+    from pyarrow import fs
+
+    system, inner, _ = remote(path)
+    info = system.get_file_info(inner)
+    kinds = {fs.FileType.File: "file", fs.FileType.Directory: "folder", fs.FileType.NotFound: "unreadable"}
+    return path, kinds.get(info.type, "not-a-file"), info.size if info.is_file else None, "not found" if info.type == fs.FileType.NotFound else None
+
+
+def _each(find):
+    def listed(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                rows = find(path)
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "kind", "size", "error"])
+
+    return listed
+
+
+def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """ENTRIES below the roots, folders among them, each once."""
+    level = spark.createDataFrame([(r,) for r in roots], "path string").mapInArrow(_each(lambda p: [root_entry(p)]), ENTRIES)
+    level = written(level, "listing")
+    found = level
+    while level.where("kind = 'folder'").limit(1).count():
+        folders = level.where("kind = 'folder'").select("path").repartition("path")
+        level = written(folders.mapInArrow(_each(children), ENTRIES), "listing")
+        found = found.unionByName(level)
+    return found.distinct()
+
+
+def read(path: str, most: int) -> tuple[int | None, bytes | None, str | None, str | None]:
+    """(length, content, error_kind, error) of one file, never more than one byte beyond the limit."""
+    try:
+        own = local(path)
+        if own is not None:
+            with open(own, "rb") as f:
+                data = f.read(most + 1)
+        else:
+            system, inner, _ = remote(path)
+            with system.open_input_stream(inner) as f:
+                data = f.read(most + 1)
+    except OSError as e:
+        return None, None, "io", e.strerror or str(e)
+    return (len(data), None, "input-too-large", None) if len(data) > most else (len(data), data, None, None)
+
+
+def _reader(most: int, share: int):
+    def reader(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string())
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+
+        for b in batches:
+            rows, held = [], 0
+            for path, kind, size, error in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "size", "error")), strict=True):
+                if kind != "file":
+                    rows.append((path, path, None, None, None, kind, error))
+                    continue
+                length, data, failed, why = (size, None, "input-too-large", None) if size > most else read(path, most)
+                rows.append((path, path, size if length is None else length, data, failed, None, why))
+                held += length or 0
+                if held >= share:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
+
+    return reader
+
+
+def walk(spark: SparkSession, roots: list[str], max_bytes: int = 512 << 20, partition_bytes: int = 64 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+    """All rows of the source. The listing is written when this is called; contents are read when the rows are."""
+    entries = listing(spark, roots).where("kind <> 'folder'")
+    entries = written(entries, "entries")
+    size = F.least(F.coalesce("size", F.lit(0)), F.lit(max_bytes)) + 4096  # opening a file counts too
+    total = entries.agg(F.sum(size)).first()[0] or 0
+    dealt = entries.repartition(max(1, -(-total // partition_bytes)), "path").sortWithinPartitions("path")
+    return dealt.mapInArrow(_reader(max_bytes, batch_bytes), SCHEMA)
 
 
 def files(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 A task writes beside the destination under a name of its own attempt, flushes it to disk, and renames it; without
 `replace` an existing destination stays and the row says so. New files are readable by their owner only.
+
+Destinations are paths or URIs. Plain paths and file: URIs are the machine's own, which on a cluster must be mounted on all
+machines; other URIs are written through the Arrow file system of their scheme: there a rename is as atomic as the store makes
+it, permissions are the store's, and whether a destination exists is looked up before the rename.
 """
 
 from __future__ import annotations
@@ -12,11 +16,16 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from .filewalk import local, remote
+
 RESULT = "file_id string, output_path string, output_bytes bigint, error_kind string"
 
 
 def put(path: str, data: bytes, tag: str, replace: bool, inherit: bool = False) -> str | None:
     """Writes one file; returns the kind of error, if any."""
+    if local(path) is None:
+        return put_remote(path, data, tag, replace)
+    path = local(path)
     temporary = os.path.join(os.path.dirname(path) or ".", f".{os.path.basename(path)}.{tag}.part")
     try:
         mode = os.stat(path).st_mode & 0o777 if inherit and os.path.exists(path) else 0o600
@@ -42,6 +51,27 @@ def put(path: str, data: bytes, tag: str, replace: bool, inherit: bool = False)
     return None
 
 
+def put_remote(path: str, data: bytes, tag: str, replace: bool) -> str | None:
+    """The same in a store."""
+    from pyarrow import fs
+
+    system, inner, _ = remote(path)
+    folder, _, name = inner.rpartition("/")
+    temporary = f"{folder}/.{name}.{tag}.part"
+    try:
+        with system.open_output_stream(temporary) as f:
+            f.write(data)
+        if system.get_file_info(inner).type != fs.FileType.NotFound:
+            if not replace:
+                system.delete_file(temporary)
+                return "output-exists"
+            system.delete_file(inner)
+        system.move(temporary, inner)
+    except OSError:
+        return "io"
+    return None
+
+
 def _writer(replace: bool):
     def write(batches):
         import pyarrow as pa

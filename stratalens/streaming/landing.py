@@ -1,8 +1,9 @@
-"""Incremental reports over a landing directory of binary rows: each micro-batch is inspected like a batch, and appended.
+"""Incremental reports over a landing directory of binary rows: each micro-batch is inspected like a batch.
 
 A Structured Streaming use of the same plan, beyond what a batch of files needs. The stream's rows have file_id, path and
-content; a file_id that has been reported is left out by the watermark-free append of distinct ids per batch only, so
-producers must not send an id twice.
+content. Each micro-batch is walked once, and its reports are written below a folder of its own number, which a repeated
+micro-batch replaces: so a failure between the write and the checkpoint leaves no row twice. An id that comes again in a
+later micro-batch is reported again.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import engine
+from ..sources.shared import released, written
 
 
 def inspect_stream(files: DataFrame, findings_path: str, errors_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the query; findings and errors are Parquet folders."""
+    """Starts the query; findings and errors are Parquet folders with a partition column batch."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        engine.findings(engine.decided(batch)).write.mode("append").parquet(findings_path)
-        engine.errors(batch).write.mode("append").parquet(errors_path)
-        batch.unpersist()
+    def each(batch: DataFrame, number: int) -> None:
+        rows = written(engine.looked(batch).drop("content"), "landing")
+        engine.findings(rows).write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
+        engine.errors(rows).write.mode("overwrite").parquet(f"{errors_path}/batch={number}")
+        released(rows)
 
     out = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

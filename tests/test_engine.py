@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens import catalog, dims
 from stratalens.functions.detect import detected
-from stratalens.operators import isobmff, engine, markup, rebuilders, relational, walkers
+from stratalens.operators import engine, isobmff, markup, rebuilders, relational, walkers
 from stratalens.plans import batch, queries
 from stratalens.sources import filewalk, sink
 

@@ -64,6 +64,18 @@ def ogg_pages(data: bytes, w: Walk) -> list[tuple[int, bytes, int, bytes, bytes,
     return out
 
 
+def restamped(data: bytes) -> bytes:
+    """Pages with their checksums made anew."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at + 26]
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        bare = data[at : at + 22] + bytes(4) + data[at + 26 : end]
+        out.append(bare[:22] + struct.pack("<I", ogg_crc(bare)) + bare[26:])
+        at = end
+    return b"".join(out)
+
+
 def ogg_packets(pages) -> list[list]:
     """[bytes, granule, whether its page ends with it] of each packet."""
     out, held = [], []  # held: the pieces of the packet in hand

@@ -12,6 +12,7 @@ from ..functions.detect import detected
 from ..functions.packages import with_packages
 from ..operators import engine, packages, relational, report
 from . import carriers as C
+from . import samples as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,7 +209,7 @@ def exit_code(spark, sf_dir):
     return relational.exit_code(rows, ["batch"])
 
 
-@query("show_json")
+@query("show_json", """SELECT 'wav_info-' || s_suppkey AS file_id, '{"path":"wav_info-' || s_suppkey || '.bin","format":"wav","status":"inspected","findings":[{"kind":"personal-identity","sensitivity":"direct","location":"LIST INFO","field":"Artist","bytes":' || octet_length(encode(s_name)) || ',"value":' || to_json(s_name) || '}],"notes":[{"note":"out-of-scope-content","location":"audio samples, which are copied without being decoded"}]}' AS json FROM supplier""")
 def show_json(spark, sf_dir):
     files = files_of(spark, sf_dir, "wav_info")
     rows = engine.decided(files)
@@ -394,6 +395,73 @@ def package_refusals(spark, sf_dir):
     return packages.Package(out).errors().select("file_id", "error_kind", "format", "detail")
 
 
+# --- samples of every format -----------------------------------------------------------------------------------------
+
+
+def sample_files(spark, sf_dir) -> DataFrame:
+    return S.files(table(spark, sf_dir, "supplier"), "s_suppkey", F.col("s_name"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+_FOUND = _values([(name, i, *row) for name, rows in S.FOUND.items() for i, row in enumerate(rows)])
+
+
+@query("inspect_samples", f"SELECT t.sample || '/' || s_suppkey AS file_id, t.seq AS seq, t.kind AS kind, t.location AS location, t.field AS field, t.bytes::BIGINT AS bytes FROM supplier, (VALUES {_FOUND}) t(sample, seq, kind, location, field, bytes)")
+def inspect_samples(spark, sf_dir):
+    """A file of each format with most kinds of metadata that it can hold, for each supplier."""
+    return engine.findings(engine.decided(sample_files(spark, sf_dir))).select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+@query("strip_samples", f"SELECT t.sample || '/' || s_suppkey AS file_id, t.sample AS format, true AS survives, false AS leaks, 0 AS residual, true AS verified FROM supplier, (VALUES {_values([(s,) for s in S.SAMPLES])}) t(sample)")
+def strip_samples(spark, sf_dir):
+    """Stripped samples: the supplier's name is in none, what must survive is in all, and each is inspected again without a finding."""
+    done = engine.stripped(engine.decided(sample_files(spark, sf_dir)))
+    name = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.rpad("s_name", 18, " ").alias("name"))
+    text = F.decode("content", "ISO-8859-1")
+    rows = done.withColumn("k", F.split_part("file_id", F.lit("/"), F.lit(2)).cast("long")).join(name, "k")
+    rows = rows.select("file_id", "format", F.contains(text, F.lit("PRESERVED")).alias("survives"), F.contains(text, F.col("name")).alias("leaks"))
+    return rows.join(engine.verified(done).select("file_id", "residual", "verified"), "file_id")
+
+
+@query("retained_samples", f"SELECT t.sample || '/' || s_suppkey AS file_id, t.location AS location, t.reason AS reason FROM supplier, (VALUES {_values(S.KEPT)}) t(sample, location, reason)")
+def retained_samples(spark, sf_dir):
+    return engine.retained(engine.decided(sample_files(spark, sf_dir)))
+
+
+@query("notes_samples", f"SELECT t.sample || '/' || s_suppkey AS file_id, t.note AS note, t.location AS location FROM supplier, (VALUES {_values(S.NOTED)}) t(sample, note, location)")
+def notes_samples(spark, sf_dir):
+    return engine.notes(engine.decided(sample_files(spark, sf_dir))).select("file_id", "note", "location")
+
+
+@query("removed_by_file", f"""SELECT file_id, sensitivity, mark, kind, label, count(*) AS fields FROM (SELECT t.sample || '/' || s_suppkey AS file_id, k.sensitivity, k.mark, t.kind, k.label
+  FROM supplier, (VALUES {_FOUND}) t(sample, seq, kind, location, field, bytes) JOIN (VALUES {_values([(k, s, dims.MARKS[s], dims.PLAIN_LABELS[k]) for k, s, _ in dims.KINDS])}) k(kind, sensitivity, mark, label) ON k.kind = t.kind) GROUP BY ALL""")
+def removed_by_file(spark, sf_dir):
+    """What was removed from each sample, by kind, in plain words."""
+    return report.groups(engine.findings(engine.decided(sample_files(spark, sf_dir))))
+
+
+@query("strip_summary", f"""WITH f AS (SELECT sample, count(*) AS n FROM (VALUES {_FOUND}) t(sample, seq, kind, location, field, bytes) GROUP BY sample), k AS (SELECT sample, count(*) AS n FROM (VALUES {_values(S.KEPT)}) t(sample, location, reason) GROUP BY sample)
+  SELECT f.sample || '/' || s_suppkey AS file_id, f.n AS found, f.n AS removed, coalesce(k.n, 0) AS kept, 'Found ' || f.n || CASE f.n WHEN 1 THEN ' item' ELSE ' items' END || ', removed ' || f.n || CASE f.n WHEN 1 THEN ' item' ELSE ' items' END || ', kept ' || coalesce(k.n, 0) || CASE k.n WHEN 1 THEN ' item' ELSE ' items' END AS summary
+  FROM supplier, f LEFT JOIN k ON f.sample = k.sample""")
+def strip_summary(spark, sf_dir):
+    rows = engine.decided(sample_files(spark, sf_dir))
+    return report.summary(engine.findings(rows), engine.retained(rows), rows)
+
+
+@query("strip_json", f"""SELECT 'wav_info-' || s_suppkey AS file_id, '{{"path":"wav_info-' || s_suppkey || '.bin","output":"/out/wav_info-' || s_suppkey || '.stripped.bin","format":"wav","status":"stripped","removed":[{{"kind":"personal-identity","sensitivity":"direct","location":"LIST INFO","field":"Artist","bytes":' || octet_length(encode(s_name)) || ',"value":' || to_json(s_name) || '}}],"notes":[{{"note":"out-of-scope-content","location":"audio samples, which are copied without being decoded"}}],"input_bytes":' || ({len(CLEAN['wav_info'])} + 20 + octet_length(encode(s_name)) + octet_length(encode(s_name)) % 2) || ',"output_bytes":{len(CLEAN['wav_info'])}}}' AS json,
+  'wav_info-' || s_suppkey || '.bin -> /out/wav_info-' || s_suppkey || '.stripped.bin  [wav]' || chr(10) || '  removed !! personal identity — LIST INFO /Artist = ' || s_name || chr(10) || '  note: contains audio samples, which are copied without being decoded, which is not opened: check it by itself' AS text FROM supplier""")
+def strip_json(spark, sf_dir):
+    """The reports of stripped files, with values, in JSON and as text."""
+    rows = engine.decided(files_of(spark, sf_dir, "wav_info"))
+    done = engine.stripped(rows)
+    named = relational.output_names(done.select("file_id", "path"), "/out").select("file_id", "output_path")
+    facts = done.select("file_id", "path", "format", "input_bytes", "output_bytes", F.lit(None).cast("string").alias("error_kind")).join(named, "file_id")
+    return report.strip_reports(facts, engine.findings(rows, True), engine.retained(rows), engine.notes(rows))
+
+
 @query("cut_merge", """WITH c AS (SELECT l_suppkey AS file_id, l_orderkey AS s, l_orderkey + l_quantity::BIGINT * 20 AS e FROM lineitem),
   m AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
   i AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)

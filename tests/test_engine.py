@@ -252,3 +252,37 @@ def test_streaming_landing(spark, tmp_path, rows):
     inspect_stream(stream, str(tmp_path / "found"), str(tmp_path / "errors"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "errors")).count() == len(BAD)
     assert spark.read.parquet(str(tmp_path / "found")).select("file_id").distinct().count() == len(FILES)
+
+
+def test_records_of_runs(spark, tmp_path):
+    from stratalens.sources import runs
+
+    for name, date, seconds in (("a", "2026-01-02T03:04:05Z", 7200), ("b-aborted", "2026-01-03T00:00:00Z", 60), ("c", "never", 7200)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.md").write_text(f"# run\n- Date: {date}\n- Duration: {seconds}s\n\n| target | cov | gain | time | rate | crashes |\n|---|---|---|---|---|---|\n| png | 1200 | 30 | {seconds}s of 7200s | 9 | 0 |\n| gif | 5 | 0 | {seconds}s of 7200s | 9 | 2 |\n")
+        (tmp_path / name / "cov-png.tsv").write_text("0\t10\n60\t20\nbad line\n1\t2\t3\n70\tx\n")
+    assert sorted((r.run, r.target, str(r.date), r.elapsed, r.value) for r in runs.curves(spark, str(tmp_path)).collect()) == [("a", "png", "2026-01-02", 0, 10), ("a", "png", "2026-01-02", 60, 20)]
+    got = sorted((r.run, r.target, r.seconds, r.crashes, r.aborted) for r in runs.collected(spark, str(tmp_path)).collect())
+    assert got == [("a", "gif", 7200, 2, False), ("a", "png", 7200, 0, False), ("b-aborted", "gif", 60, 2, True), ("b-aborted", "png", 60, 0, True)]
+
+
+def test_files_in_a_store_and_plain_files_are_read_alike(spark, tmp_path):
+    from pyarrow import fs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a").write_bytes(b"abc")
+    assert filewalk.children(f"file://{tmp_path}/in") == filewalk.children(f"{tmp_path}/in") == [(f"{tmp_path}/in/a", "file", 3, None)]
+    assert filewalk.read(f"file://{tmp_path}/in/a", 10) == (3, b"abc", None, None) and filewalk.read(f"{tmp_path}/in/a", 2)[2] == "input-too-large"
+    # A store without links: what the Arrow file system lists is taken as it is.
+    name = f"mock-{os.getpid()}"
+    store = fs.LocalFileSystem()
+    filewalk_remote, filewalk_local = filewalk.remote, filewalk.local
+    try:
+        filewalk.remote = sink.remote = lambda path: (store, path.removeprefix(f"{name}://"), f"{name}://")
+        root = f"{name}://{tmp_path}/in"
+        assert filewalk.root_entry(root)[:2] == (root, "folder") and filewalk.children(root) == [(f"{root}/a", "file", 3, None)]
+        assert filewalk.read(f"{root}/a", 10)[:2] == (3, b"abc") and filewalk.root_entry(f"{root}/none")[1] == "unreadable"
+        assert sink.put(f"{root}/b", b"one", "1", False) is None and sink.put(f"{root}/b", b"two", "2", False) == "output-exists" and sink.put(f"{root}/b", b"two", "3", True) is None
+        assert (tmp_path / "in/b").read_bytes() == b"two" and sorted(os.listdir(tmp_path / "in")) == ["a", "b"]
+    finally:
+        filewalk.remote, filewalk.local, sink.remote = filewalk_remote, filewalk_local, filewalk_remote

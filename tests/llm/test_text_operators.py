@@ -86,6 +86,8 @@ def test_token_files(spark, docs):
     import numpy as np
 
     path, folder = public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "test-token-files")
+    least = spark.createDataFrame([(-(2**63), "the least id"), (None, "no id"), (0, "nought")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("h"), F.lit(2).alias("row")).unionByName(least, allowMissingColumns=True)
     encode = tokens.encoder(tokens.load_file(path)[0])
     got = token_files.read_token_files(token_files.write_token_files(docs, path, folder), folder).orderBy("start").collect()
     rows = [(d, encode([t])[0] + [2]) for d, t in plain(docs)]

@@ -406,6 +406,18 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licenses_query_with_nulls_and_a_long_text_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "Released under the MIT License.", None, "a"), (2, "plain text", None, "a"), (3, "plain text", "en", None), (4, None, "en", "a"), (5, "", None, None), (None, "Released under the MIT License.", "en", "a"), (6, "word " * 300_000 + "\nReleased under the MIT License.", "en", "a"), (2, "plain text", None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = con.execute(licenses.ORACLE)
+    columns = [c[0] for c in result.description]
+    assert pairs(licenses.query(spark, str(tmp_path)), *columns) == sorted(result.fetchall(), key=repr)
+
+
 def licence_text(name):
     return (Path(licenses.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
 
@@ -580,7 +592,8 @@ def test_tokens_of_similar_sets_meet():
 
 
 def test_extra_columns_with_clashing_names(spark, docs):
-    names = "content norm version weight target license match dir path key kinds found spans term taken virtual_finish base n tokens id fp low need node block task side failed stratum ids decoded f".split()
+    names = "content norm version target license match dir path key kinds found spans term taken virtual_finish base n tokens id fp low need node block task side failed stratum ids decoded f row finish before copies weight grp label first popular set core block overlap holders digest step good passed".split()
+    names = list(dict.fromkeys(names))
     wide = docs.select("doc_id", "text", "source", "lang", *[F.lit("x").alias(n) for n in names])
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     made = [

@@ -549,18 +549,18 @@ def test_jaccard_hot_groups(spark):
 
 
 def test_jaccard_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
-    """One group of 2,000 near copies of 60 words, beside unrelated texts: the tables that are written, and the rows that tasks read, stay within a constant of its members."""
+    """One group of 800 near copies of 60 words, beside unrelated texts: the tables that are written, and the rows that tasks read, stay within a constant of its members."""
     import random
 
     r = random.Random(4)
     base = [f"b{i}" for i in range(60)]
     near = []
-    for i in range(2000):
+    for i in range(800):
         w = list(base)
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(60)] = f"e{i}x{r.random()}"
         near.append((i, " ".join(w)))
-    rows = near + [(10_000 + i, " ".join(f"u{i}x{j}" for j in range(60))) for i in range(500)]
+    rows = near + [(10_000 + i, " ".join(f"u{i}x{j}" for j in range(60))) for i in range(200)]
     seen, write = {}, jaccard.materialize
 
     def counted(df, name):
@@ -569,10 +569,10 @@ def test_jaccard_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard, "materialize", counted)
-    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, most=256)
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, most=128)
     assert pairs(out, "doc_id", "n_shingles", "component_id") == jaccard_brute(rows, 5, 80)
-    # A set has 16 tokens here; blocks of 256 members are at most ten.
-    assert seen["holds"] <= 20 * 2000 and seen["opens"] <= 10 * 2000 and seen["tasks"] <= 20 * 2000, seen
+    # A set has 16 tokens here; blocks of 128 members are at most nine.
+    assert seen["holds"] <= 20 * 800 and seen["opens"] <= 9 * 800 and seen["tasks"] <= 18 * 800, seen
 
 
 def test_tokens_of_similar_sets_meet():

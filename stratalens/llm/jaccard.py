@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, ship, small_batches, to_bytes
+from .common import free_shuffles, materialize, release, ship, small_batches, to_bytes
 from .components import components
 
 ship(__name__)
@@ -207,6 +207,7 @@ def shared_tokens(own: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
     held = own.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"), "need", "even", "odd").withColumn("drop", drop)
     shared = held.select("token", "id", "need", "drop").withColumn("holders", F.count("*").over(by_token)).where("holders > 1")
     shared = materialize(shared, "shared-tokens")
+    free_shuffles(own.sparkSession)  # the largest of all: every token of every set
 
     band = Window.partitionBy("id", "odd_band")
     ranked = shared.withColumn("odd_band", F.col("token") % 2 != 0)
@@ -451,6 +452,7 @@ def join(docs: DataFrame, n: int = 5, share: int = 80, text: str = "text", most:
     holds = shared.groupBy("token", "id").agg(F.min("need").alias("need")).join(groups.hint("merge"), "id")
     holds = materialize(holds, "holds")
     release(*used)
+    free_shuffles(docs.sparkSession)
     members = materialize(qualified(holds).join(_sizes(named).hint("merge"), "id"), "members")
     texts = texts.where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "id")
     hashes = texts.join(members.select("id").hint("merge"), "id").mapInArrow(_hashes(n), "id long, set binary")

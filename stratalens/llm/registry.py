@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, media, mixing, quality, secrets, sentencepiece_codec, token_counts, token_files, toxicity
+from . import alignment, collocations, jaccard, licenses, media, mixing, quality, secrets, sentencepiece_codec, sharding, token_counts, token_files, toxicity
 
 
 
@@ -23,6 +23,9 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_quality": quality.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_collocations": collocations.query,
+    "op12_sharding": sharding.query,
+    "op13_alignment": alignment.query,
     "pipeline": _pipeline,
 }
 
@@ -30,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op7_licenses": licenses.ORACLE,
     "op8_secrets": secrets.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }

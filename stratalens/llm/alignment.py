@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, materialize, ship, small_batches, to_bytes, worker_table
+from .common import ChunkTable, materialize, ship, slices, small_batches, to_bytes, worker_table
 from .sentencepiece_codec import MARK, markers_lead
 from .tokens import load_file
 
@@ -154,6 +154,21 @@ def parts_of(text: str) -> list[str]:
     return [p[1:] for p in re.split(r"(?<=\S)(?= )", f" {text}")]
 
 
+class PartTable(ChunkTable):
+    """Part -> what Pair.align gives for it."""
+
+    def __init__(self, pair: Pair, most: int):
+        super().__init__(pair.make, most)
+        self.same = pair.same
+
+    def ready(self, parts: list) -> None:
+        new = {p for p in parts if p not in self}
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = set(parts)
+        super().update(zip(new, self.make(list(new)), strict=True))
+
+
 def _links(rows: list, same):
     """Distinct links of a document's parts: A's ids of identity links with their numbers, other pairs with theirs."""
     import numpy as np
@@ -178,23 +193,23 @@ def _summed(keys: list, counts: list):
     return found, n
 
 
+def cut_and_ready(texts: list[bytes], table: PartTable):
+    """The parts of each text, which the table then has; none of a text that holds what B takes for a space."""
+    for a, b in slices(texts):
+        cut = [parts_of(t.decode()) if t and MARK.encode() not in t else [] for t in texts[a:b]]
+        table.ready([p for parts in cut for p in parts])
+        yield from cut
+
+
 def _aligner(raw: bytes, model: bytes, column: int, names: list[str]):
     def encode(batches):
         import numpy as np
         import pyarrow as pa
 
-        def new():
-            pair = Pair(raw, model)
-            table = ChunkTable(pair.make, 250_000)
-            table.same = pair.same
-            return table
-
-        table = worker_table((hashlib.sha256(raw + model).hexdigest(), "align"), new)
+        table = worker_table((hashlib.sha256(raw + model).hexdigest(), "align"), lambda: PartTable(Pair(raw, model), 250_000))
         for batch in batches:
-            numbers, digests, lists = [], [], []
-            for raw_text in to_bytes(batch.column(column)):
-                parts = parts_of(raw_text.decode()) if raw_text and MARK.encode() not in raw_text else []
-                table.ready(parts)
+            texts, numbers, digests, lists = to_bytes(batch.column(column)), [], [], []
+            for parts in cut_and_ready(texts, table):
                 rows = [table[p] for p in parts]
                 if not rows or None in rows:
                     numbers.append((0, 0, 0, 0))

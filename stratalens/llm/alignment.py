@@ -77,7 +77,7 @@ class Pair:
         self.same = np.array([of_bytes.get(x, -1) for x in self.bytes_a], "i8")
         a, b = ([b"%d" % i for i in range(len(t))] for t in (self.bytes_a, self.bytes_b))
         self.words = [*(x + b"," for x in a), *(x + b"|" for x in a), *(x + b"," for x in b), *(x + b";" for x in b)]
-        self.encode_a = lambda text: tk.encode(text, add_special_tokens=False).ids
+        self.encode_a = lambda text: tk.encode_batch_fast([text], add_special_tokens=False)[0].ids
         mark = sp.piece_to_id(MARK)
         self.encode_b = lambda text: sp.encode(text) if text else [mark]  # the space in front is the library's own
 
@@ -137,8 +137,8 @@ class Pair:
         """Many parts in one call; those that end in white space go alone, as the next part's space would belong to it."""
         out: list = [None] * len(parts)
         joined = [i for i, p in enumerate(parts) if p and not p[-1].isspace()]
-        for k in range(0, len(joined), 400):
-            few = joined[k : k + 400]
+        for k in range(0, len(joined), 200):
+            few = joined[k : k + 200]
             for i, x in zip(few, self.align([parts[i] for i in few]), strict=True):
                 out[i] = x
         for i, p in enumerate(parts):
@@ -206,7 +206,7 @@ def _aligner(raw: bytes, model: bytes, column: int, names: list[str]):
         import numpy as np
         import pyarrow as pa
 
-        table = worker_table((hashlib.sha256(raw + model).hexdigest(), "align"), lambda: PartTable(Pair(raw, model), 250_000))
+        table = worker_table((hashlib.sha256(raw + model).hexdigest(), "align"), lambda: PartTable(Pair(raw, model), 500_000))
         for batch in batches:
             texts, numbers, digests, lists = to_bytes(batch.column(column)), [], [], []
             for parts in cut_and_ready(texts, table):

@@ -93,12 +93,10 @@ def _xml(content: Column) -> Column:
 
 
 def supported(content: Column, package: Column | None = None) -> Column:
-    """The format that has a handler, else null. The order of the tests is part of the meaning."""
-    found = brands(content)
-    ftyp = at(content, 4, 4) == "ftyp"
+    """The format that has a handler, else null, beside __ftyp, __brands and __ogg. The order of the tests is part of the meaning."""
+    found, ftyp, ogg = F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
     movie = ~_has(found, (*FRAGMENT, "M4P ", "qt  ")) & ~F.exists(found, lambda b: b.startswith("3gp") | b.startswith("3g2"))
     still = ~_has(found, SEQUENCE)
-    ogg = ogg_class(content)
     out = (
         F.when(begins(content, "FFD8FF"), "jpeg").when(begins(content, "89504E470D0A1A0A"), "png")
         .when(begins(content, "52494646") & (at(content, 8, 4) == "WEBP"), "webp").when(begins(content, "52494646") & (at(content, 8, 4) == "WAVE"), "wav")
@@ -118,8 +116,8 @@ def supported(content: Column, package: Column | None = None) -> Column:
 
 
 def unsupported(content: Column, package: Column | None = None) -> Column:
-    """What an unsupported file is, if that is known."""
-    found, ftyp, ogg = brands(content), at(content, 4, 4) == "ftyp", ogg_class(content)
+    """What an unsupported file is, if that is known, beside __ftyp, __brands and __ogg."""
+    found, ftyp, ogg = F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
     zipped = begins(content, "504B0304", "504B0506", "504B0708")
     named = F.lit("zip-container") if package is None else F.when(package.isin("macro-enabled-office", "other-open-document"), package).otherwise("zip-container")
     return (
@@ -140,6 +138,9 @@ def detected(files, content: str = "content"):
     """files with format, unsupported_kind and error_kind: exactly one of format and error_kind is set. A null content is unrecognised."""
     c = F.coalesce(F.col(content), F.unhex(F.lit("")))
     package = F.col("__package") if "__package" in files.columns else None
-    out = fenced(files, format=supported(c, package), __other=unsupported(c, package))
+    head = F.when(at(c, 4, 4) == "ftyp", brands(c))  # read once, and of files with such a box only
+    facts = fenced(files, __ftyp=at(c, 4, 4) == "ftyp", __brands=head, __ogg=ogg_class(c))
+    out = fenced(facts, format=supported(c, package))
+    out = fenced(out, __other=F.when(F.col("format").isNull(), unsupported(c, package))).drop("__ftyp", "__brands", "__ogg")
     kind = F.when(F.col("format").isNull(), F.when(F.col("__other").isNotNull(), "unsupported-format").otherwise("unrecognised-format"))
     return out.withColumns({"unsupported_kind": F.when(F.col("format").isNull(), F.col("__other")), "error_kind": kind}).drop("__other")

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.detect import detected, fenced
+from ..sources import archives
 from ..sources.shared import released, written
 from . import engine, markup
 from .walkers import MOST_ITEMS, Doubt, clean, item
 
-#: Bytes that a package may expand to, and one part's as a multiple of its packed size (a floor for tiny ones).
-MOST_BYTES, MOST_RATIO, FLOOR = 256 << 20, 200, 1024
+#: Bytes that a package may expand to.
+MOST_BYTES = 256 << 20
 PARTS = (
     f"file_id string, format string, part_no int, name string, raw_name binary, method int, flags int, crc bigint, size bigint, "
     f"packed binary, data binary, stamped boolean, host boolean, failure {engine.ERROR}"
@@ -33,77 +34,24 @@ PARTS = (
 # --- archives ----------------------------------------------------------------------------------------------------------
 
 
-def safe(name: bytes) -> bool:
-    return bool(name) and name[:1] != b"/" and b"\\" not in name and name[1:2] != b":" and b".." not in name.split(b"/")
-
-
-def names_host(extra: bytes) -> bool:
-    at = 0
-    while len(extra) - at >= 4:
-        tag, n = struct.unpack_from("<HH", extra, at)
-        if at + 4 + n > len(extra):
-            return False
-        if tag in dims.HOST_FIELDS:
-            return True
-        at += 4 + n
-    return False
-
-
 def open_parts(data: bytes) -> list[tuple]:
     """(name, raw name, method, flags, crc, size, packed, content, stamped, host) of the entries, by the archive's directory."""
-    import io
-    import zipfile
-
-    try:
-        listed = zipfile.ZipFile(io.BytesIO(data)).infolist()
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, struct.error):
-        raise Doubt("missing-marker") from None
-    if len(listed) > MOST_ITEMS:
-        raise Doubt(None, None, "limit-exceeded", limit="item-count")
+    read = lambda at, n: data[at : at + n]
     out, left, seen = [], MOST_BYTES, set()
-    for e in listed:
-        raw = e.orig_filename.encode("utf-8" if e.flag_bits & 0x800 else "cp437", "replace")
-        if e.flag_bits & 0x41 or e.compress_type not in (0, 8) or not safe(raw):
-            raise Doubt("unsupported-feature" if safe(raw) else "unexpected-marker", e.header_offset)
-        if raw in seen:
-            raise Doubt("duplicate-entry", e.header_offset)
-        seen.add(raw)
-        head = data[e.header_offset : e.header_offset + 30]
-        if head[:4] != b"PK\3\4" or len(head) < 30:
-            raise Doubt("broken-index", e.header_offset)
-        at = e.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26))
-        packed = data[at : at + e.compress_size]
-        if len(packed) < e.compress_size:
-            raise Doubt("length-out-of-range", e.header_offset)
-        content = None if raw.endswith(b"/") else _inflated(e, packed, left)
-        left -= len(content or b"")
-        try:
-            name = raw.decode()
-        except UnicodeDecodeError:
-            name = None
-        out.append((name, raw, e.compress_type, e.flag_bits & ~8, e.CRC, e.file_size, packed, content, e.date_time != (1980, 1, 1, 0, 0, 0), names_host(e.extra)))
+    try:
+        for e in archives.listed(read, len(data), MOST_ITEMS):
+            if e.raw in seen:
+                raise Doubt("duplicate-entry", e.at)
+            seen.add(e.raw)
+            packed = archives.packed_of(read, len(data), e.at, e.packed)
+            content = None if e.raw.endswith(b"/") else archives.expanded(e.method, packed, e.size, e.crc, left)
+            left -= len(content or b"")
+            out.append((e.name, e.raw, e.method, e.flags, e.crc, e.size, packed, content, e.stamped, e.host))
+    except archives.Refused as e:
+        raise (Doubt(None, None, "limit-exceeded", limit=e.limit) if e.limit else Doubt(e.detail, e.offset)) from None
     return out
 
 
-def _inflated(e, packed: bytes, left: int) -> bytes:
-    """An entry's content, never more than it declares; what it declares is bounded first."""
-    if e.file_size > left or e.compress_type == 8 and e.file_size > max(MOST_RATIO * len(packed), FLOOR):
-        raise Doubt(None, None, "limit-exceeded", limit="expanded-size")
-    if e.compress_type == 8:
-        pump = zlib.decompressobj(-15)
-        try:
-            packed = pump.decompress(packed, e.file_size + 1)
-        except zlib.error:
-            raise Doubt("truncated") from None
-        if not pump.eof and len(packed) > e.file_size:
-            raise Doubt(None, None, "limit-exceeded", limit="expanded-size")
-    if len(packed) != e.file_size:
-        raise Doubt("length-out-of-range")
-    if zlib.crc32(packed) != e.CRC:
-        raise Doubt("broken-index")
-    return packed
-
-
 def archive(entries: list[tuple[bytes, int, int, int, int, bytes]]) -> bytes:
     """(name, method, flags, crc, size, packed) -> an archive without times, extra fields or comments."""
     body, directory = b"", b""
@@ -171,7 +119,7 @@ def plain(name: Column) -> Column:
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    """(file_id, format, failure, overrides, defaults, thumbnails): each package's index and, if any, why it is refused."""
+    """(file_id, format, failure, types, rels): each package's index and, if any, why it is refused."""
     data, name = F.col("data"), F.col("name")
     held = lambda n: F.max(F.when(name == n, F.coalesce(text_of(data), F.lit("\0"))))  # noqa: E731  # NUL: it is there, but is no text
     nested = F.startswith(data, F.unhex(F.lit("D0CF11E0A1B11AE1"))) | F.startswith(data, F.unhex(F.lit("504B0304"))) | (F.locate("%PDF-", F.substring(data, 1, 1024).cast("string")) > 0)
@@ -179,20 +127,12 @@ def indexed(rows: DataFrame) -> DataFrame:
         F.first("failure", ignorenulls=True).alias("broken"), F.bool_or(F.coalesce(nested, F.lit(False))).alias("nested"), held("[Content_Types].xml").alias("types"),
         held("_rels/.rels").alias("rels"), held("META-INF/manifest.xml").alias("manifest"), F.trim(held("mimetype")).alias("media"),
     )
-    pair = lambda key, low=False: lambda t: F.struct((F.lower(attribute(t, key)) if low else plain(attribute(t, key))).alias("k"), attribute(t, "ContentType").alias("type"))
     root = F.get(F.filter(tags(F.col("manifest"), "manifest:file-entry"), lambda t: attribute(t, "manifest:full-path") == "/"), F.lit(0))
-    per = fenced(
-        per,
-        **{
-            "overrides": F.transform(tags(F.col("types"), "Override"), pair("PartName")), "defaults": F.transform(tags(F.col("types"), "Default"), pair("Extension", True)),
-            "thumbnails": F.transform(F.filter(tags(F.col("rels"), "Relationship"), lambda t: attribute(t, "Type") == dims.THUMBNAIL_RELATION), lambda t: plain(attribute(t, "Target"))),
-            "root": F.nullif(attribute(root, "manifest:media-type"), F.lit("")),
-        },
-    )
+    per = fenced(per, root=F.nullif(attribute(root, "manifest:media-type"), F.lit("")), declared=F.transform(tags(F.col("types"), "Override"), lambda t: attribute(t, "ContentType")))
     main = F.create_map(*[F.lit(x) for kv in dims.OFFICE_MAIN.items() for x in kv])
     media = F.create_map(*[F.lit(x) for kv in dims.ODF_MEDIA.items() for x in kv])
     odf = F.col("format").isin(*dims.ODF_MEDIA.values())
-    declared = F.get(F.filter(F.transform("overrides", lambda o: F.try_element_at(main, o["type"])), lambda x: x.isNotNull()), F.lit(0))
+    declared = F.get(F.filter(F.transform("declared", lambda t: F.try_element_at(main, t)), lambda x: x.isNotNull()), F.lit(0))
     index = F.when(odf, F.col("manifest")).otherwise(F.col("types"))
     detail = (
         F.when(index.isNull(), "missing-marker").when(index == "\0", "broken-index")
@@ -202,7 +142,14 @@ def indexed(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     failed = F.struct(F.lit("malformed").alias("error_kind"), detail.alias("detail"), F.lit(None).cast("bigint").alias("offset"), none.alias("limit"), none.alias("unsupported_kind"))
     per = fenced(per, failure=F.coalesce("broken", F.when(detail.isNotNull(), failed)))
-    return per.select("file_id", "format", "failure", "overrides", "defaults", "thumbnails")
+    return per.select("file_id", "format", "failure", "types", "rels")
+
+
+def named_types(per: DataFrame, tag: str, key: str, clean_key) -> DataFrame:
+    """(file_id, k, type): what an index says of each part name or extension, the first where it says so twice."""
+    each = per.select("file_id", F.posexplode(tags(F.col("types"), tag)).alias("i", "t"))
+    each = each.select("file_id", "i", clean_key(attribute(F.col("t"), key)).alias("k"), attribute(F.col("t"), "ContentType").alias("type"))
+    return each.groupBy("file_id", "k").agg(F.min_by("type", "i").alias("type"))
 
 
 def dead_relations(rows: DataFrame) -> DataFrame:
@@ -217,23 +164,27 @@ def dead_relations(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Parts of packages that are not refused, with role and type, and, for the parts that index others, what is dropped.
+    """Parts of packages that are not refused, with role, type and the ids of dead relationships; only ids and names are joined, then bytes once.
 
     role: folder, index, drop, image, xml, opaque, first (the part that names the format, stored and in front).
     """
-    per = indexed(rows).where("failure IS NULL").select("file_id", "overrides", "defaults", "thumbnails")
-    named = rows.join(per, "file_id")
-    by_name = F.get(F.filter("overrides", lambda o: o["k"] == F.col("name")), F.lit(0))["type"]
-    extension = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
-    by_extension = F.get(F.filter("defaults", lambda o: o["k"] == extension), F.lit(0))["type"]
-    named = fenced(named, type=F.coalesce(by_name, by_extension))
+    per = written(indexed(rows).where("failure IS NULL"), "package-indexes")
+    keys = rows.select("file_id", "part_no", "name", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("extension")).join(per.select("file_id"), "file_id")
+    by_name = named_types(per, "Override", "PartName", plain).withColumnRenamed("k", "name")
+    by_extension = named_types(per, "Default", "Extension", F.lower).withColumnsRenamed({"k": "extension", "type": "otherwise"})
+    shown = per.select("file_id", F.explode(tags(F.col("rels"), "Relationship")).alias("t")).where(attribute(F.col("t"), "Type") == dims.THUMBNAIL_RELATION)
+    shown = shown.select("file_id", plain(attribute(F.col("t"), "Target")).alias("name"), F.lit(True).alias("thumbnail")).distinct()
+    keys = keys.join(by_name, ["file_id", "name"], "left").join(by_extension, ["file_id", "extension"], "left").join(shown, ["file_id", "name"], "left")
+    keys = keys.join(dead_relations(rows), ["file_id", "name"], "left")
+    keys = keys.select("file_id", "part_no", F.coalesce("type", "otherwise").alias("type"), F.coalesce("thumbnail", F.lit(False)).alias("thumbnail"), "dead")
+    named = rows.join(keys, ["file_id", "part_no"])
     odf = F.col("format").isin(*dims.ODF_MEDIA.values())
     whole = F.lit(None).cast("string")
     leaf = F.regexp_extract("name", "([^/]*)$", 1)
     for test, kind in [(F.startswith("name", F.lit(p)), k) for p, k in dims.ODF_FOLDERS.items()] + [(leaf == n, k) for n, k in dims.ODF_PARTS.items()]:
         whole = F.coalesce(whole, F.when(test, kind))
     properties = F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.OFFICE_PROPERTIES.items() for x in kv]), F.col("type"))
-    properties = F.coalesce(properties, F.when(F.array_contains("thumbnails", F.col("name")), F.lit("")))
+    properties = F.coalesce(properties, F.when(F.col("thumbnail"), F.lit("")))
     gone = F.when(odf, whole).otherwise(properties)
     named = fenced(named, gone=F.when(F.col("name").isin("[Content_Types].xml", "_rels/.rels") & ~odf, None).otherwise(gone))
     index = F.when(odf, F.col("name") == "META-INF/manifest.xml").otherwise(F.col("name").isin("[Content_Types].xml", "_rels/.rels"))
@@ -243,9 +194,7 @@ def judged(rows: DataFrame) -> DataFrame:
         F.when(odf & (F.col("name") == "mimetype"), "first").when(index, "index").when(F.col("gone").isNotNull(), "drop").when(F.col("data").isNull(), "folder")
         .when(F.col("picture").isin(*dims.EMBEDDED), "image").when(F.col("name").isNotNull() & text_of(F.col("data")).isNotNull(), "xml").otherwise("opaque")
     )
-    out = fenced(seen, role=role).drop("overrides", "defaults", "thumbnails")
-    dropped = out.where("role = 'drop'").groupBy("file_id").agg(F.collect_set("name").alias("dropped"))
-    return out.join(dropped, "file_id", "left").join(dead_relations(rows), ["file_id", "name"], "left")
+    return fenced(seen, role=role).drop("thumbnail")
 
 
 # --- one part's markup ---------------------------------------------------------------------------------------------------
@@ -421,7 +370,11 @@ def scrubbed(rows: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(T._parse_datatype_string(f"array<{t}>")) for t in (engine.ITEM, engine.NOTE)]
-    return rows.where("role IN ('drop', 'opaque', 'index', 'xml')").select("file_id", "part_no", "format", "role", "name", "data", "gone", "dead", "dropped").mapInArrow(_scrub(*kinds), SCRUBBED)
+    gone = rows.where("role = 'drop'").groupBy("file_id").agg(F.collect_set("name").alias("dropped"))
+    indexes = rows.where("role = 'index'").join(gone, "file_id", "left")
+    others = rows.where("role IN ('drop', 'opaque', 'xml')").withColumn("dropped", F.lit(None).cast("array<string>"))
+    each = [x.select("file_id", "part_no", "format", "role", "name", "data", "gone", "dead", "dropped") for x in (others, indexes)]
+    return each[0].unionByName(each[1]).mapInArrow(_scrub(*kinds), SCRUBBED)
 
 
 # --- reports and output --------------------------------------------------------------------------------------------------
@@ -494,6 +447,14 @@ class Package:
         return made.join(facts, "file_id").select("file_id", "path", "format", "content", "input_bytes", F.octet_length("content").cast("long").alias("output_bytes"))
 
 
+def assembled(rows: DataFrame) -> DataFrame:
+    """rows (file_id, part_no, raw_name, new) -> (file_id, content): archives of stored entries, in order of part."""
+    none = F.lit(None)
+    facts = [F.lit(False).alias("later"), *[none.cast("int").alias(c) for c in ("method",)], F.lit(2048).alias("flags"), *[none.cast("bigint").alias(c) for c in ("crc", "size")], none.cast("binary").alias("packed")]
+    rows = rows.select("file_id", "part_no", "raw_name", *facts, "new")
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "part_no").mapInArrow(_assemble, "file_id string, content binary")
+
+
 def _assemble(batches):
     """Parts in order of file -> one archive for each file, when its last part has come."""
     import pyarrow as pa

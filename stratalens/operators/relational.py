@@ -110,3 +110,30 @@ def output_names(files: DataFrame, output_dir: str | None = None) -> DataFrame:
     out = files.withColumn("output_path", F.concat(folder, stem))
     w = Window.partitionBy("output_path").orderBy("path")
     return out.withColumn("output_exists", F.row_number().over(w) > 1)
+
+
+def opened_paths(args: Column, cwd: str) -> Column:
+    """An argument as a canonical path: absolute against cwd, without empty and `.` steps, each `..` with the step before it. An empty one is null."""
+    path = F.when(args.startswith("/"), args).otherwise(F.concat(F.lit(cwd.rstrip("/") + "/"), args))
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    return F.when(args != "", F.concat(F.lit("/"), F.array_join(walked, "/")))
+
+
+def folders(entries: DataFrame) -> DataFrame:
+    """entries (path, skipped, bytes), paths canonical -> (folder, depth, files, skipped, folders, bytes, line) of every folder above any of them.
+
+    Everything counts in each folder above it: folders are those below it. Sums of one folder are combined in each task first, so the
+    top, which holds all, is no larger than another.
+    """
+    above = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/")) - 1), lambda n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/"))
+    held = entries.select(F.explode(above(F.col("path"))).alias("folder"), F.col("skipped").cast("long").alias("skipped"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    held = held.groupBy("folder").agg(F.sum(1 - F.col("skipped")).alias("files"), F.sum("skipped").alias("skipped"), F.sum("bytes").alias("bytes"))
+    under = held.where("folder <> ''").select(F.explode(above(F.col("folder"))).alias("folder")).groupBy("folder").agg(F.count("*").alias("folders"))
+    rows = held.join(under, "folder", "left").withColumn("folders", F.coalesce("folders", F.lit(0)))
+    counted = lambda c, one, many: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, f" {one}").otherwise(f" {many}"))
+    line = F.concat(F.lit("It holds "), counted("files", "file", "files"), F.lit(" in "), counted("folders", "folder", "folders"), F.lit("."))
+    line = F.when(F.col("skipped") == 0, line).otherwise(F.concat(line, F.lit(" "), counted("skipped", "other entry", "other entries"), F.lit(" will be skipped and listed.")))
+    depth = F.size(F.filter(F.split("folder", "/"), lambda s: s != ""))
+    return rows.select(F.when(F.col("folder") == "", "/").otherwise(F.col("folder")).alias("folder"), depth.alias("depth"), "files", "skipped", "folders", "bytes", line.alias("line"))

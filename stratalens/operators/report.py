@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..sources.shared import released, running, written
 
 NULLS = {"ignoreNullFields": "false"}
 
@@ -115,9 +116,64 @@ def groups(findings: DataFrame) -> DataFrame:
     return per.select("file_id", sensitivity(F.col("kind")).alias("sensitivity"), label(dims.MARKS, sensitivity(F.col("kind"))).alias("mark"), "kind", label(dims.PLAIN_LABELS, F.col("kind")).alias("label"), "fields")
 
 
-def envelope(json_rows: DataFrame, version: str, most: int = 10_000) -> DataFrame:
-    """One document for a small batch: the version and all files' objects in order of file. Larger batches are refused: write the rows themselves."""
-    if json_rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} files: write the rows themselves")
-    ordered = F.array_sort(F.collect_list(F.struct("file_id", "json")))
-    return json_rows.agg(F.concat(F.lit(f'{{"version":"{version}","files":['), F.concat_ws(",", F.transform(ordered, lambda x: x["json"])), F.lit("]}")).alias("json"))
+def placed(json_rows: DataFrame, version: str) -> DataFrame:
+    """(file_id, position, start_byte, text): the pieces of one JSON document of all files, in order of file; the last closes it and has no file.
+
+    Positions and first bytes are running sums over ranges of files, so any number of files makes one document.
+    """
+    head = F.lit(f'{{"version":"{version}","files":[')
+    rows = json_rows.select("file_id", "json", F.lit(0).alias("last")).withColumn("one", F.lit(1).cast("long"))
+    end = rows.sparkSession.createDataFrame([(None, None, 1, 1)], "file_id string, json string, last int, one long")
+    numbered = running(rows.unionByName(end), ["last", "file_id"], {"position": "one"}, "document-order")
+    first = F.when(F.col("position") == 0, head).otherwise("")
+    text = F.when(F.col("last") == 1, F.concat(first, F.lit("]}"))).when(F.col("position") == 0, F.concat(first, "json")).otherwise(F.concat(F.lit(","), "json"))
+    sized = numbered.select("last", "file_id", "position", text.alias("text")).withColumn("size", F.octet_length("text").cast("long") + 1)  # each piece ends its line
+    return running(sized, ["last", "file_id"], {"start_byte": "size"}, "document-bytes").select("file_id", "position", "start_byte", "text")
+
+
+def document(json_rows: DataFrame, version: str, folder: str) -> DataFrame:
+    """Writes one JSON document of all files as parts, one for each range of files, and its manifest: (part, start_byte, bytes, files).
+
+    The parts' names sort in the document's order, so that putting them one after the other gives it; no task holds more than a part.
+    """
+    pieces = written(placed(json_rows, version), "document")
+    pieces.repartitionByRange("position").sortWithinPartitions("position").select("text").write.mode("errorifexists").text(folder)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    parts = json_rows.sparkSession.read.text(folder).select(name.alias("part"), F.octet_length("value").cast("long").alias("n"), F.startswith("value", F.lit("]}")).alias("closes"))
+    parts = parts.groupBy("part").agg((F.sum("n") + F.count("*")).alias("bytes"), F.count_if(~F.col("closes")).alias("files"))
+    manifest = running(parts, ["part"], {"start_byte": "bytes"}, "document-parts").select("part", "start_byte", "bytes", "files")
+    released(pieces)
+    return manifest
+
+
+#: The headings of a report of both passes over a file, and what stands under one that has nothing.
+SECTIONS = (("Found in the original", "Nothing that is looked for."), ("Removed", "Nothing."), ("Kept, and why", "Nothing that could be seen."), ("Notes", "None."))
+SAME = ("kind", "location", "field", "bytes", "value_text", "value_opaque_bytes")
+
+
+def removed(found: DataFrame, left: DataFrame) -> DataFrame:
+    """The findings of a first pass without those of a second, as often as they are there (a difference of multisets)."""
+    w = Window.partitionBy("file_id", *SAME).orderBy("seq")
+    before, after = (x.withColumn("__k", F.row_number().over(w)) for x in (found, left))
+    b, a = before.alias("b"), after.alias("a")
+    on = (F.col("b.file_id") == F.col("a.file_id")) & (F.col("b.__k") == F.col("a.__k"))
+    for c in SAME:
+        on = on & F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))
+    return b.join(a, on, "left_anti").drop("__k")
+
+
+def sections(files: DataFrame, found: DataFrame, left: DataFrame, retained: DataFrame, notes: DataFrame, notes_after: DataFrame) -> DataFrame:
+    """(file_id, section, title, line_no, line) of both passes over each file: what was found, what the output lost, what was kept, and the notes of both, each once.
+
+    found and left with value_text and value_opaque_bytes: of the input and of the output. A heading without lines says so in one.
+    """
+    kept = F.concat("location", F.lit(" ("), label(dims.KEPT_BECAUSE, F.col("reason")), F.lit(")"))
+    by_seq = lambda rows, n: rows.select("file_id", F.lit(n).alias("section"), F.struct(F.col("seq").cast("long").alias("a"), F.lit("").alias("b")).alias("o"), finding_line().alias("line"))
+    told = notes.unionByName(notes_after).select("file_id", note_line().alias("line"), "note", "location").distinct()
+    ordered = lambda rows, n, line, by: rows.select("file_id", F.lit(n).alias("section"), F.struct(F.lit(0).cast("long").alias("a"), by.alias("b")).alias("o"), line.alias("line"))
+    rows = by_seq(found, 0).unionByName(by_seq(removed(found, left), 1)).unionByName(ordered(retained, 2, kept, F.concat_ws("\1", "location", "reason")))
+    rows = rows.unionByName(ordered(told, 3, F.col("line"), F.concat_ws("\1", "note", "location", "line")))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file_id", "section").orderBy("o", "line"))).drop("o")
+    titles = F.array(*[F.struct(F.lit(i).alias("section"), F.lit(t).alias("title"), F.lit(e).alias("empty")) for i, (t, e) in enumerate(SECTIONS)])
+    every = files.select("file_id", F.explode(titles).alias("t")).select("file_id", "t.*")
+    return every.join(rows, ["file_id", "section"], "left").select("file_id", "section", "title", F.coalesce("line_no", F.lit(1)).alias("line_no"), F.coalesce("line", "empty").alias("line"))

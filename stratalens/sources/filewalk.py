@@ -2,7 +2,8 @@
 
 Unlike the built-in binary source it reports empty files, dot-files and skipped entries, and never follows links. Folders are
 listed by tasks, level by level: the folders that one level finds are the next level's rows, so a tree of any width passes
-through no single machine. Files are dealt to tasks by size; a task reads them in batches of bounded bytes. A file that is larger than
+through no single machine. Files are dealt to tasks by running sums of their sizes, the longest first; a task reads them in batches of bounded
+bytes. Conditions on path, extension and length are pushed into the source. A file that is larger than
 max_bytes, or has grown beyond it since it was listed, gives an error row and no content.
 
 Roots are paths or URIs. Plain paths and file: URIs are read as the machine's own files, which on a cluster must be mounted on
@@ -14,17 +15,27 @@ io), or skip_reason (symbolic-link, not-a-file, unreadable).
 
 from __future__ import annotations
 
+import atexit
 import os
 import stat
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import written
+from .shared import released, remove, root, running, written
 
 SCHEMA = "file_id string, path string, length bigint, content binary, error_kind string, skip_reason string, error string"
+SOURCE = f"{SCHEMA}, extension string"
+#: What the listing knows of an entry, and the conditions on it that the source decides.
+PUSHED = ("path", "extension", "length")
+TESTS = {
+    "EqualTo": lambda x, v: x == v, "EqualNullSafe": lambda x, v: x == v, "GreaterThan": lambda x, v: x > v, "GreaterThanOrEqual": lambda x, v: x >= v, "LessThan": lambda x, v: x < v,
+    "LessThanOrEqual": lambda x, v: x <= v, "In": lambda x, v: x in v, "StringStartsWith": lambda x, v: x.startswith(v), "StringEndsWith": lambda x, v: x.endswith(v), "StringContains": lambda x, v: v in x, "IsNotNull": lambda x, v: True,
+}
 ENTRIES = "path string, kind string, size bigint, error string"
 
 
@@ -129,41 +140,116 @@ def read(path: str, most: int) -> tuple[int | None, bytes | None, str | None, st
     return (len(data), None, "input-too-large", None) if len(data) > most else (len(data), data, None, None)
 
 
-def _reader(most: int, share: int):
-    def reader(batches):
+class Bin(InputPartition):
+    """Files that one task reads."""
+
+
+class FileReader(DataSourceReader):
+    """Reads what a planned listing names. Filters on path, extension and length are decided from the listing, before a file is opened."""
+
+    def __init__(self, options: dict):
+        self.plan, self.bins = options["plan"], int(options["bins"])
+        self.most, self.share, self.trace = int(options["max_bytes"]), int(options["batch_bytes"]), options.get("trace")
+        self.wanted: list[tuple] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name, own = type(f).__name__, len(f.attribute) == 1 and f.attribute[0] in PUSHED if hasattr(f, "attribute") else False
+            if own and name in TESTS:
+                self.wanted.append((name, f.attribute[0], getattr(f, "value", None)))
+            if not own or name not in TESTS or f.attribute[0] == "length":  # a file may have grown since it was listed
+                yield f
+
+    def partitions(self):
+        return [Bin(i) for i in range(self.bins)]
+
+    def read(self, partition):
         import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string())
+        system, inner, _ = remote(self.plan) if "://" in self.plan else (fs.LocalFileSystem(), local(self.plan), "")
+        names = [c.split()[0] for c in SOURCE.split(", ")]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string())
+        opened = taken = 0
 
         def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
-        for b in batches:
-            rows, held = [], 0
-            for path, kind, size, error in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "size", "error")), strict=True):
-                if kind != "file":
-                    rows.append((path, path, None, None, None, kind, error))
-                    continue
-                length, data, failed, why = (size, None, "input-too-large", None) if size > most else read(path, most)
-                rows.append((path, path, size if length is None else length, data, failed, None, why))
-                held += length or 0
-                if held >= share:
-                    yield made(rows)
+        folder = system.get_file_info(fs.FileSelector(f"{inner}/bin={partition.value}", allow_not_found=True))
+        for info in sorted((i for i in folder if i.base_name.endswith(".parquet")), key=lambda i: i.path):
+            with system.open_input_file(info.path) as handle:
+                for b in pq.ParquetFile(handle).iter_batches(batch_size=4096, columns=["path", "extension", "kind", "size", "error"]):
                     rows, held = [], 0
-            yield made(rows)
+                    for path, extension, kind, size, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        facts = {"path": path, "extension": extension, "length": size if kind == "file" else None}
+                        if not all(facts[c] is not None and TESTS[n](facts[c], v) for n, c, v in self.wanted):
+                            continue
+                        if kind != "file":
+                            rows.append((path, path, None, None, None, kind, error, extension))
+                            continue
+                        length, data, failed, why = (size, None, "input-too-large", None) if size > self.most else read(path, self.most)
+                        opened, taken = opened + (size <= self.most), taken + (length or 0) * (size <= self.most)
+                        rows.append((path, path, size if length is None else length, data, failed, None, why, extension))
+                        held += length or 0
+                        if held >= self.share:
+                            yield made(rows)
+                            rows, held = [], 0
+                    yield made(rows)
+        if self.trace:
+            with open(f"{self.trace}/{partition.value}", "w") as f:
+                f.write(f"{opened} {taken}")
 
-    return reader
 
+class FileSource(DataSource):
+    """The planned listing as a table; see `tree`."""
 
-def walk(spark: SparkSession, roots: list[str], max_bytes: int = 512 << 20, partition_bytes: int = 64 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
-    """All rows of the source. The listing is written when this is called; contents are read when the rows are."""
-    entries = listing(spark, roots).where("kind <> 'folder'")
-    entries = written(entries, "entries")
+    @classmethod
+    def name(cls):
+        return "filetree"
+
+    def schema(self):
+        return SOURCE
+
+    def reader(self, schema):
+        return FileReader(dict(self.options))
+
+
+def planned(entries: DataFrame, partition_bytes: int, max_bytes: int) -> tuple[str, int]:
+    """Deals entries to tasks by size, the longest files first, and writes them by task: (folder, tasks).
+
+    A task's share is partition_bytes and one file at most, or a hundred-thousandth of all bytes where that is more.
+    """
     size = F.least(F.coalesce("size", F.lit(0)), F.lit(max_bytes)) + 4096  # opening a file counts too
-    total = entries.agg(F.sum(size)).first()[0] or 0
-    dealt = entries.repartition(max(1, -(-total // partition_bytes)), "path").sortWithinPartitions("path")
-    return dealt.mapInArrow(_reader(max_bytes, batch_bytes), SCHEMA)
+    rows = entries.withColumns({"extension": F.lower(F.regexp_extract("path", r"[^/]\.([^./]*)$", 1)), "__size": size})
+    total = rows.agg(F.sum("__size")).first()[0] or 0
+    share = max(partition_bytes, total // 100_000)
+    dealt = running(rows.withColumn("__short", -F.col("__size")), ["__short", "path"], {"__before": "__size"}, "sizes")
+    dealt = dealt.select("path", "extension", "kind", "size", "error", F.floor(F.col("__before") / share).cast("int").alias("bin"))
+    folder = f"{root(entries.sparkSession)}/stratalens-plan-{uuid.uuid4().hex}"
+    atexit.register(remove, entries.sparkSession, folder)
+    dealt.repartitionByRange("bin").sortWithinPartitions("bin", F.desc("size"), "path").write.partitionBy("bin").parquet(folder)
+    return folder, total // share + 1
+
+
+def tree(spark: SparkSession, roots: list[str], max_bytes: int = 512 << 20, partition_bytes: int = 64 << 20, batch_bytes: int = 4 << 20, trace: str | None = None) -> DataFrame:
+    """All rows of the source, with extension (lower case). The listing is planned when this is called; contents are read when the rows are.
+
+    Conditions on path, extension and length are pushed into the source (the session's setting for that is turned on), so files
+    that do not meet them are never opened. trace: a folder in which each task says how many files and bytes it opened.
+    """
+    spark.dataSource.register(FileSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    entries = written(listing(spark, roots).where("kind <> 'folder'"), "entries")
+    plan, bins = planned(entries, partition_bytes, max_bytes)
+    released(entries)
+    options = {"plan": plan, "bins": bins, "max_bytes": max_bytes, "batch_bytes": batch_bytes} | ({"trace": trace} if trace else {})
+    return spark.read.format("filetree").options(**options).load()
+
+
+def walk(spark: SparkSession, roots: list[str], max_bytes: int = 512 << 20, partition_bytes: int = 64 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of `tree` without the extension."""
+    return tree(spark, roots, max_bytes, partition_bytes, batch_bytes).drop("extension")
 
 
 def files(rows: DataFrame) -> DataFrame:

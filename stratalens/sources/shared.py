@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -45,3 +46,19 @@ def released(*tables: DataFrame) -> None:
     for df in tables:
         if path := df.__dict__.pop("_stratalens_path", None):
             remove(df.sparkSession, path)
+
+
+def running(df: DataFrame, order: list, sums: dict[str, str], name: str) -> DataFrame:
+    """df with, for each new column: summed column of `sums`, the sum over all rows before this one in the global order.
+
+    Rows are range-partitioned by the order and written with the number of their range. The ranges' sums are few rows, whose
+    running sums are the ranges' bases; inside each range a window adds its own. So no task holds more than a range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("__range", F.spark_partition_id()), name)
+    per = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__s_{new}") for new, c in sums.items()])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = per.select("__range", *[F.coalesce(F.sum(f"__s_{new}").over(earlier), F.lit(0)).alias(f"__b_{new}") for new in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumns({f"__i_{new}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for new, c in sums.items()})
+    return rows.join(bases, "__range").select(*df.columns, *[(F.col(f"__b_{new}") + F.col(f"__i_{new}")).alias(new) for new in sums])

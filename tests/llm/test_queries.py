@@ -13,6 +13,7 @@ COLUMNS = {
     "op5_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op6_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
     "op7_licenses": {"doc_id", "license"}, "op8_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op9_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op10_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+    "op12_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op13_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 

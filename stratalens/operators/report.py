@@ -131,13 +131,14 @@ def placed(json_rows: DataFrame, version: str) -> DataFrame:
     return running(sized, ["last", "file_id"], {"start_byte": "size"}, "document-bytes").select("file_id", "position", "start_byte", "text")
 
 
-def document(json_rows: DataFrame, version: str, folder: str) -> DataFrame:
-    """Writes one JSON document of all files as parts, one for each range of files, and its manifest: (part, start_byte, bytes, files).
+def document(json_rows: DataFrame, version: str, folder: str, part_bytes: int = 128 << 20) -> DataFrame:
+    """Writes one JSON document of all files as parts of about part_bytes, one for each range of files, and its manifest: (part, start_byte, bytes, files).
 
     The parts' names sort in the document's order, so that putting them one after the other gives it; no task holds more than a part.
     """
     pieces = written(placed(json_rows, version), "document")
-    pieces.repartitionByRange("position").sortWithinPartitions("position").select("text").write.mode("errorifexists").text(folder)
+    parts = pieces.agg(F.max("start_byte")).first()[0] // part_bytes + 1
+    pieces.repartitionByRange(parts, "position").sortWithinPartitions("position").select("text").write.mode("errorifexists").text(folder)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     parts = json_rows.sparkSession.read.text(folder).select(name.alias("part"), F.octet_length("value").cast("long").alias("n"), F.startswith("value", F.lit("]}")).alias("closes"))
     parts = parts.groupBy("part").agg((F.sum("n") + F.count("*")).alias("bytes"), F.count_if(~F.col("closes")).alias("files"))

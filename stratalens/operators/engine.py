@@ -188,8 +188,9 @@ def with_output(rows: DataFrame) -> DataFrame:
     starts = F.filter("__kept", lambda p, i: (i == 0) | ~F.coalesce(joins(F.get("__kept", i - 1), p), F.lit(False)))
     ends = F.filter("__kept", lambda p, i: ~F.coalesce(joins(p, F.get("__kept", i + 1)), F.lit(False)))
     rows = fenced(rows, __pieces=F.zip_with(starts, ends, lambda a, b: F.struct(a["at"], b["end"], a["bytes"].alias("bytes"))))
-    part = lambda p: F.hex(F.coalesce(p["bytes"], F.substring(F.col("content"), (p["at"] + 1).cast("int"), (p["end"] - p["at"]).cast("int"))))
-    rows = fenced(rows, __body=F.unhex(F.array_join(F.transform("__pieces", part), "")))
+    # Bytes as strings and back: neither cast looks at them, and the join copies them once.
+    part = lambda p: F.coalesce(p["bytes"], F.substring(F.col("content"), (p["at"] + 1).cast("int"), (p["end"] - p["at"]).cast("int"))).cast("string")
+    rows = fenced(rows, __body=F.array_join(F.transform("__pieces", part), "").cast("binary"))
     form = F.when(F.col("format") == "webp", F.encode(F.lit("WEBP"), "UTF-8")).otherwise(F.encode(F.lit("WAVE"), "UTF-8"))
     riff = F.concat(F.encode(F.lit("RIFF"), "UTF-8"), little_endian(F.octet_length("__body").cast("long") + 4), form, F.col("__body"))
     out = F.when(F.col("error").isNull() & F.col("format").isin(*dims.WALKED), F.when(F.col("format").isin("webp", "wav"), riff).otherwise(F.col("__body")))

@@ -267,6 +267,21 @@ ODT_CLEAN = {
 }
 
 
+def _office(main: str, kind: str, **parts: str) -> dict:
+    """An office package whose main part is of a kind, with authorship in its properties."""
+    overrides = [(main, f"officedocument.{kind}.main+xml"), ("docProps/core.xml", "package.core-properties+xml"), ("docProps/app.xml", "officedocument.extended-properties+xml")]
+    types = "".join(f'<Override PartName="/{n}" ContentType="{_TYPE}{t}"/>' for n, t in overrides)
+    return {
+        "[Content_Types].xml": f"<Types>{types}</Types>", "_rels/.rels": f'<Relationships><Relationship Id="rId1" Type="{_RELATION}officeDocument/2006/relationships/officeDocument" Target="{main}"/></Relationships>',
+        main: "<main>PRESERVED</main>", **parts, "docProps/core.xml": "<cp:coreProperties><dc:creator>NAME</dc:creator></cp:coreProperties>", "docProps/app.xml": "<Properties><Company>NAME</Company></Properties>",
+    }
+
+
+XLSX = _office("xl/workbook.xml", "spreadsheetml.sheet", **{"xl/comments1.xml": "<comments><authors><author>NAME</author></authors><commentList/></comments>"})
+PPTX = _office("ppt/presentation.xml", "presentationml.presentation", **{"ppt/media/image1.png": None})
+ODS, ODP = ({n: t and t.replace(_ODF, _ODF.replace("text", kind)) for n, t in ODT.items()} for kind in ("spreadsheet", "presentation"))
+
+
 def package(parts: dict, c: Column, picture: Column | None = None, time: str = "0000 2100") -> Column:
     """A package whose parts name c; picture: the bytes of the part that has none."""
     each = []

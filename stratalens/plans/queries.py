@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -353,11 +354,25 @@ def strip_docx(spark, sf_dir):
     return done.select("file_id", "format", F.md5("content").alias("md5"), "output_bytes")
 
 
-@query("inspect_odt", _package_sql("odt", [
+_ODT_ROWS = [
     ("personal-identity", "content.xml", "dc:creator", _C), ("timestamp", "content.xml", "dc:date", "10"), ("personal-identity", "content.xml", "text:author-name", _C),
     ("personal-identity", "meta.xml", "meta:initial-creator", _C), ("software-fingerprint", "meta.xml", "meta:generator", "8"),
     ("device-identity", "settings.xml", "config:config-item (PrinterName)", _C), ("software-fingerprint", "settings.xml", "config:config-item", "2"), ("timestamp", "ZIP entry headers", None, "5"),
+]
+_PROPERTIES = [("personal-identity", "docProps/core.xml", "dc:creator", _C), ("personal-identity", "docProps/app.xml", "Company", _C), ("timestamp", "ZIP entry headers", None, "6")]
+
+
+@query("inspect_sheets_and_slides", " UNION ALL ".join([
+    _package_sql("xlsx", [("personal-identity", "xl/comments1.xml", "author", _C), *_PROPERTIES]), _package_sql("pptx", [("personal-identity", "ppt/media/image1.png → tEXt", "Author", _C), *_PROPERTIES]),
+    _package_sql("ods", _ODT_ROWS), _package_sql("odp", _ODT_ROWS),
 ]))
+def inspect_sheets_and_slides(spark, sf_dir):
+    """The other packages of both families, in one batch."""
+    made = [documents_of(spark, sf_dir, parts, name, name == "pptx") for name, parts in (("xlsx", C.XLSX), ("pptx", C.PPTX), ("ods", C.ODS), ("odp", C.ODP))]
+    return packages.Package(reduce(DataFrame.unionByName, made)).findings().select("file_id", "seq", "kind", "location", "field", "bytes")
+
+
+@query("inspect_odt", _package_sql("odt", _ODT_ROWS))
 def inspect_odt(spark, sf_dir):
     return packages.Package(documents_of(spark, sf_dir, C.ODT, "odt")).findings().select("file_id", "seq", "kind", "location", "field", "bytes")
 

@@ -247,11 +247,15 @@ def test_packages_say_what_they_are(spark):
 def test_streaming_landing(spark, tmp_path, rows):
     from stratalens.streaming.landing import inspect_stream
 
-    rows.where(F.col("content").isNotNull()).select("file_id", "path", "content").write.parquet(str(tmp_path / "land"))
+    from stratalens.plans import carriers
+
+    sheet = spark.range(1).select(F.lit("sheet").alias("file_id"), F.lit("p").alias("path"), carriers.package(carriers.XLSX, F.lit("SYNTHETIC")).alias("content"))
+    rows.where(F.col("content").isNotNull()).select("file_id", "path", "content").unionByName(sheet).write.parquet(str(tmp_path / "land"))
     stream = spark.readStream.schema("file_id string, path string, content binary").parquet(str(tmp_path / "land"))
     inspect_stream(stream, str(tmp_path / "found"), str(tmp_path / "errors"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "errors")).count() == len(BAD)
-    assert spark.read.parquet(str(tmp_path / "found")).select("file_id").distinct().count() == len(FILES)
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert found.select("file_id").distinct().count() == len(FILES) + 1 and {r.field for r in found.where("file_id = 'sheet'").collect()} == {"author", "dc:creator", "Company"}
 
 
 def test_records_of_runs(spark, tmp_path):

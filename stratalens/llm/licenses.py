@@ -2,9 +2,9 @@
 
 A file's own licence is what the first of these finds in it:
 1. an SPDX-License-Identifier tag, read as it stands;
-2. a real notice or licence text (HEADERS, and the whole texts in licence_texts). Where a text's fixed opening words stand,
-   in any place of the file and with any comment marks, as many terms as the text has are compared with it as one sparse
-   vector, and the best cosine from WINDOW on counts; terms that are in no text (years, holders) weigh little;
+2. a real notice or licence text (HEADERS, and the whole texts in licence_texts). Where any of a text's rarest triples of terms
+   stands, in any place of the file and with any comment marks, as many terms as the text has, from where it would begin, are
+   compared with it as one sparse vector, and the best cosine from WINDOW on counts; terms that are in no text (years, holders) weigh little;
 3. a line with a licence word that is near one of the short TEMPLATES, from MATCH on;
 4. such a line with the terms in no template weighed little, if it holds all terms that tell the template from the others.
 All are cosines of vectors weighted by count and inverse document frequency, from joins by term with tables of fixed size.
@@ -87,7 +87,7 @@ FREE = (
     "This {1} is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
     "This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
 )
-#: (licence, opening, text): what a file says of its licence at its head, and the beginnings of texts that are not in licence_texts.
+#: (licence, opening, text), compared from the opening on: what a file says of its licence at its head, and the beginnings of texts that are not in licence_texts.
 HEADERS = [
     ("Apache-2.0", "licensed under the apache license version 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("Apache-2.0", "licensed to the apache software foundation", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -119,19 +119,46 @@ def real_texts() -> list[tuple[str, str, list[str], bool]]:
     return [(k, o, f" {' '.join(t)} ".partition(f" {o} ")[1:], whole) for k, o, t, whole in out]
 
 
-def window_rows() -> tuple[list[tuple], list[tuple], dict[str, int]]:
-    """(opening, text, licence, terms, whole, length) and (text, term, weight) rows; weight of each known term."""
-    texts = [(k, o, "".join(p).split(), whole) for k, o, p, whole in real_texts()]
+#: A text has one anchor in each of so many equal parts of it.
+ANCHORS = 8
+
+
+def anchors(texts: list[list[str]]) -> list[tuple[int, int, tuple[str, str, str]]]:
+    """(text, offset, three terms): in each part of a text, the triple that is in the fewest texts and once in this one, the first of such."""
+    triples = [list(zip(t, t[1:], t[2:], strict=False)) for t in texts]
+    df: dict[tuple, int] = {}
+    for g in triples:
+        for x in set(g):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for i, g in enumerate(triples):
+        once = {x for x in set(g) if g.count(x) == 1}
+        for part in range(ANCHORS):
+            at = [j for j in range(len(g) * part // ANCHORS, len(g) * (part + 1) // ANCHORS) if g[j] in once]
+            if at:
+                j = min(at, key=lambda j: (df[g[j]], j))
+                out.append((i, j, g[j]))
+    return out
+
+
+def window_rows() -> tuple[list[tuple], list[tuple], dict[str, int], list[tuple]]:
+    """(text, licence, terms, whole, length) and (text, term, weight) rows; weight of each known term; anchors."""
+    texts = [(k, "".join(p).split(), whole) for k, _, p, whole in real_texts()]
     df: dict[str, int] = {}
-    for _, _, t, _ in texts:
+    for _, t, _ in texts:
         for w in set(t):
             df[w] = df.get(w, 0) + 1
     idf = {w: round(100 * (math.log((1 + len(texts)) / (1 + d)) + 1)) for w, d in df.items()}
-    rows = [(i, w, t.count(w) * idf[w]) for i, (_, _, t, _) in enumerate(texts) for w in sorted(set(t))]
+    rows = [(i, w, t.count(w) * idf[w]) for i, (_, t, _) in enumerate(texts) for w in sorted(set(t))]
     length: dict[int, int] = {}
     for i, _, x in rows:
         length[i] = length.get(i, 0) + x * x
-    return [(o, i, k, len(t), whole, length[i]) for i, (k, o, t, whole) in enumerate(texts)], rows, idf
+    return [(i, k, len(t), whole, length[i]) for i, (k, t, whole) in enumerate(texts)], rows, idf, anchors([t for _, t, _ in texts])
+
+
+def once(c: Column) -> Column:
+    """c from a one-row generator, so that what uses it more than once does not evaluate it again."""
+    return F.explode(F.array(c))
 
 
 def cosine(dot: str, size: str, length: str) -> Column:
@@ -139,22 +166,32 @@ def cosine(dot: str, size: str, length: str) -> Column:
 
 
 def windows(files: DataFrame, text: str) -> DataFrame:
-    """(key, license, match, whole): real notices and licence texts from WINDOW on. whole: most of the file is this whole text."""
+    """(key, license, match, whole): real notices and licence texts from WINDOW on. whole: most of the file is this whole text.
+
+    Every occurrence of an anchor of a text says where the text would begin; the terms from there on are a candidate. A file's
+    triples are compared as 64-bit hashes, in its own row, so no text is shuffled; hashes that agree by chance only add a
+    candidate, which the cosine decides like any other.
+    """
     spark = files.sparkSession
-    openings, rows, idf = window_rows()
-    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)), " "), F.lit(" "))
-    files = files.select("__key", texts_of(files, text).alias("t")).where(F.rlike("t", F.lit(WORDS))).select("__key", joined.alias("j"))
-    phrases = F.array(*[F.lit(f" {o} ") for o in sorted({r[0] for r in openings})])
-    hits = F.explode(F.filter(phrases, lambda o: F.contains(F.col("j"), o))).alias("o")
-    parts = files.select("__key", "j", hits).select("__key", F.trim("o").alias("opening"), F.size(F.split("j", " ")).alias("all"), F.posexplode(F.expr("split(j, o)")).alias("at", "part")).where("at > 0")
-    texts = spark.createDataFrame(openings, "opening string, n_text int, license string, n int, whole boolean, length long")
-    held = F.split(F.concat_ws(" ", "opening", F.trim("part")), " ")
-    held = parts.join(F.broadcast(texts), "opening").select("__key", "at", "n_text", "n", "all", F.explode(F.slice(held, F.lit(1), F.col("n"))).alias("term"))
-    counted = held.groupBy("__key", "at", "n_text", "all", "term").count()
+    texts, rows, idf, marks = window_rows()
+    n = {i: size for i, _, size, _, _ in texts}
+    files = files.select("__key", texts_of(files, text).alias("t")).where(F.rlike("t", F.lit(WORDS))).select("__key", once(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("w"))
+    triples = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    files = files.where(F.size("w") >= 3).select("*", once(triples).alias("h"))
+    made = F.array(*[F.struct(F.xxhash64(*map(F.lit, x)).alias("h"), F.lit(i).alias("n_text"), F.lit(at).alias("at"), F.lit(n[i]).alias("n")) for i, at, x in marks])
+    held = files.select("*", once(F.array_intersect("h", F.transform(made, lambda a: a["h"]))).alias("m")).where(F.size("m") > 0)
+    at = F.filter(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.array_contains("m", x["h"]))
+    held = held.select("__key", "w", at.alias("hits"), F.filter(made, lambda a: F.array_contains("m", a["h"])).alias("made"))
+    start = lambda a, x: F.struct(a["n_text"].alias("n_text"), F.greatest(x["i"] - a["at"], F.lit(0)).alias("at"), a["n"].alias("n"))
+    starts = F.flatten(F.transform("made", lambda a: F.transform(F.filter("hits", lambda x: x["h"] == a["h"]), lambda x: start(a, x))))
+    parts = F.transform(F.array_distinct(starts), lambda c: F.struct(c["n_text"].alias("n_text"), c["at"].alias("at"), F.slice("w", c["at"] + 1, c["n"]).alias("terms")))
+    parts = held.select("__key", F.size("w").alias("all"), F.explode(parts).alias("c")).select("__key", "all", "c.n_text", "c.at", F.explode("c.terms").alias("term"))
+    counted = parts.groupBy("__key", "at", "n_text", "all", "term").count()
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf long")
     table = spark.createDataFrame(rows, "n_text int, term string, x long")
     both = counted.join(F.broadcast(known), "term", "left").join(F.broadcast(table), ["n_text", "term"], "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(LITTLE)))
     sums = both.groupBy("__key", "at", "n_text", "all").agg(F.sum(F.col("w") * F.col("w")).alias("size"), F.sum(F.col("w") * F.coalesce("x", F.lit(0))).alias("dot"))
+    texts = spark.createDataFrame(texts, "n_text int, license string, n int, whole boolean, length long")
     scored = sums.join(F.broadcast(texts), "n_text").withColumn("match", cosine("dot", "size", "length")).where(F.col("match") >= WINDOW)
     return scored.select("__key", "license", "match", (F.col("whole") & (2 * F.col("n") >= F.col("all"))).alias("whole"))
 

@@ -467,6 +467,39 @@ import os
     assert [got[f"d{i}/x.c"] for i in range(len(wants))] == [w for _, w in wants]
 
 
+def plain_windows(text):
+    """The best licence of all windows at every place of the text, by plain counting."""
+    texts, rows, idf, _ = licenses.window_rows()
+    w, vectors, best = licenses.terms(text), {}, None
+    for i, t, x in rows:
+        vectors.setdefault(i, {})[t] = x
+    for i, name, n, _, length in texts:
+        for at in range(len(w)):
+            counts = Counter(w[at : at + n])
+            weights = {t: c * idf.get(t, licenses.LITTLE) for t, c in counts.items()}
+            dot, size = sum(x * vectors[i].get(t, 0) for t, x in weights.items()), sum(x * x for x in weights.values())
+            match = math.floor(1000 * dot / math.sqrt(float(size) * float(length)))
+            if match >= licenses.WINDOW:
+                best = min(best or (0, "~"), (-match, name))
+    return best and best[1]
+
+
+def test_notices_with_changed_openings_are_found_as_by_windows_at_every_place(spark):
+    gpl3 = licenses.FREE.format("General Public License", "program", "3")
+    isc, mit = licence_text("ISC"), licence_text("MIT")
+    texts = [
+        gpl3.replace("This program", "FooBar"), gpl3.replace("This program", "This script"), "# " + gpl3.replace(". ", ".\n# "), isc.replace("copy, modify, and/or distribute", "copy, modify and distribute").replace("copy, modify, and distribute", "copy, modify, and/or distribute"),
+        mit.replace("Permission is hereby granted", "Permission is granted"), "intro words\n" * 40 + mit.replace("hereby ", "") + "\nmore of the file" * 9, licenses.FREE.format("Lesser General Public License", "library", "2.1"), licenses.FREE.format("Lesser General Public License", "toolbox", "2.1"),
+        "free software you can redistribute under the terms of the license", "this permission notice is about a license", gpl3[: len(gpl3) // 4], "license", "",
+    ]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "__key string, text string")
+    found = {}
+    for r in licenses.windows(files, "text").collect():
+        found[r["__key"]] = min(found.get(r["__key"], (0, "~")), (-r["match"], r["license"]))
+    assert [found.get(str(i), (0, None))[1] for i in range(len(texts))] == [plain_windows(t) for t in texts]
+    assert [found[str(i)][1] for i in range(6)] == ["GPL-3.0", "GPL-3.0", "GPL-3.0", "ISC", "MIT", "MIT"]
+
+
 def test_licences_are_inherited_from_whole_licence_files(spark):
     gpl, mit, apache = licence_text("GPL-3.0"), licence_text("MIT"), licence_text("Apache-2.0")
     assert len(words(gpl)) > 5000 and len(words(apache)) > 1500 and len(words(mit)) > 100

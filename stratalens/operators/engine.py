@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions.detect import detected, fenced
+from . import guard
 from .isobmff import WALKERS as MEDIA
 from .markup import WALKERS as MARKUP
 from .rebuilders import WALKERS as REBUILDERS
-from .walkers import WALKERS, walk
+from .walkers import WALKERS, Doubt, walk
 
 ITEM = "struct<scope:string,name:string,location:string,bytes:bigint,text:string,opaque:bigint>"
 NOTE = "struct<location:string,bytes:bigint>"
@@ -32,12 +33,17 @@ def walk_file(kind: str, data: bytes | None) -> tuple[list[dict], dict | None]:
     return walk({**WALKERS, **REBUILDERS, **MARKUP, **MEDIA}[kind], data)
 
 
-def _parse(content: int, kind: int, names: list[str], schema):
+def _parse(content: int, kind: int, names: list[str], schema, work, apart: bool):
     def parse(batches):
         import pyarrow as pa
 
+        lone = apart or guard.repeated()
+        refuse = lambda why: ([], Doubt(why).row)
         for batch in batches:
-            found = [walk_file(k, c) if k in dims.WALKED else ([], None) for k, c in zip(batch.column(kind).to_pylist(), batch.column(content).to_pylist(), strict=True)]
+            files = list(zip(batch.column(kind).to_pylist(), batch.column(content).to_pylist(), strict=True))
+            walked = [f for f in files if f[0] in dims.WALKED]
+            walked = iter(guard.isolated(work, walked, refuse) if lone else [work(*f) for f in walked])
+            found = [next(walked) if k in dims.WALKED else ([], None) for k, _ in files]
             segments = pa.array([s for s, _ in found], schema[0])
             errors = pa.array([e for _, e in found], schema[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, segments, errors], names=names)
@@ -45,8 +51,11 @@ def _parse(content: int, kind: int, names: list[str], schema):
     return parse
 
 
-def parsed(files: DataFrame, every: bool = False) -> DataFrame:
-    """files with a format that has a walker, with segments and error. Other files are left out: `errors` has them. every: they stay, without segments."""
+def parsed(files: DataFrame, every: bool = False, work=walk_file, apart: bool = False) -> DataFrame:
+    """files with a format that has a walker, with segments and error. Other files are left out: `errors` has them. every: they stay, without segments.
+
+    work walks one file; repeated tasks walk apart from the worker (guard), with `apart` first attempts too.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = files if "format" in files.columns else detected(files)
@@ -54,7 +63,7 @@ def parsed(files: DataFrame, every: bool = False) -> DataFrame:
     schema = T.StructType(list(rows.schema.fields))
     schema.add("segments", T.ArrayType(T._parse_datatype_string(SEGMENT))).add("error", T._parse_datatype_string(ERROR))
     arrow = (to_arrow_type(schema["segments"].dataType), to_arrow_type(schema["error"].dataType))
-    return rows.mapInArrow(_parse(rows.columns.index("content"), rows.columns.index("format"), schema.names, arrow), schema)
+    return rows.mapInArrow(_parse(rows.columns.index("content"), rows.columns.index("format"), schema.names, arrow, work, apart), schema)
 
 
 def rules(form: Column, key: Column) -> Column:

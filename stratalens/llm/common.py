@@ -68,11 +68,6 @@ def release(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished steps: Spark removes them once the driver's JVM has collected what refers to them."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], name: str) -> DataFrame:
     """df with, for each new column: summed column of `sums`, the sum over all rows before this one in the global order.
 

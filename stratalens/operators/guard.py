@@ -20,8 +20,6 @@ from collections.abc import Callable
 
 from pyspark import TaskContext, cloudpickle
 
-ENDED = {"walk-failed", "walk-ended", "walk-unfinished"}
-
 
 def repeated() -> bool:
     """Whether this task was attempted before."""

@@ -286,9 +286,8 @@ def strip_mp4(spark, sf_dir):
     return rows.join(bare, "file_id").select("file_id", "format", "output_bytes", "chunk_1", "chunk_2", "media", (F.col("md5") == F.col("bare")).alias("same_index"))
 
 
-@query("mp4_refusals", "SELECT c_custkey, c.defect AS defect, c.error_kind AS error_kind, c.detail AS detail, c.other AS unsupported_kind FROM customer, (VALUES ('moof', 'unsupported-format', NULL::VARCHAR, 'fragmented-mp4'), ('pssh', 'unsupported-format', NULL, 'protected-media'), ('moov', 'malformed', 'unexpected-marker', NULL), ('index', 'malformed', 'missing-marker', NULL), ('far', 'malformed', 'broken-index', NULL)) c(defect, error_kind, detail, other)")
-def mp4_refusals(spark, sf_dir):
-    """Movies that are refused: fragmented, encrypted, with two indexes or none, with chunks outside the media."""
+def refused_movies(spark, sf_dir) -> DataFrame:
+    """Five broken movies for each customer; file_id is customer/defect."""
     c = F.coalesce("c_name", F.lit(""))
     ftyp, media, c = C.hexed(C.MP4_FTYP), C.hexed(C.MP4_DATA), C.text(c)
     made = {
@@ -297,8 +296,13 @@ def mp4_refusals(spark, sf_dir):
     }
     made = {k: v.column() for k, v in made.items()}
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("defect"), v.alias("content")) for k, v in made.items()])).alias("m")).select("c_custkey", "m.*")
-    files = rows.select(F.concat_ws("/", F.col("c_custkey").cast("string"), "defect").alias("file_id"), F.lit("p").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
-    out = engine.errors(files)
+    return rows.select(F.concat_ws("/", F.col("c_custkey").cast("string"), "defect").alias("file_id"), F.lit("p").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+
+
+@query("mp4_refusals", "SELECT c_custkey, c.defect AS defect, c.error_kind AS error_kind, c.detail AS detail, c.other AS unsupported_kind FROM customer, (VALUES ('moof', 'unsupported-format', NULL::VARCHAR, 'fragmented-mp4'), ('pssh', 'unsupported-format', NULL, 'protected-media'), ('moov', 'malformed', 'unexpected-marker', NULL), ('index', 'malformed', 'missing-marker', NULL), ('far', 'malformed', 'broken-index', NULL)) c(defect, error_kind, detail, other)")
+def mp4_refusals(spark, sf_dir):
+    """Movies that are refused: fragmented, encrypted, with two indexes or none, with chunks outside the media."""
+    out = engine.errors(refused_movies(spark, sf_dir))
     return out.select(F.split_part("file_id", F.lit("/"), F.lit(1)).cast("long").alias("c_custkey"), F.split_part("file_id", F.lit("/"), F.lit(2)).alias("defect"), "error_kind", "detail", "unsupported_kind")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import engine, layout
+from ..sources.shared import written
 from . import carriers as C
 from .queries import ORACLES, movies, query, refused_movies, table
 
@@ -24,14 +25,15 @@ _MOVIES = "m AS (SELECT 'mp4_tags-' || o_orderkey AS file_id, CASE WHEN o_orderk
   SELECT file_id, no, path, off::BIGINT AS off, size::BIGINT AS size, kept, new_off::BIGINT AS new_off, new_size::BIGINT AS new_size FROM r""")
 def movie_layout(spark, sf_dir):
     """Where each box lies, and where it comes to lie without the tags."""
-    return layout.layout(layout.scanned(movies(spark, sf_dir))).select("file_id", "no", "path", "off", "size", "kept", "new_off", "new_size")
+    boxes = written(layout.scanned(movies(spark, sf_dir)), "boxes")
+    return layout.layout(boxes).select("file_id", "no", "path", "off", "size", "kept", "new_off", "new_size")
 
 
 @query("movie_chunks", f"""WITH {_MOVIES} SELECT file_id, c AS chunk, (527 + w + u + 8 * c)::BIGINT AS "offset", (527 + w + 8 * c)::BIGINT AS relocated, 'moved' AS status, (527 + w + 8 * c)::BIGINT AS read_back FROM m, (VALUES (0), (1)) t(c)""")
 def movie_chunks(spark, sf_dir):
     """Each chunk's offset moved with its media, beside what is read back from the stripped file."""
     files = movies(spark, sf_dir, times="00000001")
-    boxes = layout.scanned(files)
+    boxes = written(layout.scanned(files), "boxes")
     after = layout.chunks(layout.scanned(engine.stripped(engine.decided(files)))).select("file_id", "chunk", F.col("offset").alias("read_back"))
     return layout.moved(boxes, layout.layout(boxes)).select("file_id", "chunk", "offset", "relocated", "status").join(after, ["file_id", "chunk"])
 

@@ -442,17 +442,26 @@ class Package:
         kept = self._sound(self.rows.where("role <> 'drop'")).join(new, ["file_id", "part_no"], "left")
         kept = kept.withColumn("new", F.when((F.col("role") == "first") & (F.col("method") != 0), F.col("data")).otherwise(F.col("new")))
         kept = kept.select("file_id", (F.col("role") != "first").alias("later"), "part_no", "raw_name", "method", "flags", "crc", "size", F.when(F.col("new").isNull(), F.col("packed")).alias("packed"), "new")
-        made = kept.repartition("file_id").sortWithinPartitions("file_id", "later", "part_no").mapInArrow(_assemble, "file_id string, content binary")
+        made = by_file(kept, "later", "part_no").mapInArrow(_assemble, "file_id string, content binary")
         facts = self.files.select("file_id", "path", "format", F.octet_length("content").cast("long").alias("input_bytes"))
         return made.join(facts, "file_id").select("file_id", "path", "format", "content", "input_bytes", F.octet_length("content").cast("long").alias("output_bytes"))
 
 
+def by_file(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with those of one file in one partition, next to each other and in order.
+
+    They are dealt by a hash of the file. A repartition by the file itself is left out by the planner where a join below has dealt by it
+    already; if that join then becomes a broadcast at run time, its side is read where it lies, and a file's rows are in several tasks.
+    """
+    return rows.repartition(F.xxhash64("file_id")).sortWithinPartitions("file_id", *order)
+
+
 def assembled(rows: DataFrame) -> DataFrame:
     """rows (file_id, part_no, raw_name, new) -> (file_id, content): archives of stored entries, in order of part."""
     none = F.lit(None)
     facts = [F.lit(False).alias("later"), *[none.cast("int").alias(c) for c in ("method",)], F.lit(2048).alias("flags"), *[none.cast("bigint").alias(c) for c in ("crc", "size")], none.cast("binary").alias("packed")]
     rows = rows.select("file_id", "part_no", "raw_name", *facts, "new")
-    return rows.repartition("file_id").sortWithinPartitions("file_id", "part_no").mapInArrow(_assemble, "file_id string, content binary")
+    return by_file(rows, "part_no").mapInArrow(_assemble, "file_id string, content binary")
 
 
 def _assemble(batches):

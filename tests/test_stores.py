@@ -303,3 +303,20 @@ def test_quantiles_stay_within_their_error(spark):
             exact = values[max(1, -(-share * len(values) // 1000)) - 1]
             assert got[run][name] <= exact and exact - got[run][name] <= sketch.error() * exact
     assert (got[9].n, got[9].least, got[9]["median"], got[9]["last"]) == (2, 0, 0, 5)
+
+
+def test_parts_of_a_package_stay_together_when_a_join_below_becomes_a_broadcast(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 3000, 1, 6).select((F.col("id") % 1000).cast("string").alias("file_id"), F.floor(F.col("id") / 1000).cast("int").alias("part_no"))
+        rows = rows.select("*", F.encode(F.concat(F.lit("p"), F.col("part_no").cast("string")), "UTF-8").alias("raw_name"), F.encode(F.repeat(F.col("file_id"), 50), "UTF-8").alias("new"))
+        bad = spark.range(900, 1000).select(F.col("id").cast("string").alias("file_id"))
+        made = packages.assembled(rows.join(bad, "file_id", "left_anti")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(made) == 900 == len({r.file_id for r in made})
+    assert all(zipfile.ZipFile(io.BytesIO(r.content)).namelist() == ["p0", "p1", "p2"] for r in made)

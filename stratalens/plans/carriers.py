@@ -307,6 +307,15 @@ def plain_archive(parts: dict, picture: bytes = b"") -> bytes:
     return out.getvalue()
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows (narrow: keys and small values) dealt to all cores by a unique key, before they are made into files.
+
+    A table of millions of narrow rows is a file of a few megabytes, which one or two tasks read; what is made of its rows is a hundred times that.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def files(rows: DataFrame, key: str, content: Column, prefix: str) -> DataFrame:
     """(file_id, path, length, content) of a table's carriers."""
     out = fenced(rows.withColumn("file_id", F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string"))), content=content)

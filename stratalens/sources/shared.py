@@ -41,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df, as a side of a join that is merged rather than broadcast: it grows with the input.
+
+    What files take on disk says little of their rows (equal bytes are stored once), so that the planner would send tables of any
+    size through the driver.
+    """
+    return df.hint("merge")
+
+
 def released(*tables: DataFrame) -> None:
     """Removes what written() wrote for these tables, once nothing that is still to run reads them."""
     for df in tables:

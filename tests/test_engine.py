@@ -290,3 +290,18 @@ def test_files_in_a_store_and_plain_files_are_read_alike(spark, tmp_path):
         assert (tmp_path / "in/b").read_bytes() == b"two" and sorted(os.listdir(tmp_path / "in")) == ["a", "b"]
     finally:
         filewalk.remote, filewalk.local, sink.remote = filewalk_remote, filewalk_local, filewalk_remote
+
+
+@pytest.mark.parametrize("made", ["movies", "refused_movies", "stills", "sample_files"])
+def test_narrow_rows_are_dealt_to_all_cores_before_they_are_files(spark, sf, made):
+    from stratalens.plans import queries
+
+    assert getattr(queries, made)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one file with one group of rows
+
+
+@pytest.mark.parametrize("name", ["movie_chunks", "strip_odt", "report_sections", "movie_relaid_refusals"])
+def test_no_table_that_grows_with_the_input_is_broadcast(spark, sf, name):
+    import re
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"BroadcastHashJoin \[[^\]]*(?:file_id|\bno|chunk)#[^\n]*", plan)

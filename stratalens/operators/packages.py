@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.detect import detected, fenced
 from ..sources import archives
-from ..sources.shared import released, written
+from ..sources.shared import grown, released, written
 from . import engine, markup
 from .walkers import MOST_ITEMS, Doubt, clean, item
 
@@ -169,15 +169,15 @@ def judged(rows: DataFrame) -> DataFrame:
     role: folder, index, drop, image, xml, opaque, first (the part that names the format, stored and in front).
     """
     per = written(indexed(rows).where("failure IS NULL"), "package-indexes")
-    keys = rows.select("file_id", "part_no", "name", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("extension")).join(per.select("file_id"), "file_id")
+    keys = rows.select("file_id", "part_no", "name", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("extension")).join(grown(per.select("file_id")), "file_id")
     by_name = named_types(per, "Override", "PartName", plain).withColumnRenamed("k", "name")
     by_extension = named_types(per, "Default", "Extension", F.lower).withColumnsRenamed({"k": "extension", "type": "otherwise"})
     shown = per.select("file_id", F.explode(tags(F.col("rels"), "Relationship")).alias("t")).where(attribute(F.col("t"), "Type") == dims.THUMBNAIL_RELATION)
     shown = shown.select("file_id", plain(attribute(F.col("t"), "Target")).alias("name"), F.lit(True).alias("thumbnail")).distinct()
-    keys = keys.join(by_name, ["file_id", "name"], "left").join(by_extension, ["file_id", "extension"], "left").join(shown, ["file_id", "name"], "left")
-    keys = keys.join(dead_relations(rows), ["file_id", "name"], "left")
+    keys = keys.join(grown(by_name), ["file_id", "name"], "left").join(grown(by_extension), ["file_id", "extension"], "left").join(grown(shown), ["file_id", "name"], "left")
+    keys = keys.join(grown(dead_relations(rows)), ["file_id", "name"], "left")
     keys = keys.select("file_id", "part_no", F.coalesce("type", "otherwise").alias("type"), F.coalesce("thumbnail", F.lit(False)).alias("thumbnail"), "dead")
-    named = rows.join(keys, ["file_id", "part_no"])
+    named = rows.join(grown(keys), ["file_id", "part_no"])
     odf = F.col("format").isin(*dims.ODF_MEDIA.values())
     whole = F.lit(None).cast("string")
     leaf = F.regexp_extract("name", "([^/]*)$", 1)
@@ -371,7 +371,7 @@ def scrubbed(rows: DataFrame) -> DataFrame:
 
     kinds = [to_arrow_type(T._parse_datatype_string(f"array<{t}>")) for t in (engine.ITEM, engine.NOTE)]
     gone = rows.where("role = 'drop'").groupBy("file_id").agg(F.collect_set("name").alias("dropped"))
-    indexes = rows.where("role = 'index'").join(gone, "file_id", "left")
+    indexes = rows.where("role = 'index'").join(grown(gone), "file_id", "left")
     others = rows.where("role IN ('drop', 'opaque', 'xml')").withColumn("dropped", F.lit(None).cast("array<string>"))
     each = [x.select("file_id", "part_no", "format", "role", "name", "data", "gone", "dead", "dropped") for x in (others, indexes)]
     return each[0].unionByName(each[1]).mapInArrow(_scrub(*kinds), SCRUBBED)
@@ -405,24 +405,24 @@ class Package:
     def errors(self) -> DataFrame:
         refused = indexed(self.parts).where("failure IS NOT NULL").select("file_id", "format", "failure")
         inner = self._inner(self.images.where("error IS NOT NULL").select("file_id", "error")).groupBy("file_id").agg(F.min_by("error", "part_no").alias("failure"))
-        inner = inner.join(self.rows.select("file_id", "format").distinct(), "file_id").select("file_id", "format", "failure")
+        inner = inner.join(grown(self.rows.select("file_id", "format").distinct()), "file_id").select("file_id", "format", "failure")
         return refused.unionByName(inner).select("file_id", "failure.error_kind", "format", "failure.detail", "failure.offset", "failure.limit", "failure.unsupported_kind")
 
     def _sound(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.errors().select("file_id").distinct(), "file_id", "left_anti")
+        return rows.join(grown(self.errors().select("file_id").distinct()), "file_id", "left_anti")
 
     def findings(self, values: bool = False) -> DataFrame:
         own = self.scrubbed.select("file_id", "part_no", F.posexplode("items").alias("i", "x"))
         none = F.lit(None)
         own = own.select("file_id", "part_no", "i", F.substr("x.scope", F.lit(6)).alias("kind"), "x.location", F.nullif("x.name", F.lit("")).alias("field"), "x.bytes", F.col("x.text").alias("value_text"), F.col("x.opaque").alias("value_opaque_bytes"))
         names = self.rows.where("role = 'image'").select("file_id", "part_no", "name")
-        inner = self._inner(engine.findings(self.images, True)).join(names, ["file_id", "part_no"])
+        inner = self._inner(engine.findings(self.images, True)).join(grown(names), ["file_id", "part_no"])
         inner = inner.select("file_id", "part_no", F.col("seq").alias("i"), "kind", F.concat("name", F.lit(" → "), "location").alias("location"), "field", "bytes", "value_text", "value_opaque_bytes")
         counts = self.rows.groupBy("file_id").agg(F.count_if("stamped").alias("a"), F.count_if("host").alias("b"))
         last = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("location"), F.col(c).alias("bytes")) for k, p, c in (("timestamp", "ZIP entry headers", "a"), ("device-identity", "ZIP entry extra fields", "b"))])
         last = counts.select("file_id", F.posexplode(F.filter(last, lambda x: x["bytes"] > 0)).alias("i", "x"))
         last = last.select("file_id", F.lit(1 << 30).alias("part_no"), "i", "x.kind", "x.location", none.cast("string").alias("field"), "x.bytes", none.cast("string").alias("value_text"), none.cast("bigint").alias("value_opaque_bytes"))
-        every = self._sound(own.unionByName(inner).unionByName(last)).join(self.files.select("file_id", "format"), "file_id")
+        every = self._sound(own.unionByName(inner).unionByName(last)).join(grown(self.rows.select("file_id", "format").distinct()), "file_id")
         from pyspark.sql import Window
 
         seq = (F.row_number().over(Window.partitionBy("file_id").orderBy("part_no", "i")) - 1).alias("seq")
@@ -432,19 +432,19 @@ class Package:
         own = self.scrubbed.select("file_id", F.explode("notes").alias("n"))
         own = own.select("file_id", F.when(F.col("n.bytes").isNull(), "out-of-scope-content").otherwise("unparsed-region").alias("note"), "n.location", "n.bytes", F.lit(None).cast("string").alias("capability"))
         changed = engine.findings(self.images).select("file_id").distinct()
-        inner = self._inner(engine.notes(self.images.join(changed, "file_id", "left_semi"))).drop("part_no")
+        inner = self._inner(engine.notes(self.images.join(grown(changed), "file_id", "left_semi"))).drop("part_no")
         return self._sound(own.unionByName(inner))
 
     def stripped(self) -> DataFrame:
         changed = engine.findings(self.images).select("file_id").distinct()
-        pictures = self._inner(engine.stripped(self.images.join(changed, "file_id", "left_semi")).select("file_id", "content")).withColumnRenamed("content", "new")
+        pictures = self._inner(engine.stripped(self.images.join(grown(changed), "file_id", "left_semi")).select("file_id", "content")).withColumnRenamed("content", "new")
         new = self.scrubbed.where("new IS NOT NULL").select("file_id", "part_no", "new").unionByName(pictures.select("file_id", "part_no", "new"))
-        kept = self._sound(self.rows.where("role <> 'drop'")).join(new, ["file_id", "part_no"], "left")
+        kept = self._sound(self.rows.where("role <> 'drop'")).join(grown(new), ["file_id", "part_no"], "left")
         kept = kept.withColumn("new", F.when((F.col("role") == "first") & (F.col("method") != 0), F.col("data")).otherwise(F.col("new")))
         kept = kept.select("file_id", (F.col("role") != "first").alias("later"), "part_no", "raw_name", "method", "flags", "crc", "size", F.when(F.col("new").isNull(), F.col("packed")).alias("packed"), "new")
         made = by_file(kept, "later", "part_no").mapInArrow(_assemble, "file_id string, content binary")
         facts = self.files.select("file_id", "path", "format", F.octet_length("content").cast("long").alias("input_bytes"))
-        return made.join(facts, "file_id").select("file_id", "path", "format", "content", "input_bytes", F.octet_length("content").cast("long").alias("output_bytes"))
+        return made.join(grown(facts), "file_id").select("file_id", "path", "format", "content", "input_bytes", F.octet_length("content").cast("long").alias("output_bytes"))
 
 
 def by_file(rows: DataFrame, *order: str) -> DataFrame:
@@ -486,7 +486,7 @@ def verified(done: DataFrame) -> DataFrame:
     again = Package(done.select("file_id", "path", "format", "content"))
     left = again.findings().groupBy("file_id").agg(F.count("*").alias("n"))
     bad = again.errors().select("file_id").distinct().withColumn("bad", F.lit(True))
-    rows = done.select("file_id", "format").join(left, "file_id", "left").join(bad, "file_id", "left")
+    rows = done.select("file_id", "format").join(grown(left), "file_id", "left").join(grown(bad), "file_id", "left")
     return rows.select("file_id", "format", F.coalesce("n", F.lit(0)).cast("int").alias("residual"), (F.col("n").isNull() & F.col("bad").isNull()).alias("verified"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..sources.shared import written
+from ..sources.shared import grown, written
 from . import relational, walkers
 from .walkers import Doubt
 
@@ -202,9 +202,9 @@ def layout(boxes: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("new_off", F.coalesce(F.sum("emitted").over(w), F.lit(0)))
     ends = rows.select(F.col("file_id").alias("f"), F.col("no").alias("n"), (F.col("new_off") + F.col("emitted")).alias("end"))
-    levels = rows.where("held").select("file_id", "no", "last").join(ends, (F.col("file_id") == F.col("f")) & (F.col("last") == F.col("n"))).select("file_id", "no", "end")
+    levels = rows.where("held").select("file_id", "no", "last").join(grown(ends), (F.col("file_id") == F.col("f")) & (F.col("last") == F.col("n"))).select("file_id", "no", "end")
     length = F.when(F.col("held"), F.col("end") - F.col("new_off")).otherwise(F.col("emitted"))
-    return rows.join(levels, ["file_id", "no"], "left").withColumn("new_size", length).drop("held", "end")
+    return rows.join(grown(levels), ["file_id", "no"], "left").withColumn("new_size", length).drop("held", "end")
 
 
 def media(laid: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def refused(boxes: DataFrame, relocated: DataFrame) -> DataFrame:
     reason = reason.when(F.col("brand").isNotNull(), why("unsupported-format", None, F.col("brand"))).when(F.col("moov") > 1, why("malformed", "unexpected-marker", None))
     reason = reason.when((F.col("moov") == 0) | (F.col("mvhd") == 0) | (F.col("trak") == 0), why("malformed", "missing-marker", None))
     lost = relocated.where("status <> 'moved'").groupBy("file_id").agg(F.min_by("status", F.struct("no", "chunk")).alias("status"))
-    rows = facts.select("file_id", reason.alias("r")).join(lost, "file_id", "left")
+    rows = facts.select("file_id", reason.alias("r")).join(grown(lost), "file_id", "left")
     rows = rows.select("file_id", F.coalesce("r", F.when(F.col("status").isNotNull(), why("malformed", F.col("status"), None))).alias("r"))
     return rows.where("r IS NOT NULL").select("file_id", "r.*")
 
@@ -254,7 +254,7 @@ def pieces(boxes: DataFrame, laid: DataFrame, relocated: DataFrame) -> DataFrame
     values = values.select("file_id", "no", F.unhex(F.array_join(F.transform("l", value), "")).alias("values"))
     body = F.when(F.col("kind").isin(*TABLES), F.col("body")).otherwise(rewritten())
     bodies = boxes.where("body IS NOT NULL").select("file_id", "no", body.alias("body")).where("body IS NOT NULL")
-    rows = laid.where("kept").join(values, ["file_id", "no"], "left").join(bodies, ["file_id", "no"], "left")
+    rows = laid.where("kept").join(grown(values), ["file_id", "no"], "left").join(grown(bodies), ["file_id", "no"], "left")
     number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
     name = F.encode(F.col("kind"), "ISO-8859-1")
     head = F.concat(number(F.col("new_size")), name)
@@ -268,11 +268,11 @@ def relaid(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     laid = written(layout(boxes), "layout")
     relocated = written(moved(boxes, laid), "relocated")
     bad = written(refused(boxes, relocated), "refused")
-    per = pieces(boxes, laid, relocated).join(bad.select("file_id"), "file_id", "left_anti")
+    per = pieces(boxes, laid, relocated).join(grown(bad.select("file_id")), "file_id", "left_anti")
     per = per.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("no", "off", "end", "bytes"))).alias("pieces"))
     # Bytes as strings and back: neither cast looks at them.
     part = lambda p: F.coalesce(p["bytes"], F.substring(F.col("content"), (p["off"] + 1).cast("int"), (p["end"] - p["off"]).cast("int"))).cast("string")
-    rows = files.select(F.col("file_id").cast("string").alias("file_id"), "content").join(per, "file_id")
+    rows = files.select(F.col("file_id").cast("string").alias("file_id"), "content").join(grown(per), "file_id")
     return rows.select("file_id", F.array_join(F.transform("pieces", part), "").cast("binary").alias("content")), bad
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import grown
+
 #: Worst first is highest: what a batch's exit code is decided by.
 SEVERITY = {"found": 1, "other": 1, "io": 5, "unsupported": 3, "verification": 4}
 RANKS = ("other", "io", "unsupported", "verification")
@@ -19,7 +21,7 @@ def relocate(offsets: DataFrame, extents: DataFrame, width: int = 1 << 20) -> Da
     e = extents.select("file_id", "lo", "hi", "new_lo", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("bucket")).where("hi > lo").alias("e")
     o = offsets.withColumn("bucket", F.floor(F.col("offset") / width)).alias("o")
     on = (F.col("o.file_id") == F.col("e.file_id")) & (F.col("o.bucket") == F.col("e.bucket")) & (F.col("o.offset") >= F.col("e.lo")) & (F.col("o.offset") < F.col("e.hi"))
-    joined = o.join(e, on, "left").select(*[f"o.{c}" for c in offsets.columns], (F.col("o.offset") - F.col("e.lo") + F.col("e.new_lo")).alias("relocated"))
+    joined = o.join(grown(e), on, "left").select(*[f"o.{c}" for c in offsets.columns], (F.col("o.offset") - F.col("e.lo") + F.col("e.new_lo")).alias("relocated"))
     return joined.withColumn("status", F.when(F.col("relocated").isNull(), "broken-index").otherwise("moved"))
 
 

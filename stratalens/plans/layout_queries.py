@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import engine, layout
-from ..sources.shared import written
+from ..sources.shared import grown, written
 from . import carriers as C
-from .queries import ORACLES, movies, query, refused_movies, table
+from .queries import ORACLES, movies, narrow, query, refused_movies
 
 #: Fixed values, by the format: the boxes of a movie with 32-bit offsets in order (path, offset, size, whether wider offsets make it longer); a tag box and the media follow.
 _BOXES = [
@@ -34,8 +34,9 @@ def movie_chunks(spark, sf_dir):
     """Each chunk's offset moved with its media, beside what is read back from the stripped file."""
     files = movies(spark, sf_dir, times="00000001")
     boxes = written(layout.scanned(files), "boxes")
-    after = layout.chunks(layout.scanned(engine.stripped(engine.decided(files)))).select("file_id", "chunk", F.col("offset").alias("read_back"))
-    return layout.moved(boxes, layout.layout(boxes)).select("file_id", "chunk", "offset", "relocated", "status").join(after, ["file_id", "chunk"])
+    again = written(layout.chunks(layout.scanned(engine.stripped(engine.decided(files)))), "chunks")
+    after = again.select("file_id", "chunk", F.col("offset").alias("read_back"))
+    return layout.moved(boxes, written(layout.layout(boxes), "layout")).select("file_id", "chunk", "offset", "relocated", "status").join(grown(after), ["file_id", "chunk"])
 
 
 @query("movie_relaid", f"""WITH {_MOVIES} SELECT file_id, (547 + w)::BIGINT AS output_bytes, true AS bare, true AS alike FROM m""")
@@ -43,10 +44,10 @@ def movie_relaid(spark, sf_dir):
     """Files laid out anew: bare if they are the movies without tags and times, alike if they are what the walk of one file gives."""
     files = movies(spark, sf_dir, times="00000001")
     plain = F.when(F.col("o_orderkey") % 2 == 0, C.mp4_file().column()).otherwise(C.mp4_file(wide=True).column())
-    plain = table(spark, sf_dir, "orders").select(F.concat(F.lit("mp4_tags-"), "o_orderkey").alias("file_id"), F.md5(plain).alias("plain"))
+    plain = narrow(spark, sf_dir, "orders", "o_orderkey").select(F.concat(F.lit("mp4_tags-"), "o_orderkey").alias("file_id"), F.md5(plain).alias("plain"))
     walked = engine.stripped(engine.decided(files)).select("file_id", F.md5("content").alias("walked"))
     rows = layout.relaid(files)[0].select("file_id", F.octet_length("content").cast("bigint").alias("output_bytes"), F.md5("content").alias("md5"))
-    return rows.join(plain, "file_id").join(walked, "file_id").select("file_id", "output_bytes", (F.col("md5") == F.col("plain")).alias("bare"), (F.col("md5") == F.col("walked")).alias("alike"))
+    return rows.join(grown(plain), "file_id").join(grown(walked), "file_id").select("file_id", "output_bytes", (F.col("md5") == F.col("plain")).alias("bare"), (F.col("md5") == F.col("walked")).alias("alike"))
 
 
 @query("movie_relaid_refusals", ORACLES["mp4_refusals"])

@@ -10,7 +10,7 @@ from .. import dims
 from ..functions import sketch
 from ..operators import engine, packages, relational, report
 from ..sources import archives, filewalk, sink
-from ..sources.shared import root
+from ..sources.shared import root, written
 from . import carriers as C
 from .queries import files_of, query, table
 
@@ -132,8 +132,8 @@ _S = report.SECTIONS
 def report_sections(spark, sf_dir):
     """Both passes over two carriers' files, of which every fifth output still is its input."""
     files = files_of(spark, sf_dir, "jpeg_comment").unionByName(files_of(spark, sf_dir, "mp3_id3"))
-    first = engine.decided(files)
+    first = written(engine.decided(files), "decided")
     kept = F.regexp_extract("file_id", "([0-9]+)$", 1).cast("long") % 5 == 0
     outputs = engine.with_output(first).select("file_id", "path", F.when(kept, F.col("content")).otherwise(F.col("output")).alias("content"))
-    second = engine.decided(outputs)
+    second = written(engine.decided(outputs).drop("content"), "decided-again")
     return report.sections(first, engine.findings(first, True), engine.findings(second, True), engine.retained(first), engine.notes(first), engine.notes(second))

@@ -15,6 +15,9 @@ STILL = {"avif": ("avif", "avio"), "heif": ("heic", "heix", "heim", "heis", "mif
 SEQUENCE = ("msf1", "avis", "hevc")
 FRAGMENT = ("dash", "msdh", "msix", "cmfc", "cmfl")
 MOVIE = {"m4a": ("M4A ", "M4B "), "mp4": ("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "mmp4", "avc1", "M4V ")}
+#: Brands of the third generation partnership, which differ in their last character.
+MOBILE = ("3gp", "3g2")
+BRANDS = (*STILL["avif"], *STILL["heif"], *SEQUENCE, *FRAGMENT, *MOVIE["m4a"], *MOVIE["mp4"], "M4P ", "qt  ", *MOBILE)
 OGG = {"ogg": "\x01vorbis", "opus": "OpusHead", "ogg-flac": "\x7fFLAC"}
 
 
@@ -29,15 +32,18 @@ def begins(content: Column, *magics: str) -> Column:
 
 
 def brands(content: Column) -> Column:
-    """The major brand and the compatible ones within the first 256 bytes, of a file with an ftyp box."""
-    window = F.substring(content, 1, 256)
-    count = F.greatest(F.floor((F.octet_length(window) - 16) / 4), F.lit(0)).cast("int")
-    rest = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.decode(F.substring(window, i * 4 + 17, F.lit(4)), "ISO-8859-1"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array(at(content, 8, 4)), rest)
+    """The brands that have a meaning here, within the first 256 bytes of a file with an ftyp box: the major one at 8, the others from 16, four characters each.
+
+    One pattern goes over the brands. Each of up to 61 as an array's element, searched for every name, costs many times that.
+    """
+    first = "".join(sorted({b[0] for b in BRANDS}))  # most places begin with none of these
+    text = F.concat(F.rpad(at(content, 8, 4), 4, "\u0100"), at(content, 16, 240))  # a character that no byte is, so that a short brand is no other
+    return F.regexp_extract_all(text, F.lit(rf"(?s)\G(?:.{{4}})*?(?=[{first}])(?=({'|'.join(BRANDS)})).{{4}}"), F.lit(1))
 
 
 def _has(found: Column, names) -> Column:
-    return F.arrays_overlap(found, F.array(*[F.lit(n) for n in names]))
+    """Whether one of these is found. As a lambda: without one the whole CASE becomes a single generated method, too long for the JVM to compile."""
+    return F.exists(found, lambda b: b.isin(*names))
 
 
 def _byte(content: Column, offset: int) -> Column:
@@ -46,16 +52,18 @@ def _byte(content: Column, offset: int) -> Column:
 
 def mpeg_frame(content: Column) -> Column:
     """Whether an MPEG audio frame header, with no reserved value, comes first."""
-    a, b, c = (_byte(content, i) for i in range(3))
+    b, c = (_byte(content, i) for i in (1, 2))
     bits = lambda x, shift, mask: F.shiftright(x, shift).bitwiseAND(mask)
-    sync = (F.octet_length(content) >= 4) & (a == 255) & (b.bitwiseAND(0xE0) == 0xE0)
-    return F.coalesce(sync & (bits(b, 3, 3) != 1) & (bits(b, 1, 3) != 0) & (bits(c, 4, 15) != 15) & (bits(c, 2, 3) != 3), F.lit(False))
+    sync = (F.octet_length(content) >= 4) & (b.bitwiseAND(0xE0) == 0xE0)
+    header = F.coalesce(sync & (bits(b, 3, 3) != 1) & (bits(b, 1, 3) != 0) & (bits(c, 4, 15) != 15) & (bits(c, 2, 3) != 3), F.lit(False))
+    return F.when(begins(content, "FF"), header).otherwise(False)
 
 
 def id3_then(content: Column, marker: str) -> Column:
     """Whether a marker follows an ID3v2 tag, whose length has seven bits to a byte."""
-    size = reduce(lambda t, i: t * 128 + _byte(content, 6 + i).bitwiseAND(0x7F), range(4), F.lit(0))
-    start = size + 10 + F.when(_byte(content, 5).bitwiseAND(0x10) != 0, 10).otherwise(0)
+    head = F.conv(F.hex(F.substring(content, 6, 5)), 16, 10).cast("long")  # the flags and the length, read as one number
+    size = reduce(lambda t, i: t * 128 + F.shiftright(head, 8 * (3 - i)).bitwiseAND(0x7F), range(4), F.lit(0)).cast("int")
+    start = size + 10 + F.when(F.shiftright(head, 32).bitwiseAND(0x10) != 0, 10).otherwise(0)
     return F.coalesce(F.decode(F.substring(content, start + 1, F.lit(len(marker))), "ISO-8859-1") == marker, F.lit(False))
 
 
@@ -95,8 +103,7 @@ def _xml(content: Column) -> Column:
 def supported(content: Column, package: Column | None = None) -> Column:
     """The format that has a handler, else null, beside __ftyp, __brands and __ogg. The order of the tests is part of the meaning."""
     found, ftyp, ogg = F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
-    movie = ~_has(found, (*FRAGMENT, "M4P ", "qt  ")) & ~F.exists(found, lambda b: b.startswith("3gp") | b.startswith("3g2"))
-    still = ~_has(found, SEQUENCE)
+    movie, still = ~_has(found, (*FRAGMENT, "M4P ", "qt  ", *MOBILE)), ~_has(found, SEQUENCE)
     out = (
         F.when(begins(content, "FFD8FF"), "jpeg").when(begins(content, "89504E470D0A1A0A"), "png")
         .when(begins(content, "52494646") & (at(content, 8, 4) == "WEBP"), "webp").when(begins(content, "52494646") & (at(content, 8, 4) == "WAVE"), "wav")
@@ -123,7 +130,7 @@ def unsupported(content: Column, package: Column | None = None) -> Column:
     return (
         F.when(zipped, named).when(begins(content, "49492B00", "4D4D002B"), "big-tiff")
         .when(ftyp & _has(found, FRAGMENT), "fragmented-mp4").when(ftyp & _has(found, ("M4P ",)), "protected-media").when(ftyp & _has(found, ("qt  ",)), "quicktime-movie")
-        .when(ftyp & F.exists(found, lambda b: b.startswith("3gp") | b.startswith("3g2")), "third-generation-partnership").when(ftyp, "iso-base-media")
+        .when(ftyp & _has(found, MOBILE), "third-generation-partnership").when(ftyp, "iso-base-media")
         .when(ogg.isNotNull(), ogg).when(begins(content, "4F676753"), "other-ogg-codec").when(begins(content, "52463634", "42573634"), "rf64")
         .when(begins(content, "52494646"), "other-riff").when(begins(content, "1F8B"), "gzip").when(_xml(content), "xml")
     )

@@ -305,3 +305,17 @@ def test_no_table_that_grows_with_the_input_is_broadcast(spark, sf, name):
 
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"BroadcastHashJoin \[[^\]]*(?:file_id|\bno|chunk)#[^\n]*", plan)
+
+
+def test_brands_are_those_with_a_meaning_at_their_places(spark):
+    from stratalens.functions.detect import brands, detected
+
+    files = {
+        "both": b"\0\0\0\x18ftypmp42\0\0\0\0isomxxxx", "shifted": b"\0\0\0\x18ftypxxxx\0\0\0\0xisomxxx", "minor": b"\0\0\0\x18ftypxxxxisomxxxx", "phone": b"\0\0\0\x18ftypisom\0\0\0\0\x003g23gp9",
+        "short": b"\0\0\0\x18ftypM4A", "short phone": b"\0\0\0\x18ftyp3gp", "cut": b"\0\0\0\x18ftypmp42\0\0\0\0iso", "far": b"\0\0\0\x18ftypmp42" + bytes(240) + b"isomiso2", "bare": b"\0\0\0\x18ftyp",
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "file_id string, content binary")
+    found = {r[0]: r[1] for r in rows.select("file_id", brands(F.col("content"))).collect()}
+    assert found == {"both": ["mp42", "isom"], "shifted": [], "minor": [], "phone": ["isom", "3gp"], "short": [], "short phone": ["3gp"], "cut": ["mp42"], "far": ["mp42", "isom"], "bare": []}
+    kinds = {r.file_id: r.format or r.unsupported_kind for r in detected(rows).collect()}
+    assert kinds["both"] == kinds["far"] == "mp4" and kinds["phone"] == kinds["short phone"] == "third-generation-partnership" and kinds["shifted"] == "iso-base-media"

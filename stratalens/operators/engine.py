@@ -39,7 +39,7 @@ def _parse(content: int, kind: int, names: list[str], schema, work, apart: bool)
 
         lone = apart or guard.repeated()
         refuse = lambda why: ([], Doubt(why).row)
-        for batch in batches:
+        for batch in guard.lots(batches):
             files = list(zip(batch.column(kind).to_pylist(), batch.column(content).to_pylist(), strict=True))
             walked = [f for f in files if f[0] in dims.WALKED]
             walked = iter(guard.isolated(work, walked, refuse) if lone else [work(*f) for f in walked])

@@ -21,6 +21,17 @@ from collections.abc import Callable
 from pyspark import TaskContext, cloudpickle
 
 
+#: Files that are walked at a time: what they become in Python is many times what they are in Arrow.
+LOT = 1_000
+
+
+def lots(batches):
+    """Arrow batches, cut into lots."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, LOT):
+            yield batch.slice(start, LOT)
+
+
 def repeated() -> bool:
     """Whether this task was attempted before."""
     task = TaskContext.get()

@@ -67,3 +67,11 @@ def test_files_walked_apart_give_the_same_rows(spark):
     files = spark.createDataFrame(rows, "file_id string, content binary")
     near, apart = (engine.parsed(files, every=True, apart=x).orderBy("file_id").collect() for x in (False, True))
     assert near == apart and len(near) == 5
+
+
+def test_batches_are_walked_in_lots():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(n))}) for n in (2_500, 0, 1_000)]
+    assert [b.num_rows for b in guard.lots(batches)] == [1_000, 1_000, 500, 1_000]
+    assert [n for b in guard.lots(batches[:1]) for n in b.column(0).to_pylist()] == list(range(2_500))

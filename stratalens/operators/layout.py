@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..sources.shared import grown, written
-from . import relational, walkers
+from . import guard, relational, walkers
 from .walkers import Doubt
 
 #: Level -> the boxes that it keeps; the file itself is the level ''.
@@ -31,6 +31,7 @@ BOX = (
     "file_id string, no int, last int, level string, path string, kind string, off bigint, header int, size bigint, body binary, "
     "names array<int>, brands array<string>, offsets array<bigint>, failure struct<error_kind:string,detail:string,unsupported_kind:string>"
 )
+_LAST, _BODY, _NAMES, _BRANDS, _OFFSETS = 1, 8, 9, 10, 11
 ROWS = 10_000
 
 
@@ -55,15 +56,13 @@ def headers(data: bytes, at: int, end: int, top: bool):
 
 
 def _offsets(data: bytes, kind: str, at: int, end: int) -> list[int]:
-    import numpy as np
-
     width = TABLES[kind]
     if end - at < 8:
         raise Doubt("truncated")
     count = struct.unpack_from(">I", data, at + 4)[0]
     if end - at - 8 != count * width:
         raise Doubt("broken-index")
-    return np.frombuffer(data, f">u{width}", count, at + 8).astype(np.uint64).view(np.int64).tolist()  # beyond 2^63: negative, in no media
+    return list(struct.unpack_from(f">{count}{'I' if width == 4 else 'q'}", data, at + 8))  # beyond 2^63: negative, in no media
 
 
 def _names(body: bytes, handler: bytes) -> list[int]:
@@ -92,8 +91,8 @@ def _own_media(data: bytes, at: int, end: int) -> None:
                 raise Doubt("unsupported-feature")
 
 
-def listed(data: bytes) -> list[dict]:
-    """The boxes of one movie in order, levels before what they hold."""
+def listed(data: bytes) -> list[list]:
+    """The boxes of one movie in order, levels before what they hold: the columns of BOX behind the file's."""
     rows = []
 
     def level(name: str, path: str, start: int, stop: int, handler: bytes) -> None:
@@ -105,20 +104,20 @@ def listed(data: bytes) -> list[dict]:
                 raise Doubt(None, None, "limit-exceeded", limit="item-count")
             no, end, stays = len(rows), at + size, kind in KEPT[name]
             place = f"{path}/{walkers.clean(kind.encode('latin-1'))}".lstrip("/")
-            row = {"no": no, "level": name, "path": place, "kind": kind, "off": at, "header": head, "size": size}
+            row = [no, no, name, place, kind, at, head, size, None, None, None, None, None]
             rows.append(row)
             if stays and kind in READ:
-                row["body"] = data[at + head : end]
-                row["names"] = _names(row["body"], handler) if kind == "stsd" else None
+                row[_BODY] = data[at + head : end]
+                row[_NAMES] = _names(row[_BODY], handler) if kind == "stsd" else None
             elif stays and kind == "ftyp":
-                row["brands"] = [data[i : i + 4].decode("latin-1") for i in range(at + head, end - 3, 4)]
+                row[_BRANDS] = [data[i : i + 4].decode("latin-1") for i in range(at + head, end - 3, 4)]
             elif stays and kind in TABLES:
-                row["offsets"], row["body"] = _offsets(data, kind, at + head, end), data[at + head : at + head + 8]
+                row[_OFFSETS], row[_BODY] = _offsets(data, kind, at + head, end), data[at + head : at + head + 8]
             elif stays and kind == "dinf":
                 _own_media(data, at + head, end)
             elif stays and kind in dims.BOXES:
                 level(kind, place, at + head, end, handler)
-            row["last"] = len(rows) - 1
+            row[_LAST] = len(rows) - 1
 
     level("", "", 0, len(data), b"")
     return rows
@@ -128,19 +127,25 @@ def _scan(schema):
     def scan(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
+        def made(ids, rows):
+            columns = zip(schema, (ids, *zip(*rows, strict=True)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in columns], schema=schema)
+
+        for batch in guard.lots(batches):
+            ids, out = [], []
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     found = listed(data or b"")
                 except Doubt as e:
-                    found = [{"no": 0, "last": 0, "level": "", "failure": {k: e.row[k] for k in ("error_kind", "detail", "unsupported_kind")}}]
-                out += [{"file_id": file, **r} for r in found or [{"no": 0, "last": 0, "level": ""}]]
+                    found = [[0, 0, "", *[None] * 9, {k: e.row[k] for k in ("error_kind", "detail", "unsupported_kind")}]]
+                found = found or [[0, 0, "", *[None] * 10]]
+                ids += [file] * len(found)
+                out += found
                 if len(out) >= ROWS:
-                    yield from (pa.RecordBatch.from_pylist(out[i : i + ROWS], schema) for i in range(0, len(out), ROWS))
-                    out = []
+                    yield from (made(ids[i : i + ROWS], out[i : i + ROWS]) for i in range(0, len(out), ROWS))
+                    ids, out = [], []
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield made(ids, out)
 
     return scan
 
@@ -194,17 +199,23 @@ def layout(boxes: DataFrame) -> DataFrame:
 
     A level emits its own header, any other box that stays all its bytes; so where a box comes to lie is a running sum in order, and how long
     a level becomes is where its last box ends less where it begins. Dropped boxes have a place of no length.
+
+    Behind a level's last box stands a mark of the level, so that the running sum tells both, and a window over the box and its mark
+    brings them together: a file's boxes are dealt once, by the file.
     """
     table = F.when(F.col("kind") == "stco", 4).when(F.col("kind") == "co64", 8)
     emitted = F.when(~kept(), 0).when(held(), 8).when(table.isNotNull(), 16 + table * F.size("offsets"))
     emitted = emitted.otherwise(F.coalesce(8 + F.octet_length(rewritten()), F.col("size"))).cast("bigint")
     rows = boxes.where("kind IS NOT NULL").select("file_id", "no", "last", "level", "path", "kind", "off", "header", "size", kept().alias("kept"), held().alias("held"), emitted.alias("emitted"))
-    w = Window.partitionBy("file_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("new_off", F.coalesce(F.sum("emitted").over(w), F.lit(0)))
-    ends = rows.select(F.col("file_id").alias("f"), F.col("no").alias("n"), (F.col("new_off") + F.col("emitted")).alias("end"))
-    levels = rows.where("held").select("file_id", "no", "last").join(grown(ends), (F.col("file_id") == F.col("f")) & (F.col("last") == F.col("n"))).select("file_id", "no", "end")
+    place = lambda at, mark, n: F.struct(F.col(at).alias("at"), F.lit(mark).alias("mark"), n.cast("bigint").alias("n"))
+    places = F.when(F.col("held"), F.array(place("no", 0, F.col("emitted")), place("last", 1, F.lit(0)))).otherwise(F.array(place("no", 0, F.col("emitted"))))
+    rows = rows.select("*", F.inline(places))
+    rows = rows.withColumn("hash", F.xxhash64("file_id"))  # sorted by first: ids that begin alike are slow to compare
+    w = Window.partitionBy("hash", "file_id").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("new_off", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    rows = rows.withColumn("end", F.max(F.when(F.col("mark") == 1, F.col("new_off"))).over(Window.partitionBy("hash", "file_id", "no"))).where("mark = 0")
     length = F.when(F.col("held"), F.col("end") - F.col("new_off")).otherwise(F.col("emitted"))
-    return rows.join(grown(levels), ["file_id", "no"], "left").withColumn("new_size", length).drop("held", "end")
+    return rows.withColumn("new_size", length).drop("held", "end", "at", "mark", "n", "hash")
 
 
 def media(laid: DataFrame) -> DataFrame:

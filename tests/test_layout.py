@@ -125,3 +125,9 @@ def test_the_engine_strips_the_same_bytes(spark):
     one = engine.stripped(engine.decided(files)).select("file_id", "content")
     other = layout.relaid(files)[0].withColumnRenamed("content", "other")
     assert one.join(other, "file_id").where("content = other").count() == len(GOOD)
+
+
+def test_a_layout_deals_the_boxes_of_a_file_once(spark, capsys):
+    layout.layout(layout.scanned(frame(spark, GOOD))).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan

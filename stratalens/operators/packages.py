@@ -20,11 +20,13 @@ from .. import dims
 from ..functions.detect import detected, fenced
 from ..sources import archives
 from ..sources.shared import grown, released, written
-from . import engine, markup
+from . import engine, guard, markup
 from .walkers import MOST_ITEMS, Doubt, clean, item
 
 #: Bytes that a package may expand to.
 MOST_BYTES = 256 << 20
+#: Parts that are taken from Arrow at a time when archives are laid out, and the bytes of archives that are passed on together.
+PART_ROWS, DONE_BYTES = 100, 4 << 20
 PARTS = (
     f"file_id string, format string, part_no int, name string, raw_name binary, method int, flags int, crc bigint, size bigint, "
     f"packed binary, data binary, stamped boolean, host boolean, failure {engine.ERROR}"
@@ -69,14 +71,15 @@ def archive(entries: list[tuple[bytes, int, int, int, int, bytes]]) -> bytes:
 def _open(batches):
     import pyarrow as pa
 
-    for b in batches:
+    for b in guard.lots(batches):
         rows = []
         for file_id, form, content in zip(*(b.column(c).to_pylist() for c in ("file_id", "format", "content")), strict=True):
             try:
                 rows += [(file_id, form, i, *p, None) for i, p in enumerate(open_parts(content or b""))]
             except Doubt as e:
                 rows.append((file_id, form, 0, *[None] * 10, e.row))
-        yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_arrow())
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(_arrow(), columns, strict=True)], schema=_arrow())
 
 
 _NAMES = [c.strip().split()[0] for c in PARTS.split("failure")[0].rstrip(" ,").split(",")] + ["failure"]
@@ -468,17 +471,24 @@ def _assemble(batches):
     """Parts in order of file -> one archive for each file, when its last part has come."""
     import pyarrow as pa
 
-    file_id, entries, done = None, [], []
+    def batch(done):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], names=["file_id", "content"])
+
+    file_id, entries, done, held = None, [], [], 0
     for b in batches:
-        for key, raw, method, flags, crc, size, packed, new in zip(*(b.column(c).to_pylist() for c in ("file_id", "raw_name", "method", "flags", "crc", "size", "packed", "new")), strict=True):
-            if key != file_id:
-                done += [(file_id, archive(entries))] if entries else []
-                file_id, entries = key, []
-            entries.append((raw, method, flags, crc, size, packed) if new is None else (raw, 0, flags, zlib.crc32(new), len(new), new))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], names=["file_id", "content"])
-        done = []
-    done = [(file_id, archive(entries))] if entries else []
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], names=["file_id", "content"])
+        for start in range(0, b.num_rows, PART_ROWS):  # of a batch's bytes, few are in Python at a time
+            some = b.slice(start, PART_ROWS)
+            for key, raw, method, flags, crc, size, packed, new in zip(*(some.column(c).to_pylist() for c in ("file_id", "raw_name", "method", "flags", "crc", "size", "packed", "new")), strict=True):
+                if key != file_id:
+                    done += [(file_id, archive(entries))] if entries else []
+                    held += len(done[-1][1]) if entries else 0
+                    file_id, entries = key, []
+                    if held >= DONE_BYTES:
+                        yield batch(done)
+                        done, held = [], 0
+                entries.append((raw, method, flags, crc, size, packed) if new is None else (raw, 0, flags, zlib.crc32(new), len(new), new))
+    done += [(file_id, archive(entries))] if entries else []
+    yield batch(done)
 
 
 def verified(done: DataFrame) -> DataFrame:

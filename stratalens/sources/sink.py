@@ -156,7 +156,9 @@ def _stager(job: str, replace: bool):
         tag = _tag(job)
         for b in batches:
             rows = []
-            for file_id, path, data, taken in zip(*(b.column(c).to_pylist() for c in ("file_id", "output_path", "content", "output_exists")), strict=True):
+            contents = b.column("content")
+            for i, (file_id, path, taken) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file_id", "output_path", "output_exists")), strict=True)):
+                data = contents[i].as_py()  # one file's bytes at a time
                 staged, kind = (None, "output-exists") if taken and not replace else stage(path, data, tag)
                 rows.append((file_id, path, staged, None if kind else len(data), kind))
             yield _rows(rows, STAGED)

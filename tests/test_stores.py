@@ -320,3 +320,21 @@ def test_parts_of_a_package_stay_together_when_a_join_below_becomes_a_broadcast(
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(made) == 900 == len({r.file_id for r in made})
     assert all(zipfile.ZipFile(io.BytesIO(r.content)).namelist() == ["p0", "p1", "p2"] for r in made)
+
+
+def test_archives_are_passed_on_by_their_bytes(monkeypatch):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from stratalens.operators import packages
+
+    monkeypatch.setattr(packages, "DONE_BYTES", 1_000)
+    rows = [{"file_id": f"a{i // 30}", "raw_name": b"%d" % i, "method": 0, "flags": 2048, "crc": 0, "size": 0, "packed": None, "new": b"x" * i} for i in range(250)]
+    kinds = pa.schema([("file_id", pa.string()), ("raw_name", pa.binary()), *[(c, pa.int64()) for c in ("method", "flags", "crc", "size")], ("packed", pa.binary()), ("new", pa.binary())])
+    made = list(packages._assemble([pa.RecordBatch.from_pylist(rows[:170], kinds), pa.RecordBatch.from_pylist(rows[170:], kinds)]))
+    assert [b.num_rows for b in made[:-1]] == [1] * 8 and [k for b in made for k in b.column(0).to_pylist()] == [f"a{i}" for i in range(9)]
+    opened = [zipfile.ZipFile(io.BytesIO(c)) for b in made for c in b.column(1).to_pylist()]
+    assert [(n, z.read(n)) for z in opened for n in z.namelist()] == [(r["raw_name"].decode(), r["new"]) for r in rows]
+    assert [k for b in packages._assemble([]) for k in b.column(0).to_pylist()] == []

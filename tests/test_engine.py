@@ -319,3 +319,41 @@ def test_brands_are_those_with_a_meaning_at_their_places(spark):
     assert found == {"both": ["mp42", "isom"], "shifted": [], "minor": [], "phone": ["isom", "3gp"], "short": [], "short phone": ["3gp"], "cut": ["mp42"], "far": ["mp42", "isom"], "bare": []}
     kinds = {r.file_id: r.format or r.unsupported_kind for r in detected(rows).collect()}
     assert kinds["both"] == kinds["far"] == "mp4" and kinds["phone"] == kinds["short phone"] == "third-generation-partnership" and kinds["shifted"] == "iso-base-media"
+
+
+def test_files_of_equal_bytes_are_walked_once_in_a_lot(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    walked = []
+
+    def work(kind, data):
+        walked.append(data)
+        return engine.walk_file(kind, data)
+
+    one, cut = FILES["png_all"], FILES["png_all"][:20]
+    rows = [("png", one), ("pdf", one), ("png", cut), ("png", one), (None, None), ("png", cut)]
+    kinds = [to_arrow_type(T._parse_datatype_string(t)) for t in (f"array<{engine.SEGMENT}>", engine.ERROR)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary()))], names=["format", "content"])
+    (out,) = engine._parse(1, 0, ["format", "content", "segments", "error"], kinds, work, False)([batch])
+    assert walked == [one, cut] and out.column(1).to_pylist() == [r[1] for r in rows]
+    found = list(zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True))
+    assert found[0] == found[3] and found[2] == found[5] and found[1] == found[4] == ([], None)
+    assert found[0][0] and found[0][1] is None and found[2][1]["error_kind"] == "malformed"
+
+
+def test_a_file_of_another_format_or_none_after_the_strip_is_not_verified(spark):
+    from stratalens.plans import carriers as C
+
+    rows = [("a", "p", "png", FILES["png_all"]), ("b", "p", "jpeg", FILES["png_all"]), ("c", "p", "pdf", b"%PDF-1.4"), ("d", "p", "gif", b"none"), ("e", "p", "png", bytes.fromhex((C.PNG_HEAD + C.PNG_TAIL).replace(" ", "")))]
+    done = spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], "file_id string, path string, format string, content binary")
+    got = {r.file_id: (r.format, r.residual is None, r.verified) for r in engine.verified(done).collect()}
+    assert got == {"a": ("png", False, False), "b": ("jpeg", True, False), "c": ("pdf", True, False), "d": ("gif", True, False), "e": ("png", False, True)}
+
+
+@pytest.mark.parametrize("name, most", [("verify_residual", 20), ("inspect_variants", 2), ("show_text", 0), ("notes_wav", 1)])
+def test_files_are_made_and_walked_once_for_each_pass(spark, sf, name, most):
+    """Ten carriers, walked before and after; samples, filled and walked; reports of what was written; notes of one walk."""
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= most

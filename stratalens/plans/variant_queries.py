@@ -21,8 +21,7 @@ def variant_files(spark, sf_dir):
 @query("inspect_variants", f"SELECT {_ID}, t.format AS format, t.seq AS seq, t.kind AS kind, t.location AS location, t.field AS field, t.bytes::BIGINT AS bytes FROM supplier, (VALUES {_FOUND}) t(sample, format, seq, kind, location, field, bytes)")
 def inspect_variants(spark, sf_dir):
     """Older and guarded tags, directories of places and thumbnails, frames inside frames, drawings with styles and metadata, for each supplier."""
-    rows = engine.decided(variant_files(spark, sf_dir))
-    return engine.findings(rows).select("file_id", "seq", "kind", "location", "field", "bytes").join(grown(rows.select("file_id", "format")), "file_id")
+    return engine.findings(engine.decided(variant_files(spark, sf_dir))).select("file_id", "seq", "kind", "location", "field", "bytes", "format")
 
 
 @query("strip_variants", f"SELECT {_ID}, t.format AS format, true AS survives, false AS leaks, 0 AS residual, true AS verified FROM supplier, (VALUES {_values([(n, f) for n, (f, _) in variants.FOUND.items()])}) t(sample, format)")

@@ -57,9 +57,8 @@ _TEXT = f"'  [wav]' || chr(10) || '  {dims.MARKS['direct'].rjust(2)} {dims.LABEL
   UNION ALL SELECT c_custkey || '/' || d.defect, '{{"path":"p","status":"failed","error":"' || d.error_kind || '"}}' FROM customer, (VALUES ('moof', 'unsupported-format'), ('pssh', 'unsupported-format'), ('moov', 'malformed'), ('index', 'malformed'), ('far', 'malformed')) d(defect, error_kind)""")
 def show_text(spark, sf_dir):
     """Reports as text of files that can be read, and as JSON of files that cannot."""
-    rows = engine.decided(files_of(spark, sf_dir, "wav_info"))
+    rows = written(engine.decided(files_of(spark, sf_dir, "wav_info")).drop("content"), "looked-at")
     told = report.show_text(rows, engine.findings(rows, True), engine.notes(rows)).select("file_id", F.col("text").alias("report"))
-    bad = refused_movies(spark, sf_dir)
-    seen = engine.decided(bad)
-    failed = report.show_json(bad.withColumn("format", F.lit("mp4")), engine.findings(seen, True), engine.notes(seen), engine.errors(bad))
+    seen = written(engine.looked(refused_movies(spark, sf_dir)).drop("content"), "looked-at")
+    failed = report.show_json(seen.withColumn("format", F.lit("mp4")), engine.findings(seen, True), engine.notes(seen), engine.errors(seen))
     return told.unionByName(failed.select("file_id", F.col("json").alias("report")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.detect import detected, fenced
 from ..sources import archives
-from ..sources.shared import grown, released, written
+from ..sources.shared import grown, pieces, released, written
 from . import engine, guard, markup
 from .walkers import MOST_ITEMS, Doubt, clean, item
 
@@ -37,7 +37,7 @@ PARTS = (
 
 
 def open_parts(data: bytes) -> list[tuple]:
-    """(name, raw name, method, flags, crc, size, packed, content, stamped, host) of the entries, by the archive's directory."""
+    """(name, raw name, method, flags, crc, size, packed, content, stamped, host) of the entries, by the archive's directory; packed is None where it is the content."""
     read = lambda at, n: data[at : at + n]
     out, left, seen = [], MOST_BYTES, set()
     try:
@@ -48,7 +48,8 @@ def open_parts(data: bytes) -> list[tuple]:
             packed = archives.packed_of(read, len(data), e.at, e.packed)
             content = None if e.raw.endswith(b"/") else archives.expanded(e.method, packed, e.size, e.crc, left)
             left -= len(content or b"")
-            out.append((e.name, e.raw, e.method, e.flags, e.crc, e.size, packed, content, e.stamped, e.host))
+            same = e.method == 0 and content is not None  # stored: what is packed is the content, which is passed on once
+            out.append((e.name, e.raw, e.method, e.flags, e.crc, e.size, None if same else packed, content, e.stamped, e.host))
     except archives.Refused as e:
         raise (Doubt(None, None, "limit-exceeded", limit=e.limit) if e.limit else Doubt(e.detail, e.offset)) from None
     return out
@@ -121,14 +122,22 @@ def plain(name: Column) -> Column:
     return F.regexp_replace(name, "^/", "")
 
 
-def indexed(rows: DataFrame) -> DataFrame:
-    """(file_id, format, failure, types, rels): each package's index and, if any, why it is refused."""
+#: Parts that say what a package is.
+INDEXES = ("[Content_Types].xml", "_rels/.rels", "META-INF/manifest.xml", "mimetype")
+
+
+def indexed(rows: DataFrame, n: int) -> DataFrame:
+    """(file_id, format, failure, types, rels): each package's index and, if any, why it is refused.
+
+    The rows that are sorted by file hold the text of index parts only, in n pieces.
+    """
     data, name = F.col("data"), F.col("name")
-    held = lambda n: F.max(F.when(name == n, F.coalesce(text_of(data), F.lit("\0"))))  # noqa: E731  # NUL: it is there, but is no text
     nested = F.startswith(data, F.unhex(F.lit("D0CF11E0A1B11AE1"))) | F.startswith(data, F.unhex(F.lit("504B0304"))) | (F.locate("%PDF-", F.substring(data, 1, 1024).cast("string")) > 0)
-    per = rows.groupBy("file_id", "format").agg(
-        F.first("failure", ignorenulls=True).alias("broken"), F.bool_or(F.coalesce(nested, F.lit(False))).alias("nested"), held("[Content_Types].xml").alias("types"),
-        held("_rels/.rels").alias("rels"), held("META-INF/manifest.xml").alias("manifest"), F.trim(held("mimetype")).alias("media"),
+    text = F.when(name.isin(*INDEXES), F.coalesce(text_of(data), F.lit("\0")))  # NUL: it is there, but is no text
+    each = fenced(rows, __nested=F.coalesce(nested, F.lit(False)), __text=text).select("file_id", "format", "name", "failure", "__nested", "__text")
+    held = lambda part: F.max(F.when(name == part, F.col("__text")))
+    per = each.repartition(n, "file_id").groupBy("file_id", "format").agg(
+        F.first("failure", ignorenulls=True).alias("broken"), F.bool_or("__nested").alias("nested"), *[held(part).alias(c) for part, c in zip(INDEXES, ("types", "rels", "manifest"), strict=False)], F.trim(held("mimetype")).alias("media"),
     )
     root = F.get(F.filter(tags(F.col("manifest"), "manifest:file-entry"), lambda t: attribute(t, "manifest:full-path") == "/"), F.lit(0))
     per = fenced(per, root=F.nullif(attribute(root, "manifest:media-type"), F.lit("")), declared=F.transform(tags(F.col("types"), "Override"), lambda t: attribute(t, "ContentType")))
@@ -148,11 +157,11 @@ def indexed(rows: DataFrame) -> DataFrame:
     return per.select("file_id", "format", "failure", "types", "rels")
 
 
-def named_types(per: DataFrame, tag: str, key: str, clean_key) -> DataFrame:
+def named_types(per: DataFrame, tag: str, key: str, clean_key, n: int) -> DataFrame:
     """(file_id, k, type): what an index says of each part name or extension, the first where it says so twice."""
     each = per.select("file_id", F.posexplode(tags(F.col("types"), tag)).alias("i", "t"))
     each = each.select("file_id", "i", clean_key(attribute(F.col("t"), key)).alias("k"), attribute(F.col("t"), "ContentType").alias("type"))
-    return each.groupBy("file_id", "k").agg(F.min_by("type", "i").alias("type"))
+    return each.repartition(n, "file_id", "k").groupBy("file_id", "k").agg(F.min_by("type", "i").alias("type"))
 
 
 def dead_relations(rows: DataFrame) -> DataFrame:
@@ -166,21 +175,25 @@ def dead_relations(rows: DataFrame) -> DataFrame:
     return rels.unionByName(owned).groupBy("file_id", "name").agg(F.collect_set("id").alias("dead"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, indexes: DataFrame, n: int) -> DataFrame:
     """Parts of packages that are not refused, with role, type and the ids of dead relationships; only ids and names are joined, then bytes once.
 
-    role: folder, index, drop, image, xml, opaque, first (the part that names the format, stored and in front).
+    role: folder, index, drop, image, xml, opaque, first (the part that names the format, stored and in front). Both sides of a join lie in
+    n pieces, which the planner does not put together: what they take on disk says little of what a task then sorts.
     """
-    per = written(indexed(rows).where("failure IS NULL"), "package-indexes")
-    keys = rows.select("file_id", "part_no", "name", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("extension")).join(grown(per.select("file_id")), "file_id")
-    by_name = named_types(per, "Override", "PartName", plain).withColumnRenamed("k", "name")
-    by_extension = named_types(per, "Default", "Extension", F.lower).withColumnsRenamed({"k": "extension", "type": "otherwise"})
+    per = indexes.where("failure IS NULL")
+    keys = rows.select("file_id", "part_no", "name", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("extension"))
+    by_name = named_types(per, "Override", "PartName", plain, n).withColumnRenamed("k", "name")
+    by_extension = named_types(per, "Default", "Extension", F.lower, n).withColumnsRenamed({"k": "extension", "type": "otherwise"})
     shown = per.select("file_id", F.explode(tags(F.col("rels"), "Relationship")).alias("t")).where(attribute(F.col("t"), "Type") == dims.THUMBNAIL_RELATION)
     shown = shown.select("file_id", plain(attribute(F.col("t"), "Target")).alias("name"), F.lit(True).alias("thumbnail")).distinct()
-    keys = keys.join(grown(by_name), ["file_id", "name"], "left").join(grown(by_extension), ["file_id", "extension"], "left").join(grown(shown), ["file_id", "name"], "left")
-    keys = keys.join(grown(dead_relations(rows)), ["file_id", "name"], "left")
+    keys = keys.repartition(n, "file_id", "name")
+    for facts in (by_name, shown, dead_relations(rows)):
+        keys = keys.join(grown(facts), ["file_id", "name"], "left")
+    keys = keys.repartition(n, "file_id", "extension").join(grown(by_extension), ["file_id", "extension"], "left")
+    keys = keys.repartition(n, "file_id").join(grown(per.select("file_id")), "file_id")
     keys = keys.select("file_id", "part_no", F.coalesce("type", "otherwise").alias("type"), F.coalesce("thumbnail", F.lit(False)).alias("thumbnail"), "dead")
-    named = rows.join(grown(keys), ["file_id", "part_no"])
+    named = rows.repartition(n, "file_id", "part_no").join(grown(keys), ["file_id", "part_no"])
     odf = F.col("format").isin(*dims.ODF_MEDIA.values())
     whole = F.lit(None).cast("string")
     leaf = F.regexp_extract("name", "([^/]*)$", 1)
@@ -355,14 +368,17 @@ def _scrub(items_type, notes_type):
     def scrub(batches):
         import pyarrow as pa
 
-        for b in batches:
-            rows = [
-                (f, p, *scrubbed_part(form, role, name, data, kind, set(dead or ()), set(dropped or ())))
-                for f, p, form, role, name, data, kind, dead, dropped in zip(*(b.column(c).to_pylist() for c in ("file_id", "part_no", "format", "role", "name", "data", "gone", "dead", "dropped")), strict=True)
-            ]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.binary(), items_type, notes_type)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file_id", "part_no", "new", "items", "notes"])
+        for b in guard.lots(batches):
+            columns = {c: b.column(c).to_pylist() for c in ("format", "role", "name", "data", "gone", "dead", "dropped")}
+            for c in ("dead", "dropped"):
+                columns[c] = [frozenset(x or ()) for x in columns[c]]
+            first: dict = {}  # equal parts are looked into once
+            places = [first.setdefault(part, len(first)) for part in zip(*columns.values(), strict=True)]
+            rows = [scrubbed_part(*part) for part in first]
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), items_type, notes_type))]
+            if len(first) < len(places):
+                made = [m.take(pa.array(places, pa.int32())) for m in made]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("part_no"), *made], names=["file_id", "part_no", "new", "items", "notes"])
 
     return scrub
 
@@ -392,13 +408,16 @@ class Package:
 
     def __init__(self, files: DataFrame):
         self.files, self.parts = files, written(parts(files), "parts")
-        self.rows = written(judged(self.parts), "judged-parts")
+        held = self.parts.agg(F.count("*"), F.sum("size")).first()
+        self.pieces = pieces(files.sparkSession, held[0], held[1] or 0)
+        self.indexes = written(indexed(self.parts, self.pieces), "package-indexes")
+        self.rows = written(judged(self.parts, self.indexes, self.pieces), "judged-parts")
         self.scrubbed = written(scrubbed(self.rows), "scrubbed-parts")
         images = self.rows.where("role = 'image'").select(F.concat_ws("\1", "file_id", F.col("part_no").cast("string")).alias("file_id"), F.col("name").alias("path"), F.octet_length("data").cast("long").alias("length"), F.col("data").alias("content"))
         self.images = written(engine.decided(images), "pictures")
 
     def release(self) -> None:
-        released(self.parts, self.rows, self.scrubbed, self.images)
+        released(self.parts, self.indexes, self.rows, self.scrubbed, self.images)
 
     @staticmethod
     def _inner(rows: DataFrame) -> DataFrame:
@@ -406,9 +425,9 @@ class Package:
         return rows.withColumns({"part_no": F.split_part("file_id", F.lit("\1"), F.lit(2)).cast("int"), "file_id": F.split_part("file_id", F.lit("\1"), F.lit(1))})
 
     def errors(self) -> DataFrame:
-        refused = indexed(self.parts).where("failure IS NOT NULL").select("file_id", "format", "failure")
+        refused = self.indexes.where("failure IS NOT NULL").select("file_id", "format", "failure")
         inner = self._inner(self.images.where("error IS NOT NULL").select("file_id", "error")).groupBy("file_id").agg(F.min_by("error", "part_no").alias("failure"))
-        inner = inner.join(grown(self.rows.select("file_id", "format").distinct()), "file_id").select("file_id", "format", "failure")
+        inner = inner.join(grown(self.indexes.select("file_id", "format")), "file_id").select("file_id", "format", "failure")
         return refused.unionByName(inner).select("file_id", "failure.error_kind", "format", "failure.detail", "failure.offset", "failure.limit", "failure.unsupported_kind")
 
     def _sound(self, rows: DataFrame) -> DataFrame:
@@ -425,7 +444,7 @@ class Package:
         last = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("location"), F.col(c).alias("bytes")) for k, p, c in (("timestamp", "ZIP entry headers", "a"), ("device-identity", "ZIP entry extra fields", "b"))])
         last = counts.select("file_id", F.posexplode(F.filter(last, lambda x: x["bytes"] > 0)).alias("i", "x"))
         last = last.select("file_id", F.lit(1 << 30).alias("part_no"), "i", "x.kind", "x.location", none.cast("string").alias("field"), "x.bytes", none.cast("string").alias("value_text"), none.cast("bigint").alias("value_opaque_bytes"))
-        every = self._sound(own.unionByName(inner).unionByName(last)).join(grown(self.rows.select("file_id", "format").distinct()), "file_id")
+        every = self._sound(own.unionByName(inner).unionByName(last).repartition(self.pieces, "file_id")).join(grown(self.indexes.select("file_id", "format")), "file_id")
         from pyspark.sql import Window
 
         seq = (F.row_number().over(Window.partitionBy("file_id").orderBy("part_no", "i")) - 1).alias("seq")
@@ -442,9 +461,9 @@ class Package:
         changed = engine.findings(self.images).select("file_id").distinct()
         pictures = self._inner(engine.stripped(self.images.join(grown(changed), "file_id", "left_semi")).select("file_id", "content")).withColumnRenamed("content", "new")
         new = self.scrubbed.where("new IS NOT NULL").select("file_id", "part_no", "new").unionByName(pictures.select("file_id", "part_no", "new"))
-        kept = self._sound(self.rows.where("role <> 'drop'")).join(grown(new), ["file_id", "part_no"], "left")
+        kept = self._sound(self.rows.where("role <> 'drop'").repartition(self.pieces, "file_id")).repartition(self.pieces, "file_id", "part_no").join(grown(new), ["file_id", "part_no"], "left")
         kept = kept.withColumn("new", F.when((F.col("role") == "first") & (F.col("method") != 0), F.col("data")).otherwise(F.col("new")))
-        kept = kept.select("file_id", (F.col("role") != "first").alias("later"), "part_no", "raw_name", "method", "flags", "crc", "size", F.when(F.col("new").isNull(), F.col("packed")).alias("packed"), "new")
+        kept = kept.select("file_id", (F.col("role") != "first").alias("later"), "part_no", "raw_name", "method", "flags", "crc", "size", F.when(F.col("new").isNull(), F.coalesce("packed", "data")).alias("packed"), "new")
         made = by_file(kept, "later", "part_no").mapInArrow(_assemble, "file_id string, content binary")
         facts = self.files.select("file_id", "path", "format", F.octet_length("content").cast("long").alias("input_bytes"))
         return made.join(grown(facts), "file_id").select("file_id", "path", "format", "content", "input_bytes", F.octet_length("content").cast("long").alias("output_bytes"))

@@ -50,6 +50,19 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows and bytes that a task sorts at a time.
+PIECE_ROWS, PIECE_BYTES = 250_000, 128 << 20
+
+
+def pieces(spark: SparkSession, rows: int, size: int = 0) -> int:
+    """The pieces that a table of so many rows and bytes is dealt into before it is sorted.
+
+    A shuffle by a given number is left as it is. Others are put together at run time until there is one for each core, whatever a task then holds.
+    """
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-rows // PIECE_ROWS), -(-size // PIECE_BYTES))
+
+
 def released(*tables: DataFrame) -> None:
     """Removes what written() wrote for these tables, once nothing that is still to run reads them."""
     for df in tables:

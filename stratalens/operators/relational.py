@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import grown
+from ..sources.shared import grown, pieces
 
 #: Worst first is highest: what a batch's exit code is decided by.
 SEVERITY = {"found": 1, "other": 1, "io": 5, "unsupported": 3, "verification": 4}
@@ -42,7 +42,11 @@ def packets(lacing: DataFrame) -> DataFrame:
 
 
 def merge_cuts(cuts: DataFrame) -> DataFrame:
-    """cuts (file_id, start, end) -> disjoint ranges (file_id, start, end, n): those that overlap or touch are one."""
+    """cuts (file_id, start, end) -> disjoint ranges (file_id, start, end, n): those that overlap or touch are one.
+
+    Files are dealt into pieces by the count of all cuts, so that what a task sorts does not grow with the input.
+    """
+    cuts = cuts.repartition(pieces(cuts.sparkSession, cuts.count()), "file_id")
     w = Window.partitionBy("file_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = cuts.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))

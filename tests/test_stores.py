@@ -338,3 +338,36 @@ def test_archives_are_passed_on_by_their_bytes(monkeypatch):
     opened = [zipfile.ZipFile(io.BytesIO(c)) for b in made for c in b.column(1).to_pylist()]
     assert [(n, z.read(n)) for z in opened for n in z.namelist()] == [(r["raw_name"].decode(), r["new"]) for r in rows]
     assert [k for b in packages._assemble([]) for k in b.column(0).to_pylist()] == []
+
+
+def test_stored_and_equal_parts_are_passed_on_and_looked_into_once(monkeypatch):
+    import pyarrow as pa
+
+    from stratalens.operators import packages
+
+    data = packages.archive([(b"a", 0, 0, zlib.crc32(b"one"), 3, b"one"), (b"d/", 0, 0, 0, 0, b"")])
+    assert [(p[6], p[7]) for p in packages.open_parts(data)] == [(None, b"one"), (b"", None)]
+    seen, look = [], packages.scrubbed_part
+    monkeypatch.setattr(packages, "scrubbed_part", lambda *part: seen.append(part[3]) or look(*part))
+    rows = [{"file_id": f"f{i}", "part_no": i, "format": "docx", "role": "xml", "name": "p.xml", "data": b'<a w:rsidR="%d"/>' % (i % 2), "gone": None, "dead": None, "dropped": None} for i in range(5)]
+    text, names = pa.string(), pa.list_(pa.string())
+    kinds = pa.schema([("file_id", text), ("part_no", pa.int32()), ("format", text), ("role", text), ("name", text), ("data", pa.binary()), ("gone", text), ("dead", names), ("dropped", names)])
+    item = pa.struct([("scope", text), ("name", text), ("location", text), ("bytes", pa.int64()), ("text", text), ("opaque", pa.int64())])
+    (out,) = packages._scrub(pa.list_(item), pa.list_(pa.struct([("location", text), ("bytes", pa.int64())])))([pa.RecordBatch.from_pylist(rows, kinds)])
+    assert len(seen) == 2 and out.column(0).to_pylist() == [f"f{i}" for i in range(5)]
+    assert [x.replace(b" ", b"") for x in out.column(2).to_pylist()] == [b"<a/>"] * 5
+    assert [x[0]["text"] for x in out.column(3).to_pylist()] == ["0", "1", "0", "1", "0"]
+
+
+def test_what_is_sorted_by_file_is_dealt_by_rows_and_bytes(spark, monkeypatch):
+    from stratalens.sources import shared
+
+    monkeypatch.setattr(shared, "PIECE_ROWS", 100)
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert [shared.pieces(spark, *x) for x in ((0,), (100 * least + 1,), (0, (least + 1) << 27))] == [least, least + 1, least + 1]
+    cuts = spark.range(100 * (least + 3)).select((F.col("id") % 500).alias("file_id"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    merged = relational.merge_cuts(cuts)
+    assert merged.count() == cuts.count() and "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
+    assert merged.rdd.getNumPartitions() == least + 3
+    rows = spark.createDataFrame([("f", "odt", 0, *[None] * 11)], packages.PARTS)
+    assert packages.indexed(rows, 77).rdd.getNumPartitions() == 77

@@ -54,6 +54,37 @@ def _parse(content: int, kind: int, names: list[str], schema, work, apart: bool)
     return parse
 
 
+def _gather(content: int, names: list[str]):
+    def gather(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in guard.lots(batches):
+            found = batch.column(content).dictionary_encode("encode")
+            order = pc.sort_indices(found.indices)
+            inner = [c.take(order) for i, c in enumerate(batch.columns) if i != content]
+            held = dict(sorted((x["values"], x["counts"]) for x in found.indices.value_counts().to_pylist()))
+            ends = [0]
+            for n in held.values():
+                ends.append(ends[-1] + n)
+            files = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(inner, names=names))
+            yield pa.RecordBatch.from_arrays([found.dictionary, files], names=["content", "files"])
+
+    return gather
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """(content, files): files of equal bytes in a lot as one row, so that whatever is made of their bytes alone is made once. spread() gives each file its row again."""
+    rest = T.StructType([f for f in files.schema.fields if f.name != "content"])
+    schema = T.StructType().add("content", T.BinaryType()).add("files", T.ArrayType(rest))
+    return files.mapInArrow(_gather(files.columns.index("content"), rest.names), schema)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A row for each file of gathered rows, with all other columns beside it."""
+    return rows.select(F.inline("files"), *[c for c in rows.columns if c != "files"])
+
+
 def parsed(files: DataFrame, every: bool = False, work=walk_file, apart: bool = False) -> DataFrame:
     """files with a format that has a walker, with segments and error. Other files are left out: `errors` has them. every: they stay, without segments.
 

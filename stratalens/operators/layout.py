@@ -2,10 +2,12 @@
 
 One narrow pass lists the boxes of a file in order (a nested set: `no` to `last`), with the few small bodies that rules look into and
 the values of its offset tables; media is not touched. What stays, what each box is rewritten to, where it comes to lie, where each chunk
-moves and why a movie is refused are expressions, windows and joins over these rows. Bytes meet once, when the output is joined.
+moves and why a movie is refused are expressions. As a table (`scanned`, `layout`, `moved`) boxes are rows, and windows and joins bring
+those of a file together. Files that are laid out anew (`relaid`) have their boxes as an array beside their bytes, which the same
+expressions go over: nothing is shuffled.
 
-Null and empty contents and files that are no movies are refused with a row; a file's boxes meet in one window, which holds at most
-walkers.MOST_ITEMS of them. An offset that no media holds refuses its file as 'broken-index'.
+Null and empty contents and files that are no movies are refused with a row; a file's boxes meet in one window or array, which holds at
+most walkers.MOST_ITEMS of them. An offset that no media holds refuses its file as 'broken-index'.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..sources.shared import grown, written
+from ..functions.detect import fenced
 from . import guard, relational, walkers
 from .walkers import Doubt
 
@@ -92,7 +94,7 @@ def _own_media(data: bytes, at: int, end: int) -> None:
 
 
 def listed(data: bytes) -> list[list]:
-    """The boxes of one movie in order, levels before what they hold: the columns of BOX behind the file's."""
+    """The boxes of one movie in order, levels before what they hold: the columns of BOX behind the file's, and whether the box stays."""
     rows = []
 
     def level(name: str, path: str, start: int, stop: int, handler: bytes) -> None:
@@ -104,7 +106,7 @@ def listed(data: bytes) -> list[list]:
                 raise Doubt(None, None, "limit-exceeded", limit="item-count")
             no, end, stays = len(rows), at + size, kind in KEPT[name]
             place = f"{path}/{walkers.clean(kind.encode('latin-1'))}".lstrip("/")
-            row = [no, no, name, place, kind, at, head, size, None, None, None, None, None]
+            row = [no, no, name, place, kind, at, head, size, None, None, None, None, stays]
             rows.append(row)
             if stays and kind in READ:
                 row[_BODY] = data[at + head : end]
@@ -123,6 +125,14 @@ def listed(data: bytes) -> list[list]:
     return rows
 
 
+def tried(data: bytes | None) -> tuple[list[list], dict | None]:
+    """The boxes of a file, or why they cannot be listed."""
+    try:
+        return listed(data or b""), None
+    except Doubt as e:
+        return [], {k: e.row[k] for k in ("error_kind", "detail", "unsupported_kind")}
+
+
 def _scan(schema):
     def scan(batches):
         import pyarrow as pa
@@ -134,13 +144,9 @@ def _scan(schema):
         for batch in guard.lots(batches):
             ids, out = [], []
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = listed(data or b"")
-                except Doubt as e:
-                    found = [[0, 0, "", *[None] * 9, {k: e.row[k] for k in ("error_kind", "detail", "unsupported_kind")}]]
-                found = found or [[0, 0, "", *[None] * 10]]
-                ids += [file] * len(found)
-                out += found
+                found, failure = tried(data)
+                ids += [file] * max(1, len(found))
+                out += [[*row[:-1], None] for row in found] or [[0, 0, "", *[None] * 9, failure]]
                 if len(out) >= ROWS:
                     yield from (made(ids[i : i + ROWS], out[i : i + ROWS]) for i in range(0, len(out), ROWS))
                     ids, out = [], []
@@ -159,6 +165,49 @@ def scanned(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(_scan(schema), BOX)
 
 
+def _nest(names: list[str], content: int, boxes, failure):
+    def nest(batches):
+        import pyarrow as pa
+
+        def made(batch, first, places):
+            found, why = zip(*first.values(), strict=True)
+            ends = [0]
+            for rows in found:
+                ends.append(ends[-1] + len(rows))
+            columns = list(zip(*(row for rows in found for row in rows), strict=True)) or [()] * len(fields)
+            inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+            out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=boxes), pa.array(why, failure)]
+            out = out if len(first) == len(places) else [m.take(pa.array(places, pa.int32())) for m in out]
+            return pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
+
+        fields = list(boxes.value_type)
+        for batch in guard.lots(batches):
+            start, held, first, places = 0, 0, {}, []  # files of equal bytes are listed once
+            for i, data in enumerate(batch.column(content)):
+                data, n = data.as_py(), len(first)
+                rows = first.setdefault(data, (n, *tried(data)) if data not in first else None)
+                places.append(rows[0])
+                held += len(rows[1])
+                if held >= ROWS:  # many boxes are passed on a few files at a time
+                    yield made(batch.slice(start, i + 1 - start), {k: r[1:] for k, r in first.items()}, places)
+                    start, held, first, places = i + 1, 0, {}, []
+            if places:
+                yield made(batch.slice(start), {k: r[1:] for k, r in first.items()}, places)
+
+    return nest
+
+
+def nested(files: DataFrame) -> DataFrame:
+    """files (content, ...) with __boxes (the columns of BOX and kept, in order) and __failure: a row for each file."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
+
+    *box, why = _parse_datatype_string(BOX).fields[1:]
+    schema = StructType([*files.schema.fields]).add("__boxes", ArrayType(StructType(box).add("kept", "boolean"))).add("__failure", why.dataType)
+    kinds = [to_arrow_type(schema[c].dataType) for c in ("__boxes", "__failure")]
+    return files.mapInArrow(_nest(schema.names, files.columns.index("content"), *kinds), schema)
+
+
 # --- decisions ---------------------------------------------------------------------------------------------------------
 
 
@@ -170,28 +219,35 @@ def kept() -> Column:
     return F.concat_ws("/", "level", "kind").isin(*[f"{level}/{k}" for level, kinds in KEPT.items() for k in kinds])
 
 
-def held() -> Column:
-    """Whether a box is a level that is kept."""
-    return kept() & F.col("kind").isin(*dims.BOXES)
+def held(stays: Column, of=F.col) -> Column:
+    """Whether a box is a level that stays. of: a box's column by its name."""
+    return stays & of("kind").isin(*dims.BOXES)
 
 
-def rewritten() -> Column:
+def rewritten(of=F.col) -> Column:
     """The new body of a box that is rewritten, else null: no times, no language, no names of encoders or of who handles the media."""
-    b = F.col("body")
+    b = of("body")
     n = F.octet_length(b)
     late = F.hex(F.substring(b, 1, 1)) == "01"  # version 1 has 64-bit times
 
     def header(width: int) -> Column:
         language, selection = (32, 84) if width == 16 else (20, 72)
         out = F.overlay(b, _zeros(width), 5)
-        spoken = F.when(F.col("kind").isin("mdhd") & (n >= language + 2), F.overlay(out, F.unhex(F.lit("55C4")), language + 1))
-        shown = F.when(F.col("kind").isin("mvhd") & (n >= selection + 24), F.overlay(out, _zeros(24), selection + 1))
+        spoken = F.when(of("kind").isin("mdhd") & (n >= language + 2), F.overlay(out, F.unhex(F.lit("55C4")), language + 1))
+        shown = F.when(of("kind").isin("mvhd") & (n >= selection + 24), F.overlay(out, _zeros(24), selection + 1))
         return F.when(n >= 4 + width, F.coalesce(spoken, shown, out))
 
     named = F.when((n > 24) & (F.hex(F.substring(b, 25, 2)) != "00"), F.concat(F.substring(b, 1, 24), _zeros(1)))
-    blank = F.when(F.size("names") > 0, F.aggregate("names", b, lambda acc, at: F.overlay(acc, _zeros(32), at + 1)))
+    blank = F.when(F.size(of("names")) > 0, F.aggregate(of("names"), b, lambda acc, at: F.overlay(acc, _zeros(32), at + 1)))
     times = F.when(late, header(16)).otherwise(header(8))
-    return F.when(F.col("kind").isin("mvhd", "tkhd", "mdhd"), times).when(F.col("kind") == "hdlr", named).when(F.col("kind") == "stsd", blank)
+    return F.when(of("kind").isin("mvhd", "tkhd", "mdhd"), times).when(of("kind") == "hdlr", named).when(of("kind") == "stsd", blank)
+
+
+def emitted(new: Column, stays: Column, of=F.col) -> Column:
+    """Bytes that a box itself emits; new: what it is rewritten to."""
+    table = F.when(of("kind") == "stco", 4).when(of("kind") == "co64", 8)
+    out = F.when(~stays, 0).when(held(stays, of), 8).when(table.isNotNull(), 16 + table * F.size(of("offsets")))
+    return out.otherwise(F.coalesce(8 + F.octet_length(new), of("size"))).cast("bigint")
 
 
 def layout(boxes: DataFrame) -> DataFrame:
@@ -203,10 +259,7 @@ def layout(boxes: DataFrame) -> DataFrame:
     Behind a level's last box stands a mark of the level, so that the running sum tells both, and a window over the box and its mark
     brings them together: a file's boxes are dealt once, by the file.
     """
-    table = F.when(F.col("kind") == "stco", 4).when(F.col("kind") == "co64", 8)
-    emitted = F.when(~kept(), 0).when(held(), 8).when(table.isNotNull(), 16 + table * F.size("offsets"))
-    emitted = emitted.otherwise(F.coalesce(8 + F.octet_length(rewritten()), F.col("size"))).cast("bigint")
-    rows = boxes.where("kind IS NOT NULL").select("file_id", "no", "last", "level", "path", "kind", "off", "header", "size", kept().alias("kept"), held().alias("held"), emitted.alias("emitted"))
+    rows = boxes.where("kind IS NOT NULL").select("file_id", "no", "last", "level", "path", "kind", "off", "header", "size", kept().alias("kept"), held(kept()).alias("held"), emitted(rewritten(), kept()).alias("emitted"))
     place = lambda at, mark, n: F.struct(F.col(at).alias("at"), F.lit(mark).alias("mark"), n.cast("bigint").alias("n"))
     places = F.when(F.col("held"), F.array(place("no", 0, F.col("emitted")), place("last", 1, F.lit(0)))).otherwise(F.array(place("no", 0, F.col("emitted"))))
     rows = rows.select("*", F.inline(places))
@@ -236,55 +289,92 @@ def moved(boxes: DataFrame, laid: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(far, "length-out-of-range").otherwise(F.col("status")))
 
 
-def refused(boxes: DataFrame, relocated: DataFrame) -> DataFrame:
-    """(file_id, error_kind, detail, unsupported_kind) of files that are no movies that can be laid out anew, the first reason of each."""
+# --- files with their boxes beside them --------------------------------------------------------------------------------
+
+
+def _powers(n: Column) -> Column:
+    """1, 2, 4 and so on, up to n; 1 at least."""
+    return F.transform(F.sequence(F.lit(1), F.length(F.bin(F.greatest(n, F.lit(1))))), lambda k: F.pow(F.lit(2), k - 1).cast("int"))
+
+
+def running(numbers: str) -> Column:
+    """Sums of an array up to each element, itself included: each round adds what stands 1, 2, 4 and so on places before, so that the work is n log n."""
+    return F.aggregate(_powers(F.size(numbers)), F.col(numbers), lambda sums, k: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - k), F.lit(0))))
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """nested files with, box by box, __new (what it is rewritten to), __n (the bytes it emits) and __to (new_off, new_size), with __media in order."""
+    rows = fenced(nested(files), __new=F.transform("__boxes", lambda x: rewritten(x.getField)))
+    rows = fenced(rows, __n=F.transform("__boxes", lambda x, i: emitted(F.get("__new", i), x["kept"], x.getField)))
+    rows = fenced(rows, __sums=running("__n"))
+    start = lambda i: F.get("__sums", i) - F.get("__n", i)
+    rows = fenced(rows, __to=F.transform("__boxes", lambda x, i: F.struct(start(i).alias("new_off"), (F.get("__sums", x["last"]) - start(i)).alias("new_size"))))
+
+    def medium(x: Column, i: Column) -> Column:
+        lo = x["off"] + x["header"]
+        return F.when((x["level"] == "") & (x["kind"] == "mdat"), F.struct(lo.alias("lo"), (x["off"] + x["size"]).alias("hi"), (F.get("__to", i)["new_off"] + x["header"]).alias("new_lo")))
+
+    rows = fenced(rows, __media=F.filter(F.transform("__boxes", medium), lambda m: m["hi"] > m["lo"]))
+    return rows.drop("__n", "__sums")
+
+
+def relocated(rows: DataFrame) -> DataFrame:
+    """placed files with, for each box, __moved: the values of its offset table, each moved with the media that holds it; null where none does.
+
+    Media lie in order and do not overlap, so the one that may hold an offset is found by halving.
+    """
+    rows = fenced(rows, __lo=F.transform("__media", lambda m: m["lo"]), __halves=F.reverse(_powers(F.size("__media"))))
+
+    def moved_to(offset: Column) -> Column:
+        before = F.aggregate("__halves", F.lit(0), lambda n, k: F.when(F.get("__lo", n + k - 1) <= offset, n + k).otherwise(n))  # media that begin at or before it
+        move = lambda m: F.when(offset < m["hi"], offset - m["lo"] + m["new_lo"])
+        return move(F.get("__media", before - 1))
+
+    return fenced(rows, __moved=F.transform("__boxes", lambda x: F.transform(x["offsets"], moved_to))).drop("__lo", "__halves")
+
+
+def refusal() -> Column:
+    """(error_kind, detail, unsupported_kind) of a file that is no movie that can be laid out anew, the first reason; else null."""
     words = F.create_map(*[F.lit(x) for kv in dims.BOX_REFUSALS.items() for x in kv])
     brands = F.create_map(*[F.lit(x) for kv in dims.BRAND_REFUSALS.items() for x in kv])
     word = lambda b: F.coalesce(F.try_element_at(brands, b), F.try_element_at(brands, F.substring(b, 1, 3)))
-    brand = F.get(F.filter(F.transform("brands", word), lambda x: x.isNotNull()), 0)
-    top = lambda k: F.count_if((F.col("level") == "") & (F.col("kind") == k))
-    inner = lambda k: F.count_if((F.col("level") == "moov") & (F.col("kind") == k))
-    facts = boxes.groupBy("file_id").agg(
-        F.first("failure", True).alias("failure"), F.min_by(F.try_element_at(words, "kind"), F.when(F.try_element_at(words, "kind").isNotNull(), F.col("no"))).alias("kind"),
-        F.min_by(brand, F.when(brand.isNotNull(), F.col("no"))).alias("brand"), top("ftyp").alias("ftyp"), top("moov").alias("moov"), inner("mvhd").alias("mvhd"), inner("trak").alias("trak"),
-    )
-    why = lambda kind, detail, other: F.struct(F.lit(kind).alias("error_kind"), (F.lit(detail).cast("string") if detail is None or isinstance(detail, str) else detail).alias("detail"), (F.lit(None).cast("string") if other is None else other).alias("unsupported_kind"))
-    reason = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("kind").isNotNull(), why("unsupported-format", None, F.col("kind"))).when(F.col("ftyp") == 0, why("malformed", "missing-marker", None))
-    reason = reason.when(F.col("brand").isNotNull(), why("unsupported-format", None, F.col("brand"))).when(F.col("moov") > 1, why("malformed", "unexpected-marker", None))
-    reason = reason.when((F.col("moov") == 0) | (F.col("mvhd") == 0) | (F.col("trak") == 0), why("malformed", "missing-marker", None))
-    lost = relocated.where("status <> 'moved'").groupBy("file_id").agg(F.min_by("status", F.struct("no", "chunk")).alias("status"))
-    rows = facts.select("file_id", reason.alias("r")).join(grown(lost), "file_id", "left")
-    rows = rows.select("file_id", F.coalesce("r", F.when(F.col("status").isNotNull(), why("malformed", F.col("status"), None))).alias("r"))
-    return rows.where("r IS NOT NULL").select("file_id", "r.*")
-
-
-def pieces(boxes: DataFrame, laid: DataFrame, relocated: DataFrame) -> DataFrame:
-    """(file_id, no, at, end, bytes) of what each box emits: new bytes, or a range of the file."""
-    value = lambda x: F.lpad(F.hex(x["relocated"]), F.when(F.col("kind") == "co64", 16).otherwise(8), F.lit("0"))
-    values = relocated.where("status = 'moved'").groupBy("file_id", "no", "kind").agg(F.array_sort(F.collect_list(F.struct("chunk", "relocated"))).alias("l"))
-    values = values.select("file_id", "no", F.unhex(F.array_join(F.transform("l", value), "")).alias("values"))
-    body = F.when(F.col("kind").isin(*TABLES), F.col("body")).otherwise(rewritten())
-    bodies = boxes.where("body IS NOT NULL").select("file_id", "no", body.alias("body")).where("body IS NOT NULL")
-    rows = laid.where("kept").join(grown(values), ["file_id", "no"], "left").join(grown(bodies), ["file_id", "no"], "left")
+    first = lambda array, test: F.get(F.filter(array, test), 0)
+    kind = F.try_element_at(words, first("__boxes", lambda x: x["kind"].isin(*dims.BOX_REFUSALS))["kind"])
+    told = F.flatten(F.transform(F.filter("__boxes", lambda x: x["brands"].isNotNull()), lambda x: x["brands"]))
+    brand = first(F.transform(told, word), lambda w: w.isNotNull())
+    count = lambda level, k: F.size(F.filter("__boxes", lambda x: (x["level"] == level) & (x["kind"] == k)))
+    far = lambda x, at: (x["kind"] == "stco") & (at >= 1 << 32)
+    status = lambda x, i: F.transform(F.get("__moved", i), lambda at: F.when(at.isNull(), "broken-index").when(far(x, at), "length-out-of-range"))
+    tables = F.filter(F.transform("__boxes", status), lambda s: s.isNotNull())
+    lost = first(F.flatten(tables), lambda s: s.isNotNull())
+    none = F.lit(None).cast("string")
+    why = lambda kind, detail, other: F.struct(F.lit(kind).alias("error_kind"), detail.alias("detail"), other.alias("unsupported_kind"))
+    malformed = lambda detail: why("malformed", F.lit(detail), none)
+    reason = F.when(F.col("__failure").isNotNull(), F.col("__failure")).when(kind.isNotNull(), why("unsupported-format", none, kind)).when(count("", "ftyp") == 0, malformed("missing-marker"))
+    reason = reason.when(brand.isNotNull(), why("unsupported-format", none, brand)).when(count("", "moov") > 1, malformed("unexpected-marker"))
+    reason = reason.when((count("", "moov") == 0) | (count("moov", "mvhd") == 0) | (count("moov", "trak") == 0), malformed("missing-marker"))
+    return reason.when(lost.isNotNull(), why("malformed", lost, none))
+
+
+def piece(x: Column, i: Column) -> Column:
+    """What a box emits: new bytes, or a range of the file, as a string; neither cast of bytes to strings and back looks at them."""
     number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
-    name = F.encode(F.col("kind"), "ISO-8859-1")
-    head = F.concat(number(F.col("new_size")), name)
-    made = F.when(held(), head).when(F.col("body").isNotNull(), F.concat(head, F.col("body"), F.coalesce("values", F.unhex(F.lit("")))))
-    return rows.select("file_id", "no", "off", (F.col("off") + F.col("size")).alias("end"), made.alias("bytes"))
+    head = F.concat(number(F.get("__to", i)["new_size"]), F.substring(F.col("content"), (x["off"] + 5).cast("int"), F.lit(4)))
+    width = F.when(x["kind"] == "co64", 16).otherwise(8)
+    values = F.unhex(F.array_join(F.transform(F.get("__moved", i), lambda at: F.lpad(F.hex(at), width, F.lit("0"))), ""))
+    made = F.when(held(x["kept"], x.getField), head).when(x["offsets"].isNotNull(), F.concat(head, x["body"], values)).when(F.get("__new", i).isNotNull(), F.concat(head, F.get("__new", i)))
+    return F.when(x["kept"], F.coalesce(made, F.substring(F.col("content"), (x["off"] + 1).cast("int"), x["size"].cast("int"))).cast("string"))
 
 
 def relaid(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(file_id, content) of movies laid out anew, and the refusals of the others. files: file_id, content."""
-    boxes = written(scanned(files), "boxes")
-    laid = written(layout(boxes), "layout")
-    relocated = written(moved(boxes, laid), "relocated")
-    bad = written(refused(boxes, relocated), "refused")
-    per = pieces(boxes, laid, relocated).join(grown(bad.select("file_id")), "file_id", "left_anti")
-    per = per.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("no", "off", "end", "bytes"))).alias("pieces"))
-    # Bytes as strings and back: neither cast looks at them.
-    part = lambda p: F.coalesce(p["bytes"], F.substring(F.col("content"), (p["off"] + 1).cast("int"), (p["end"] - p["off"]).cast("int"))).cast("string")
-    rows = files.select(F.col("file_id").cast("string").alias("file_id"), "content").join(grown(per), "file_id")
-    return rows.select("file_id", F.array_join(F.transform("pieces", part), "").cast("binary").alias("content")), bad
+    """files (content, ...) that are movies, laid out anew, and the others with error_kind, detail and unsupported_kind instead of content.
+
+    Both are narrow: a file's boxes, bytes and reasons are in its row.
+    """
+    beside = [c for c in files.columns if c != "content"]
+    rows = fenced(relocated(placed(files)), __refusal=refusal())
+    made = F.array_join(F.transform("__boxes", piece), "").cast("binary")
+    return rows.where("__refusal IS NULL").select(*beside, made.alias("content")), rows.where("__refusal IS NOT NULL").select(*beside, "__refusal.*")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

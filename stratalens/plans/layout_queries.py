@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import engine, layout
 from ..sources.shared import grown, written
 from . import carriers as C
-from .queries import ORACLES, movies, narrow, query, refused_movies
+from .queries import ORACLES, movies, query, refused_movies
 
 #: Fixed values, by the format: the boxes of a movie with 32-bit offsets in order (path, offset, size, whether wider offsets make it longer); a tag box and the media follow.
 _BOXES = [
@@ -41,12 +41,11 @@ def movie_chunks(spark, sf_dir):
 @query("movie_relaid", f"""WITH {_MOVIES} SELECT file_id, (547 + w)::BIGINT AS output_bytes, true AS bare, true AS alike FROM m""")
 def movie_relaid(spark, sf_dir):
     """Files laid out anew: bare if they are the movies without tags and times, alike if they are what the walk of one file gives."""
-    files = movies(spark, sf_dir, times="00000001")
-    plain = F.when(F.col("o_orderkey") % 2 == 0, C.mp4_file().column()).otherwise(C.mp4_file(wide=True).column())
-    plain = narrow(spark, sf_dir, "orders", "o_orderkey").select(F.concat(F.lit("mp4_tags-"), "o_orderkey").alias("file_id"), F.md5(plain).alias("plain"))
-    walked = engine.stripped(engine.decided(files)).select("file_id", F.md5("content").alias("walked"))
-    rows = layout.relaid(files)[0].select("file_id", F.octet_length("content").cast("bigint").alias("output_bytes"), F.md5("content").alias("md5"))
-    return rows.join(grown(plain), "file_id").join(grown(walked), "file_id").select("file_id", "output_bytes", (F.col("md5") == F.col("plain")).alias("bare"), (F.col("md5") == F.col("walked")).alias("alike"))
+    rows = engine.with_output(engine.decided(engine.gathered(movies(spark, sf_dir, times="00000001").select("file_id", "content")))).where("error IS NULL")
+    rows = layout.relaid(rows.select("files", "content", F.md5("output").alias("walked")))[0]
+    rows = engine.spread(rows.select("files", F.octet_length("content").cast("bigint").alias("output_bytes"), F.md5("content").alias("md5"), "walked"))
+    plain = F.when(F.regexp_extract("file_id", "([0-9]+)$", 1).cast("long") % 2 == 0, F.md5(C.mp4_file().column())).otherwise(F.md5(C.mp4_file(wide=True).column()))
+    return rows.select("file_id", "output_bytes", (F.col("md5") == plain).alias("bare"), (F.col("md5") == F.col("walked")).alias("alike"))
 
 
 @query("movie_relaid_refusals", ORACLES["mp4_refusals"])

@@ -131,3 +131,47 @@ def test_a_layout_deals_the_boxes_of_a_file_once(spark, capsys):
     layout.layout(layout.scanned(frame(spark, GOOD))).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_files_are_laid_out_anew_where_they_lie(spark, capsys):
+    done, bad = layout.relaid(frame(spark, GOOD))
+    for rows in (done, bad):
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_chunks_in_many_media_and_many_boxes(spark):
+    """Media are found by halving, places by sums of 1, 2, 4 and so on boxes: counts around powers of two, and each end of each medium."""
+    files = {}
+    for n in (*range(1, 10), 15, 16, 17, 31, 32, 33):
+        data = [b"media %03d" % i for i in range(n)]
+        data[n // 2] = b"" if n > 2 else data[n // 2]
+        places = movie(last=True, data=data)
+        at, inside = len(box(b"ftyp", b"isom\0\0\0\0mp42")), []
+        for d in data:
+            inside += [at + 8, at + 7 + len(d)] if d else []
+            at += 8 + len(d)
+        files[f"{n}"] = movie(lambda p, inside=inside: track(inside), last=True, data=data)
+        files[f"{n} between"] = movie(lambda p, at=inside[-1] + 1: track([at]), last=True, data=data)
+        files[f"{n} before"] = movie(lambda p, at=inside[0] - 1: track([at], True), last=True, data=data)
+        assert len(places) < len(files[f"{n}"])
+    files["many"] = movie(lambda p: track([p[0]]), between=box(b"free") * 30_000)
+    done, bad = layout.relaid(frame(spark, files))
+    got, refusals = {r.file_id: bytes(r.content) for r in done.collect()}, {r.file_id: r.detail for r in bad.collect()}
+    assert not set(got) & set(refusals) and set(got) | set(refusals) == set(files)
+    for name, data in files.items():
+        want, error = expected(data)
+        assert got.get(name) == want and refusals.get(name) == (error and error[1]), name
+    assert set(refusals) == {k for k in files if " " in k}
+
+
+def test_files_of_equal_bytes_are_one_row_and_have_their_own_again(spark):
+    files = [("a", "p", b"one"), ("b", "q", b"two"), ("c", "r", b"one"), (None, "s", None), ("e", None, b""), ("f", "t", None), ("c", "r", b"one")]
+    rows = spark.createDataFrame([(k, v and bytearray(v) if v != b"" else bytearray(), p) for k, p, v in files], "file_id string, content binary, path string").coalesce(1)
+    held = engine.gathered(rows)
+    assert sorted(((len(r["files"]), None if r.content is None else bytes(r.content)) for r in held.collect()), key=str) == sorted([(3, b"one"), (1, b"two"), (2, None), (1, b"")], key=str)
+    key = lambda x: str(x)
+    got = [(r.file_id, r.path, None if r.content is None else bytes(r.content)) for r in engine.spread(held).collect()]
+    assert sorted(got, key=key) == sorted(files, key=key)
+    assert engine.gathered(rows.limit(0)).count() == 0

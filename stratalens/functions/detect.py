@@ -18,6 +18,8 @@ MOVIE = {"m4a": ("M4A ", "M4B "), "mp4": ("isom", "iso2", "iso4", "iso5", "iso6"
 #: Brands of the third generation partnership, which differ in their last character.
 MOBILE = ("3gp", "3g2")
 BRANDS = (*STILL["avif"], *STILL["heif"], *SEQUENCE, *FRAGMENT, *MOVIE["m4a"], *MOVIE["mp4"], "M4P ", "qt  ", *MOBILE)
+#: Bytes that most tests look at. A row gives its whole content to each expression that names it, so these are taken from it once.
+HEAD = 32
 OGG = {"ogg": "\x01vorbis", "opus": "OpusHead", "ogg-flac": "\x7fFLAC"}
 
 
@@ -59,11 +61,11 @@ def mpeg_frame(content: Column) -> Column:
     return F.when(begins(content, "FF"), header).otherwise(False)
 
 
-def id3_then(content: Column, marker: str) -> Column:
+def id3_then(content: Column, head: Column, marker: str) -> Column:
     """Whether a marker follows an ID3v2 tag, whose length has seven bits to a byte."""
-    head = F.conv(F.hex(F.substring(content, 6, 5)), 16, 10).cast("long")  # the flags and the length, read as one number
-    size = reduce(lambda t, i: t * 128 + F.shiftright(head, 8 * (3 - i)).bitwiseAND(0x7F), range(4), F.lit(0)).cast("int")
-    start = size + 10 + F.when(F.shiftright(head, 32).bitwiseAND(0x10) != 0, 10).otherwise(0)
+    told = F.conv(F.hex(F.substring(head, 6, 5)), 16, 10).cast("long")  # the flags and the length, read as one number
+    size = reduce(lambda t, i: t * 128 + F.shiftright(told, 8 * (3 - i)).bitwiseAND(0x7F), range(4), F.lit(0)).cast("int")
+    start = size + 10 + F.when(F.shiftright(told, 32).bitwiseAND(0x10) != 0, 10).otherwise(0)
     return F.coalesce(F.decode(F.substring(content, start + 1, F.lit(len(marker))), "ISO-8859-1") == marker, F.lit(False))
 
 
@@ -76,7 +78,7 @@ def _ogg_body(content: Column, offset) -> tuple[Column, Column, Column]:
     return flags, offset + 27 + n, offset + 27 + n + sizes
 
 
-def ogg_class(content: Column) -> Column:
+def ogg_class(content: Column, first: Column) -> Column:
     """The codec of the first page's packet, or the refusal; null without a first page."""
     flags, body, end = _ogg_body(content, F.lit(0))
     second = F.substring(content, end + 1, F.lit(4))
@@ -85,7 +87,13 @@ def ogg_class(content: Column) -> Column:
     out = F.when(flags.bitwiseAND(2) == 0, "other-ogg-codec").when(second_bos, "multiplexed-ogg")
     for name, magic in OGG.items():
         out = out.when(head.startswith(magic), name)
-    return F.when(begins(content, "4F676753"), out.when(head.startswith("\x80theora"), "ogg-theora").otherwise("other-ogg-codec"))
+    return F.when(begins(first, "4F676753"), out.when(head.startswith("\x80theora"), "ogg-theora").otherwise("other-ogg-codec"))
+
+
+def may_be_picture(content: Column) -> Column:
+    """Whether the first bytes are those of a picture that packages hold; others are of none of dims.EMBEDDED."""
+    head = F.substring(content, 1, HEAD)
+    return F.coalesce(begins(head, "FFD8FF", "89504E470D0A1A0A", "52494646", "49492A00", "4D4D002A", "474946383761", "474946383961") | (at(head, 4, 4) == "ftyp"), F.lit(False))
 
 
 def is_svg(content: Column) -> Column:
@@ -101,15 +109,15 @@ def _xml(content: Column) -> Column:
 
 
 def supported(content: Column, package: Column | None = None) -> Column:
-    """The format that has a handler, else null, beside __ftyp, __brands and __ogg. The order of the tests is part of the meaning."""
-    found, ftyp, ogg = F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
+    """The format that has a handler, else null, beside __head, __ftyp, __brands and __ogg. The order of the tests is part of the meaning."""
+    head, found, ftyp, ogg = F.col("__head"), F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
     movie, still = ~_has(found, (*FRAGMENT, "M4P ", "qt  ", *MOBILE)), ~_has(found, SEQUENCE)
     out = (
-        F.when(begins(content, "FFD8FF"), "jpeg").when(begins(content, "89504E470D0A1A0A"), "png")
-        .when(begins(content, "52494646") & (at(content, 8, 4) == "WEBP"), "webp").when(begins(content, "52494646") & (at(content, 8, 4) == "WAVE"), "wav")
-        .when(begins(content, "49492A00", "4D4D002A"), "tiff").when(begins(content, "474946383761", "474946383961"), "gif")
-        .when(begins(content, "0000000C4A584C200D0A870A", "FF0A"), "jxl")
-        .when(begins(content, "664C6143") | id3_then(content, "fLaC"), "flac").when(begins(content, "494433") | mpeg_frame(content), "mp3")
+        F.when(begins(head, "FFD8FF"), "jpeg").when(begins(head, "89504E470D0A1A0A"), "png")
+        .when(begins(head, "52494646") & (at(head, 8, 4) == "WEBP"), "webp").when(begins(head, "52494646") & (at(head, 8, 4) == "WAVE"), "wav")
+        .when(begins(head, "49492A00", "4D4D002A"), "tiff").when(begins(head, "474946383761", "474946383961"), "gif")
+        .when(begins(head, "0000000C4A584C200D0A870A", "FF0A"), "jxl")
+        .when(begins(head, "664C6143") | id3_then(content, head, "fLaC"), "flac").when(begins(head, "494433") | mpeg_frame(head), "mp3")
         .when(ogg.isin(*OGG), ogg)
     )
     for name, names in STILL.items():
@@ -123,16 +131,16 @@ def supported(content: Column, package: Column | None = None) -> Column:
 
 
 def unsupported(content: Column, package: Column | None = None) -> Column:
-    """What an unsupported file is, if that is known, beside __ftyp, __brands and __ogg."""
-    found, ftyp, ogg = F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
-    zipped = begins(content, "504B0304", "504B0506", "504B0708")
+    """What an unsupported file is, if that is known, beside __head, __ftyp, __brands and __ogg."""
+    head, found, ftyp, ogg = F.col("__head"), F.col("__brands"), F.col("__ftyp"), F.col("__ogg")
+    zipped = begins(head, "504B0304", "504B0506", "504B0708")
     named = F.lit("zip-container") if package is None else F.when(package.isin("macro-enabled-office", "other-open-document"), package).otherwise("zip-container")
     return (
-        F.when(zipped, named).when(begins(content, "49492B00", "4D4D002B"), "big-tiff")
+        F.when(zipped, named).when(begins(head, "49492B00", "4D4D002B"), "big-tiff")
         .when(ftyp & _has(found, FRAGMENT), "fragmented-mp4").when(ftyp & _has(found, ("M4P ",)), "protected-media").when(ftyp & _has(found, ("qt  ",)), "quicktime-movie")
         .when(ftyp & _has(found, MOBILE), "third-generation-partnership").when(ftyp, "iso-base-media")
-        .when(ogg.isNotNull(), ogg).when(begins(content, "4F676753"), "other-ogg-codec").when(begins(content, "52463634", "42573634"), "rf64")
-        .when(begins(content, "52494646"), "other-riff").when(begins(content, "1F8B"), "gzip").when(_xml(content), "xml")
+        .when(ogg.isNotNull(), ogg).when(begins(head, "4F676753"), "other-ogg-codec").when(begins(head, "52463634", "42573634"), "rf64")
+        .when(begins(head, "52494646"), "other-riff").when(begins(head, "1F8B"), "gzip").when(_xml(content), "xml")
     )
 
 
@@ -145,9 +153,11 @@ def detected(files, content: str = "content"):
     """files with format, unsupported_kind and error_kind: exactly one of format and error_kind is set. A null content is unrecognised."""
     c = F.coalesce(F.col(content), F.unhex(F.lit("")))
     package = F.col("__package") if "__package" in files.columns else None
-    head = F.when(at(c, 4, 4) == "ftyp", brands(c))  # read once, and of files with such a box only
-    facts = fenced(files, __ftyp=at(c, 4, 4) == "ftyp", __brands=head, __ogg=ogg_class(c))
-    out = fenced(facts, format=supported(c, package))
-    out = fenced(out, __other=F.when(F.col("format").isNull(), unsupported(c, package))).drop("__ftyp", "__brands", "__ogg")
+    facts = fenced(files, __head=F.substring(c, 1, HEAD))
+    head, there = F.col("__head"), F.col(content).isNotNull()
+    named = F.when(at(head, 4, 4) == "ftyp", brands(c))  # read once, and of files with such a box only
+    facts = fenced(facts, __ftyp=at(head, 4, 4) == "ftyp", __brands=named, __ogg=ogg_class(c, head))
+    out = fenced(facts, format=F.when(there, supported(c, package)))
+    out = fenced(out, __other=F.when(there & F.col("format").isNull(), unsupported(c, package))).drop("__head", "__ftyp", "__brands", "__ogg")
     kind = F.when(F.col("format").isNull(), F.when(F.col("__other").isNotNull(), "unsupported-format").otherwise("unrecognised-format"))
     return out.withColumns({"unsupported_kind": F.when(F.col("format").isNull(), F.col("__other")), "error_kind": kind}).drop("__other")

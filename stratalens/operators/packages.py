@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.detect import detected, fenced
+from ..functions.detect import detected, fenced, may_be_picture
 from ..sources import archives
 from ..sources.shared import grown, pieces, released, written
 from . import engine, guard, markup
@@ -134,7 +134,8 @@ def indexed(rows: DataFrame, n: int) -> DataFrame:
     data, name = F.col("data"), F.col("name")
     nested = F.startswith(data, F.unhex(F.lit("D0CF11E0A1B11AE1"))) | F.startswith(data, F.unhex(F.lit("504B0304"))) | (F.locate("%PDF-", F.substring(data, 1, 1024).cast("string")) > 0)
     text = F.when(name.isin(*INDEXES), F.coalesce(text_of(data), F.lit("\0")))  # NUL: it is there, but is no text
-    each = fenced(rows, __nested=F.coalesce(nested, F.lit(False)), __text=text).select("file_id", "format", "name", "failure", "__nested", "__text")
+    each = fenced(rows, __nested=F.coalesce(nested, F.lit(False)), __text=text).select("file_id", "format", "part_no", "name", "failure", "__nested", "__text")
+    each = each.where("part_no = 0 OR failure IS NOT NULL OR __nested OR __text IS NOT NULL")  # the others say nothing of their package
     held = lambda part: F.max(F.when(name == part, F.col("__text")))
     per = each.repartition(n, "file_id").groupBy("file_id", "format").agg(
         F.first("failure", ignorenulls=True).alias("broken"), F.bool_or("__nested").alias("nested"), *[held(part).alias(c) for part, c in zip(INDEXES, ("types", "rels", "manifest"), strict=False)], F.trim(held("mimetype")).alias("media"),
@@ -204,7 +205,8 @@ def judged(rows: DataFrame, indexes: DataFrame, n: int) -> DataFrame:
     gone = F.when(odf, whole).otherwise(properties)
     named = fenced(named, gone=F.when(F.col("name").isin("[Content_Types].xml", "_rels/.rels") & ~odf, None).otherwise(gone))
     index = F.when(odf, F.col("name") == "META-INF/manifest.xml").otherwise(F.col("name").isin("[Content_Types].xml", "_rels/.rels"))
-    seen = detected(named.withColumnRenamed("format", "__package_format"), "data").withColumnRenamed("format", "picture").drop("unsupported_kind", "error_kind")
+    named = fenced(named, __picture=F.when(may_be_picture(F.col("data")), F.col("data")))  # most parts are markup, which no other test need look at
+    seen = detected(named.withColumnRenamed("format", "__package_format"), "__picture").withColumnRenamed("format", "picture").drop("unsupported_kind", "error_kind", "__picture")
     seen = seen.withColumnRenamed("__package_format", "format")
     role = (
         F.when(odf & (F.col("name") == "mimetype"), "first").when(index, "index").when(F.col("gone").isNotNull(), "drop").when(F.col("data").isNull(), "folder")
@@ -389,10 +391,13 @@ def scrubbed(rows: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(T._parse_datatype_string(f"array<{t}>")) for t in (engine.ITEM, engine.NOTE)]
+    none = F.array().cast("array<string>")
     gone = rows.where("role = 'drop'").groupBy("file_id").agg(F.collect_set("name").alias("dropped"))
     indexes = rows.where("role = 'index'").join(grown(gone), "file_id", "left")
-    others = rows.where("role IN ('drop', 'opaque', 'xml')").withColumn("dropped", F.lit(None).cast("array<string>"))
-    each = [x.select("file_id", "part_no", "format", "role", "name", "data", "gone", "dead", "dropped") for x in (others, indexes)]
+    others = rows.where("role IN ('drop', 'opaque', 'xml')").withColumn("dropped", none)
+    # Empty arrays, not nulls: before each row Spark asks for a batch's size, and Arrow then goes over all rows since the last that has an array.
+    lists = [F.coalesce(c, none).alias(c) for c in ("dead", "dropped")]
+    each = [x.select("file_id", "part_no", "format", "role", "name", "data", "gone", *lists) for x in (others, indexes)]
     return each[0].unionByName(each[1]).mapInArrow(_scrub(*kinds), SCRUBBED)
 
 

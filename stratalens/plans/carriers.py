@@ -24,7 +24,8 @@ def be(n: Column, width: int) -> Column:
 
 
 def le(n: Column, width: int) -> Column:
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.floor(n / F.lit(256**i)).cast("long") % 256), 2, "0") for i in range(width)]))
+    digits = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(width)]))
 
 
 def size(c: Column) -> Column:
@@ -209,12 +210,14 @@ def heif_clean() -> bytes:
     return ftyp + full(b"meta", head + places + tail) + b(b"mdat", data)
 
 
-def zipped(parts: list[tuple[str, object]], time: str = "0000 2100") -> Column:
-    """An archive of stored parts, each bytes or Made; time: that of all entries, as it stands in the headers."""
+def zipped(parts: list[tuple[str, object]], time: str = "0000 2100", sums: dict[str, Column] | None = None) -> Column:
+    """An archive of stored parts, each bytes or Made; time: that of all entries, as it stands in the headers. sums: check sum and both lengths of parts, where a column has them."""
     out, directory, at = [], [], Made()
     for name, content in parts:
         made = Made(content)
-        if made.open:
+        if made.open and name in (sums or {}):
+            lengths = Made((sums[name], 12))
+        elif made.open:
             c = made.column()
             lengths = Made((le(F.crc32(c), 4), 4), (le(made.size(), 4), 4), (le(made.size(), 4), 4))
         else:
@@ -282,14 +285,33 @@ PPTX = _office("ppt/presentation.xml", "presentationml.presentation", **{"ppt/me
 ODS, ODP = ({n: t and t.replace(_ODF, _ODF.replace("text", kind)) for n, t in ODT.items()} for kind in ("spreadsheet", "presentation"))
 
 
-def package(parts: dict, c: Column, picture: Column | None = None, time: str = "0000 2100") -> Column:
-    """A package whose parts name c; picture: the bytes of the part that has none."""
+def _filled(parts: dict, value: Made, picture: Column | None) -> list[tuple[str, Made]]:
     each = []
     for name, content in parts.items():
         pieces = [] if content is None else content.split("NAME")
-        made = Made((picture, size(picture))) if content is None else Made(pieces[0].encode(), *[x for p in pieces[1:] for x in (text(c), p.encode())])
+        made = Made((picture, size(picture))) if content is None else Made(pieces[0].encode(), *[x for p in pieces[1:] for x in (value, p.encode())])
         each.append((name, made))
-    return zipped(each, time)
+    return each
+
+
+def package(parts: dict, c: Column, picture: Column | None = None, time: str = "0000 2100") -> Column:
+    """A package whose parts name c; picture: the bytes of the part that has none."""
+    return zipped(_filled(parts, text(c), picture), time)
+
+
+def packaged(rows: DataFrame, parts: dict, c: Column, picture: Column | None = None, time: str = "0000 2100") -> tuple[DataFrame, Column]:
+    """rows with columns of what their packages are made of, and the package from them.
+
+    The same as package(), whose one expression becomes a generated method of more than 8,000 bytes, which the JVM does not compile.
+    """
+    rows = fenced(rows, __name=utf8(c), __size=size(utf8(c)), **({} if picture is None else {"__picture": picture}))
+    each = _filled(parts, Made((F.col("__name"), F.col("__size"))), None if picture is None else F.col("__picture"))
+    own = {name: f"__part{i}" for i, (name, made) in enumerate(each) if made.open}
+    rows = fenced(rows, **{own[name]: made.column() for name, made in each if name in own})
+    rows = fenced(rows, **{f"{p}s": size(F.col(p)) for p in own.values()})
+    rows = fenced(rows, **{f"{p}f": F.concat(le(F.crc32(F.col(p)), 4), *[le(F.col(f"{p}s"), 4)] * 2) for p in own.values()})
+    each = [(name, Made((F.col(own[name]), F.col(f"{own[name]}s"))) if name in own else made) for name, made in each]
+    return rows, zipped(each, time, {name: F.col(f"{p}f") for name, p in own.items()})
 
 
 def plain_archive(parts: dict, picture: bytes = b"") -> bytes:

@@ -338,8 +338,8 @@ def strip_heif(spark, sf_dir):
 def documents_of(spark, sf_dir, parts: dict, name: str, picture: bool = False) -> DataFrame:
     """A package for each customer, detected by what it declares; its entries have times."""
     c = F.coalesce("c_name", F.lit(""))
-    content = C.package(parts, c, C.png_text(c) if picture else None, "6180 2157")
-    return detected(with_packages(C.files(narrow(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey", content, name), zips=True)).drop("__package")
+    rows, content = C.packaged(narrow(spark, sf_dir, "customer", "c_custkey", "c_name"), parts, c, C.png_text(c) if picture else None, "6180 2157")
+    return detected(with_packages(C.files(rows, "c_custkey", content, name), zips=True)).drop("__package")
 
 
 _C = "octet_length(encode(c_name))"

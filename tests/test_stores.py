@@ -371,3 +371,60 @@ def test_what_is_sorted_by_file_is_dealt_by_rows_and_bytes(spark, monkeypatch):
     assert merged.rdd.getNumPartitions() == least + 3
     rows = spark.createDataFrame([("f", "odt", 0, *[None] * 11)], packages.PARTS)
     assert packages.indexed(rows, 77).rdd.getNumPartitions() == 77
+
+
+def test_packages_are_made_in_steps_that_the_jvm_compiles(spark):
+    """The same bytes as by one expression; no generated method is over 8,000 bytes, which the JVM would not compile (18,304 before)."""
+    from pyspark.sql.types import StringType
+
+    from stratalens.plans import carriers as C
+
+    rows = spark.createDataFrame(["", "name", "ünï", "x" * 700], StringType()).toDF("v").coalesce(1)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    for parts, picture in ((C.XLSX, None), (C.PPTX, C.png_text(F.col("v"))), (C.ODS, None), (C.DOCX, C.png_text(F.col("v")))):
+        more, content = C.packaged(rows, parts, F.col("v"), picture, "6180 2157")
+        made = C.files(more, "v", content, "f").select("content")
+        assert [bytes(r[0]) for r in made.collect()] == [bytes(r[0]) for r in rows.select(C.package(parts, F.col("v"), picture, "6180 2157")).collect()]
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+            stages = debug.codegenStringSeq(made._jdf.queryExecution().executedPlan())
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        assert stages.size() and max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8_000
+    numbers = [0, 1, 255, 256, 65_535, 1 << 24, (1 << 32) - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", C.le(F.col("n"), 4).alias("four"), C.le(F.col("n"), 2).alias("two")).collect()
+    assert all(bytes(r.four) == r.n.to_bytes(4, "little") and bytes(r.two) == (r.n % 65_536).to_bytes(2, "little") for r in got)
+
+
+def test_parts_that_are_looked_into_have_no_null_lists(spark):
+    """Arrow goes over all rows since the last that has an array, before each row: of lists that are null, the square of a batch."""
+    kinds = "file_id string, part_no int, format string, role string, name string, data binary, gone string, dead array<string>"
+    rows = spark.createDataFrame([("f", 0, "docx", "index", "_rels/.rels", bytearray(b"<a/>"), None, None), ("f", 1, "docx", "xml", "x.xml", bytearray(b"<a/>"), None, ["i"])], kinds)
+    plan = packages.scrubbed(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(dead" in plan and "coalesce(dropped" in plan and packages.scrubbed(rows).count() == 2
+
+
+def test_only_what_may_be_a_picture_is_looked_at_as_one(spark):
+    from stratalens import dims
+    from stratalens.functions.detect import detected, may_be_picture
+    from stratalens.plans.queries import MAGICS
+
+    rows = spark.createDataFrame([(k, bytearray(bytes.fromhex(k) + more)) for k in (*MAGICS, "", "00") for more in (b"", b"more bytes")] + [("null", None)], "magic string, content binary")
+    seen = detected(rows.withColumn("maybe", may_be_picture(F.col("content")))).collect()
+    assert {r.maybe for r in seen if r.format in dims.EMBEDDED} == {True} and not any(r.maybe for r in seen if r.format in ("svg", "pdf", "flac", "jxl") or r.magic in ("", "null"))
+
+
+def test_tags_are_read_as_before():
+    import re
+
+    from stratalens.operators import markup
+
+    old = re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+    for src in (b"<a b='>' c=\">\"/>", b"<a b='>", b"<a 'x' \"y", b"<a", b"<>", b"< a>", b"</a >", b"<!-- > --><a/>", b"<![CDATA[<x>]]><b>", b"<?x?><!D><c d=1>", b"<a\tb>", b"<a'b'>\"<c>"):
+        tags = [(t.name, t.kind, src[t.start : t.end]) for t in markup.scan(src)[0]]
+        for i in range(len(src)):
+            a, b = old.match(src, i), markup._TAG_END.match(src, i)
+            assert (a and a.end()) == (b and b.end())
+        assert all(name == re.split(rb"[\s/]", raw.strip(b"<>").removeprefix(b"/"), maxsplit=1)[0].decode() for name, _, raw in tags)
+    assert [t.name for t in markup.scan(b"<!-- <x> --><a b='<c>'><d/></a>")[0]] == ["a", "d", "a"]
